@@ -125,10 +125,10 @@ def groups_of(items: Iterable, weight: Callable, most: int = 1 << 20, rows: int
 # ---------------------------------------------------------------- ranks and running sums without hot keys
 
 
-def running_start(df: DataFrame, keys: list[str], order: list[str], value: str, rows: int, into: str, per_bucket: int = 2048) -> DataFrame:
+def running_start(df: DataFrame, keys: list[str], order: list[str], value: str, rows: int, into: str, ties: tuple[str, ...] = (), per_bucket: int = 2048) -> DataFrame:
     """Adds `into`: the sum of `value` over the rows of the same keys that come earlier in a fixed shuffled order.
 
-    The order is by hash of `order`, then `order`. Rows are dealt by keys and hash range, so that even one
+    The order is by hash of `order`, then `order`, then `ties`. Rows are dealt by keys and hash range, so that even one
     key with most rows spreads over many tasks; only sums by range meet under a key. `keys` hold no nulls.
     df is read twice: pass a materialized frame. rows: its count, which sets the number of ranges.
     """
@@ -136,6 +136,35 @@ def running_start(df: DataFrame, keys: list[str], order: list[str], value: str,
     at = df.withColumn("_h", F.pmod(F.xxhash64(F.lit(17), *order), F.lit(1 << 40))).withColumn("_b", F.floor(F.col("_h") * buckets / F.lit(1 << 40)).cast("int"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = at.groupBy(*keys, "_b").agg(F.sum(value).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inner = Window.partitionBy(*keys, "_b").orderBy("_h", *order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*keys, "_b").orderBy("_h", *order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     local = at.withColumn("_local", F.coalesce(F.sum(value).over(inner), F.lit(0)))
     return local.join(sums, [*keys, "_b"]).withColumn(into, F.col("_base") + F.col("_local")).drop("_h", "_b", "_base", "_local")
+
+
+# ---------------------------------------------------------------- words of many texts at once
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first): hashes of the words of all texts in a row, and where each text's words begin, with the end last.
+
+    lower: A to Z count as a to z. Equal words have equal hashes, in every process.
+    """
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    space = _SPACE[data]
+    at = np.flatnonzero(~space)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    begins = np.concatenate(([0], np.flatnonzero(np.diff(at) > 1) + 1))
+    sizes = np.diff(np.append(begins, len(at)))
+    place = np.arange(len(at)) - np.repeat(begins, sizes)
+    letters = _LOWER[data[at]] if lower else data[at]
+    points = (place.astype(np.uint64) << np.uint64(8)) | letters
+    hashes = mix(np.add.reduceat(mix(points * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), begins))
+    first = np.concatenate(([0], np.searchsorted(at[begins], ends)))
+    return hashes, first

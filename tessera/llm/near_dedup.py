@@ -5,11 +5,12 @@
 2. Inverted lists: two sets above the threshold share at least half of their sketches but for a chance below
    1e-6 a pair (k = 32 at 0.85; the chance falls steeply above), so they share one of the rarest k/2+1
    retained values of either. Only those postings are kept, rarest first: values of passages that many
-   documents share fall away by themselves.
-3. A list with few documents yields its pairs. A long list (many near copies) yields links to pivots: each
-   round, documents outside the list's main component are compared with all others not yet connected to
-   them, until a list is one component or has no pair left that wasn't compared. So no list is capped, and none is
-   expanded into all pairs.
+   documents share fall away by themselves. A list of few documents yields its pairs.
+3. The members of long lists (many near copies) are listed anew by all their shingles, rarest first, as far as the
+   threshold needs (exact prefix filter), with what each place still allows as a partner's size (positional
+   filter). What is still long yields links to pivots, the most typical documents first: each round,
+   documents outside a list's main component are compared with the others not yet connected to them, until
+   the list is one component or has no pair left to compare. No list is capped, none expanded into all pairs.
 4. Candidates pass by size ratio, then by the Jaccard estimate over the union's sketch, then by the exact
    sets of whole texts. Components of the links come from alternating star contractions.
 """
@@ -21,69 +22,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import WordCache, groups_of, materialize, mix
+from tessera.llm.common import groups_of, materialize, mix, word_hashes
 
 SHORT_LIST = 24
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Sorted distinct hashes of runs of `width` words, given the words' hashes; the whole sequence if it is shorter."""
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    count = max(1, len(words) - width + 1)
-    out = np.full(count, min(width, len(words)), np.uint64)
-    for j in range(min(width, len(words))):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[j : j + count])
-    return np.unique(out)
+#: Values of a sketch that the estimate on a candidate pair uses
+ESTIMATE_K = 128
+
+
+def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
+    """For each text, the sorted distinct hashes of its runs of `width` words; the whole sequence if it is shorter."""
+    words, first = word_hashes([(t or "").encode() for t in texts], lower=True)
+    runs = np.full(len(words), width, np.uint64)
+    for j in range(width):
+        runs[: len(words) - j] = mix(runs[: len(words) - j] * np.uint64(0x9E3779B97F4A7C15) + words[j:])
+    for start, end in zip(first[:-1], first[1:], strict=True):
+        if end - start >= width:
+            yield np.unique(runs[start : end - width + 1].view(np.int64))
+        else:
+            whole = np.full(min(1, end - start), end - start, np.uint64)
+            for j in range(start, end):
+                whole = mix(whole * np.uint64(0x9E3779B97F4A7C15) + words[j])
+            yield whole.view(np.int64)
 
 
 def _sketcher(width: int, k: int):
-    @F.pandas_udf("n long, set_a long, set_b long, sketch array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache = WordCache(_word_hashes)
         for texts in batches:
             rows = []
             for part in groups_of(texts, lambda t: len(t or "")):
-                split = [t.encode().lower().split() if t else [] for t in part]
-                for at in cache.rows_of(split):
-                    s = shingle_hashes(cache.rows[at], width)
-                    a, b = (mix(s ^ np.uint64(c)).sum(dtype=np.uint64).view(np.int64) for c in (0x243F6A8885A308D3, 0x13198A2E03707344))
-                    rows.append((len(s), a, b, s[:k].view(np.int64)))
+                for s in shingle_sets(part, width):
+                    a, b = (mix(s.view(np.uint64) ^ np.uint64(c)).sum(dtype=np.uint64).view(np.int64) for c in (0x243F6A8885A308D3, 0x13198A2E03707344))
+                    rows.append((len(s), a, b, s[:k]))
             yield pd.DataFrame(rows, columns=["n", "set_a", "set_b", "sketch"])
 
-    return sketch
+    return F.pandas_udf(sketch, "n long, set_a long, set_b long, sketch array<long>")
 
 
-def _verifier(width: int, percent: int):
-    """Keeps pairs (a, b, text_a, text_b) whose full sets reach the threshold."""
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordCache(_word_hashes)
-
-        def full(text):
-            at = cache.rows_of([text.encode().lower().split()])[0]
-            return shingle_hashes(cache.rows[at], width)
-
-        for batch in batches:
-            keep, last, left = [], None, None
-            for a, ta, tb in zip(batch.a, batch.text_a, batch.text_b, strict=True):
-                if a != last:
-                    last, left = a, full(ta)
-                right = full(tb)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(100 * both >= percent * (len(left) + len(right) - both))
-            yield batch.loc[np.array(keep, bool), ["a", "b"]]
+def _shingler(width: int):
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([s for part in groups_of(texts, lambda t: len(t or "")) for s in shingle_sets(part, width)])
 
-    return verify
+    return F.pandas_udf(shingles, "array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -133,46 +117,87 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int, k: int) -
     """Links a < b between representatives that connect all that the threshold connects; None if there are none."""
     whole = math.floor(k * percent / 100)  # a set this small and any set near it are whole in their sketches
     least = F.when(F.col("n") <= whole, F.ceil(F.col("n") * percent / 100)).otherwise(F.floor(F.col("size") / 2))
-    posted = reps.select("rep", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("v"))
-    often = posted.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = posted.join(often, "v").withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("df", "v"))).withColumn("common", F.count("*").over(Window.partitionBy("rep")))
-    prefix = ranked.where(F.col("place") + F.col("size") - F.col("common") <= F.col("size") - least + 1).select("v", "rep")
-    prefix = materialize(prefix)
-    lists = prefix.groupBy("v").agg(F.count("*").alias("length"), F.min("rep").alias("pivot")).where("length > 1")
-    listed = materialize(prefix.join(lists, "v"))
-    texts = materialize(docs.join(listed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    about = materialize(reps.join(listed.select("rep").distinct(), "rep", "left_semi"))
+    posted = reps.select("rep", F.col("n").alias("whole_n"), F.size("sketch").alias("size"), least.alias("least"), F.explode("sketch").alias("v"))
+    listed = _rarest(posted, F.col("size"), F.col("least")).select("v", "rep")
+    listed = materialize(listed)
+    lengths = listed.groupBy("v").agg(F.count("*").alias("length")).where("length > 1")
+    listed = materialize(listed.join(lengths, "v"))
+    named = listed.select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = materialize(texts.select(F.col("doc_id").alias("rep"), _shingler(width)("text").alias("s")).withColumn("n", F.size("s").cast("long")))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (x, y)."""
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-        pairs = pairs.join(about.toDF("a", "n_a", "s_a"), "a").join(about.toDF("b", "n_b", "s_b"), "b")
-        union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, k)
+        brief = sets.select("rep", "n", F.slice("s", 1, ESTIMATE_K))
+        pairs = pairs.join(brief.toDF("a", "n_a", "s_a"), "a").join(brief.toDF("b", "n_b", "s_b"), "b")
+        union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, ESTIMATE_K)
         shared = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
         alike = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        # half of the threshold's own spread below it would still pass: five deviations at k = 32
-        likely = shared >= F.size(union) * (percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / k))
+        # five deviations of the estimate below the threshold still pass
+        likely = shared >= F.size(union) * (percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / ESTIMATE_K))
         pairs = materialize(pairs.where(alike).where(likely).select("a", "b"))
-        left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        return materialize(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInPandas(_verifier(width, percent), "a long, b long"))
+        both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("s_b")), "b")
+        common = both.select("a", "b", (F.size("s_a") + F.size("s_b")).alias("sizes"), F.size(F.array_intersect("s_a", "s_b")).alias("common"))
+        return materialize(common.where(F.col("common") * 100 >= percent * (F.col("sizes") - F.col("common"))).select("a", "b"))
 
-    short, long = listed.where(f"length <= {SHORT_LIST}"), listed.where(f"length > {SHORT_LIST}")
+    short = listed.where(f"length <= {SHORT_LIST}")
     pairs = short.alias("p").join(short.alias("q"), F.expr("p.v = q.v and p.rep < q.rep")).select(F.col("p.rep").alias("x"), F.col("q.rep").alias("y"))
-    links = verified(pairs.union(long.select(F.col("pivot").alias("x"), F.col("rep").alias("y"))))
-    left = long.where("rep <> pivot").select("v", "rep")
-    pivots = 4
+    links = verified(pairs)
+    long = listed.where(f"length > {SHORT_LIST}").select("rep").distinct()
+    relisted = _relisted(sets.join(long, "rep", "left_semi"), percent)
+    if not relisted.isEmpty():
+        links = _connected(links, relisted, verified)
+    return None if links.isEmpty() else links
+
+
+def _rarest(posted: DataFrame, size, least) -> DataFrame:
+    """posted (rep, v, ...) with `place` (from 0, rarest values first): the places that two sets with `least` values in common can't both miss.
+
+    Values in one set only come first; they are counted, but not returned.
+    """
+    often = posted.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("rep")
+    ranked = posted.join(often, "v").withColumn("place", F.row_number().over(own.orderBy("df", "v")) - 1 + size - F.count("*").over(own))
+    return ranked.where(F.col("place") <= size - least).drop("df")
+
+
+def _relisted(sets: DataFrame, percent: int) -> DataFrame:
+    """v, rep, n, place, most, length: lists by rare shingles; most: the largest partner that this place still allows."""
+    posted = sets.select("rep", "n", F.explode("s").alias("v"))
+    lists = _rarest(posted, F.col("n"), F.ceil(F.col("n") * percent / 100))
+    most = F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent - F.col("n"))
+    lists = materialize(lists.select("v", "rep", "n", "place", most.alias("most")))
+    for _ in range(2):
+        bounds = lists.groupBy("v").agg(F.min("n").alias("low"), F.max("most").alias("high"), F.count("*").alias("length")).where("length > 1")
+        lists = materialize(lists.select("v", "rep", "n", "place", "most").join(bounds, "v").where("most >= low and n <= high").drop("low", "high"))
+    lengths = lists.groupBy("v").agg(F.count("*").alias("length")).where("length > 1")
+    return materialize(lists.drop("length").join(lengths, "v"))
+
+
+def _connected(links: DataFrame, lists: DataFrame, verified) -> DataFrame:
+    """links and as many more from the lists as connect all that they can."""
+    fits = F.expr("p.rep <> q.rep and p.n <= q.most and q.n <= p.most")
+    short, long = lists.where(f"length <= {SHORT_LIST}"), lists.where(f"length > {SHORT_LIST}")
+    pairs = short.alias("p").join(short.alias("q"), F.expr("p.v = q.v and p.rep < q.rep") & fits).select(F.col("p.rep").alias("x"), F.col("q.rep").alias("y"))
+    # the most typical document has the fewest rare shingles before this one
+    typical = long.groupBy("v").agg(F.min(F.struct("place", "rep", "n", "most")).alias("t")).select("v", "t.*")
+    pairs = pairs.union(long.alias("p").join(typical.alias("q"), F.expr("p.v = q.v") & fits).select(F.col("q.rep").alias("x"), F.col("p.rep").alias("y")))
+    links = materialize(links.union(verified(pairs)))
+    left, slots = long.join(typical.select("v", "rep"), ["v", "rep"], "left_anti").select("v", "rep", "n", "place", "most"), 8
     while not left.isEmpty():
-        label = components(links) if not links.isEmpty() else None
-        at = left.join(label.toDF("rep", "c"), "rep", "left").select("v", "rep", F.coalesce("c", "rep").alias("c")) if label is not None else left.withColumn("c", F.col("rep"))
-        at = materialize(at)
+        label = components(links).toDF("rep", "c")
+        at = materialize(left.join(label, "rep", "left").withColumn("c", F.coalesce("c", "rep")))
         weights = at.groupBy("v", "c").agg(F.count("*").alias("w"))
-        open_lists = weights.groupBy("v").agg(F.max(F.struct("w", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("v", F.col("most.c").alias("main"))
-        at = materialize(at.join(open_lists, "v"))
-        if at.isEmpty():
+        main = weights.groupBy("v").agg(F.max(F.struct("w", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("v", F.col("m.c").alias("main"))
+        at = materialize(at.join(main, "v"))
+        slot = F.pmod(F.xxhash64("rep"), F.lit(slots)).alias("slot")
+        chosen = at.where("c <> main").groupBy("v", slot).agg(F.min(F.struct("place", "rep", "n", "most", "c")).alias("t")).select("v", "t.*")
+        chosen = materialize(chosen)
+        if chosen.isEmpty():
             break
-        chosen = materialize(at.where("c <> main").groupBy("v", F.pmod(F.xxhash64("rep"), F.lit(pivots)).alias("slot")).agg(F.min(F.struct("rep", "c")).alias("p")).select("v", F.col("p.rep").alias("x"), F.col("p.c").alias("cx")))
-        found = verified(at.join(chosen, "v").where("c <> cx").select("x", F.col("rep").alias("y")))
-        links = materialize(links.union(found))
-        left = materialize(at.select("v", "rep").join(chosen.select("v", F.col("x").alias("rep")), ["v", "rep"], "left_anti"))
-        pivots *= 4
-    return None if links.isEmpty() else links
+        pairs = at.alias("p").join(chosen.alias("q"), F.expr("p.v = q.v and p.c <> q.c") & fits).select(F.col("q.rep").alias("x"), F.col("p.rep").alias("y"))
+        links = materialize(links.union(verified(pairs)))
+        left = at.join(chosen.select("v", "rep"), ["v", "rep"], "left_anti").select("v", "rep", "n", "place", "most")
+        slots *= 4
+    return links

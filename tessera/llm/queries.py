@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm import langid_kn, packing, quality_embed, toxicity_fm
+from tessera.llm.common import fold
+from tessera.llm.mixing import mix_sources
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.suffix_dedup import remove_repeats
 
@@ -12,6 +17,40 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(modulus: int, rest: int):
+    """Whether a row may not be learned from; a null doc_id is in no fold, has no label, and isn't held out."""
+    return F.coalesce(fold("doc_id", modulus) == rest, F.lit(False))
+
+
+def _scored(docs: DataFrame, held_out) -> DataFrame:
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return docs.select("doc_id", held_out.alias("held_out"), "score", predicted)
+
+
+def op1_quality_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
+    model = quality_embed.fit(docs, labels, "quality", learn=fold("doc_id", 3) != 1)
+    return _scored(quality_embed.score(docs, model), _held_out(3, 1))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, 2048, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
+    model = toxicity_fm.fit(docs, labels, "toxic", learn=fold("doc_id", 5) != 0)
+    return _scored(toxicity_fm.score(docs, model), _held_out(5, 0))
+
+
+def op5_langid_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid_kn.fit(docs, learn=fold("doc_id", 4) != 2)
+    found = langid_kn.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", _held_out(4, 2).alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
     return found.select("doc_id", *(f"repeats.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
@@ -21,9 +60,19 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = mix_sources(_read(spark, sf_dir, "documents"), weights=[5, 2, 1])
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
+    "op1_quality_embed": op1_quality_embed,
+    "op2_packing": op2_packing,
+    "op4_toxicity_fm": op4_toxicity_fm,
+    "op5_langid_kn": op5_langid_kn,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op9_mixing": op9_mixing,
 }
 
 SQL: dict[str, str] = {}
