@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid_kn, packing, quality_embed, toxicity_fm
+from tessera.llm import ann_ivfpq, host_rules, langid_kn, packing, quality_embed, tool_calls, toxicity_fm
 from tessera.llm.common import fold
 from tessera.llm.mixing import mix_sources
 from tessera.llm.near_dedup import near_duplicates
@@ -38,6 +38,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, 2048, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return host_rules.apply_rules(docs, host=F.col("source"), failed=failed, worst=0.5)
+
+
 def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
     model = toxicity_fm.fit(docs, labels, "toxic", learn=fold("doc_id", 5) != 0)
@@ -60,19 +66,79 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op8_ann_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_ivfpq.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, top=5)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mix_sources(_read(spark, sf_dir, "documents"), weights=[5, 2, 1])
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.conversation_calls(_read(spark, sf_dir, "conversations"))
+    return tool_calls.link_calls(calls, results, tool_calls.CONVERSATION_TOOLS)
+
+
 QUERIES = {
     "op1_quality_embed": op1_quality_embed,
     "op2_packing": op2_packing,
+    "op3_host_rules": op3_host_rules,
     "op4_toxicity_fm": op4_toxicity_fm,
     "op5_langid_kn": op5_langid_kn,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op8_ann_ivfpq": op8_ann_ivfpq,
     "op9_mixing": op9_mixing,
+    "op10_tool_calls": op10_tool_calls,
 }
 
 SQL: dict[str, str] = {}
+
+SQL["op3_host_rules"] = r"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+grams AS (SELECT rid, i, words[i] || chr(10) || words[i + 1] || chr(10) || words[i + 2] AS g FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM grams) WHERE c > 1),
+covered AS (SELECT rid, count(DISTINCT i + d) AS n FROM again, (SELECT unnest([0, 1, 2]) AS d) GROUP BY rid),
+lines AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+stats AS (
+  SELECT w.doc_id, w.source, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN lines l USING (rid) LEFT JOIN covered c USING (rid)),
+based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stats),
+hosts AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS k FROM based GROUP BY source),
+pooled AS (SELECT sum(n)::DOUBLE AS an, sum(k)::DOUBLE / sum(n) AS mean, count(*)::DOUBLE AS h, sum(k::DOUBLE * k / n) AS sq FROM hosts),
+prior AS (SELECT mean, least(1e6, greatest(1.0, mean * (1 - mean) / greatest(sq / an - mean * mean - mean * (1 - mean) * h / an, 1e-9) - 1)) AS weight FROM pooled),
+bad AS (SELECT source, (k + mean * weight) / (n + weight) > 0.5 AS bad FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
+FROM based JOIN bad ON based.source IS NOT DISTINCT FROM bad.source
+"""
+
+SQL["op10_tool_calls"] = r"""
+WITH RECURSIVE asked AS (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE role = 'user'),
+level AS (
+  SELECT conv_id, turn, 0 AS level FROM asked a WHERE NOT EXISTS (SELECT 1 FROM asked b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 2 AND a.turn >= 2)
+  UNION ALL SELECT a.conv_id, a.turn, l.level + 1 FROM asked a JOIN level l ON l.conv_id = a.conv_id AND l.turn = a.turn - 2),
+answer AS (SELECT conv_id, turn - 1 AS turn, turn AS at, text AS content FROM conversations WHERE role = 'assistant'),
+linked AS (
+  SELECT coalesce(a.conv_id, r.conv_id) AS conv_id, coalesce(a.turn, r.turn) AS turn, coalesce(a.turn, r.at) AS seq, a.turn IS NOT NULL AS is_call, a.text, r.content, r.conv_id IS NOT NULL AS answered, l.level,
+    p.turn IS NOT NULL AS known
+  FROM asked a FULL JOIN answer r ON a.conv_id = r.conv_id AND a.turn = r.turn
+  LEFT JOIN level l ON l.conv_id = a.conv_id AND l.turn = a.turn
+  LEFT JOIN asked p ON p.conv_id = a.conv_id AND p.turn = a.turn - 2),
+judged AS (
+  SELECT *, conv_id || '-' || turn AS call_id,
+    CASE WHEN NOT is_call THEN ['orphan_result'] ELSE list_sort(list_filter([
+      CASE WHEN text IS NULL THEN 'missing:text' END, CASE WHEN text IS NULL THEN 'missing:words' END, CASE WHEN NOT answered THEN 'no_result' END,
+      CASE WHEN turn >= 2 AND NOT known THEN 'unknown_reference:' || conv_id || '-' || (turn - 2) END], lambda e: e IS NOT NULL)) END AS wrong
+  FROM linked)
+SELECT conv_id, call_id, level::INT AS level, seq, len(wrong) = 0 AS valid, array_to_string(wrong, ',') AS errors,
+  '{' || CASE WHEN is_call THEN '"arguments":{' || CASE WHEN turn >= 2 THEN '"context":{"$ref":"' || conv_id || '-' || (turn - 2) || '"},' ELSE '' END
+      || CASE WHEN text IS NOT NULL THEN '"text":' || to_json(text)::VARCHAR || ',' ELSE '' END || '"turn":' || turn
+      || CASE WHEN text IS NOT NULL THEN ',"words":' || len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ELSE '' END || '},' ELSE '' END
+    || '"errors":[' || array_to_string(list_transform(wrong, lambda e: '"' || e || '"'), ',') || '],"id":"' || call_id || '"'
+    || CASE WHEN level IS NOT NULL THEN ',"level":' || level ELSE '' END
+    || CASE WHEN is_call THEN ',"name":"' || CASE WHEN turn >= 2 THEN 'continue_thread' ELSE 'open_thread' END || '"' ELSE '' END
+    || CASE WHEN content IS NOT NULL THEN ',"result":' || to_json(content)::VARCHAR ELSE '' END || '}' AS record
+FROM judged
+"""
