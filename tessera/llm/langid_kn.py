@@ -162,8 +162,8 @@ class LanguageModel:
         best = int(h.argmin())
         z = np.exp(-(h - h[best]) * self.temperature)
         mean, deviation = self.usual[best]
-        # 0.5 nats and six deviations of a mean over so many characters above what this language's own texts reach
-        return self.langs[best], float(1 / z.sum()), float(h[best]), bool(h[best] > mean + 0.5 + 6 * deviation / np.sqrt(total[0]))
+        # one nat and six deviations of a mean over so many characters above what this language's own texts reach
+        return self.langs[best], float(1 / z.sum()), float(h[best]), bool(h[best] > mean + 1.0 + 6 * deviation / np.sqrt(total[0]))
 
 
 def fit(docs: DataFrame, learn, chars_per_lang: int = 1_500_000, order: int = 5) -> LanguageModel:
