@@ -25,16 +25,30 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: Spark's setting that removes a query's shuffle files when the query has ended
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, *done: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, keeps column pruning.
 
-    The table stays until the driver ends, as the frames that read it are lazy.
+    Its shuffle files go once it is written. The table stays until the driver ends, as the frames that read it are
+    lazy, unless it is named in a later call's `done`: tables that nothing will read any more, deleted after the write.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    for table in done:
+        _drop(spark, table._scratch)
+    return out
 
 
 def _drop(spark: SparkSession, path: str) -> None:

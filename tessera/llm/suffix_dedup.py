@@ -10,8 +10,9 @@ that position plus the old length, and a position leaves as soon as its rank is
   length/2+1, whose prefix of length/4 bytes has the smallest name (ties: leftmost). Equal windows designate the
   same place in themselves, so a repeated window's designated position is repeated too, with at least
   length/2 bytes after it. About one position in length/4 is designated; each stands for a run of windows.
-* Rounds: length/4, length/2 at designated positions. At the threshold, positions whose whole runs are
-  equal settle together; only the rest is named window by window, one position of each distinct run.
+* Ranks up to length/4 are local to a text. The first round in Spark is on pairs of these, length/2 bytes
+  from designated positions, and drops most. At the threshold, positions whose whole runs are equal
+  settle together; only the rest is named window by window, one position of each distinct run.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def designated(quarter: np.ndarray, windows: int, reach: int) -> np.ndarray:
     return (low & np.uint64((1 << 21) - 1)).astype(np.int64)
 
 
-_POSITIONS = "doc_id long, k long, lo long, span int, off int, n1 long, n2 long, run long"
+_POSITIONS = "doc_id long, k long, lo long, span int, n2 long, run long"
 
 
 def _bytes_of(column: pa.Array) -> list[np.ndarray]:
@@ -82,11 +83,11 @@ def _segments(docs: list[np.ndarray], length: int) -> Iterator[tuple[int, int, n
 
 
 def _positions(length: int):
-    """Designated positions of each text: run of windows [lo, lo + span], place off in lo's window, names."""
+    """Designated positions of each text: their run of windows [lo, lo + span], name of length/2 bytes, name of the run."""
     q, reach = length // 4, length - length // 2 + 1
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("lo", pa.int64()), ("span", pa.int32()), ("off", pa.int32()), ("n1", pa.int64()), ("n2", pa.int64()), ("run", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("lo", pa.int64()), ("span", pa.int32()), ("n2", pa.int64()), ("run", pa.int64())])
         for batch in batches:
             docs = _bytes_of(batch.column("text"))
             for part in groups_of(_segments(docs, length), lambda s: len(s[2]), most=1 << 18, rows=4096):
@@ -105,12 +106,11 @@ def _positions(length: int):
                 hi = w[np.append(new[1:], len(w)) - 1]
                 own = owner[lo]
                 run = _pair(_pair(window_names(quarter, lo, q), window_names(quarter, hi, q)), ((a - lo) * 4096 + (hi - lo)).astype(np.uint64))
-                n1 = quarter[a]
-                n2 = _pair(n1, quarter[a + q])
+                n2 = _pair(quarter[a], quarter[a + q])
                 row = pa.array(np.array([s[0] for s in part])[own])
                 start = np.array([s[1] for s in part])[own] + lo - first[own]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(row), batch.column("k").take(row), pa.array(start), pa.array((hi - lo).astype(np.int32)), pa.array((a - lo).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (n1, n2, run))],
+                    [batch.column("doc_id").take(row), batch.column("k").take(row), pa.array(start), pa.array((hi - lo).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (n2, run))],
                     schema=schema,
                 )
 
@@ -144,24 +144,25 @@ def _windows(length: int):
 
 
 def _repeated(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, k, s, e: byte ranges to remove; they may overlap."""
+    """doc_id, k, spans: the byte ranges (s, e) to remove from a text; they may overlap."""
     spots = materialize(docs.mapInArrow(_positions(length), _POSITIONS))
-    twice = spots.groupBy("n1").agg(F.count("*").alias("c")).where("c > 1").select("n1")
-    spots = materialize(spots.join(twice, "n1", "left_semi"))  # length/4 bytes
     twice = spots.groupBy("n2").agg(F.count("*").alias("c")).where("c > 1").select("n2")
-    spots = materialize(spots.join(twice, "n2", "left_semi").drop("n1"))  # length/2 bytes
+    spots = materialize(spots.join(twice, "n2", "left_semi"), spots)
     runs = materialize(spots.groupBy("n2", "run").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "k", "lo", "span")).alias("r")))
     settled = spots.join(runs.where("c > 1").select("n2", "run"), ["n2", "run"], "left_semi").select("doc_id", "k", F.col("lo").alias("s"), (F.col("lo") + F.col("span") + length).alias("e"))
     several = runs.groupBy("n2").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("n2")
     open_runs = runs.join(several, "n2", "left_semi").select("r.*", (F.col("c") > 1).alias("settled"))
-    by_doc = open_runs.groupBy("doc_id", "k").agg(F.collect_list(F.struct("lo", "span", "settled")).alias("runs"))
+    by_doc = materialize(open_runs.groupBy("doc_id", "k").agg(F.collect_list(F.struct("lo", "span", "settled")).alias("runs")))
     same = docs["doc_id"].eqNullSafe(by_doc["doc_id"]) & (docs["k"] == by_doc["k"])
     named = docs.join(by_doc, same).select(docs["doc_id"], docs["k"], "text", "runs").mapInArrow(_windows(length), "doc_id long, k long, at long, name long, run long, settled boolean")
-    named = materialize(named.withColumn("own", F.xxhash64("doc_id", "k", "run")))
-    shared = named.groupBy("name").agg(F.min("own").alias("p"), F.max("own").alias("q")).where("p <> q").select("name")
+    named = materialize(named)
+    own = F.xxhash64("doc_id", "k", "run")
+    shared = named.groupBy("name").agg(F.min(own).alias("p"), F.max(own).alias("q")).where("p <> q").select("name")
     single = named.where("not settled").join(shared, "name", "left_semi").select("doc_id", "k", F.col("at").alias("s"), (F.col("at") + length).alias("e"))
-    # neighbouring windows of a run become one range before they move
-    return settled.union(single.groupBy("doc_id", "k", F.floor(F.col("s") / length).alias("cell")).agg(F.collect_list(F.struct("s", "e")).alias("w")).select("doc_id", "k", F.explode(_merged("w")).alias("x")).select("doc_id", "k", "x.s", "x.e"))
+    # windows that follow each other become one range before they move
+    single = single.groupBy("doc_id", "k", F.floor(F.col("s") / length).alias("cell")).agg(F.collect_list(F.struct("s", "e")).alias("w")).select("doc_id", "k", F.explode(_merged("w")).alias("x")).select("doc_id", "k", "x.s", "x.e")
+    spans = settled.union(single).groupBy("doc_id", "k").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return materialize(spans, spots, runs, by_doc, named)
 
 
 def _merged(column: str):
@@ -217,7 +218,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
         raise ValueError("length must be at least 32 and a multiple of 4")
     names = [c for c in docs.columns if c != "repeats"]
     keyed = docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("k"))
-    spans = _repeated(keyed, length).groupBy("doc_id", "k").agg(F.collect_set(F.struct("s", "e")).alias("spans")).toDF("_doc", "_key", "_spans")
+    spans = _repeated(keyed, length).toDF("_doc", "_key", "_spans")
     whole = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_k"))
     joined = whole.join(spans, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
     return joined.select("_row.*", F.pandas_udf(_cut, _CUT)("_text", "_spans").alias("repeats"))
