@@ -40,8 +40,8 @@ def merge_captions(df: DataFrame, keys: list[str], *, gap: int, chars: int, leng
     return _fold(df, keys, ["s", "e", "role", "text", "ident"], ["s", "e", "ident"], "struct<s: bigint, e: bigint, role: string, text: string, n: int>", step)
 
 
-def normalize_plan(df: DataFrame, keys: list[str], *, least: int = 1, join: int = 0) -> DataFrame:
-    """keys, place, s, e, role: a gapless plan; overlaps cut the later row, gaps go to the row before, equal roles within `join` merge.
+def normalize_plan(df: DataFrame, keys: list[str], *, least: int = 1) -> DataFrame:
+    """keys, place, s, e, role: a gapless plan; overlaps cut the later row, gaps go to the row before, neighbours of one role merge.
 
     df: s, e, role, ident. A row that lies inside earlier ones, or keeps less than `least`, is left out.
     """
@@ -50,7 +50,7 @@ def normalize_plan(df: DataFrame, keys: list[str], *, least: int = 1, join: int
         last = F.try_element_at(done, F.lit(-1))
         begin = F.greatest(x["s"], F.coalesce(last["e"], x["s"]))
         left_out = x["e"] - begin < least
-        same = (F.size(done) > 0) & (last["role"] == x["role"]) & (x["s"] - last["e"] <= join)
+        same = (F.size(done) > 0) & (last["role"] == x["role"])
         longer = F.struct(last["s"].alias("s"), x["e"].alias("e"), last["role"].alias("role"))
         filled = F.struct(last["s"].alias("s"), begin.alias("e"), last["role"].alias("role"))
         own = F.struct(begin.alias("s"), x["e"].alias("e"), x["role"].alias("role"))
