@@ -30,12 +30,12 @@ _PLAIN = re.compile(r"[\x00-ɏ]*")
 
 
 class Encoder:
-    """Ids of whole texts by the `tokenizers` file, as little-endian unsigned 32-bit bytes, with a cache by word."""
+    """Ids of whole texts by the `tokenizers` file, as an array of little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, path: str, ranks_path: str | None = None, limit: int = 400_000):
+    def __init__(self, path: str, ranks_path: str | None = None):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.fast = Tokenizer.from_file(path), limit, None
+        self.tokenizer, self.fast = Tokenizer.from_file(path), None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if ranks_path:
             import base64
@@ -46,29 +46,28 @@ class Encoder:
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, piece: str) -> bytes:
-        if self.fast and _PLAIN.fullmatch(piece):
-            ids = self.fast.encode_ordinary(piece)
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        first, *rest = _CUT.split(text)
-        cache, out = self.cache, [self._ids(first)]
-        if len(cache) > self.limit:
-            cache.clear()
-        for word in set(rest) - cache.keys():
-            cache[word] = self._ids(" " + word)
-        out += map(cache.__getitem__, rest)
-        for word in rest:
-            if len(word) > 100:
-                cache.pop(word, None)
-        return b"".join(out)
+
+    def encode(self, text: str) -> np.ndarray:
+        if not self.fast or any(s in text for s in self.special):
+            return self._exact(text)
+        if _PLAIN.fullmatch(text):
+            return self._plain(text)
+        # runs of plain words, and the other words, each after its space
+        parts, run = [], []
+        for i, word in enumerate(_CUT.split(text)):
+            word = " " + word if i else word
+            if _PLAIN.fullmatch(word):
+                run.append(word)
+                continue
+            parts += [self._plain("".join(run)), self._exact(word)]
+            run = []
+        return np.concatenate([*parts, self._plain("".join(run))])
+
+    def _exact(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _plain(self, text: str) -> np.ndarray:
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
 
 def token_pieces(docs: DataFrame, capacity: int, path: str, ranks_path: str | None = None) -> DataFrame:
@@ -84,11 +83,11 @@ def token_pieces(docs: DataFrame, capacity: int, path: str, ranks_path: str | No
         for texts in batches:
             out = []
             for text in texts:
-                ids = (encoder.encode(text) if text else b"") + b"\0\0\0\0"
-                n = len(ids) // 4
+                ids = np.append(encoder.encode(text), np.uint32(0)) if text else np.zeros(1, "<u4")
+                n = len(ids)
                 starts = [0, *range(n % capacity or capacity, n, capacity)] if n > capacity else [0]
                 ends = [*starts[1:], n]
-                out.append([{"piece": i, "start": s, "length": e - s, "ids_crc32": zlib.crc32(ids[4 * s : 4 * e])} for i, (s, e) in enumerate(zip(starts, ends, strict=True))])
+                out.append([{"piece": i, "start": s, "length": e - s, "ids_crc32": zlib.crc32(ids[s:e].tobytes())} for i, (s, e) in enumerate(zip(starts, ends, strict=True))])
             yield pd.Series(out)
 
     cut = F.pandas_udf(pieces, "array<struct<piece: int, start: long, length: long, ids_crc32: long>>")
