@@ -103,7 +103,7 @@ class WordCache:
         """For each document (a list of words), the row numbers of its words in self.rows."""
         if len(self.index) > self.limit:
             self.index, self.rows, self.used = {}, None, 0
-        new = list(set().union(*documents) - self.index.keys())
+        new = list(set().union(*documents).difference(self.index))
         if new or self.rows is None:
             values = np.asarray(self.compute(new))
             if self.rows is None:
