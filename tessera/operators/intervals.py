@@ -175,3 +175,44 @@ def clamp_readable(df: DataFrame, keys: list[str], ident: str, *, shortest: int,
     following = F.lead("s").over(Window.partitionBy(*keys).orderBy("s", "e", ident))
     wanted = F.greatest("e", F.col("s") + shortest)
     return df.withColumn("e", F.when(following.isNull(), wanted).otherwise(F.greatest(F.col("s"), F.least(wanted, following - space))))
+
+
+def best_overlap(left: DataFrame, right: DataFrame, keys: list[str], ident: str, other: str) -> DataFrame:
+    """keys, ident, other, overlap: for each left interval the right one that holds its midpoint, else overlaps it most; ties to the earlier, then smaller."""
+    middle = (F.col("ls") + F.col("le")) / 2
+    holds = (F.col("rs") <= middle) & (middle < F.col("re"))
+    pairs = overlap_join(left, right, keys)
+    rank = F.struct(holds.cast("int").alias("h"), F.col("overlap").alias("o"), (-F.col("rs")).alias("r"), (-F.col(other)).alias("i"))
+    best = pairs.groupBy(*keys, ident).agg(F.max_by(F.struct(other, "overlap"), rank).alias("b"))
+    return best.select(*keys, ident, f"b.{other}", "b.overlap")
+
+
+def containing(points: DataFrame, ranges: DataFrame, keys: list[str], ident: str, other: str) -> DataFrame:
+    """keys, ident, other: the first range (by start, then `other`) that a point lies in; points outside all are left out."""
+    left = points.select(*keys, ident, F.col("s").alias("ls"), (F.col("s") + 1).alias("le"))
+    right = ranges.select(*keys, other, F.col("s").alias("rs"), F.col("e").alias("re"))
+    return overlap_join(left, right, keys).groupBy(*keys, ident).agg(F.min_by(other, F.struct("rs", other)).alias(other))
+
+
+def split_at(df: DataFrame, points: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """keys, ident, piece, s, e: each interval cut at the points (keys, s) inside it."""
+    left = df.select(*keys, ident, F.col("s").alias("ls"), F.col("e").alias("le"))
+    cuts = points.select(*keys, F.col("s").alias("rs"), (F.col("s") + 1).alias("re")).distinct()
+    inside = overlap_join(left, cuts, keys).where("rs > ls").select(*keys, ident, F.col("ls"), F.col("le"), F.col("rs").alias("s"))
+    starts = left.where("le > ls").select(*keys, ident, "ls", "le", F.col("ls").alias("s")).union(inside)
+    order = Window.partitionBy(*keys, ident, "ls", "le").orderBy("s")
+    return starts.select(*keys, ident, (F.row_number().over(order) - 1).alias("piece"), "s", F.coalesce(F.lead("s").over(order), "le").alias("e"))
+
+
+def overwrite(plan: DataFrame, windows: DataFrame, keys: list[str], ident: str, role: str, forced: str) -> DataFrame:
+    """keys, ident, role, s, e: the plan with `forced` as role inside the windows (keys, s, e), its rows cut at their ends."""
+    rest = interval_difference(plan, windows, keys, ident).join(plan.select(*keys, ident, role), [*keys, ident])
+    merged = interval_union(windows, keys).select(*keys, F.col("s").alias("rs"), F.col("e").alias("re"))
+    left = plan.select(*keys, ident, F.col("s").alias("ls"), F.col("e").alias("le"))
+    inside = overlap_join(left, merged, keys).select(*keys, ident, F.greatest("ls", "rs").alias("s"), F.least("le", "re").alias("e"), F.lit(forced).alias(role))
+    return rest.select(*keys, ident, role, "s", "e").union(inside.select(*keys, ident, role, "s", "e"))
+
+
+def cut_audit(cuts: DataFrame, marks: DataFrame, keys: list[str], ident: str, *, near: int) -> DataFrame:
+    """keys, ident, distance: cuts that miss the nearest mark, but by no more than `near`."""
+    return nearest(cuts, marks, keys, ident).where((F.col("distance") > 0) & (F.col("distance") <= near)).select(*keys, ident, "distance")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import signals, text
-from tessera.operators import aggregates, folds, intervals, relations
+from tessera.operators import aggregates, folds, intervals, relations, sequences
 from tessera.plans import timeline
 from tessera.session import table
 from tessera.sources import subtitles
@@ -162,6 +162,121 @@ def readable_ends(spark, sf_dir):
     return intervals.clamp_readable(event_intervals(spark, sf_dir), ["user_id"], "event_id", shortest=HOUR, space=MINUTE).select("event_id", "e")
 
 
+_LR = "l AS (SELECT * FROM iv WHERE event_type = 'purchase'), r AS (SELECT * FROM iv WHERE event_type IN ('view', 'click'))"
+
+
+def _sides(spark, sf_dir):
+    iv = event_intervals(spark, sf_dir)
+    return iv.where("event_type = 'purchase'"), iv.where("event_type in ('view', 'click')")
+
+
+@query(
+    f"""WITH {_IV}, {_LR}, p AS (SELECT l.user_id, l.event_id, r.event_id AS other, least(l.e, r.e) - greatest(l.s, r.s) AS overlap, r.s AS rs, CASE WHEN r.s <= (l.s + l.e) / 2.0 AND (l.s + l.e) / 2.0 < r.e THEN 1 ELSE 0 END AS h FROM l JOIN r ON l.user_id = r.user_id AND least(l.e, r.e) - greatest(l.s, r.s) >= 1)
+    SELECT user_id, event_id, other, overlap FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY h DESC, overlap DESC, rs, other) AS k FROM p) WHERE k = 1"""
+)
+def best_overlap_pick(spark, sf_dir):
+    left, right = _sides(spark, sf_dir)
+    left = left.select("user_id", "event_id", F.col("s").alias("ls"), F.col("e").alias("le"))
+    return intervals.best_overlap(left, right.select("user_id", F.col("event_id").alias("other"), F.col("s").alias("rs"), F.col("e").alias("re")), ["user_id"], "event_id", "other")
+
+
+@query(f"WITH {_IV}, {_LR} SELECT user_id, event_id, other FROM (SELECT l.user_id, l.event_id, r.event_id AS other, row_number() OVER (PARTITION BY l.event_id ORDER BY r.s, r.event_id) AS k FROM l JOIN r ON l.user_id = r.user_id AND r.s <= l.s AND l.s < r.e) WHERE k = 1")
+def point_in_interval(spark, sf_dir):
+    points, ranges = _sides(spark, sf_dir)
+    return intervals.containing(points, ranges.withColumnRenamed("event_id", "other"), ["user_id"], "event_id", "other")
+
+
+@query(
+    f"""WITH {_IV}, {_LR}, p AS (SELECT user_id, event_id, s, e, s AS t FROM r WHERE e > s UNION SELECT r.user_id, r.event_id, r.s, r.e, l.s FROM r JOIN l ON l.user_id = r.user_id AND l.s > r.s AND l.s < r.e)
+    SELECT user_id, event_id, CAST(row_number() OVER w - 1 AS INT) AS piece, t AS s, coalesce(lead(t) OVER w, e) AS e FROM p WINDOW w AS (PARTITION BY event_id ORDER BY t)"""
+)
+def split_segments(spark, sf_dir):
+    points, ranges = _sides(spark, sf_dir)
+    return intervals.split_at(ranges, points, ["user_id"], "event_id")
+
+
+@query(
+    f"""WITH {_IV}, {_LR}, m AS ({_islands('user_id', source='l')}), hit AS (SELECT r.user_id, r.event_id, r.event_type, r.s AS ls, r.e AS le, m.s AS rs, m.e AS re FROM r JOIN m ON r.user_id = m.user_id AND least(r.e, m.e) - greatest(r.s, m.s) >= 1),
+    piece AS (SELECT user_id, event_id, event_type, coalesce(lag(re) OVER w, ls) AS s, rs AS e FROM hit WINDOW w AS (PARTITION BY event_id ORDER BY rs)
+      UNION ALL SELECT user_id, event_id, event_type, max(re), max(le) FROM hit GROUP BY ALL
+      UNION ALL SELECT user_id, event_id, 'forced', greatest(ls, rs), least(le, re) FROM hit
+      UNION ALL SELECT user_id, event_id, event_type, s, e FROM r WHERE event_id NOT IN (SELECT event_id FROM hit))
+    SELECT * FROM piece WHERE e > s"""
+)
+def force_role(spark, sf_dir):
+    windows, plan = _sides(spark, sf_dir)
+    return intervals.overwrite(plan, windows, ["user_id"], "event_id", "event_type", "forced")
+
+
+@query(
+    f"""WITH {_IV}, {_LR}, d AS (SELECT l.user_id, l.event_id, min(abs(l.s - r.s)) AS distance FROM l JOIN r ON l.user_id = r.user_id GROUP BY ALL) SELECT * FROM d WHERE distance > 0 AND distance <= {HOUR}"""
+)
+def cut_audit(spark, sf_dir):
+    cuts, marks = _sides(spark, sf_dir)
+    return intervals.cut_audit(cuts, marks, ["user_id"], "event_id", near=HOUR)
+
+
+# ---------------------------------------------------------------- ordered rows
+
+
+@query(
+    """SELECT conv_id, first, size, md5(joined) AS joined FROM (
+    SELECT conv_id, turn AS first, 2 AS size, string_agg(text, ' ') OVER w AS joined, count(*) OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)
+    UNION ALL SELECT conv_id, turn, 3, string_agg(text, ' ') OVER w, count(*) OVER w FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) WHERE n = size AND length(joined) >= 200"""
+)
+def transcript_windows(spark, sf_dir):
+    found = sequences.sliding_windows(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", [2, 3], least=200)
+    return found.withColumn("joined", F.md5(F.col("joined").cast("binary")))
+
+
+@query(
+    """SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+    WHERE n <= 12 OR i IN (SELECT unnest(list_transform(range(0, 12), lambda j: (j * (n - 1)) // 11)))"""
+)
+def even_sample(spark, sf_dir):
+    return sequences.even_sample(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], 12).select("user_id", "event_id")
+
+
+@query("SELECT s_suppkey, row_number() OVER (ORDER BY CAST(regexp_extract(s_name, '([0-9]+)$', 1) AS BIGINT), s_suppkey) AS place FROM supplier")
+def natural_order(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    # one ordered list of a small dimension table is the result asked for
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy(sequences.natural_key(F.col("s_name")), "s_suppkey")).cast("long").alias("place"))
+
+
+@query("SELECT o_orderkey, CAST(('0x' || substring(sha256(CAST(o_orderkey AS VARCHAR)), 1, 12)) AS BIGINT) % 7 AS pick FROM orders")
+def hash_pick(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", sequences.hash_pick(F.col("o_orderkey").cast("string"), 7).alias("pick"))
+
+
+@query("SELECT user_id, event_id, CASE ((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 4) % 3 WHEN 0 THEN 'master' WHEN 1 THEN 'camera2' ELSE 'camera3' END AS role FROM events")
+def rotation_plan(spark, sf_dir):
+    return sequences.rotation(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["master", "camera2", "camera3"], 4).select("user_id", "event_id", "role")
+
+
+@query("SELECT l_returnflag || '|' || l_linestatus || '|' || l_linenumber AS signature, count(*) AS n, min(l_orderkey) AS first FROM lineitem GROUP BY 1")
+def signature_groups(spark, sf_dir):
+    return sequences.signatures(table(spark, sf_dir, "lineitem"), [F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber").cast("string")], "l_orderkey")
+
+
+@query("SELECT event_id, CASE WHEN list_contains(json_keys(props), 'k') THEN '' ELSE 'k' END AS missing, array_to_string(list_sort(list_filter(json_keys(props), lambda x: x <> 'k')), ',') AS unexpected FROM events")
+def key_errors(spark, sf_dir):
+    missing, unexpected = sequences.key_errors(F.json_object_keys("props"), ["k"], ["k"])
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(missing, ",").alias("missing"), F.array_join(unexpected, ",").alias("unexpected"))
+
+
+@query("SELECT page_id, CASE regexp_extract(regexp_replace(url, '[?#].*$', ''), '\\.([A-Za-z0-9]+)$', 1) WHEN 'html' THEN 'page' WHEN 'htm' THEN 'page' WHEN 'com' THEN 'site' WHEN 'org' THEN 'site' ELSE 'other' END AS kind FROM pages")
+def media_kinds(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", sequences.media_kind(F.col("url"), {"page": ["html", "htm"], "site": ["com", "org"]}).alias("kind"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') IN ('1', 'true', 'yes', 'on') AS yes, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), -1.0) AS k FROM events")
+def coerced_props(spark, sf_dir):
+    k = F.get_json_object("props", "$.k")
+    return table(spark, sf_dir, "events").select("event_id", sequences.truthy(k).alias("yes"), sequences.number_or(k, -1.0).alias("k"))
+
+
 # ---------------------------------------------------------------- relations
 
 
