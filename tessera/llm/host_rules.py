@@ -61,10 +61,10 @@ def host_verdicts(failures: DataFrame, worst: float = 0.5) -> DataFrame:
     chance = mean * (1 - mean)
     between = F.col("squares") / F.col("all_n") - mean * mean - chance * F.col("hosts") / F.col("all_n")
     weight = F.least(F.lit(1e6), F.greatest(F.lit(1.0), chance / F.greatest(between, F.lit(1e-9)) - 1))
-    prior = pooled.select(mean.alias("mean"), weight.alias("weight"))
-    rate = (F.col("k") + F.col("mean") * F.col("weight")) / (F.col("n") + F.col("weight"))
-    # one row of prior beside each host
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n", "k", rate.alias("rate"), (rate > worst).alias("bad"))
+    prior = pooled.select(mean.alias("mean"), weight.alias("weight")).first()
+    m, w = (F.lit(x).cast("double") for x in (prior["mean"], prior["weight"]))
+    rate = (F.col("k") + m * w) / (F.col("n") + w)
+    return hosts.select("host", "n", "k", rate.alias("rate"), (rate > worst).alias("bad"))
 
 
 def apply_rules(docs: DataFrame, host: Column, failed: Column, worst: float = 0.5) -> DataFrame:
