@@ -142,3 +142,31 @@ SELECT conv_id, call_id, level::INT AS level, seq, len(wrong) = 0 AS valid, arra
     || CASE WHEN content IS NOT NULL THEN ',"result":' || to_json(content)::VARCHAR ELSE '' END || '}' AS record
 FROM judged
 """
+
+SQL["op6_suffix_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT rid, k, n, substring(h, 1600 * k + 1, 2400) AS b FROM (SELECT rid, h, len(h) // 2 AS n, unnest(range(0, len(h) // 1600 + 1)) AS k FROM d)),
+windows AS (SELECT rid, 800 * k + j AS i, md5(substring(b, 2 * j + 1, 800)) AS m FROM (SELECT rid, k, b, unnest(range(0, least(800, n - 399 - 800 * k))) AS j FROM blocks)),
+twice AS (SELECT m FROM windows GROUP BY m HAVING count(*) > 1),
+hit AS (SELECT rid, i FROM windows WHERE m IN (SELECT m FROM twice)),
+marked AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM hit),
+spans AS (SELECT rid, min(i) AS s, max(i) + 400 AS e FROM (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS k FROM marked) GROUP BY rid, k),
+ahead AS (SELECT rid, s, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS before FROM spans),
+cut AS (SELECT rid, count(*) AS n_spans, sum(e - s) AS n_removed, string_agg(substring(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS kept, max(e) AS last FROM ahead JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept || substring(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (rid)
+"""
+
+SQL["op7_near_dedup"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, chr(10))] ELSE [] END) AS g FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS node, a AS r FROM edges UNION SELECT e.b, reach.r FROM reach JOIN edges e ON e.a = reach.node),
+classes AS (SELECT node, min(r) AS component_id FROM reach GROUP BY node)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id, coalesce(component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN classes ON node = w.doc_id
+"""
