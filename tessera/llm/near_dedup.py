@@ -120,7 +120,7 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int, k: int) -
     posted = reps.select("rep", F.col("n").alias("whole_n"), F.size("sketch").alias("size"), least.alias("least"), F.explode("sketch").alias("v"))
     listed = _rarest(posted, F.col("size"), F.col("least")).select("v", "rep")
     listed = materialize(listed)
-    lengths = listed.groupBy("v").agg(F.count("*").alias("length")).where("length > 1")
+    lengths = materialize(listed.groupBy("v").agg(F.count("*").alias("length")).where("length > 1"))
     listed = materialize(listed.join(lengths, "v"))
     named = listed.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -156,7 +156,8 @@ def _rarest(posted: DataFrame, size, least) -> DataFrame:
 
     Values in one set only come first; they are counted, but not returned.
     """
-    often = posted.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    # written, so that both sides of the join are plain shuffles, whose large partitions Spark can split
+    often = materialize(posted.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
     own = Window.partitionBy("rep")
     ranked = posted.join(often, "v").withColumn("place", F.row_number().over(own.orderBy("df", "v")) - 1 + size - F.count("*").over(own))
     return ranked.where(F.col("place") <= size - least).drop("df")
@@ -191,13 +192,20 @@ def _connected(links: DataFrame, lists: DataFrame, verified) -> DataFrame:
         weights = at.groupBy("v", "c").agg(F.count("*").alias("w"))
         main = weights.groupBy("v").agg(F.max(F.struct("w", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("v", F.col("m.c").alias("main"))
         at = materialize(at.join(main, "v"))
-        slot = F.pmod(F.xxhash64("rep"), F.lit(slots)).alias("slot")
-        chosen = at.where("c <> main").groupBy("v", slot).agg(F.min(F.struct("place", "rep", "n", "most", "c")).alias("t")).select("v", "t.*")
-        chosen = materialize(chosen)
-        if chosen.isEmpty():
+        minor = at.where("c <> main")
+        cost = at.groupBy("v").agg(F.count("*").alias("all"), F.count_if(F.col("c") != F.col("main")).alias("few")).agg(F.sum(F.col("all") * F.col("few")).alias("pairs"), F.sum("all").alias("rows")).first()
+        if not cost["pairs"]:
             break
+        last = cost["pairs"] <= 256 * cost["rows"]  # few are left outside: all of them at once, and nothing is left to compare
+        if last:
+            chosen = minor.select("v", "place", "rep", "n", "most", "c")
+        else:
+            slot = F.pmod(F.xxhash64("rep"), F.lit(slots)).alias("slot")
+            chosen = materialize(minor.groupBy("v", slot).agg(F.min(F.struct("place", "rep", "n", "most", "c")).alias("t")).select("v", "t.*"))
         pairs = at.alias("p").join(chosen.alias("q"), F.expr("p.v = q.v and p.c <> q.c") & fits).select(F.col("q.rep").alias("x"), F.col("p.rep").alias("y"))
         links = materialize(links.union(verified(pairs)))
+        if last:
+            break
         left = at.join(chosen.select("v", "rep"), ["v", "rep"], "left_anti").select("v", "rep", "n", "place", "most")
         slots *= 4
     return links
