@@ -19,25 +19,28 @@ Schemas = dict[str, dict[str, tuple[str, bool]]]
 _TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|FLOAT|DECIMAL.*)", "boolean": "BOOLEAN", "object": "OBJECT<.*", "array": "ARRAY<.*"}
 
 
-def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
+def argument_types(arguments: Column) -> Column:
+    """argument -> type as SQL names it, read once from a JSON string; null for null, broken JSON and JSON that isn't an object."""
+    fields = F.try_variant_get(F.try_parse_json(arguments), "$", "map<string,variant>")
+    return F.transform_values(fields, lambda k, v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")))
+
+
+def argument_errors(name: Column, types: Column, schemas: Schemas) -> Column:
     """Sorted array of what is wrong with a call: no_json, unknown_tool, missing:a, type:a, extra:a.
 
-    JSON null counts as a missing argument. arguments: a JSON string; null, broken JSON and JSON that isn't an object are no_json.
+    types: as argument_types gives them; null is no_json. JSON null counts as a missing argument.
     """
-    parsed = F.try_parse_json(arguments)
-    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT<"), F.lit(False))
-    keys = F.json_object_keys(arguments)
     found = F.array(F.lit("unknown_tool"))
     for tool, fields in sorted(schemas.items()):
         checks = []
         for field, (kind, required) in sorted(fields.items()):
-            value = F.schema_of_variant(F.try_variant_get(parsed, f"$['{field}']", "variant"))
+            value = F.try_element_at(types, F.lit(field))
             absent = value.isNull() | (value == "VOID")
             missing = F.when(absent, F.lit(f"missing:{field}")) if required else F.lit(None).cast("string")
             checks += [missing, F.when(~absent & ~value.rlike(f"^{_TYPES[kind]}$"), F.lit(f"type:{field}"))]
-        extra = F.transform(F.array_except(keys, F.array(*(F.lit(f) for f in fields)).cast("array<string>")), lambda k: F.concat(F.lit("extra:"), k))
+        extra = F.transform(F.array_except(F.map_keys(types), F.array(*(F.lit(f) for f in fields)).cast("array<string>")), lambda k: F.concat(F.lit("extra:"), k))
         found = F.when(name == tool, F.concat(F.array_compact(F.array(*checks).cast("array<string>")), extra)).otherwise(found)
-    return F.array_sort(F.when(~is_object, F.array(F.lit("no_json"))).otherwise(found))
+    return F.array_sort(F.when(types.isNull(), F.array(F.lit("no_json"))).otherwise(found))
 
 
 def references(arguments: Column) -> Column:
@@ -79,14 +82,16 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     """
     named = "conv_id is not null and call_id is not null"
     calls = calls.where(named).groupBy("conv_id", "call_id").agg(F.min(F.struct("seq", "name", "arguments")).alias("c")).select("conv_id", "call_id", "c.*")
-    calls = materialize(calls.withColumn("refs", F.coalesce(references(F.col("arguments")), F.array().cast("array<string>"))))
+    # what is read out of the arguments is written once, so that no later expression parses them again
+    calls = calls.withColumn("refs", F.coalesce(references(F.col("arguments")), F.array().cast("array<string>")))
+    calls = materialize(calls.withColumn("types", argument_types(F.col("arguments"))))
     results = results.where(named).groupBy("conv_id", "call_id").agg(F.min(F.struct("seq", "content")).alias("r"))
     known = calls.select("conv_id", F.col("call_id").alias("ref"))
     unknown = calls.select("conv_id", "call_id", F.explode("refs").alias("ref")).join(known, ["conv_id", "ref"], "left_anti")
     unknown = unknown.groupBy("conv_id", "call_id").agg(F.collect_set(F.concat(F.lit("unknown_reference:"), "ref")).alias("unknown"))
     both = calls.withColumn("is_call", F.lit(True)).join(results, ["conv_id", "call_id"], "full_outer").join(levels(calls), ["conv_id", "call_id"], "left").join(unknown, ["conv_id", "call_id"], "left")
     wrong = F.concat(
-        argument_errors(F.col("name"), F.col("arguments"), schemas),
+        argument_errors(F.col("name"), F.col("types"), schemas),
         F.coalesce("unknown", F.array().cast("array<string>")),
         F.array_compact(F.array(F.when(F.col("level").isNull(), F.lit("cycle")), F.when(F.col("r").isNull(), F.lit("no_result")))),
     )
