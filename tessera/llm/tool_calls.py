@@ -51,23 +51,40 @@ def references(arguments: Column) -> Column:
 def levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, level of calls (conv_id, call_id, refs); no row for calls on or behind a cycle.
 
-    References to calls that don't exist don't count. Each round settles the calls whose references are settled;
-    there are as many rounds as levels.
+    References to calls that don't exist don't count. Chains of calls with one reference each are followed by doubling
+    jumps, so that a long conversation takes a logarithm of its length in rounds; calls with several references settle
+    round by round over what is left.
     """
-    ids = calls.select("conv_id", "call_id")
-    edges = calls.select("conv_id", "call_id", F.explode("refs").alias("ref"))
-    edges = materialize(edges.join(ids.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"]))
-    waiting = edges.select("conv_id", "call_id").distinct()
-    done = materialize(ids.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    while not edges.isEmpty():
-        seen = edges.join(done.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"], "left")
-        state = seen.groupBy("conv_id", "call_id").agg(F.max("level").alias("top"), F.count_if(F.col("level").isNull()).alias("open"))
-        ready = materialize(state.where("open = 0").select("conv_id", "call_id", (F.col("top") + 1).alias("level")))
+    key = ["conv_id", "call_id"]
+    ids = calls.select(*key)
+    edges = calls.select(*key, F.explode("refs").alias("ref"))
+    edges = materialize(edges.join(ids.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"]).select(*key, "ref"))
+    fan = edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("ref").alias("far"))
+    hops = materialize(fan.where("n = 1").select(*key, "far", F.lit(1).alias("steps"), F.lit(True).alias("open")))
+    before = -1
+    while True:
+        onward = hops.select("conv_id", F.col("call_id").alias("far"), F.col("far").alias("next"), F.col("steps").alias("more"))
+        joined = hops.join(onward, ["conv_id", "far"], "left")
+        hops = materialize(joined.select(*key, F.coalesce("next", "far").alias("far"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("open")))
+        left = hops.where("open").count()
+        if left in (0, before):  # what stays open runs in a circle
+            break
+        before = left
+    ended = hops.where("not open").select(*key, "far", "steps")
+    several = edges.join(fan.where("n > 1").select(*key), key)
+    behind = several.join(ended.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"], "left").select(*key, F.coalesce("far", "ref").alias("ref"), F.coalesce("steps", F.lit(0)).alias("steps"))
+    waiting = materialize(behind)
+    done = materialize(ids.join(fan.select(*key), key, "left_anti").withColumn("level", F.lit(0)))
+    while not waiting.isEmpty():
+        seen = waiting.join(done.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"], "left")
+        state = seen.groupBy(*key).agg(F.max(F.col("level") + F.col("steps")).alias("top"), F.count_if(F.col("level").isNull()).alias("open"))
+        ready = materialize(state.where("open = 0").select(*key, (F.col("top") + 1).alias("level")))
         if ready.isEmpty():
             break
-        done = done.union(ready)
-        edges = materialize(edges.join(ready.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"))
-    return done
+        done = materialize(done.union(ready))
+        waiting = materialize(waiting.join(ready.select(*key), key, "left_anti"))
+    chained = ended.join(done.withColumnRenamed("call_id", "far"), ["conv_id", "far"]).select(*key, (F.col("level") + F.col("steps")).alias("level"))
+    return done.union(chained)
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:

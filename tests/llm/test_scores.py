@@ -163,6 +163,9 @@ def test_tool_calls(spark):
     assert json.loads(by["lost"]["record"]) == {"errors": ["orphan_result"], "id": "lost", "result": 'é"\n'}
     none = spark.createDataFrame([], "conv_id long, call_id string, seq long, name string, arguments string")
     assert tool_calls.link_calls(none, spark.createDataFrame([], "conv_id long, call_id string, seq long, content string"), schemas).collect() == []
+    chain = [(9, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(70)] + [(9, "m", ["c69", "c3"]), (9, "n", ["m"]), (9, "k", ["n", "m"]), (9, "o", ["o2"]), (9, "o2", ["o"]), (9, "p", ["o", "c0"])]
+    deep = {r["call_id"]: r["level"] for r in tool_calls.levels(spark.createDataFrame(chain, "conv_id long, call_id string, refs array<string>")).collect()}
+    assert deep == {f"c{i}": i for i in range(70)} | {"m": 70, "n": 71, "k": 72}
     turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "hi"), (1, 2, "assistant", "yo"), (1, 3, "user", None), (None, 1, "user", "x"), (2, None, "assistant", "x"), (3, 5, "user", "")], "conv_id long, turn long, role string, text string")
     linked = {r["call_id"]: r for r in tool_calls.link_calls(*tool_calls.conversation_calls(turns), tool_calls.CONVERSATION_TOOLS).collect()}
     assert {k: (r["level"], r["errors"]) for k, r in linked.items()} == {"1-1": (0, ""), "1-3": (1, "missing:text,missing:words,no_result"), "3-5": (0, "no_result,unknown_reference:3-3")}
