@@ -146,8 +146,9 @@ def _windows(length: int):
 def _repeated(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, k, spans: the byte ranges (s, e) to remove from a text; they may overlap."""
     spots = materialize(docs.mapInArrow(_positions(length), _POSITIONS))
-    twice = spots.groupBy("n2").agg(F.count("*").alias("c")).where("c > 1").select("n2")
-    spots = materialize(spots.join(twice, "n2", "left_semi"), spots)
+    # written, so that both sides of the join are plain shuffles, whose large partitions Spark can split
+    twice = materialize(spots.groupBy("n2").agg(F.count("*").alias("c")).where("c > 1").select("n2"))
+    spots = materialize(spots.join(twice, "n2", "left_semi"), spots, twice)
     runs = materialize(spots.groupBy("n2", "run").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "k", "lo", "span")).alias("r")))
     settled = spots.join(runs.where("c > 1").select("n2", "run"), ["n2", "run"], "left_semi").select("doc_id", "k", F.col("lo").alias("s"), (F.col("lo") + F.col("span") + length).alias("e"))
     several = runs.groupBy("n2").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("n2")
@@ -157,12 +158,12 @@ def _repeated(docs: DataFrame, length: int) -> DataFrame:
     named = docs.join(by_doc, same).select(docs["doc_id"], docs["k"], "text", "runs").mapInArrow(_windows(length), "doc_id long, k long, at long, name long, run long, settled boolean")
     named = materialize(named)
     own = F.xxhash64("doc_id", "k", "run")
-    shared = named.groupBy("name").agg(F.min(own).alias("p"), F.max(own).alias("q")).where("p <> q").select("name")
+    shared = materialize(named.groupBy("name").agg(F.min(own).alias("p"), F.max(own).alias("q")).where("p <> q").select("name"))
     single = named.where("not settled").join(shared, "name", "left_semi").select("doc_id", "k", F.col("at").alias("s"), (F.col("at") + length).alias("e"))
     # windows that follow each other become one range before they move
     single = single.groupBy("doc_id", "k", F.floor(F.col("s") / length).alias("cell")).agg(F.collect_list(F.struct("s", "e")).alias("w")).select("doc_id", "k", F.explode(_merged("w")).alias("x")).select("doc_id", "k", "x.s", "x.e")
     spans = settled.union(single).groupBy("doc_id", "k").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    return materialize(spans, spots, runs, by_doc, named)
+    return materialize(spans, spots, runs, by_doc, named, shared)
 
 
 def _merged(column: str):
