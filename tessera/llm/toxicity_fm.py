@@ -2,9 +2,12 @@
 
 Stems of a text are its words (runs of letters, lower-cased) and their first 4 to 7 letters. A stem gives up to four
 hashed terms: that it occurs, that it occurs twice, and that it does so at least once in 128 or in 64 words, since one
-chance hit in a long text says less than a dense run. Terms that enough learned rows hold and that go with the
-label most are the machine's inputs. log-odds = bias + sum of weights + sum over pairs of <v_i, v_j>. Trained
-by AdaGrad over mini-batches in numpy.
+chance hit in a long text says less than a dense run. Each term that at least two learned rows hold is an input of
+the machine, however many rows or terms there are. An input's value is how strongly it goes with the label, or its
+share of rows if that is more: so the many rare terms that say nothing can't learn the rows by heart, while a word of a
+few rows, all toxic, counts in full, and so do common words that matter in pairs only.
+log-odds = bias + sum of w_i * x_i + sum over pairs of <v_i, v_j> * x_i * x_j. Trained by AdaGrad over
+mini-batches in numpy.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from tessera.llm.quality_embed import labelled_sample
 WORDS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6, 7)
 LEVELS = 4
+LEAST = 2  # rows that hold a term; a term of one row tells that row only
+STRONG = 25.0  # chi square from which a term's value is 1: five deviations
 
 
 def words_of(text: str | None) -> list[str]:
@@ -45,9 +50,9 @@ def levels(counts: np.ndarray, words: int) -> np.ndarray:
 
 
 class ToxicityModel:
-    """names: sorted hashes of the stems in use; inputs[stem, level]: input number or -1; weights and factors by input."""
+    """names: sorted hashes of the stems in use; inputs[stem, level]: input number or -1; weights and factors by input, times its value."""
 
-    def __init__(self, texts: list[str], labels: list[int], inputs: int = 1024, dim: int = 4, epochs: int = 12, rate: float = 0.1, decay: float = 2e-3, seed: int = 11):
+    def __init__(self, texts: list[str], labels: list[int], dim: int = 4, epochs: int = 12, rate: float = 0.1, decay: float = 2e-3, seed: int = 11):
         y = np.array(labels, float)
         share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
         self.bias, self.names = float(np.log(share / (1 - share))), np.zeros(0, np.uint64)
@@ -61,9 +66,8 @@ class ToxicityModel:
             names, back = np.unique(cache.rows[at].ravel(), return_inverse=True)
             times = np.bincount(back, np.repeat(np.fromiter(counted.values(), float, len(counted)), 1 + len(STEMS)), len(names)) if len(names) else np.zeros(0)
             bags.append((names[names > 0], times[names > 0], sum(counted.values())))
-        least = max(2, len(y) // 200)
         names, df = np.unique(np.concatenate([b[0] for b in bags]), return_counts=True)
-        names = names[df >= least]
+        names = names[df >= LEAST]
         if not len(names):
             return
         flags, owner = [], []
@@ -78,40 +82,42 @@ class ToxicityModel:
         expected = df * share
         spread = np.maximum(expected * (1 - share) * (1 - df / (len(y) + 1)), 1e-9)
         chi = (np.bincount(terms, y[owner], len(df)) - expected) ** 2 / spread
-        good = np.flatnonzero(df >= least)
-        good = np.sort(good[np.argsort(-chi[good], kind="stable")[:inputs]])
+        good = np.flatnonzero(df >= LEAST)
+        value = np.maximum(np.minimum(1, chi[good] / STRONG), df[good] / len(y))
         number = np.full(len(df), -1)
         number[good] = np.arange(len(good))
         used = np.unique(good // LEVELS)
         self.names, self.inputs = names[used], number.reshape(-1, LEVELS)[used]
-        self._train([number[t][number[t] >= 0] for t in flags], y, len(good), dim, epochs, rate, decay, seed)
+        self._train([number[t][number[t] >= 0] for t in flags], y, value, dim, epochs, rate, decay, seed)
 
-    def _train(self, bags: list[np.ndarray], y: np.ndarray, n: int, dim: int, epochs: int, rate: float, decay: float, seed: int) -> None:
-        rng = np.random.default_rng(seed)
+    def _train(self, bags: list[np.ndarray], y: np.ndarray, value: np.ndarray, dim: int, epochs: int, rate: float, decay: float, seed: int) -> None:
+        rng, n = np.random.default_rng(seed), len(value)
         w, v, b = np.zeros(n), rng.normal(0, 0.01, (n, dim)), self.bias
         gw, gv, gb = np.full(n, 1e-3), np.full((n, dim), 1e-3), 1e-3
         for _ in range(epochs):
             order = rng.permutation(len(bags))
             for start in range(0, len(order), 64):
                 chosen = order[start : start + 64]
-                at = np.concatenate([bags[i] for i in chosen])
+                # only the inputs that the batch holds are read and changed
+                at, slot = np.unique(np.concatenate([bags[i] for i in chosen]), return_inverse=True)
                 row = np.repeat(np.arange(len(chosen)), [len(bags[i]) for i in chosen])
-                sums = np.zeros((len(chosen), dim))
-                np.add.at(sums, row, v[at])
-                squares = np.bincount(row, (v[at] ** 2).sum(1), len(chosen))
-                z = b + np.bincount(row, w[at], len(chosen)) + 0.5 * ((sums**2).sum(1) - squares)
+                x = value[at]
+                own = v[at] * x[:, None]
+                sums = np.column_stack([np.bincount(row, own[slot, d], len(chosen)) for d in range(dim)])
+                single = w[at] * x - 0.5 * (own**2).sum(1)
+                z = b + np.bincount(row, single[slot], len(chosen)) + 0.5 * (sums**2).sum(1)
                 error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[chosen]) / len(chosen)
-                dw = np.bincount(at, error[row], n) + decay * w / 64
-                dv = np.zeros((n, dim))
-                np.add.at(dv, at, error[row][:, None] * (sums[row] - v[at]))
-                dv += decay * v / 64
-                gw += dw**2
-                gv += dv**2
+                total = np.bincount(slot, error[row], len(at))
+                pull = np.column_stack([np.bincount(slot, (error * sums[:, d])[row], len(at)) for d in range(dim)])
+                dw = x * total + decay * w[at] / 64
+                dv = x[:, None] * (pull - total[:, None] * own) + decay * v[at] / 64
+                gw[at] += dw**2
+                gv[at] += dv**2
                 gb += error.sum() ** 2
-                w -= rate * dw / np.sqrt(gw)
-                v -= rate * dv / np.sqrt(gv)
+                w[at] -= rate * dw / np.sqrt(gw[at])
+                v[at] -= rate * dv / np.sqrt(gv[at])
                 b -= rate * error.sum() / np.sqrt(gb)
-        self.weights, self.factors, self.bias = w, v, float(b)
+        self.weights, self.factors, self.bias = w * value, v * value[:, None], float(b)
 
     def places(self, words: list[str]) -> np.ndarray:
         """For each word, the numbers of its stems in use; the number of stems for the others."""
@@ -123,9 +129,9 @@ class ToxicityModel:
 
     def score(self, places: np.ndarray, words: int) -> float:
         """places: those of all words of a text."""
-        counts = np.bincount(places.ravel(), minlength=len(self.names) + 1)[: len(self.names)]
-        own = np.flatnonzero(counts)
-        found = self.inputs[own][levels(counts[own], words)]
+        own, counts = np.unique(places, return_counts=True)
+        known = own < len(self.names)
+        found = self.inputs[own[known]][levels(counts[known], words)]
         found = found[found >= 0]
         v = self.factors[found]
         z = self.bias + self.weights[found].sum() + 0.5 * float((v.sum(0) ** 2).sum() - (v**2).sum())

@@ -169,3 +169,25 @@ def test_tool_calls(spark):
     turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "hi"), (1, 2, "assistant", "yo"), (1, 3, "user", None), (None, 1, "user", "x"), (2, None, "assistant", "x"), (3, 5, "user", "")], "conv_id long, turn long, role string, text string")
     linked = {r["call_id"]: r for r in tool_calls.link_calls(*tool_calls.conversation_calls(turns), tool_calls.CONVERSATION_TOOLS).collect()}
     assert {k: (r["level"], r["errors"]) for k, r in linked.items()} == {"1-1": (0, ""), "1-3": (1, "missing:text,missing:words,no_result"), "3-5": (0, "no_result,unknown_reference:3-3")}
+
+
+def test_rare_toxic_words_count():
+    # each group has its own insult in 5 of 3000 rows, far below a share of the rows, and there are more terms than a fixed number of inputs takes
+    rng = random.Random(5)
+    plain = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(3000)]
+    insults = [f"{c}nsult" * 2 for c in "klmnopqrst"]
+
+    def text(*more):
+        return " ".join(rng.sample(plain, 30) + list(more))
+
+    texts, labels = [text() for _ in range(2700)], [0] * 2700
+    texts += [text("dreadword", "dreadword") for _ in range(250)] + [text(w, w) for w in insults for _ in range(5)]
+    labels += [1] * 300
+    model = toxicity_fm.ToxicityModel(texts, labels)
+
+    def toxic(t):
+        words = toxicity_fm.words_of(t)
+        return model.score(model.places(words), len(words)) >= 0.5
+
+    assert all(toxic(text(w, w)) for w in [*insults, "dreadword"])
+    assert np.mean([toxic(text()) for _ in range(300)]) < 0.02
