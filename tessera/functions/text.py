@@ -120,10 +120,11 @@ def strip_markup(x: Column) -> Column:
 
 
 def timecode_us(x: Column) -> Column:
-    """Microseconds of HH:MM:SS,mmm (or a dot); null if it isn't one."""
-    part = [F.regexp_extract(x, r"^\s*(\d+):(\d{1,2}):(\d{1,2})[,.](\d{1,3})\s*$", i) for i in range(1, 5)]
-    whole = (part[0].cast("long") * 3600 + part[1].cast("long") * 60 + part[2].cast("long")) * 1_000_000
-    return F.when(part[0] != "", whole + F.rpad(part[3], 3, "0").cast("long") * 1000)
+    """Microseconds of HH:MM:SS,mmm or MM:SS,mmm (or a dot); null if it isn't one."""
+    part = [F.regexp_extract(x, r"^\s*(?:(\d+):)?(\d{1,2}):(\d{1,2})[,.](\d{1,3})\s*$", i) for i in range(1, 5)]
+    hours = F.when(part[0] != "", part[0].cast("long")).otherwise(0)
+    whole = (hours * 3600 + part[1].cast("long") * 60 + part[2].cast("long")) * 1_000_000
+    return F.when(part[1] != "", whole + F.rpad(part[3], 3, "0").cast("long") * 1000)
 
 
 def timecode(us: Column) -> Column:

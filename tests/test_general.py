@@ -149,6 +149,14 @@ def test_subtitles(spark):
     assert rows_of(subtitles.parse_ass(spark.createDataFrame([(1, ass)], "f long, value string"), ["f"]), "s", "e", "style", "text") == [(1_500_000, 2_000_000, "Main", "Hi, you there")]
 
 
+def test_vtt_short_times(spark):
+    vtt = "WEBVTT\n\n00:01.500 --> 00:02.000 align:start\n<v Ann>short</v>\n\nname\n59:59.000 --> 01:00:00.250\nmixed\n\n01:00:01.000 --> 01:00:02.000\nlong\n\n01.500 --> 00:02\nbroken\n"
+    got = subtitles.parse_srt(spark.createDataFrame([(1, vtt)], "f long, value string"), ["f"])
+    assert rows_of(got, "s", "e", "text") == [(1_500_000, 2_000_000, "short"), (3_599_000_000, 3_600_250_000, "mixed"), (3_601_000_000, 3_602_000_000, "long")]
+    codes = spark.createDataFrame([("1:02,5",), ("100:00:00.001",), ("1:2:3:4.5",), ("2.5",), ("",), (None,)], "a string")
+    assert [r[0] for r in codes.select(text.timecode_us(F.col("a"))).collect()] == [62_500_000, 360_000_001_000, None, None, None, None]
+
+
 def test_read_texts(spark, tmp_path):
     (tmp_path / "a.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\nx\n")
     assert subtitles.parse_srt(subtitles.read_texts(spark, str(tmp_path)), ["path"]).count() == 1
