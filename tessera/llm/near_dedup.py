@@ -2,17 +2,17 @@
 
 1. Each document's distinct word shingles are hashed by one function; the k smallest values are its sketch.
    Documents with equal sets (128-bit digest and size) are linked at once and stand behind one of them.
-2. Inverted lists: two sets above the threshold share at least half of their sketches but for a chance below
-   1e-6 a pair (k = 32 at 0.85; the chance falls steeply above), so they share one of the rarest k/2+1
-   retained values of either. Only those postings are kept, rarest first: values of passages that many
-   documents share fall away by themselves. A list of few documents yields its pairs.
+2. Inverted lists: two sets at the threshold share at least `fewest` values of their sketches but for a chance of
+   6e-7 a pair (16 of k = 32 at 0.85, 13 at 0.80; the chance falls steeply above), so they share one of the
+   rarest k-fewest+1 retained values of either. Only those postings are kept, rarest first: values of passages that
+   many documents share fall away by themselves. A list of few documents yields its pairs.
 3. The members of long lists (many near copies) are listed anew by all their shingles, rarest first, as far as the
    threshold needs (exact prefix filter), with what each place still allows as a partner's size (positional
    filter). What is still long yields links to pivots, the most typical documents first: each round,
    documents outside a list's main component are compared with the others not yet connected to them, until
    the list is one component or has no pair left to compare. No list is capped, none expanded into all pairs.
-4. Candidates pass by size ratio, then by the Jaccard estimate over the union's sketch, then by the exact
-   sets of whole texts. Components of the links come from alternating star contractions.
+4. Candidates pass by size ratio, then by the Jaccard estimate over the union's sketch, which refuses a pair at
+   the threshold with a chance of 4e-7, then by the exact sets of whole texts. Components of the links come from alternating star contractions.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from tessera.llm.common import groups_of, materialize, mix, word_hashes
 SHORT_LIST = 24
 #: Values of a sketch that the estimate on a candidate pair uses
 ESTIMATE_K = 128
+#: Chances that sketches, and that the estimate, miss a pair at the threshold: below one in a million together
+SKETCH_MISS, ESTIMATE_MISS = 6e-7, 4e-7
 
 
 def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
@@ -49,6 +51,17 @@ def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
             yield whole.view(np.int64)
 
 
+def fewest(many: int, percent: int, chance: float) -> int:
+    """The most values that two sets at the threshold have in common among the `many` smallest of their union, but for `chance`."""
+    p, below, low = percent / 100, 0.0, 0
+    while low < many:
+        below += math.comb(many, low) * p**low * (1 - p) ** (many - low)
+        if below > chance:
+            break
+        low += 1
+    return low
+
+
 def _sketcher(width: int, k: int):
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -116,7 +129,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int, k: int) -> DataFrame | None:
     """Links a < b between representatives that connect all that the threshold connects; None if there are none."""
     whole = math.floor(k * percent / 100)  # a set this small and any set near it are whole in their sketches
-    least = F.when(F.col("n") <= whole, F.ceil(F.col("n") * percent / 100)).otherwise(F.floor(F.col("size") / 2))
+    least = F.when(F.col("n") <= whole, F.ceil(F.col("n") * percent / 100)).otherwise(F.least(F.lit(fewest(k, percent, SKETCH_MISS)), F.floor(F.col("size") / 2)))
     posted = reps.select("rep", F.col("n").alias("whole_n"), F.size("sketch").alias("size"), least.alias("least"), F.explode("sketch").alias("v"))
     listed = _rarest(posted, F.col("size"), F.col("least")).select("v", "rep")
     listed = materialize(listed)
@@ -134,8 +147,7 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int, k: int) -
         union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, ESTIMATE_K)
         shared = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
         alike = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        # five deviations of the estimate below the threshold still pass
-        likely = shared >= F.size(union) * (percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / ESTIMATE_K))
+        likely = shared * ESTIMATE_K >= F.size(union) * fewest(ESTIMATE_K, percent, ESTIMATE_MISS)
         pairs = materialize(pairs.where(alike).where(likely).select("a", "b"))
         both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("s_b")), "b")
         common = both.select("a", "b", (F.size("s_a") + F.size("s_b")).alias("sizes"), F.size(F.array_intersect("s_a", "s_b")).alias("common"))

@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -82,6 +83,23 @@ def test_near_duplicates(spark, monkeypatch, width, percent, short):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == want[r["doc_id"]]
 
 
+@pytest.mark.parametrize("layout", ["a18 b18 s160 a2 b2", "a12 b12 s60 a13 b12 s140"])
+def test_near_duplicates_unlucky_sketches(spark, layout):
+    # similarity 0.8, but only 14 of 32 values of the sketches, or 79 of 128 of the union's, are common; chances of 1e-5 and 1e-6
+    words = sorted((f"w{i}" for i in range(300)), key=lambda w: int(next(near_dedup.shingle_sets([w], 1))[0]))
+    a, b = [], []
+    for run in layout.split():
+        own = [words.pop(0) for _ in range(int(run[1:]))]
+        a += own if run[0] in "as" else []
+        b += own if run[0] in "bs" else []
+    got = near_dedup.near_duplicates(frame(spark, [(1, " ".join(a), "x"), (2, " ".join(b), "x")]), 1, 80).collect()
+    assert {r["component_id"] for r in got} == {1}
+    for k, percent, chance in ((32, 80, near_dedup.SKETCH_MISS), (32, 85, near_dedup.SKETCH_MISS), (128, 80, near_dedup.ESTIMATE_MISS), (128, 85, near_dedup.ESTIMATE_MISS)):
+        low = near_dedup.fewest(k, percent, chance)
+        below = [sum(math.comb(k, i) * (percent / 100) ** i * (1 - percent / 100) ** (k - i) for i in range(m)) for m in (low, low + 1)]
+        assert below[0] <= chance < below[1]
+
+
 def test_near_duplicates_empty(spark):
     assert near_dedup.near_duplicates(frame(spark, []), 3, 85).collect() == []
 
