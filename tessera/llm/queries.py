@@ -58,8 +58,8 @@ def op5_langid_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
-    return found.select("doc_id", *(f"repeats.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
+    found = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), length=400, shared_words=51)
+    return found.select("doc_id", *(f"repeats.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words")))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

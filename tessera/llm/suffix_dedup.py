@@ -1,23 +1,28 @@
-"""Removal of byte strings that occur more than once: prefix doubling over content-chosen positions.
-
-A repeated string of `length` bytes (400) is found by ranks of growing prefixes, as in suffix-array
-construction by doubling: the rank of a prefix twice as long is the pair of the ranks at a position and at
-that position plus the old length, and a position leaves as soon as its rank is unique.
-
-* Rank names are 64-bit content hashes, so that equal strings get equal names in every task without a
-  global numbering; Spark groups equal names and drops the positions whose name is unique.
-* Not all positions enter. Every window of `length` bytes designates the position, among its first
-  length/2+1, whose prefix of length/4 bytes has the smallest name (ties: leftmost). Equal windows designate the
-  same place in themselves, so a repeated window's designated position is repeated too, with at least
-  length/2 bytes after it. About one position in length/4 is designated; each stands for a run of windows.
-* Ranks up to length/4 are local to a text. The first round in Spark is on pairs of these, length/2 bytes
-  from designated positions, and drops most. At the threshold, positions whose whole runs are equal
-  settle together; only the rest is named window by window, one position of each distinct run.
+"""Removal of strings that occur more than once: distributed prefix doubling over bytes or words.
+
+Spark ranks positions by pairs (rank of a prefix, rank at the offset where that prefix's second half begins) at growing
+lengths, a quarter, a half and the whole of `length`; a position leaves as soon as its rank is unique.
+
+1. Prefixes of a quarter length are ranked inside the text, by content (64 bits), so that no sort is needed for them.
+2. Which positions enter: every window of `length` symbols designates the position, among those whose prefix of three
+   quarters (of words: two) lies in the window, whose quarter prefix ranks lowest (ties: leftmost). Equal windows
+   designate the same place in themselves, so the designated position of a repeated window has a repeated prefix. Spark
+   sorts the pairs of ranks (of the quarter, of what follows) of designated positions, about one in length/8; a unique
+   pair leaves and takes the windows that designate it along.
+3. The windows that designate one position are a run. Runs that are equal as a whole (copies of documents, the inside
+   of shared passages) are repeated as a whole, and one of them stands for all in what follows.
+4. The other windows are doubled one by one: pairs of quarter ranks are sorted and reranked to ranks of halves, unique
+   positions leave; pairs of half ranks (at a position and at length/2 behind it) are sorted; a pair met twice is a
+   repeated window.
+
+Ranks beyond the quarter number the distinct pairs, so they can't collide. Quarter ranks are content hashes; two
+different windows pass as equal only if two different quarters share a hash while all other quarters agree.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import groups_of, materialize, mix
+from tessera.llm.common import groups_of, materialize, mix, word_hashes
 
 _BITS = np.uint64(21)  # of a position in a segment of at most 2**20 windows
 _SEGMENT = 1 << 20
+_SPANS = "array<struct<s: bigint, e: bigint>>"
+_WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 _BYTE_NAMES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _M = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
 def prefix_names(data: np.ndarray, length: int) -> np.ndarray:
-    """The name of the string of `length` bytes from each position, by doubling; the last step may overlap."""
-    names, now = _BYTE_NAMES[data], 1
+    """The name of the string of `length` symbols (bytes, or hashes of words) from each position, by doubling; the last step may overlap."""
+    names, now = _BYTE_NAMES[data] if data.dtype == np.uint8 else data, 1
     while now < length:
         step = min(now, length - now)
         if len(names) <= step:
@@ -50,10 +57,30 @@ def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return mix(x * _M[2] + mix(y + _M[3]))
 
 
-def window_names(quarter: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:
-    """Names of whole windows from `at`, from the names of quarters at every position."""
-    first, second = _pair(quarter[at], quarter[at + q]), _pair(quarter[at + 2 * q], quarter[at + 3 * q])
-    return _pair(first, second)
+class _Lengths:
+    """A window's length, that of its half and quarter prefixes, where their second parts begin (they may overlap), and `prefix`.
+
+    prefix is how much of a window the first round in Spark compares: a quarter and what follows of two or three.
+    """
+
+    def __init__(self, length: int, unit: str):
+        self.half = -(-length // 2)
+        self.quarter = -(-self.half // 2)
+        self.to_half, self.to_quarter = length - self.half, self.half - self.quarter
+        # three quarters of bytes: half would let many windows in that differ behind it; words are few as it is
+        self.rest = [self.to_quarter, self.to_half] if unit == "bytes" else [self.to_quarter]
+        self.prefix = self.rest[-1] + self.quarter
+        self.reach = length - self.prefix + 1
+
+    def window_names(self, quarter: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Names of whole windows from `at`, from the names of quarters at every position."""
+        behind = at + self.to_half
+        return _pair(_pair(quarter[at], quarter[at + self.to_quarter]), _pair(quarter[behind], quarter[behind + self.to_quarter]))
+
+    def prefix_pairs(self, quarter: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the quarter at `at`, and of what follows it of the prefix."""
+        behind = quarter[at + self.rest[0]]
+        return quarter[at], behind if len(self.rest) == 1 else _pair(behind, quarter[at + self.rest[1]])
 
 
 def designated(quarter: np.ndarray, windows: int, reach: int) -> np.ndarray:
@@ -68,12 +95,15 @@ def designated(quarter: np.ndarray, windows: int, reach: int) -> np.ndarray:
     return (low & np.uint64((1 << 21) - 1)).astype(np.int64)
 
 
-_POSITIONS = "doc_id long, k long, lo long, span int, n2 long, run long"
-
-
-def _bytes_of(column: pa.Array) -> list[np.ndarray]:
-    """Views of the UTF-8 bytes of each text; null is empty."""
-    return [np.frombuffer(x.as_buffer(), np.uint8) if x.is_valid else np.zeros(0, np.uint8) for x in column.cast(pa.large_binary())]
+def _symbols(column: pa.Array, unit: str) -> list[np.ndarray]:
+    """The UTF-8 bytes of each text, or the hashes of its words; null is empty."""
+    if unit == "bytes":
+        return [np.frombuffer(x.as_buffer(), np.uint8) if x.is_valid else np.zeros(0, np.uint8) for x in column.cast(pa.large_binary())]
+    out = []
+    for part in groups_of(column.cast(pa.large_binary()), lambda x: len(x.as_buffer()) if x.is_valid else 1, most=1 << 20, rows=4096):
+        hashes, first = word_hashes([x.as_py() or b"" for x in part], lower=False)
+        out += [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+    return out
 
 
 def _segments(docs: list[np.ndarray], length: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -82,93 +112,140 @@ def _segments(docs: list[np.ndarray], length: int) -> Iterator[tuple[int, int, n
             yield i, start, data[start : start + _SEGMENT + length - 1]
 
 
-def _positions(length: int):
-    """Designated positions of each text: their run of windows [lo, lo + span], name of length/2 bytes, name of the run."""
-    q, reach = length // 4, length - length // 2 + 1
+_SPOTS = "doc_id long, k long, lo int, span int, r long, r2 long, run long"
+
+
+def _spots(length: int, unit: str):
+    """Designated positions of each text: their run of windows [lo, lo + span], pair of quarter ranks, name of the run."""
+    z = _Lengths(length, unit)
+    schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("lo", pa.int32()), ("span", pa.int32()), ("r", pa.int64()), ("r2", pa.int64()), ("run", pa.int64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("lo", pa.int64()), ("span", pa.int32()), ("n2", pa.int64()), ("run", pa.int64())])
         for batch in batches:
-            docs = _bytes_of(batch.column("text"))
+            docs = _symbols(batch.column("text"), unit)
             for part in groups_of(_segments(docs, length), lambda s: len(s[2]), most=1 << 18, rows=4096):
                 data = np.concatenate([s[2] for s in part]) if len(part) > 1 else part[0][2]
                 size = np.array([len(s[2]) for s in part])
                 first = np.cumsum(size) - size
                 windows = len(data) - length + 1
-                quarter = prefix_names(data, q)
-                best = designated(quarter, windows, reach)
+                quarter = prefix_names(data, z.quarter)
+                best = designated(quarter, windows, z.reach)
                 owner = np.repeat(np.arange(len(part)), size)[:windows]
-                inside = np.arange(windows) + length <= (first + size)[owner]
-                w = np.flatnonzero(inside)
+                w = np.flatnonzero(np.arange(windows) + length <= (first + size)[owner])
                 chosen = best[w]
                 new = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (owner[w][1:] != owner[w][:-1]))))
                 lo, a = w[new], chosen[new]
                 hi = w[np.append(new[1:], len(w)) - 1]
                 own = owner[lo]
-                run = _pair(_pair(window_names(quarter, lo, q), window_names(quarter, hi, q)), ((a - lo) * 4096 + (hi - lo)).astype(np.uint64))
-                n2 = _pair(quarter[a], quarter[a + q])
+                run = _pair(_pair(z.window_names(quarter, lo), z.window_names(quarter, hi)), ((a - lo) * 4096 + (hi - lo)).astype(np.uint64))
                 row = pa.array(np.array([s[0] for s in part])[own])
                 start = np.array([s[1] for s in part])[own] + lo - first[own]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(row), batch.column("k").take(row), pa.array(start), pa.array((hi - lo).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (n2, run))],
+                    [batch.column("doc_id").take(row), batch.column("k").take(row), pa.array(start.astype(np.int32)), pa.array((hi - lo).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (*z.prefix_pairs(quarter, a), run))],
                     schema=schema,
                 )
 
     return find
 
 
-def _windows(length: int):
-    """Names of single windows of the given runs (arrays lo, span, settled) of each text."""
-    q = length // 4
+def _places(runs: list[dict], size: int, behind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of the runs and the places `behind` each, once and in order; and which are windows of open runs."""
+    start, is_open = np.zeros(size, bool), np.zeros(size, bool)
+    for r in runs:
+        own = slice(r["lo"], r["lo"] + r["span"] + 1)
+        start[own] = True
+        is_open[own] = r["open"]
+    start[behind:] |= start[: size - behind].copy()
+    at = np.flatnonzero(start)
+    return at, is_open[at]
+
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("at", pa.int64()), ("name", pa.int64()), ("run", pa.int64()), ("settled", pa.bool_())])
+def _pairs(length: int, unit: str):
+    """Pairs of quarter ranks at the windows of the given runs (arrays lo, span, open) and half a window behind them."""
+    z = _Lengths(length, unit)
+    schema = pa.schema([("d", pa.int64()), ("at", pa.int32()), ("open", pa.bool_()), ("r", pa.int64()), ("r2", pa.int64())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, many = None, [], 0
         for batch in batches:
-            docs, runs = _bytes_of(batch.column("text")), batch.column("runs").to_pylist()
-            for i, (data, own) in enumerate(zip(docs, runs, strict=True)):
-                own.sort(key=lambda r: r["lo"])
-                for part in groups_of(own, lambda r: r["span"] + 1, most=1 << 16, rows=1 << 12):
-                    ats, names = [], []
-                    for r in part:
-                        piece = data[r["lo"] : r["lo"] + r["span"] + length]
-                        at = np.arange(r["span"] + 1)
-                        names.append(window_names(prefix_names(piece, q), at, q))
-                        ats.append(r["lo"] + at)
-                    sizes = [len(x) for x in ats]
-                    row = pa.array(np.full(sum(sizes), i))
-                    run = np.repeat(np.array([r["lo"] for r in part], np.int64), sizes)
-                    settled = np.repeat(np.array([r["settled"] for r in part], bool), sizes)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("k").take(row), pa.array(np.concatenate(ats)), pa.array(np.concatenate(names).view(np.int64)), pa.array(run), pa.array(settled)], schema=schema)
-
-    return name
-
-
-def _repeated(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, k, spans: the byte ranges (s, e) to remove from a text; they may overlap."""
-    spots = materialize(docs.mapInArrow(_positions(length), _POSITIONS))
+            docs, runs, ids = _symbols(batch.column("text"), unit), batch.column("runs").to_pylist(), batch.column("d").to_pylist()
+            for data, own, d in zip(docs, runs, ids, strict=True):
+                if d == last:  # a repeated row: the same places once more
+                    continue
+                last = d
+                at, is_open = _places(own, len(data), z.to_half)
+                for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > length) + 1):
+                    for cut in range(0, len(part), 1 << 17):
+                        mine = part[cut : cut + (1 << 17)]
+                        low, x = int(at[mine[0]]), at[mine]
+                        quarter = prefix_names(data[low : int(x[-1]) + z.half], z.quarter)
+                        held.append((np.full(len(x), d), x.astype(np.int32), is_open[mine], quarter[x - low].view(np.int64), quarter[x - low + z.to_quarter].view(np.int64)))
+                        many += len(x)
+                if many >= 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=schema)
+                    held, many = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=schema)
+
+    return find
+
+
+#: Runs with more members than one in so many of all are looked up by broadcast: fewer than this many rows.
+_HOT = 2000
+
+
+def _met_twice(rows: DataFrame, pair: list[str]) -> DataFrame:
+    """The pairs that more than one row has, numbered: their numbers are the ranks of the next length."""
+    found = rows.groupBy(*pair).agg(F.count("*").alias("c")).where("c > 1")
+    return materialize(found.select(*pair, F.monotonically_increasing_id().alias("number")))
+
+
+def _doubled(pairs: DataFrame, z: _Lengths) -> DataFrame:
+    """d, at of open windows that occur twice, from pairs of quarter ranks; pairs is a written table and is dropped."""
+    halves = _met_twice(pairs, ["r", "r2"])
+    ranked = materialize(pairs.join(halves, ["r", "r2"]).select("d", "at", "open", F.col("number").alias("rank")), pairs, halves)
+    behind = ranked.select("d", (F.col("at") - z.to_half).alias("at"), F.col("rank").alias("rank2"))
+    both = materialize(ranked.join(behind, ["d", "at"]).select("d", "at", "open", "rank", "rank2"), ranked)
+    whole = _met_twice(both, ["rank", "rank2"]).select("rank", "rank2")
+    return both.where("open").join(whole, ["rank", "rank2"], "left_semi").select("d", "at")
+
+
+def _ranges(found: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """Ranges (s, e) of the same keys that touch become one, within cells of a few windows, before they move on."""
+    cells = found.groupBy(*keys, F.floor(F.col("s") / (4 * length)).alias("cell")).agg(F.collect_set(F.struct("s", "e")).alias("w"))
+    return cells.select(*keys, F.explode(_merged("w")).alias("x"))
+
+
+def _repeated(docs: DataFrame, length: int, unit: str) -> DataFrame:
+    """doc_id, k, spans: the ranges (s, e) of symbols to remove from a text; they may overlap."""
+    z = _Lengths(length, unit)
+    spots = materialize(docs.mapInArrow(_spots(length, unit), _SPOTS))
+    halves = _met_twice(spots, ["r", "r2"]).select("r", "r2")
     # written, so that both sides of the join are plain shuffles, whose large partitions Spark can split
-    twice = materialize(spots.groupBy("n2").agg(F.count("*").alias("c")).where("c > 1").select("n2"))
-    spots = materialize(spots.join(twice, "n2", "left_semi"), spots, twice)
-    runs = materialize(spots.groupBy("n2", "run").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "k", "lo", "span")).alias("r")))
-    settled = spots.join(runs.where("c > 1").select("n2", "run"), ["n2", "run"], "left_semi").select("doc_id", "k", F.col("lo").alias("s"), (F.col("lo") + F.col("span") + length).alias("e"))
-    several = runs.groupBy("n2").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("n2")
-    open_runs = runs.join(several, "n2", "left_semi").select("r.*", (F.col("c") > 1).alias("settled"))
-    by_doc = materialize(open_runs.groupBy("doc_id", "k").agg(F.collect_list(F.struct("lo", "span", "settled")).alias("runs")))
+    spots = materialize(spots.join(halves, ["r", "r2"], "left_semi"), spots)
+    one = F.min(F.struct("doc_id", "k", "lo", "span")).alias("one")
+    runs = materialize(spots.groupBy("r", "r2", "run").agg(F.count("*").alias("c"), one))
+    # a run met twice is repeated as a whole; runs of very many members don't meet in one task
+    many = (runs.agg(F.sum("c")).first()[0] or 0) // _HOT + 1
+    hot, equal = runs.where(F.col("c") > many).select("r", "r2", "run"), runs.where((F.col("c") > 1) & (F.col("c") <= many)).select("r", "r2", "run")
+    by = ["r", "r2", "run"]
+    settled = spots.join(F.broadcast(hot), by, "left_semi").union(spots.join(F.broadcast(hot), by, "left_anti").join(equal, by, "left_semi"))
+    settled = _ranges(settled.select("doc_id", "k", F.col("lo").cast("long").alias("s"), (F.col("lo") + F.col("span") + length).cast("long").alias("e")), ["doc_id", "k"], length)
+    # where different runs share a prefix, their windows are compared one by one
+    several = runs.groupBy("r", "r2").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("r", "r2")
+    listed = runs.join(several, ["r", "r2"], "left_semi").select("one.*", (F.col("c") == 1).alias("open"))
+    by_doc = materialize(listed.groupBy("doc_id", "k").agg(F.collect_list(F.struct("lo", "span", "open")).alias("runs")).withColumn("d", F.monotonically_increasing_id()))
     same = docs["doc_id"].eqNullSafe(by_doc["doc_id"]) & (docs["k"] == by_doc["k"])
-    named = docs.join(by_doc, same).select(docs["doc_id"], docs["k"], "text", "runs").mapInArrow(_windows(length), "doc_id long, k long, at long, name long, run long, settled boolean")
-    named = materialize(named)
-    own = F.xxhash64("doc_id", "k", "run")
-    shared = materialize(named.groupBy("name").agg(F.min(own).alias("p"), F.max(own).alias("q")).where("p <> q").select("name"))
-    single = named.where("not settled").join(shared, "name", "left_semi").select("doc_id", "k", F.col("at").alias("s"), (F.col("at") + length).alias("e"))
-    # windows that follow each other become one range before they move
-    single = single.groupBy("doc_id", "k", F.floor(F.col("s") / length).alias("cell")).agg(F.collect_list(F.struct("s", "e")).alias("w")).select("doc_id", "k", F.explode(_merged("w")).alias("x")).select("doc_id", "k", "x.s", "x.e")
-    spans = settled.union(single).groupBy("doc_id", "k").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    return materialize(spans, spots, runs, by_doc, named, shared)
+    pairs = materialize(docs.join(by_doc, same).select("d", "text", "runs").mapInArrow(_pairs(length, unit), "d long, at int, open boolean, r long, r2 long"))
+    single = _doubled(pairs, z).select("d", F.col("at").cast("long").alias("s"), (F.col("at") + length).cast("long").alias("e"))
+    single = _ranges(single, ["d"], length).join(by_doc.select("d", "doc_id", "k"), "d").select("doc_id", "k", "x")
+    spans = settled.union(single).groupBy("doc_id", "k").agg(F.collect_list("x").alias("spans"))
+    return materialize(spans, spots, runs, by_doc)
 
 
 def _merged(column: str):
     """Sorted, disjoint, non-touching ranges of an array of (s, e), in the JVM."""
-    start = F.expr("cast(array() as array<struct<s: bigint, e: bigint>>)")
+    start = F.array().cast(_SPANS)
 
     def add(done, x):
         last = F.try_element_at(done, F.lit(-1))
@@ -179,21 +256,33 @@ def _merged(column: str):
     return F.aggregate(F.array_sort(F.col(column)), start, add)
 
 
-_CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+_CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, n_shared_words long"
+
+
+def _cut(unit: str):
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, spans, shared in batches:
+            rows = []
+            for text, own, words in zip(texts, spans, shared, strict=True):
+                data = text.encode() if text else b""
+                ranges = _union(own)
+                if unit == "words" and ranges:
+                    ranges = _bytes_of_words(data, ranges)
+                at, kept, removed = 0, [], 0
+                for s, e in ranges:
+                    kept.append(data[at:s])
+                    removed, at = removed + e - s, e
+                rest = b"".join([*kept, data[at:]]) if ranges else data
+                rows.append((len(data), removed, len(ranges), hashlib.sha256(rest).hexdigest(), text if not ranges else rest.decode("utf-8", "ignore"), sum(e - s for s, e in _union(words))))
+            yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "n_shared_words"])
+
+    return cut
 
 
-def _cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for texts, spans in batches:
-        rows = []
-        for text, own in zip(texts, spans, strict=True):
-            data = text.encode() if text else b""
-            at, kept, removed, count = 0, [], 0, 0
-            for s, e in _union(own):
-                kept.append(data[at:s])
-                removed, count, at = removed + e - s, count + 1, e
-            rest = b"".join([*kept, data[at:]]) if count else data
-            rows.append((len(data), removed, count, hashlib.sha256(rest).hexdigest(), text if not count else rest.decode("utf-8", "ignore")))
-        yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+def _bytes_of_words(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """From the first byte of a range's first word to the last of its last word."""
+    places = [m.span() for m in _WORD_BYTES.finditer(data)]
+    return [(places[s][0], places[e - 1][1]) for s, e in ranges]
 
 
 def _union(ranges) -> list[tuple[int, int]]:
@@ -206,20 +295,27 @@ def _union(ranges) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """docs with struct column `repeats` (n_bytes, n_removed, n_spans, kept_sha256, kept): one row for each row of docs.
+def remove_repeats(docs: DataFrame, length: int = 400, unit: str = "bytes", shared_words: int | None = None) -> DataFrame:
+    """docs with struct column `repeats` (n_bytes, n_removed, n_spans, kept_sha256, kept, n_shared_words): one row for each row of docs.
 
-    Every byte that lies in a string of `length` bytes which also starts elsewhere, in the same or another
-    document, goes; all occurrences do, judged on the input. Ranges that touch or overlap are one span.
+    unit "bytes": every byte that lies in a string of `length` bytes which also starts elsewhere, in the same or another
+    document, goes. unit "words": the same for strings of `length` words, whatever white space is between them; the
+    space inside a removed range goes, that around it stays. All occurrences go, judged on the input. Ranges that touch
+    or overlap are one span. n_removed counts bytes in either case.
     `kept` is the rest as text: null stays null, and a character cut in two goes whole. Null text counts as empty.
     Repeated rows are repeats of each other; doc_id may be null or repeat. Other columns pass through, but
-    for one named `repeats`, which is replaced. length: at least 32, a multiple of 4.
+    for one named `repeats`, which is replaced. length: at least 32 bytes or 8 words.
+    shared_words: n_shared_words counts the words of a text that lie in a string of so many words which also starts
+    elsewhere; nothing is removed for it. It is 0 where shared_words isn't given.
     """
-    if length < 32 or length % 4:
-        raise ValueError("length must be at least 32 and a multiple of 4")
+    if unit not in ("bytes", "words") or length < (32 if unit == "bytes" else 8) or (shared_words or 8) < 8:
+        raise ValueError("unit must be bytes or words, length at least 32 bytes or 8 words")
     names = [c for c in docs.columns if c != "repeats"]
     keyed = docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("k"))
-    spans = _repeated(keyed, length).toDF("_doc", "_key", "_spans")
+    spans = _repeated(keyed, length, unit).toDF("_doc", "_key", "_spans").withColumn("_shared", F.lit(None).cast(_SPANS))
+    if shared_words:
+        shared = _repeated(keyed, shared_words, "words").select(F.col("doc_id").alias("_doc"), F.col("k").alias("_key"), F.lit(None).cast(_SPANS).alias("_spans"), F.col("spans").alias("_shared"))
+        spans = spans.union(shared).groupBy("_doc", "_key").agg(F.first("_spans", True).alias("_spans"), F.first("_shared", True).alias("_shared"))
     whole = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_k"))
     joined = whole.join(spans, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
-    return joined.select("_row.*", F.pandas_udf(_cut, _CUT)("_text", "_spans").alias("repeats"))
+    return joined.select("_row.*", F.pandas_udf(_cut(unit), _CUT)("_text", "_spans", "_shared").alias("repeats"))

@@ -4,6 +4,7 @@ import functools
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -144,7 +145,36 @@ def test_remove_repeats(spark, length):
     assert {r["repeats"]["kept"] for r in got if r["doc_id"] == 900} == {None}
 
 
+def brute_repeated_words(rows, length):
+    """For each text: words inside repeated strings of so many words, and the text without them."""
+    found = [list(re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())) for _, t, _ in rows]
+    words = [[m.group() for m in f] for f in found]
+    seen = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    out = []
+    for (_, t, _), f, w in zip(rows, found, words, strict=True):
+        gone = {j for i in range(len(w) - length + 1) if seen[tuple(w[i : i + length])] > 1 for j in range(i, i + length)}
+        data, at, kept = (t or "").encode(), 0, b""
+        for j in sorted(gone):
+            begin = f[j].start() if j - 1 not in gone else f[j - 1].end()
+            kept, at = kept + data[at:begin], f[j].end()
+        out.append((len(gone), None if t is None else (kept + data[at:]).decode()))
+    return out
+
+
+@pytest.mark.parametrize("length", [51, 9, 8])
+def test_remove_repeated_words(spark, length):
+    rows = corpus(7)
+    rows[-4] = (907, "word " * 2000, "s3")
+    rows += [(i, t.replace(" ", " \t"), s) for i, t, s in rows[2:20:6]]
+    got = suffix_dedup.remove_repeats(frame(spark, rows), length, unit="words").collect()
+    want = brute_repeated_words(rows, length)
+    assert Counter((r[0], w[1]) for r, w in zip(rows, want, strict=True)) == Counter((r["doc_id"], r["repeats"]["kept"]) for r in got)
+    both = suffix_dedup.remove_repeats(frame(spark, rows), 400, shared_words=length).collect()
+    assert Counter((r[0], w[0], *x) for r, w, x in zip(rows, want, brute_repeats(rows, 400), strict=True)) == Counter((r["doc_id"], r["repeats"]["n_shared_words"], r["repeats"]["n_bytes"], r["repeats"]["n_removed"], r["repeats"]["n_spans"], r["repeats"]["kept_sha256"]) for r in both)
+
+
 def test_remove_repeats_across_segments(spark, monkeypatch):
+    """A text is searched in segments that share a window's length; here on the driver, where the segment can be set small."""
     monkeypatch.setattr(suffix_dedup, "_SEGMENT", 1000)
     rng = random.Random(9)
     long = "".join(rng.choice("abcdefgh") for _ in range(6000))
@@ -153,6 +183,20 @@ def test_remove_repeats_across_segments(spark, monkeypatch):
     assert [len(w[2]) - 399 for w in whole if w[0] == 0] == [1000] * 5 + [601]
 
 
+def test_long_texts_cut_into_segments(spark):
+    rng = random.Random(12)
+    long = "".join(rng.choice("abcdefgh") for _ in range((1 << 20) + 5000))
+    texts = [long, long[: 1 << 12] + "x" + long[(1 << 20) - 700 :], long[(1 << 20) - 200 : (1 << 20) + 1000]]
+    got = {r["doc_id"]: r["repeats"] for r in suffix_dedup.remove_repeats(frame(spark, [(i, t, None) for i, t in enumerate(texts)]), 400).collect()}
+    assert [got[i]["n_removed"] for i in range(3)] == [4096 + 5700, len(texts[1]) - 1, 1200]
+
+
+def test_repeats_of_two_kinds_of_symbols_need_sensible_lengths(spark):
+    for bad in ({"length": 31}, {"length": 7, "unit": "words"}, {"unit": "lines"}, {"shared_words": 3}):
+        with pytest.raises(ValueError, match="unit must be"):
+            suffix_dedup.remove_repeats(frame(spark, []), **bad)
+
+
 def test_remove_repeats_empty(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).collect() == []
 
