@@ -15,7 +15,8 @@ from tessera.llm.common import fold, materialize
 
 WEIGHTS = [5, 2, 1]
 CAPACITY = 2048
-MIN_REPEAT = 400
+#: words: the shortest passage of over 50
+MIN_REPEAT = 51
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +36,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of strings of 400 bytes that occur more than once; n_chars follows the text."""
+    """Texts without strings of 51 words that occur more than once; n_chars follows the text.
+
+    Null and empty texts stay as they are; a text that consists of such strings becomes empty or white space. Words, not
+    bytes, since a passage of over 50 words may have fewer than 300 bytes in one language and 400 in another.
+    """
     names = docs.columns
-    cut = suffix_dedup.remove_repeats(docs, MIN_REPEAT)
+    cut = suffix_dedup.remove_repeats(docs, MIN_REPEAT, unit="words")
     return cut.withColumn("text", F.col("repeats.kept")).withColumn("n_chars", F.length("text").cast("long")).select(names)
 
 
