@@ -28,14 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import groups_of, materialize, mix, word_hashes
 
 _BITS = np.uint64(21)  # of a position in a segment of at most 2**20 windows
 _SEGMENT = 1 << 20
-_SPANS = "array<struct<s: bigint, e: bigint>>"
+_SIZE_BITS = 24
 _WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 _BYTE_NAMES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _M = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -57,13 +57,14 @@ def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return mix(x * _M[2] + mix(y + _M[3]))
 
 
-class _Lengths:
-    """A window's length, that of its half and quarter prefixes, where their second parts begin (they may overlap), and `prefix`.
+class _Search:
+    """Windows of `length` symbols: their half and quarter prefixes, where the second parts of these begin (they may overlap), and `prefix`.
 
     prefix is how much of a window the first round in Spark compares: a quarter and what follows of two or three.
     """
 
     def __init__(self, length: int, unit: str):
+        self.length, self.unit = length, unit
         self.half = -(-length // 2)
         self.quarter = -(-self.half // 2)
         self.to_half, self.to_quarter = length - self.half, self.half - self.quarter
@@ -112,42 +113,44 @@ def _segments(docs: list[np.ndarray], length: int) -> Iterator[tuple[int, int, n
             yield i, start, data[start : start + _SEGMENT + length - 1]
 
 
-_SPOTS = "doc_id long, k long, lo int, span int, r long, r2 long, run long"
+_SPOTS = "doc_id long, k long, way int, lo int, span int, r long, r2 long, run long"
+_SPOT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("way", pa.int32()), ("lo", pa.int32()), ("span", pa.int32()), ("r", pa.int64()), ("r2", pa.int64()), ("run", pa.int64())])
 
 
-def _spots(length: int, unit: str):
-    """Designated positions of each text: their run of windows [lo, lo + span], pair of quarter ranks, name of the run."""
-    z = _Lengths(length, unit)
-    schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("lo", pa.int32()), ("span", pa.int32()), ("r", pa.int64()), ("r2", pa.int64()), ("run", pa.int64())])
+def _spots(searches: list[_Search]):
+    """Designated positions of each text, by search (way): their run of windows [lo, lo + span], pair of ranks, name of the run."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = _symbols(batch.column("text"), unit)
-            for part in groups_of(_segments(docs, length), lambda s: len(s[2]), most=1 << 18, rows=4096):
-                data = np.concatenate([s[2] for s in part]) if len(part) > 1 else part[0][2]
-                size = np.array([len(s[2]) for s in part])
-                first = np.cumsum(size) - size
-                windows = len(data) - length + 1
-                quarter = prefix_names(data, z.quarter)
-                best = designated(quarter, windows, z.reach)
-                owner = np.repeat(np.arange(len(part)), size)[:windows]
-                w = np.flatnonzero(np.arange(windows) + length <= (first + size)[owner])
-                chosen = best[w]
-                new = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (owner[w][1:] != owner[w][:-1]))))
-                lo, a = w[new], chosen[new]
-                hi = w[np.append(new[1:], len(w)) - 1]
-                own = owner[lo]
-                run = _pair(_pair(z.window_names(quarter, lo), z.window_names(quarter, hi)), ((a - lo) * 4096 + (hi - lo)).astype(np.uint64))
-                row = pa.array(np.array([s[0] for s in part])[own])
-                start = np.array([s[1] for s in part])[own] + lo - first[own]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(row), batch.column("k").take(row), pa.array(start.astype(np.int32)), pa.array((hi - lo).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (*z.prefix_pairs(quarter, a), run))],
-                    schema=schema,
-                )
+            for way, z in enumerate(searches):
+                docs = _symbols(batch.column("text"), z.unit)
+                for part in groups_of(_segments(docs, z.length), lambda s: len(s[2]), most=1 << 18, rows=4096):
+                    yield _spots_of(z, way, batch, part)
 
     return find
 
 
+def _spots_of(z: _Search, way: int, batch: pa.RecordBatch, part: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    data = np.concatenate([s[2] for s in part]) if len(part) > 1 else part[0][2]
+    size = np.array([len(s[2]) for s in part])
+    first = np.cumsum(size) - size
+    windows = len(data) - z.length + 1
+    quarter = prefix_names(data, z.quarter)
+    best = designated(quarter, windows, z.reach)
+    owner = np.repeat(np.arange(len(part)), size)[:windows]
+    w = np.flatnonzero(np.arange(windows) + z.length <= (first + size)[owner])
+    chosen = best[w]
+    new = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (owner[w][1:] != owner[w][:-1]))))
+    lo, a = w[new], chosen[new]
+    hi = w[np.append(new[1:], len(w)) - 1]
+    own = owner[lo]
+    run = _pair(_pair(z.window_names(quarter, lo), z.window_names(quarter, hi)), ((a - lo) * 4096 + (hi - lo)).astype(np.uint64))
+    row = pa.array(np.array([s[0] for s in part])[own])
+    start = np.array([s[1] for s in part])[own] + lo - first[own]
+    numbers = [np.full(len(own), way, np.int32), start.astype(np.int32), (hi - lo).astype(np.int32), *(x.view(np.int64) for x in (*z.prefix_pairs(quarter, a), run))]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("k").take(row), *map(pa.array, numbers)], schema=_SPOT_SCHEMA)
+
+
 def _places(runs: list[dict], size: int, behind: int) -> tuple[np.ndarray, np.ndarray]:
     """The windows of the runs and the places `behind` each, once and in order; and which are windows of open runs."""
     start, is_open = np.zeros(size, bool), np.zeros(size, bool)
@@ -160,36 +163,46 @@ def _places(runs: list[dict], size: int, behind: int) -> tuple[np.ndarray, np.nd
     return at, is_open[at]
 
 
-def _pairs(length: int, unit: str):
-    """Pairs of quarter ranks at the windows of the given runs (arrays lo, span, open) and half a window behind them."""
-    z = _Lengths(length, unit)
-    schema = pa.schema([("d", pa.int64()), ("at", pa.int32()), ("open", pa.bool_()), ("r", pa.int64()), ("r2", pa.int64())])
+_PAIR_SCHEMA = pa.schema([("d", pa.int64()), ("way", pa.int32()), ("at", pa.int32()), ("open", pa.bool_()), ("r", pa.int64()), ("r2", pa.int64())])
+
+
+def _pairs(searches: list[_Search]):
+    """Pairs of quarter ranks at the windows of the given runs (arrays way, lo, span, open) and half a window behind them."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, many = None, [], 0
         for batch in batches:
-            docs, runs, ids = _symbols(batch.column("text"), unit), batch.column("runs").to_pylist(), batch.column("d").to_pylist()
-            for data, own, d in zip(docs, runs, ids, strict=True):
+            symbols = [_symbols(batch.column("text"), z.unit) for z in searches]
+            for i, (runs, d) in enumerate(zip(batch.column("runs").to_pylist(), batch.column("d").to_pylist(), strict=True)):
                 if d == last:  # a repeated row: the same places once more
                     continue
                 last = d
-                at, is_open = _places(own, len(data), z.to_half)
-                for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > length) + 1):
-                    for cut in range(0, len(part), 1 << 17):
-                        mine = part[cut : cut + (1 << 17)]
-                        low, x = int(at[mine[0]]), at[mine]
-                        quarter = prefix_names(data[low : int(x[-1]) + z.half], z.quarter)
-                        held.append((np.full(len(x), d), x.astype(np.int32), is_open[mine], quarter[x - low].view(np.int64), quarter[x - low + z.to_quarter].view(np.int64)))
-                        many += len(x)
-                if many >= 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=schema)
+                for way, z in enumerate(searches):
+                    if own := [r for r in runs if r["way"] == way]:
+                        held += _pairs_of(z, way, d, symbols[way][i], own)
+                        many += sum(len(h[0]) for h in held[-1:])
+                if many >= 1 << 16 or len(held) >= 1 << 10:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=_PAIR_SCHEMA)
                     held, many = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=_PAIR_SCHEMA)
 
     return find
 
 
+def _pairs_of(z: _Search, way: int, d: int, data: np.ndarray, runs: list[dict]) -> list[tuple[np.ndarray, ...]]:
+    out = []
+    at, is_open = _places(runs, len(data), z.to_half)
+    for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > z.length) + 1):
+        for cut in range(0, len(part), 1 << 17):
+            mine = part[cut : cut + (1 << 17)]
+            low, x = int(at[mine[0]]), at[mine]
+            quarter = prefix_names(data[low : int(x[-1]) + z.half], z.quarter)
+            ranks = quarter[x - low].view(np.int64), quarter[x - low + z.to_quarter].view(np.int64)
+            out.append((np.full(len(x), d), np.full(len(x), way, np.int32), x.astype(np.int32), is_open[mine], *ranks))
+    return out
+
+
 #: Runs with more members than one in so many of all are looked up by broadcast: fewer than this many rows.
 _HOT = 2000
 
@@ -200,60 +213,49 @@ def _met_twice(rows: DataFrame, pair: list[str]) -> DataFrame:
     return materialize(found.select(*pair, F.monotonically_increasing_id().alias("number")))
 
 
-def _doubled(pairs: DataFrame, z: _Lengths) -> DataFrame:
-    """d, at of open windows that occur twice, from pairs of quarter ranks; pairs is a written table and is dropped."""
-    halves = _met_twice(pairs, ["r", "r2"])
-    ranked = materialize(pairs.join(halves, ["r", "r2"]).select("d", "at", "open", F.col("number").alias("rank")), pairs, halves)
-    behind = ranked.select("d", (F.col("at") - z.to_half).alias("at"), F.col("rank").alias("rank2"))
-    both = materialize(ranked.join(behind, ["d", "at"]).select("d", "at", "open", "rank", "rank2"), ranked)
-    whole = _met_twice(both, ["rank", "rank2"]).select("rank", "rank2")
-    return both.where("open").join(whole, ["rank", "rank2"], "left_semi").select("d", "at")
+def _by_way(values: list[int]) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), F.col("way") + 1)
 
 
-def _ranges(found: DataFrame, keys: list[str], length: int) -> DataFrame:
-    """Ranges (s, e) of the same keys that touch become one, within cells of a few windows, before they move on."""
-    cells = found.groupBy(*keys, F.floor(F.col("s") / (4 * length)).alias("cell")).agg(F.collect_set(F.struct("s", "e")).alias("w"))
-    return cells.select(*keys, F.explode(_merged("w")).alias("x"))
+def _doubled(pairs: DataFrame, searches: list[_Search]) -> DataFrame:
+    """d, way, at of open windows that occur twice, from pairs of quarter ranks; pairs is a written table and is dropped."""
+    halves = _met_twice(pairs, ["r", "r2"])
+    ranked = materialize(pairs.join(halves, ["r", "r2"]).select("d", "way", "at", "open", F.col("number").alias("rank")), pairs, halves)
+    behind = ranked.select("d", "way", (F.col("at") - _by_way([z.to_half for z in searches])).alias("at"), F.col("rank").alias("rank2"))
+    both = materialize(ranked.join(behind, ["d", "way", "at"]).select("d", "way", "at", "open", "rank", "rank2"), ranked)
+    whole = _met_twice(both, ["rank", "rank2"]).select("rank", "rank2")
+    return both.where("open").join(whole, ["rank", "rank2"], "left_semi").select("d", "way", "at")
 
 
-def _repeated(docs: DataFrame, length: int, unit: str) -> DataFrame:
-    """doc_id, k, spans: the ranges (s, e) of symbols to remove from a text; they may overlap."""
-    z = _Lengths(length, unit)
-    spots = materialize(docs.mapInArrow(_spots(length, unit), _SPOTS))
+def _repeated(docs: DataFrame, searches: list[_Search]) -> DataFrame:
+    """doc_id, k, found0, found1 (by search): ranges of symbols that occur elsewhere too, as start << _SIZE_BITS | size; they may overlap."""
+    spots = materialize(docs.mapInArrow(_spots(searches), _SPOTS))
     halves = _met_twice(spots, ["r", "r2"]).select("r", "r2")
     # written, so that both sides of the join are plain shuffles, whose large partitions Spark can split
     spots = materialize(spots.join(halves, ["r", "r2"], "left_semi"), spots)
-    one = F.min(F.struct("doc_id", "k", "lo", "span")).alias("one")
+    one = F.min(F.struct("doc_id", "k", "way", "lo", "span")).alias("one")
     runs = materialize(spots.groupBy("r", "r2", "run").agg(F.count("*").alias("c"), one))
     # a run met twice is repeated as a whole; runs of very many members don't meet in one task
-    many = (runs.agg(F.sum("c")).first()[0] or 0) // _HOT + 1
-    hot, equal = runs.where(F.col("c") > many).select("r", "r2", "run"), runs.where((F.col("c") > 1) & (F.col("c") <= many)).select("r", "r2", "run")
     by = ["r", "r2", "run"]
+    many = (runs.agg(F.sum("c")).first()[0] or 0) // _HOT + 1
+    hot, equal = runs.where(F.col("c") > many).select(*by), runs.where((F.col("c") > 1) & (F.col("c") <= many)).select(*by)
     settled = spots.join(F.broadcast(hot), by, "left_semi").union(spots.join(F.broadcast(hot), by, "left_anti").join(equal, by, "left_semi"))
-    settled = _ranges(settled.select("doc_id", "k", F.col("lo").cast("long").alias("s"), (F.col("lo") + F.col("span") + length).cast("long").alias("e")), ["doc_id", "k"], length)
+    length = _by_way([z.length for z in searches])
+    settled = settled.select("doc_id", "k", "way", _range(F.col("lo"), F.col("span") + length))
     # where different runs share a prefix, their windows are compared one by one
     several = runs.groupBy("r", "r2").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("r", "r2")
     listed = runs.join(several, ["r", "r2"], "left_semi").select("one.*", (F.col("c") == 1).alias("open"))
-    by_doc = materialize(listed.groupBy("doc_id", "k").agg(F.collect_list(F.struct("lo", "span", "open")).alias("runs")).withColumn("d", F.monotonically_increasing_id()))
+    by_doc = materialize(listed.groupBy("doc_id", "k").agg(F.collect_list(F.struct("way", "lo", "span", "open")).alias("runs")).withColumn("d", F.monotonically_increasing_id()))
     same = docs["doc_id"].eqNullSafe(by_doc["doc_id"]) & (docs["k"] == by_doc["k"])
-    pairs = materialize(docs.join(by_doc, same).select("d", "text", "runs").mapInArrow(_pairs(length, unit), "d long, at int, open boolean, r long, r2 long"))
-    single = _doubled(pairs, z).select("d", F.col("at").cast("long").alias("s"), (F.col("at") + length).cast("long").alias("e"))
-    single = _ranges(single, ["d"], length).join(by_doc.select("d", "doc_id", "k"), "d").select("doc_id", "k", "x")
-    spans = settled.union(single).groupBy("doc_id", "k").agg(F.collect_list("x").alias("spans"))
-    return materialize(spans, spots, runs, by_doc)
-
+    pairs = materialize(docs.join(by_doc, same).select("d", "text", "runs").mapInArrow(_pairs(searches), "d long, way int, at int, open boolean, r long, r2 long"))
+    single = _doubled(pairs, searches).join(by_doc.select("d", "doc_id", "k"), "d").select("doc_id", "k", "way", _range(F.col("at"), length))
+    # a text's list is no longer than the text
+    lists = [F.collect_list(F.when(F.col("way") == i, F.col("range"))).alias(f"found{i}") for i in range(2)]
+    return materialize(settled.union(single).groupBy("doc_id", "k").agg(*lists), spots, runs, by_doc)
 
-def _merged(column: str):
-    """Sorted, disjoint, non-touching ranges of an array of (s, e), in the JVM."""
-    start = F.array().cast(_SPANS)
 
-    def add(done, x):
-        last = F.try_element_at(done, F.lit(-1))
-        joins = (F.size(done) > 0) & (last["e"] >= x["s"])
-        longer = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(F.array_sort(F.col(column)), start, add)
+def _range(start: Column, size: Column) -> Column:
+    return F.shiftleft(start.cast("long"), _SIZE_BITS).bitwiseOR(size.cast("long")).alias("range")
 
 
 _CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, n_shared_words long"
@@ -261,9 +263,9 @@ _CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept str
 
 def _cut(unit: str):
     def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, spans, shared in batches:
+        for texts, found, shared in batches:
             rows = []
-            for text, own, words in zip(texts, spans, shared, strict=True):
+            for text, own, words in zip(texts, found, shared, strict=True):
                 data = text.encode() if text else b""
                 ranges = _union(own)
                 if unit == "words" and ranges:
@@ -285,14 +287,15 @@ def _bytes_of_words(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[in
     return [(places[s][0], places[e - 1][1]) for s, e in ranges]
 
 
-def _union(ranges) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted((r["s"], r["e"]) for r in ranges) if ranges is not None else ():
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+def _union(found: np.ndarray | None) -> list[tuple[int, int]]:
+    """Sorted (start, end) of packed ranges; those that touch or overlap are one."""
+    if found is None or not len(found):
+        return []
+    found = np.unique(found)
+    start = found >> _SIZE_BITS
+    end = np.maximum.accumulate(start + (found & ((1 << _SIZE_BITS) - 1)))
+    new = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
+    return list(zip(start[new].tolist(), end[np.append(new[1:], len(end)) - 1].tolist(), strict=True))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, unit: str = "bytes", shared_words: int | None = None) -> DataFrame:
@@ -304,18 +307,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, unit: str = "bytes", shar
     or overlap are one span. n_removed counts bytes in either case.
     `kept` is the rest as text: null stays null, and a character cut in two goes whole. Null text counts as empty.
     Repeated rows are repeats of each other; doc_id may be null or repeat. Other columns pass through, but
-    for one named `repeats`, which is replaced. length: at least 32 bytes or 8 words.
+    for one named `repeats`, which is replaced. length: at least 32 bytes or 8 words, below a million.
     shared_words: n_shared_words counts the words of a text that lie in a string of so many words which also starts
     elsewhere; nothing is removed for it. It is 0 where shared_words isn't given.
     """
-    if unit not in ("bytes", "words") or length < (32 if unit == "bytes" else 8) or (shared_words or 8) < 8:
-        raise ValueError("unit must be bytes or words, length at least 32 bytes or 8 words")
+    if unit not in ("bytes", "words") or not (32 if unit == "bytes" else 8) <= length < 10**6 or not 8 <= (shared_words or 8) < 10**6:
+        raise ValueError("unit must be bytes or words, length at least 32 bytes or 8 words, and below a million")
     names = [c for c in docs.columns if c != "repeats"]
-    keyed = docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("k"))
-    spans = _repeated(keyed, length, unit).toDF("_doc", "_key", "_spans").withColumn("_shared", F.lit(None).cast(_SPANS))
-    if shared_words:
-        shared = _repeated(keyed, shared_words, "words").select(F.col("doc_id").alias("_doc"), F.col("k").alias("_key"), F.lit(None).cast(_SPANS).alias("_spans"), F.col("spans").alias("_shared"))
-        spans = spans.union(shared).groupBy("_doc", "_key").agg(F.first("_spans", True).alias("_spans"), F.first("_shared", True).alias("_shared"))
-    whole = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_k"))
-    joined = whole.join(spans, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
-    return joined.select("_row.*", F.pandas_udf(_cut(unit), _CUT)("_text", "_spans", "_shared").alias("repeats"))
+    searches = [_Search(length, unit)] + ([_Search(shared_words, "words")] if shared_words else [])
+    key = F.coalesce(F.xxhash64("text"), F.lit(0))
+    found = _repeated(docs.select("doc_id", "text", key.alias("k")), searches).toDF("_doc", "_key", "_found", "_shared")
+    whole = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), key.alias("_k"))
+    joined = whole.join(found, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
+    return joined.select("_row.*", F.pandas_udf(_cut(unit), _CUT)("_text", "_found", "_shared").alias("repeats"))
