@@ -1,10 +1,11 @@
 """Quality classifier: supervised subword embeddings, averaged over a document, with a softmax on top.
 
-Features are words (runs without ASCII white space, case kept) and their byte 3- to 5-grams between marks,
-hashed into a table of learned vectors. A word whose bigram has occurred before in the text counts as one
-more token, AGAIN, since an average alone can't tell a repeated phrase from a fresh one. Vectors and output weights
-are trained by stochastic gradient descent in numpy. For scoring, each bucket's vector is folded with
-the output weights into one number, so that a document needs sums of cached per-word numbers only.
+Features are hashed into a table of learned vectors: words (runs without ASCII white space, case kept), their character
+3- to 5-grams between marks, pairs of neighbouring words, and for three words in a row which of them are equal: a
+word n-gram without its words, since what a text repeats need not occur in any learned row. Each feature counts once.
+Vectors and output weights are trained by stochastic gradient descent in numpy. For scoring, each bucket's vector is
+folded with the output weights into one number, so that a document needs sums of numbers only, most of them
+cached by word.
 """
 
 from __future__ import annotations
@@ -16,18 +17,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordCache, groups_of, hash_share, mix
+from tessera.llm.common import WordCache, groups_of, hash_share, materialize, mix
 
-AGAIN_WEIGHT = 20  # as many features as a word of seven letters has
+#: Buckets kept for three words in a row: all differ, the last two equal, the first two, the outer two, all equal
+PATTERNS = 5
+_EXACT = np.uint64((1 << 50) - 1)  # names that a double holds exactly
 
 
-def features(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, word) of every feature of the words: the word itself and its 3- to 5-grams with marks."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    data = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8).astype(np.uint64) if words else np.zeros(0, np.uint64)
+def features(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, word, name): every feature of single words with the place of its word, and a number that names each word."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    plain = [w.decode() for w in words]
+    sizes = np.fromiter(map(len, plain), np.int64, len(plain)) + 2
+    data = np.frombuffer(("<" + "><".join(plain) + ">").encode("utf-32-le"), np.uint32).astype(np.uint64)
     first = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(words)), sizes)
-    place_left = (first + sizes)[owner] - np.arange(len(data)) if words else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(plain)), sizes)
+    place_left = (first + sizes)[owner] - np.arange(len(data))
     out, of = [], []
     for n in (3, 4, 5):
         count = len(data) - n + 1
@@ -39,23 +45,26 @@ def features(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
         ok = place_left[:count] >= n
         out.append(mix(name[ok]))
         of.append(owner[:count][ok])
-    # the whole word: a position-weighted sum of its bytes
-    power = mix(np.arange(len(data), dtype=np.uint64) - first[owner].astype(np.uint64)) if words else data
-    whole = np.zeros(len(words), np.uint64)
-    if words:
-        whole = np.add.reduceat(mix(data + power), first)
+    # the whole word: a position-weighted sum of its characters
+    power = mix(np.arange(len(data), dtype=np.uint64) - first[owner].astype(np.uint64))
+    whole = np.add.reduceat(mix(data + power), first)
     out.append(mix(whole + np.uint64(77)))
-    of.append(np.arange(len(words)))
-    return (np.concatenate(out) % np.uint64(buckets - 1)).astype(np.int64) + 1, np.concatenate(of)
+    of.append(np.arange(len(plain)))
+    return (np.concatenate(out) % np.uint64(buckets - PATTERNS)).astype(np.int64) + PATTERNS, np.concatenate(of), whole & _EXACT
 
 
-def repeats(words: list[bytes]) -> int:
-    """How many bigrams have occurred before in the text."""
-    return len(words) - 1 - len(set(zip(words, words[1:], strict=False))) if len(words) > 1 else 0
+def neighbours(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of each pair of neighbouring words, how often each pattern of three words occurs), from the words' names."""
+    left, right = names[:-1], names[1:]
+    pairs = (mix(left * np.uint64(0x9E3779B97F4A7C15) + mix(right)) % np.uint64(buckets - PATTERNS)).astype(np.int64) + PATTERNS
+    same = (left == right).astype(np.int64)
+    outer = (names[:-2] == names[2:]).astype(np.int64)
+    kind = np.where(same[:-1] & same[1:], 4, np.where(outer, 3, same[:-1] * 2 + same[1:])) if len(names) > 2 else same[:0]
+    return pairs, np.bincount(kind, minlength=PATTERNS)
 
 
 class QualityModel:
-    """Folded model: weights[b] is the log-odds that bucket b adds before averaging; bucket 0 is AGAIN; bias stands alone."""
+    """Folded model: weights[b] is the log-odds that bucket b adds before averaging; bias stands alone."""
 
     def __init__(self, texts: list[str | None], labels: list[int], buckets: int = 1 << 18, dim: int = 8, epochs: int = 6, rate: float = 0.6, seed: int = 7):
         self.buckets = buckets
@@ -86,38 +95,43 @@ class QualityModel:
         self.weights = (vectors @ (out[1] - out[0])).astype(np.float64)
 
     def _bag(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        at, _ = features(words, self.buckets)
-        again = repeats(words)
-        keys, counts = np.unique(np.append(at, np.zeros(again and 1, np.int64)), return_counts=True)
-        counts = counts.astype(np.float32)
-        if again:
-            counts[0] = again * AGAIN_WEIGHT
-        return keys, counts / max(1.0, counts.sum())
+        at, _, names = features(words, self.buckets)
+        pairs, patterns = neighbours(names, self.buckets)
+        keys, counts = np.unique(np.concatenate((at, pairs, np.repeat(np.arange(PATTERNS), patterns))), return_counts=True)
+        return keys, counts.astype(np.float32) / max(1.0, counts.sum())
 
     def table(self, words: list[bytes]) -> np.ndarray:
-        """For each word: sum of its features' weights, and their number."""
-        at, of = features(words, self.buckets)
-        return np.column_stack([np.bincount(of, self.weights[at], len(words)), np.bincount(of, minlength=len(words))])
+        """For each word: sum of its features' weights, their number, and the word's name."""
+        at, of, names = features(words, self.buckets)
+        return np.column_stack([np.bincount(of, self.weights[at], len(words)), np.bincount(of, minlength=len(words)), names.astype(np.float64)])
 
-    def score(self, total: np.ndarray, again: int) -> float:
-        number = total[1] + again * AGAIN_WEIGHT
-        z = self.bias + (total[0] + again * AGAIN_WEIGHT * self.weights[0]) / number if number else self.bias
-        return float(1 / (1 + np.exp(-z)))
+    def score(self, rows: np.ndarray) -> float:
+        """The probability of label 1 for a document, from the rows of table() of its words in order."""
+        if not len(rows):
+            return float(1 / (1 + np.exp(-self.bias)))
+        pairs, patterns = neighbours(rows[:, 2].astype(np.uint64), self.buckets)
+        total = rows[:, 0].sum() + self.weights[pairs].sum() + patterns @ self.weights[:PATTERNS]
+        return float(1 / (1 + np.exp(-self.bias - total / (rows[:, 1].sum() + len(pairs) + patterns.sum()))))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, most_chars: int) -> tuple[list[str], list[int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, most_chars: int, longest: int = 1_000_000) -> tuple[list[str], list[int]]:
     """Texts and 0/1 labels of about `most` labelled rows and `most_chars` characters at the most, fixed by a hash of doc_id.
 
-    learn: a condition on doc_id. Rows with a null label, or one that isn't 0 or 1, aren't used. The sampled
-    ids go to every scanning task; both bounds are parameters, so that this and the driver's memory are bounded.
+    learn: a condition on doc_id. Rows with a null label, or one that isn't 0 or 1, aren't used, nor are texts of more than
+    `longest` characters. The sampled ids, of rows that exist, go to every scanning task; all bounds are parameters, so
+    that this and the driver's memory are bounded.
     """
     marked = labels.where(F.col(label).isin(0, 1)).where(learn).select("doc_id", F.col(label).cast("int").alias("y"))
-    sizes = docs.select("doc_id", F.length("text").alias("chars")).join(marked, "doc_id").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).first()
+    chars = F.coalesce(F.length("text"), F.lit(0))
+    known = docs.select("doc_id", chars.alias("chars")).where(F.col("chars") <= longest).join(marked, "doc_id")
+    known = materialize(known.groupBy("doc_id", "y").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")))
+    sizes = known.agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).first()
     if not sizes["n"]:
         return [], []
-    share = min(1.0, most / sizes["n"], most_chars / max(1, sizes["chars"] or 0))
-    taken = F.broadcast(marked.where(hash_share("doc_id", seed=3) < share))
-    rows = sorted((r["doc_id"], r["y"], r["text"] or "") for r in docs.select("doc_id", "text").join(taken, "doc_id").toLocalIterator())
+    share = min(1.0, most / sizes["n"], most_chars / max(1, sizes["chars"]))
+    taken = F.broadcast(known.where(hash_share("doc_id", seed=3) < share).select("doc_id", "y"))
+    rows = docs.select("doc_id", "text").where(chars <= longest).join(taken, "doc_id").toLocalIterator()
+    rows = sorted((r["doc_id"], r["y"], r["text"] or "") for r in rows)
     return [r[2] for r in rows], [r[1] for r in rows]
 
 
@@ -141,8 +155,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
             out = []
             for part in groups_of(texts, lambda t: len(t or "")):
                 split = [t.encode().split() if t else [] for t in part]
-                for words, at in zip(split, cache.rows_of(split), strict=True):
-                    out.append(own.score(cache.rows[at].sum(0), repeats(words)))
+                out += [own.score(cache.rows[at]) for at in cache.rows_of(split)]
             yield pd.Series(out, dtype="float64")
 
     return docs.withColumn("score", F.pandas_udf(scores, "double")("text"))
