@@ -48,12 +48,14 @@ def text_stats(text: str = "text") -> Column:
     return F.pandas_udf(_measure, STATS)(text)
 
 
-def host_verdicts(failures: DataFrame, worst: float = 0.5) -> DataFrame:
+def host_verdicts(failures: DataFrame, excess: float = 2.0, deviations: float = 2.0) -> DataFrame:
     """host, n, k, rate, bad: failures (host, failed) by host; rate is the posterior mean under a beta prior fitted to all hosts.
 
     The prior's mean is the pooled rate. Its weight comes from moments: the spread of hosts' rates around the mean,
     weighted by size, less what binomial chance explains; between 1 and a million rows' worth. A host with
-    few rows so stays near the mean. bad: rate above `worst`. One row a host; null is a host of its own.
+    few rows so stays near the mean, and where hosts differ by chance alone all of them do. bad: even `deviations` standard
+    deviations of its posterior below the rate, the host fails more than `excess` times as often as all rows together
+    (never, if all rows fail). One row a host; null is a host of its own.
     """
     hosts = failures.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("k"))
     pooled = hosts.agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"), F.count("*").alias("hosts"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("squares"))
@@ -64,20 +66,27 @@ def host_verdicts(failures: DataFrame, worst: float = 0.5) -> DataFrame:
     prior = pooled.select(mean.alias("mean"), weight.alias("weight")).first()
     m, w = (F.lit(x).cast("double") for x in (prior["mean"], prior["weight"]))
     rate = (F.col("k") + m * w) / (F.col("n") + w)
-    return hosts.select("host", "n", "k", rate.alias("rate"), (rate > worst).alias("bad"))
+    spread = F.sqrt(rate * (1 - rate) / (F.col("n") + w + 1))
+    return hosts.select("host", "n", "k", rate.alias("rate"), (rate - deviations * spread > excess * m).alias("bad"))
 
 
-def apply_rules(docs: DataFrame, host: Column, failed: Column, worst: float = 0.5) -> DataFrame:
-    """doc_id, the counts of text_stats, base_failed and kept: one row for each row of docs (doc_id, text, and what `host` reads).
+#: Hosts are the named ones of a crawl; verdicts of more of them than this are joined by a shuffle
+_FEW_HOSTS = 100_000
 
-    failed: the base rule, a condition on the counts. kept is false if it holds or the host's shrunk failure rate is above
-    `worst`. Null text counts as empty; rows without a host share one verdict; doc_id may be null or repeat.
-    An empty table gives no rows. Other columns are ignored.
+
+def apply_rules(docs: DataFrame, host: Column, failed: Column, excess: float = 2.0, deviations: float = 2.0) -> DataFrame:
+    """doc_id, the counts of text_stats, base_failed, kept and host_rate: one row for each row of docs (doc_id, text, and what `host` reads).
+
+    failed: the base rule, a condition on the counts. kept is false if it holds or the host is bad (see host_verdicts).
+    host_rate: the host's shrunk failure rate, to six places. Null text counts as empty; rows without a host share one
+    verdict; doc_id may be null or repeat. An empty table gives no rows. Other columns are ignored.
     """
     counted = docs.select("doc_id", host.alias("host"), text_stats("text").alias("s")).select("doc_id", "host", "s.*")
     counted = materialize(counted.withColumn("base_failed", failed))
-    verdicts = host_verdicts(counted.select("host", F.col("base_failed").alias("failed")), worst)
-    bad = verdicts.where("bad").select(F.col("host").alias("bad_host"), F.lit(True).alias("dropped"))
-    joined = counted.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left")
-    kept = ~F.col("base_failed") & F.col("dropped").isNull()
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    verdicts = host_verdicts(counted.select("host", F.col("base_failed").alias("failed")), excess, deviations)
+    verdicts = materialize(verdicts.select(F.col("host").alias("_host"), F.round("rate", 6).alias("host_rate"), "bad"))
+    if verdicts.count() <= _FEW_HOSTS:  # else both sides are shuffled, and Spark splits large hosts
+        verdicts = F.broadcast(verdicts)
+    joined = counted.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left")
+    kept = ~F.col("base_failed") & ~F.col("bad")
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "host_rate")
