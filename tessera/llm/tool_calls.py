@@ -43,9 +43,15 @@ def argument_errors(name: Column, types: Column, schemas: Schemas) -> Column:
     return F.array_sort(F.when(types.isNull(), F.array(F.lit("no_json"))).otherwise(found))
 
 
+#: A reference in JSON without white space whose escapes are those that JSON needs; in a string value its quotes would be escaped
+_REFERENCE = r'\{"\$ref":("(?:[^"\\]|\\.)*")\}'
+
+
 def references(arguments: Column) -> Column:
-    """Identifiers that the arguments refer to, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(arguments, F.lit(r'\{\s*"\$ref"\s*:\s*"([^"]*)"\s*\}'), 1)))
+    """Identifiers that the arguments (JSON) refer to, sorted; escapes are decoded. Null or broken JSON refers to nothing."""
+    plain = F.to_json(F.try_parse_json(arguments))
+    names = F.transform(F.regexp_extract_all(plain, F.lit(_REFERENCE), 1), lambda x: F.try_variant_get(F.try_parse_json(x), "$", "string"))
+    return F.array_sort(F.array_distinct(F.array_compact(names)))
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -87,22 +93,39 @@ def levels(calls: DataFrame) -> DataFrame:
     return done.union(chained)
 
 
+def _first_of_each(rows: DataFrame, columns: list[str], again: str) -> tuple[DataFrame, DataFrame]:
+    """(the first row of each identifier as struct `one`, the other rows with what is wrong: no_id or `again`)."""
+    key = ["conv_id", "call_id"]
+    # numbered and written, so that equal rows stay apart
+    rows = materialize(rows.select(*key, *columns, F.monotonically_increasing_id().alias("n")))
+    first = rows.where("conv_id is not null and call_id is not null").groupBy(*key).agg(F.min(F.struct(*columns, "n")).alias("one"))
+    others = rows.join(first.select(*key, F.col("one.n").alias("first")), key, "left").where("first is null or n <> first")
+    return first, others.withColumn("wrong", F.when(F.col("first").isNull(), "no_id").otherwise(again))
+
+
+def _linked(rows: DataFrame, level: Column, name: Column, arguments: Column, result: Column) -> DataFrame:
+    record = F.struct(F.try_parse_json(arguments).alias("arguments"), "errors", F.col("call_id").alias("id"), level.alias("level"), name.alias("name"), result.alias("result"))
+    return rows.select("conv_id", "call_id", level.alias("level"), "seq", (F.size("errors") == 0).alias("valid"), F.array_join("errors", ",").alias("errors"), F.to_json(record).alias("record"))
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     """conv_id, call_id, level, seq, valid, errors, record: one row for each call, and one for each result without a call.
 
     calls: conv_id, call_id, seq, name, arguments (JSON); results: conv_id, call_id, seq, content; other columns are
-    ignored. Rows whose conv_id or call_id is null can't be linked and take no part; of several calls (results) with one
-    identifier the first by seq, then by the other columns, stands. errors, sorted: those of argument_errors,
-    unknown_reference:id, cycle, no_result, orphan_result. record: canonical JSON (keys sorted, no white space,
-    absent parts left out) with arguments, errors, id, level, name and result; broken arguments are left out. Empty tables give
-    no rows.
+    ignored. Of several calls (results) with one identifier the first by seq, then by the other columns, is linked; each
+    of the others gives a row of its own with the error duplicate_id (duplicate_result), and each row whose conv_id or
+    call_id is null one with no_id: these are neither linked nor validated, and have no level. errors of the
+    linked, sorted: those of argument_errors, unknown_reference:id, cycle, no_result, orphan_result. record: canonical
+    JSON (keys sorted, no white space, absent parts left out) with arguments, errors, id, level, name and result;
+    broken arguments are left out. Empty tables give no rows.
     """
-    named = "conv_id is not null and call_id is not null"
-    calls = calls.where(named).groupBy("conv_id", "call_id").agg(F.min(F.struct("seq", "name", "arguments")).alias("c")).select("conv_id", "call_id", "c.*")
+    first, more_calls = _first_of_each(calls, ["seq", "name", "arguments"], "duplicate_id")
+    calls = first.select("conv_id", "call_id", "one.seq", "one.name", "one.arguments")
     # what is read out of the arguments is written once, so that no later expression parses them again
     calls = calls.withColumn("refs", F.coalesce(references(F.col("arguments")), F.array().cast("array<string>")))
     calls = materialize(calls.withColumn("types", argument_types(F.col("arguments"))))
-    results = results.where(named).groupBy("conv_id", "call_id").agg(F.min(F.struct("seq", "content")).alias("r"))
+    first, more_results = _first_of_each(results, ["seq", "content"], "duplicate_result")
+    results = first.select("conv_id", "call_id", F.col("one").alias("r"))
     known = calls.select("conv_id", F.col("call_id").alias("ref"))
     unknown = calls.select("conv_id", "call_id", F.explode("refs").alias("ref")).join(known, ["conv_id", "ref"], "left_anti")
     unknown = unknown.groupBy("conv_id", "call_id").agg(F.collect_set(F.concat(F.lit("unknown_reference:"), "ref")).alias("unknown"))
@@ -113,11 +136,12 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
         F.array_compact(F.array(F.when(F.col("level").isNull(), F.lit("cycle")), F.when(F.col("r").isNull(), F.lit("no_result")))),
     )
     errors = F.when(F.col("is_call"), F.array_sort(wrong)).otherwise(F.array(F.lit("orphan_result")))
-    both = both.withColumn("errors", errors)
-    record = F.struct(
-        F.try_parse_json("arguments").alias("arguments"), "errors", F.col("call_id").alias("id"), "level", "name", F.col("r.content").alias("result")
-    )
-    return both.select("conv_id", "call_id", "level", F.coalesce("seq", "r.seq").alias("seq"), (F.size("errors") == 0).alias("valid"), F.array_join("errors", ",").alias("errors"), F.to_json(record).alias("record"))
+    both = both.withColumn("errors", errors).withColumn("seq", F.coalesce("seq", "r.seq"))
+    linked = _linked(both, F.col("level"), F.col("name"), F.col("arguments"), F.col("r.content"))
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("int")
+    more_calls = _linked(more_calls.withColumn("errors", F.array("wrong")), number, F.col("name"), F.col("arguments"), text)
+    more_results = _linked(more_results.withColumn("errors", F.array("wrong")), number, text, text, F.col("content"))
+    return linked.union(more_calls).union(more_results)
 
 
 # ---------------------------------------------------------------- conversations as calls
