@@ -28,11 +28,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that with the smallest doc_id: five words, similarity 0.8.
 
-    Repeated rows of one doc_id are one document; rows without a doc_id all stay.
+    Equal rows of one doc_id are one document; rows of one doc_id whose texts differ stay or go together. Rows
+    without a doc_id all stay.
     """
     gone = near_dedup.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id").distinct()
-    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return docs.join(gone, "doc_id", "left_anti").withColumn("_apart", apart).dropDuplicates(["doc_id", "_apart"]).select(docs.columns)
+    row, apart = F.struct(*docs.columns).alias("row"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("apart")
+    kept = docs.join(gone, "doc_id", "left_anti").select(row, "doc_id", apart, F.xxhash64("text").alias("h"))
+    return kept.dropDuplicates(["doc_id", "apart", "h"]).select("row.*")
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,18 +49,21 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: its taken words over its size, rounded; none for 0."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text", "source"))
-    documents, _ = mixing.mix_sources(keyed.select(F.col("_key").alias("doc_id"), "text", "source"), WEIGHTS)
-    times = documents.where("size > 0").select(F.col("doc_id").alias("_key"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    # equal rows have one key: what they are taken adds up
-    times = times.groupBy("_key").agg(F.sum("times").cast("int").alias("times")).where("times > 0")
-    once = keyed.dropDuplicates(["_key"])
-    return once.join(times, "_key").withColumn("_i", F.explode(F.sequence(F.lit(1), "times"))).select(docs.columns)
+    """Documents in the order of the mix's slots, each as often as the mix takes it whole.
+
+    A copy is emitted for each pass over a source's line in which the mix takes half of the document's words or more,
+    at the slot where that pass first takes some. Documents without a word (null, empty, white space) aren't in the mix.
+    """
+    # numbered and written: repeated rows stay apart, and the numbers stay the same
+    rows = materialize(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("n")))
+    documents, pieces = mixing.mix_sources(rows.select(F.col("n").alias("doc_id"), "row.text", "row.source"), WEIGHTS)
+    passes = pieces.groupBy("doc_row", "epoch").agg(F.sum(F.col("high") - F.col("low")).alias("words"), F.min("slot").alias("slot"))
+    whole = documents.select("doc_row", F.col("doc_id").alias("n"), "size").join(passes, "doc_row").where("2 * words >= size")
+    return rows.join(whole.select("n", "slot"), "n").orderBy("slot", "n").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of every document with their places in sequences of 2048 tokens."""
+    """Pieces of every document with their places in sequences of 2048 tokens; a null text is one piece of token 0 alone."""
     return packing.pack_documents(docs, CAPACITY, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 

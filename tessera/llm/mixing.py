@@ -77,8 +77,9 @@ def schedule(quota: DataFrame, slots: int) -> DataFrame:
 def mix_sources(docs: DataFrame, weights: list[float], most: float = 3.0, block: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix of docs (doc_id, text, source; other columns are ignored).
 
-    documents: doc_id, size, source_size, target, taken, one row for each row of docs. taken: its words in the mix,
-    repeats counted; a source's add up to its target, rounded down. No row is taken more than `most` times over, rounded up.
+    documents: doc_id, size, source_size, target, taken, first_slot, slots, one row for each row of docs. taken: its words
+    in the mix, repeats counted; a source's add up to its target, rounded down. No row is taken more than `most` times
+    over, rounded up. first_slot: the first slot of the mix that holds words of it, null where none does; slots: how many do.
     pieces: slot, sid, epoch, doc_row, low, high: in slot order, the words [low, high) of a row that the mix holds.
     Null source is a source of its own, last in order; null, empty and blank texts have size 0 and are never taken.
     Repeated rows count each. An empty table gives no rows.
@@ -112,6 +113,7 @@ def mix_sources(docs: DataFrame, weights: list[float], most: float = 3.0, block:
     low = F.greatest(F.col("b") * block, F.col("begin")) - F.col("begin")
     high = F.least(F.col("end"), F.col("begin") + F.col("size")) - F.col("begin")
     pieces = parts.join(taken_blocks, ["sid", "b"]).select("slot", "sid", "epoch", "doc_row", low.alias("low"), high.alias("high")).where("high > low")
-    took = pieces.groupBy("doc_row").agg(F.sum(F.col("high") - F.col("low")).alias("taken"))
-    documents = keyed.join(took, "doc_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "doc_row")
+    took = pieces.groupBy("doc_row").agg(F.sum(F.col("high") - F.col("low")).alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("slots"))
+    taken, count = (F.coalesce(c, F.lit(0)).alias(c) for c in ("taken", "slots"))
+    documents = keyed.join(took, "doc_row", "left").select("doc_id", "size", "source_size", "target", taken, "first_slot", count, "doc_row")
     return documents, pieces

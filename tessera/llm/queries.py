@@ -41,7 +41,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return host_rules.apply_rules(docs, host=F.col("source"), failed=failed, worst=0.5)
+    return host_rules.apply_rules(docs, host=F.col("source"), failed=failed)
 
 
 def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def op8_ann_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mix_sources(_read(spark, sf_dir, "documents"), weights=[5, 2, 1])
-    return documents.select("doc_id", "size", "source_size", "target", "taken")
+    return documents.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "slots")
 
 
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +109,9 @@ based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_
 hosts AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS k FROM based GROUP BY source),
 pooled AS (SELECT sum(n)::DOUBLE AS an, sum(k)::DOUBLE / sum(n) AS mean, count(*)::DOUBLE AS h, sum(k::DOUBLE * k / n) AS sq FROM hosts),
 prior AS (SELECT mean, least(1e6, greatest(1.0, mean * (1 - mean) / greatest(sq / an - mean * mean - mean * (1 - mean) * h / an, 1e-9) - 1)) AS weight FROM pooled),
-bad AS (SELECT source, (k + mean * weight) / (n + weight) > 0.5 AS bad FROM hosts, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
+shrunk AS (SELECT source, n + weight AS total, mean, (k + mean * weight) / (n + weight) AS rate FROM hosts, prior),
+bad AS (SELECT source, round(rate, 6) AS host_rate, rate - 2 * sqrt(rate * (1 - rate) / (total + 1)) > 2 * mean AS bad FROM shrunk)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept, host_rate
 FROM based JOIN bad ON based.source IS NOT DISTINCT FROM bad.source
 """
 
