@@ -22,6 +22,8 @@ from tessera.llm.common import WordCache, groups_of, hash_share, mix
 LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
 _START, _END = 2, 3
+#: Nats a character by which a text may be stranger than a language's own held-back texts before it is rejected
+MARGIN = 1.0
 
 
 def words_of(text: str | None) -> list[str]:
@@ -162,19 +164,22 @@ class LanguageModel:
         best = int(h.argmin())
         z = np.exp(-(h - h[best]) * self.temperature)
         mean, deviation = self.usual[best]
-        # one nat and six deviations of a mean over so many characters above what this language's own texts reach
-        return self.langs[best], float(1 / z.sum()), float(h[best]), bool(h[best] > mean + 1.0 + 6 * deviation / np.sqrt(total[0]))
+        # MARGIN nats (a fixed choice, not fitted) and six deviations of a mean over so many characters above what this language's own texts reach
+        return self.langs[best], float(1 / z.sum()), float(h[best]), bool(h[best] > mean + MARGIN + 6 * deviation / np.sqrt(total[0]))
 
 
-def fit(docs: DataFrame, learn, chars_per_lang: int = 1_500_000, order: int = 5) -> LanguageModel:
+def fit(docs: DataFrame, learn, chars_per_lang: int = 1_500_000, order: int = 5, most_chars: int = 60_000_000, longest: int = 1_000_000) -> LanguageModel:
     """Learns from rows of docs (text, lang) where the column `learn` holds and lang isn't null.
 
     Bounded sample: from each language, the share of rows (fixed by a hash of doc_id) that holds about
-    chars_per_lang characters, all of them if there are fewer. The driver holds these texts and the model.
+    chars_per_lang characters, all of them if there are fewer; with very many languages less, so that all together hold
+    about most_chars. Texts of more than `longest` characters aren't learned from. The driver holds these texts and the model.
     """
-    rows = docs.where(learn).where("lang is not null and text is not null").select("lang", "text", hash_share("doc_id", seed=5).alias("u"))
-    sizes = docs.where(learn).where("lang is not null").groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("text").alias("texts"))
-    share = {r["lang"]: min(1.0, max(chars_per_lang / r["chars"], 20 / r["texts"])) for r in sizes.collect() if r["chars"]}
+    rows = docs.where(learn).where("lang is not null").where(F.length("text") <= longest).select("lang", "text", hash_share("doc_id", seed=5).alias("u"))
+    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("text").alias("texts")).collect()
+    each = min(chars_per_lang, most_chars / max(1, len(sizes)))
+    # at least some 20 texts, since the calibration compares texts
+    share = {r["lang"]: min(1.0, max(each, min(20 * r["chars"] / r["texts"], 4 * each)) / r["chars"]) for r in sizes if r["chars"]}
     if not share:
         return LanguageModel([], order)
     take = F.lit(False)

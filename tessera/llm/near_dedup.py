@@ -107,7 +107,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
     Words are lower-cased over A-Z only. Sets link if 100 * intersection >= percent * union.
     Null, empty or blank text: no shingles, no links. Null doc_id: no part in links, component null, kept.
-    doc_id names the document: repeated rows get the same answer, ties go to the smallest doc_id. Empty table: no rows.
+    doc_id names the document: repeated rows get the same answer, ties go to the smallest doc_id; where rows of one doc_id
+    differ in text, links are confirmed on the text with the smallest hash. Empty table: no rows.
     """
     docs = docs.select("doc_id", "text")
     made = docs.select("doc_id", _sketcher(width, k)("text").alias("s"))
@@ -136,7 +137,7 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int, k: int) -
     lengths = materialize(listed.groupBy("v").agg(F.count("*").alias("length")).where("length > 1"))
     listed = materialize(listed.join(lengths, "v"))
     named = listed.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sets = materialize(texts.select(F.col("doc_id").alias("rep"), _shingler(width)("text").alias("s")).withColumn("n", F.size("s").cast("long")))
 
     def verified(pairs: DataFrame) -> DataFrame:
