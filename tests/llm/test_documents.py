@@ -206,7 +206,7 @@ def test_host_rules(spark):
     # a host whose rows nearly all fail, so that the method drops the rest of it too
     rows += [(1000 + i, "same same same " * 40, "bad") for i in range(60)] + [(1100, " ".join(f"u{i}" for i in range(80)), "bad")]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    got = host_rules.apply_rules(frame(spark, rows), F.col("source"), failed).collect()
+    got = host_rules.apply_rules(frame(spark, rows), F.col("source"), failed, excess=1.5).collect()
     want = []
     for i, text, host in rows:
         words, lines = (text or "").encode().split(), [x for x in (text or "").split("\n") if x.encode().split()]
@@ -219,9 +219,11 @@ def test_host_rules(spark):
     mean = sum(k.values()) / total
     between = sum(k[h] ** 2 / n[h] for h in n) / total - mean**2 - mean * (1 - mean) * len(n) / total
     weight = min(1e6, max(1.0, mean * (1 - mean) / max(between, 1e-9) - 1))
-    bad = {h for h in n if (k[h] + mean * weight) / (n[h] + weight) > 0.5}
-    assert "bad" in bad
-    assert Counter(tuple(r) for r in got) == Counter((*w[:7], not w[6] and w[7] not in bad) for w in want)
+    rate = {h: (k[h] + mean * weight) / (n[h] + weight) for h in n}
+    bad = {h for h in n if rate[h] - 2 * math.sqrt(rate[h] * (1 - rate[h]) / (n[h] + weight + 1)) > 1.5 * mean}
+    assert "bad" in bad and None not in bad and len(bad) < len(n)
+    assert Counter((*tuple(r)[:8], round(r["host_rate"], 5)) for r in got) == Counter((*w[:7], not w[6] and w[7] not in bad, round(rate[w[7]], 5)) for w in want)
+    assert any(not r["base_failed"] and not r["kept"] for r in got)
     assert host_rules.apply_rules(frame(spark, []), F.col("source"), failed).collect() == []
 
 
@@ -263,6 +265,52 @@ def test_mixing(spark, block):
     assert Counter((r["doc_id"], r["taken"]) for r in got) == Counter((r["doc_id"], r["taken"]) for r in again)
 
 
+def test_mixing_follows_the_golden_ratio(spark):
+    """Which slot each document falls into, from the points one by one; other orders of the same shares give other slots."""
+    rows = corpus(6) + [(3000 + i, "w " * (40 + i), f"s{i % 3}") for i in range(60)]
+    block = 16
+    documents, pieces = mixing.mix_sources(frame(spark, rows), [5, 2, 1], 3.0, block)
+    order = {r["doc_id"]: r["h"] for r in spark.createDataFrame([(r[0], len((r[1] or "").encode().split())) for r in rows], "doc_id long, size long").select("doc_id", F.pmod(F.xxhash64(F.lit(17), "doc_id", "size"), F.lit(1 << 40)).alias("h")).collect()}
+    sizes, lines = Counter(), defaultdict(list)
+    for i, text, source in rows:
+        size = len((text or "").encode().split())
+        sizes[source] += size
+        lines[source].append((order[i], i if i is not None else -1, size))
+    target = {s: int(t) for s, t in brute_targets(sizes, [5, 2, 1], 3.0).items()}
+    names = sorted(s for s in sizes if s is not None) + [None]
+    need = {s: target[s] // sizes[s] * -(-sizes[s] // block) + -(-(target[s] % sizes[s]) // block) for s in names}
+    total, edges, low = sum(need.values()), {}, 0.0
+    for s in names:
+        edges[s] = (round(low * 2**31), round((low + need[s] / total) * 2**31))
+        low += need[s] / total
+
+    def slots(points):
+        """slot of the r-th block of each source"""
+        out = defaultdict(list)
+        for slot, u in enumerate(points):
+            s = next(s for s in names if edges[s][0] <= u < edges[s][1])
+            if len(out[s]) < need[s]:
+                out[s].append(slot)
+        return {s: own + list(range(len(points) + len(own), len(points) + need[s])) for s, own in ((s, out[s]) for s in names)}
+
+    def first_slots(by_source):
+        found = {}
+        for s in names:
+            at, taken = 0, target[s]
+            for _, i, size in sorted(lines[s]):
+                if size and at < taken:
+                    found.setdefault((i, size), set()).add(by_source[s][at // block])
+                at += size
+        return found
+
+    want = first_slots(slots([i * 1327217885 % 2**31 for i in range(total)]))
+    got = [(r["doc_id"] if r["doc_id"] is not None else -1, r["size"], r["first_slot"]) for r in documents.collect() if r["first_slot"] is not None]
+    assert {(i, n) for i, n, _ in got} == set(want)
+    assert all(slot in want[i, n] for i, n, slot in got)
+    evenly = first_slots(slots([i * 2**31 // total for i in range(total)]))
+    assert sum(slot in evenly[i, n] for i, n, slot in got) < len(got) / 4
+
+
 def test_mixing_empty(spark):
     documents, pieces = mixing.mix_sources(frame(spark, [(1, None, "a"), (2, "  ", None)]), [5, 2, 1])
     assert sorted((r["doc_id"], r["size"], r["taken"]) for r in documents.collect()) == [(1, 0, 0), (2, 0, 0)] and pieces.count() == 0

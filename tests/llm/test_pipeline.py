@@ -30,7 +30,7 @@ def stages(spark, tmp_path_factory):
     rows += [[900, None, "xx", "src0", None], [901, "", "xx", "src0", 0], [902, "123 !!", None, "src0", 7], [5, *rows[5][1:]], [None, prose("xx", 90), "xx", "src2", 1]]
     path = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
-    docs, out = spark.read.parquet(f"{path}/documents.parquet"), {}
+    docs, out = spark.read.parquet(f"{path}/documents.parquet"), {"schema": "doc_id long, text string, lang string, source string, n_chars long"}
     out["documents"] = docs.collect()
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, path).write.parquet(f"{path}/out/{k}")
@@ -92,3 +92,40 @@ def test_pack_holds_every_token_once(stages):
             at += length
         assert at <= 2048
     assert Counter((r["doc_id"], r["ids_crc32"]) for r in stages["run"]) == Counter((r["doc_id"], r["ids_crc32"]) for r in stages["pack"])
+
+
+def test_mix_is_in_slot_order(spark, stages):
+    """The rows come in the order in which the schedule's slots take them, so that any stretch of them is mixed."""
+    import corpus_pipeline
+
+    rows = [(i, f"w{i} " * 50, "xx", f"s{i % 3}", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, stages["schema"])
+    got = [r["source"] for r in corpus_pipeline.mix(spark, docs, "").collect()]
+    shares = {s: got.count(s) / len(got) for s in set(got)}
+    for start in range(0, len(got) - 80, 40):
+        part = got[start : start + 80]
+        assert all(abs(part.count(s) / 80 - share) < 0.2 for s, share in shares.items())
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_empty_tables_and_more_columns(spark, stages, k):
+    import corpus_pipeline
+
+    stage = corpus_pipeline.STAGES[k][1]
+    empty = spark.createDataFrame([], stages["schema"])
+    assert stage(spark, empty, "").collect() == []
+    rows = [(i, " ".join(f"ba{j * (i + 1) % 37}do" for j in range(60)), "xx", f"s{i % 3}", 0) for i in range(20)] + [(20, None, None, None, None), (21, "", "xx", None, 0), (3, "ba do ki", "xx", "s0", 8)]
+    more = ["repeats", "language", "h", "n", "row", "apart", "slot", "size", "kept", "rep", "v", "score", "piece", "sequence_id", "k", "d", "source_size"]
+    docs = spark.createDataFrame(rows, stages["schema"]).selectExpr("*", *(f"'x' as {c}" for c in more))
+    plain = stage(spark, spark.createDataFrame(rows, stages["schema"]), "").drop("sequence_id", "offset")
+    found = stage(spark, docs, "")
+    assert k == 4 or found.columns == docs.columns
+    assert Counter(map(str, found.select(plain.columns).collect())) == Counter(map(str, plain.collect()))
+
+
+def test_rows_of_one_doc_id_with_different_texts(spark, stages):
+    import corpus_pipeline
+
+    rows = [(1, "a b c d e f", "xx", "s", 0), (1, "g h i j k l", "xx", "s", 0), (1, "a b c d e f", "xx", "s", 0), (2, "a b c d e f", "xx", "s", 0), (2, "m n o p q r", "xx", "s", 0)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, stages["schema"]), "").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got if r["doc_id"] == 1) == {(1, "a b c d e f"): 1, (1, "g h i j k l"): 1}

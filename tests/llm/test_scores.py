@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import ann_ivfpq, langid_kn, quality_embed, tool_calls, toxicity_fm
@@ -90,6 +91,146 @@ def test_toxicity(spark):
     assert scored.count() == docs.count() and held_out_accuracy(scored) > 0.97
     nothing = toxicity_fm.fit(docs, labels, "y", F.lit(False))
     assert {r["score"] for r in toxicity_fm.score(docs, nothing).collect()} == {0.5}
+    assert toxicity_fm.score(docs.limit(0), model).collect() == []
+    assert toxicity_fm.fit(docs.limit(0), labels.limit(0), "y", F.lit(True)).score(np.zeros((0, 5), np.int64), 0) == 0.5
+
+
+MASK = (1 << 64) - 1
+
+
+def plain_mix(x):
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = ((x ^ (x >> 33)) * factor) & MASK
+    return x ^ (x >> 33)
+
+
+def plain_quality(model, text):
+    """A document's score, feature by feature."""
+    words, total, count = (text or "").encode().split(), 0.0, 0
+
+    def add(name):
+        nonlocal total, count
+        total, count = total + model.weights[name % (model.buckets - 5) + 5], count + 1
+
+    names = []
+    for w in words:
+        marked = [ord(c) for c in f"<{w.decode()}>"]
+        for n in (3, 4, 5):
+            for i in range(len(marked) - n + 1):
+                name = n
+                for c in marked[i : i + n]:
+                    name = (name * 0x100000001B3 + c + 1) & MASK
+                add(plain_mix(name))
+        whole = sum(plain_mix((c + plain_mix(i)) & MASK) for i, c in enumerate(marked)) & MASK
+        add(plain_mix((whole + 77) & MASK))
+        names.append(whole & ((1 << 50) - 1))
+    for a, b in zip(names, names[1:], strict=False):
+        add(plain_mix((a * 0x9E3779B97F4A7C15 + plain_mix(b)) & MASK))
+    for a, b, c in zip(words, words[1:], words[2:], strict=False):
+        kind = 4 if a == b == c else 3 if a == c else 2 if a == b else 1 if b == c else 0
+        total, count = total + model.weights[kind], count + 1
+    return 1 / (1 + np.exp(-model.bias - (total / count if count else 0)))
+
+
+def test_quality_scores_against_brute_force(spark):
+    docs, labels = labelled(spark, lambda t: t.upper() + " é é é çà " * 3)
+    model = quality_embed.fit(docs, labels, "y", F.col("doc_id") % 3 != 1)
+    odd = [(1, "é"), (2, "a a"), (3, "x y x y y y"), (4, "日本 語 日本 語"), *ODD]
+    rows = quality_embed.score(spark.createDataFrame(odd, "doc_id long, text string").union(docs.limit(40)), model).collect()
+    for r in rows:
+        assert abs(r["score"] - plain_quality(model, r["text"])) < 1e-9
+
+
+def test_quality_sees_repetition_of_unknown_words(spark):
+    docs, labels = labelled(spark, lambda t: " ".join(f"{w} {w} {w}" for w in t.split()[:12]))
+    model = quality_embed.fit(docs, labels, "y", F.col("doc_id") % 3 != 1)
+    fresh = [(1, "uvw uvw uvw uvw jkq jkq jkq jkq"), (2, "uvw jkq rst opl mnb vcx zas qwe")]
+    got = {r["doc_id"]: r["score"] for r in quality_embed.score(spark.createDataFrame(fresh, "doc_id long, text string"), model).collect()}
+    assert got[1] > 0.5 > got[2]
+
+
+def plain_toxicity(model, text):
+    """A document's score, term by term and pair by pair."""
+    words = toxicity_fm.words_of(text)
+    times = {}
+    for w in words:
+        for stem in [w] + [w[:n] + "*" for n in toxicity_fm.STEMS if len(w) > n]:
+            times[stem] = times.get(stem, 0) + 1
+    terms = []
+    for stem, c in times.items():
+        at = np.flatnonzero(model.names == np.uint64(xxhash.xxh3_64_intdigest(stem)))
+        if len(at):
+            holds = [True, c >= 2, c >= 2 and 128 * c >= len(words), c >= 2 and 64 * c >= len(words)]
+            terms += [i for i, h in zip(model.inputs[at[0]], holds, strict=True) if h and i >= 0]
+    z = model.bias + sum(model.weights[i] for i in terms)
+    z += sum(float(model.factors[i] @ model.factors[j]) for a, i in enumerate(terms) for j in terms[a + 1 :])
+    return 1 / (1 + np.exp(-z))
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    docs, labels = labelled(spark, lambda t: t + " dreadword " + t + " dreadwords")
+    model = toxicity_fm.fit(docs, labels, "y", F.col("doc_id") % 3 != 1)
+    extra = spark.createDataFrame([*ODD[:5], (9007, "Dreadword dreadword! ba"), (9008, "dreadwordish")], "doc_id long, text string")
+    for r in toxicity_fm.score(extra.union(docs.limit(30)), model).collect():
+        assert abs(r["score"] - plain_toxicity(model, r["text"])) < 1e-9
+
+
+def plain_kneser_ney(counts, order, discount=0.75):
+    """log-probability of a marked word under interpolated Kneser-Ney, from dictionaries."""
+    words = {f"\2{w}\3": k for w, k in counts.items()}
+    floor, levels = 1 / (len(set("".join(words))) + 1000), []
+
+    def prob(s, i):
+        p = floor
+        for n, (probs, shares) in enumerate(levels):
+            if i >= n and s[i - n : i] in shares:
+                p = probs.get(s[i - n : i + 1], shares[s[i - n : i]] * p)
+        return p
+
+    for n in range(order):
+        count, longer = {}, {}
+        for s, k in words.items():
+            for i in range(max(n, 1), len(s)):
+                g = s[i - n : i + 1]
+                count[g] = count.get(g, 0) + k
+                if i > n:
+                    longer.setdefault(g, set()).add(s[i - n - 1 : i + 1])
+        if n + 1 < order:
+            count = {g: len(longer[g]) if g in longer else k for g, k in count.items()}
+        total, off = {}, {}
+        for g, k in count.items():
+            total[g[:-1]] = total.get(g[:-1], 0) + k
+            off[g[:-1]] = off.get(g[:-1], 0) + min(discount, k)
+        shares = {c: off[c] / total[c] for c in total}
+        probs = {g: (k - min(discount, k)) / total[g[:-1]] + shares[g[:-1]] * prob(g, len(g) - 1) for g, k in count.items()}
+        levels.append((probs, shares))
+    return lambda w: sum(np.log(prob(f"\2{w}\3", i)) for i in range(1, len(w) + 2))
+
+
+def test_kneser_ney_against_brute_force():
+    from collections import Counter
+
+    counts = Counter(langid_kn.words_of(prose("xx", 200) + " été straße ab a"))
+    asked = [*list(counts)[:50], "zzz", "bazz", "é", "dokizla", "ab"]
+    for order in (1, 2, 3, 5):
+        model, plain = langid_kn.KneserNey(counts, order), plain_kneser_ney(counts, order)
+        got, _ = model.words(langid_kn.Marked(asked, order), len(asked))
+        assert np.allclose(got, [plain(w) for w in asked], rtol=0, atol=1e-9)
+
+
+def test_language_decision_against_brute_force():
+    from collections import Counter
+
+    texts = {lang: [prose(lang, 30) for _ in range(6)] for lang in PARTS}  # too few to keep any back
+    model = langid_kn.LanguageModel([(lang, t) for lang, own in texts.items() for t in own])
+    plain = {lang: plain_kneser_ney(Counter(langid_kn.words_of(" ".join(own))), 5) for lang, own in texts.items()}
+    for text in [prose("yy", 9), prose("zz", 4) + " " + prose("xx", 5), "ei", "ba schr"]:
+        words = langid_kn.words_of(text)
+        points = sum(len(w) + 1 for w in words)
+        entropy = {lang: -sum(p(w) for w in words) / points for lang, p in plain.items()}
+        lang, score, best, _ = model.decide(model.table(words).sum(0))
+        assert lang == min(entropy, key=lambda x: (entropy[x], x)) and abs(best - entropy[lang]) < 1e-9
+        assert abs(score - 1 / sum(np.exp(-(e - best) * model.temperature) for e in entropy.values())) < 1e-9
 
 
 def test_factorization_machine_learns_pairs():
@@ -152,6 +293,10 @@ def test_tool_calls(spark):
         spark.createDataFrame(results, "conv_id long, call_id string, seq long, content string"),
         schemas,
     ).collect()
+    odd = sorted((r["conv_id"] or 0, r["call_id"] or "", r["seq"], r["level"], r["valid"], r["errors"]) for r in got if "no_id" in r["errors"] or "duplicate" in r["errors"])
+    assert odd == [(0, "x", 1, None, False, "no_id"), (1, "x", 11, None, False, "duplicate_id"), (1, "x", 21, None, False, "duplicate_result"), (2, "", 1, None, False, "no_id"), (2, "", 3, None, False, "no_id")]
+    assert json.loads(next(r["record"] for r in got if r["errors"] == "duplicate_id")) == {"arguments": {"a": 99}, "errors": ["duplicate_id"], "id": "x", "name": "add"}
+    got = [r for r in got if "no_id" not in r["errors"] and "duplicate" not in r["errors"]]
     by = {r["call_id"]: r for r in got}
     assert len(by) == len(got) == 11
     assert {k: r["level"] for k, r in by.items()} == {"x": 0, "y": 1, "z": 0, "p": None, "q": None, "r": 0, "s": 0, "t": 0, "u": 0, "w": 0, "lost": None}
@@ -167,7 +312,9 @@ def test_tool_calls(spark):
     deep = {r["call_id"]: r["level"] for r in tool_calls.levels(spark.createDataFrame(chain, "conv_id long, call_id string, refs array<string>")).collect()}
     assert deep == {f"c{i}": i for i in range(70)} | {"m": 70, "n": 71, "k": 72}
     turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "hi"), (1, 2, "assistant", "yo"), (1, 3, "user", None), (None, 1, "user", "x"), (2, None, "assistant", "x"), (3, 5, "user", "")], "conv_id long, turn long, role string, text string")
-    linked = {r["call_id"]: r for r in tool_calls.link_calls(*tool_calls.conversation_calls(turns), tool_calls.CONVERSATION_TOOLS).collect()}
+    linked = tool_calls.link_calls(*tool_calls.conversation_calls(turns), tool_calls.CONVERSATION_TOOLS).collect()
+    assert sum(r["errors"] == "no_id" for r in linked) == 2
+    linked = {r["call_id"]: r for r in linked if r["errors"] != "no_id"}
     assert {k: (r["level"], r["errors"]) for k, r in linked.items()} == {"1-1": (0, ""), "1-3": (1, "missing:text,missing:words,no_result"), "3-5": (0, "no_result,unknown_reference:3-3")}
 
 
@@ -191,3 +338,20 @@ def test_rare_toxic_words_count():
 
     assert all(toxic(text(w, w)) for w in [*insults, "dreadword"])
     assert np.mean([toxic(text()) for _ in range(300)]) < 0.02
+
+
+def test_references_are_read_from_parsed_arguments(spark):
+    cases = {
+        '{"a": {"$ref" : "\\u00e9"}}': ["é"],
+        '{"a": [{"\\u0024ref":"x\\"y"}, {"b": {"$ref":"a\\\\b"}}]}': ["a\\b", 'x"y'],
+        '{"a": "{\\"$ref\\": \\"no\\"}"}': [],
+        '{"a": {"$ref": "x", "more": 1}, "b": {"$ref": 5}}': [],
+        '{"a": {"$ref": "x"}, "b": {"$ref": "x"}}': ["x"],
+        "{broken": None,
+        None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "a string").select("a", tool_calls.references(F.col("a")).alias("refs"))
+    assert {r["a"]: r["refs"] for r in df.collect()} == cases
+    calls = spark.createDataFrame([(1, "é", 1, "t", "{}"), (1, "y", 2, "t", '{"a": {"$ref": "\\u00e9"}}')], "conv_id long, call_id string, seq long, name string, arguments string")
+    linked = {r["call_id"]: (r["level"], r["errors"]) for r in tool_calls.link_calls(calls, spark.createDataFrame([], "conv_id long, call_id string, seq long, content string"), {"t": {"a": ("object", False)}}).collect()}
+    assert linked == {"é": (0, "no_result"), "y": (1, "no_result")}
