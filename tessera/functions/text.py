@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 import unicodedata
 
 import pandas as pd
@@ -103,6 +104,19 @@ def holds_any(x: Column, patterns: list[str]) -> Column:
     return out
 
 
+def pattern_hits(x: Column, patterns: list[str]) -> Column:
+    """The patterns that a text holds, in order; one that isn't a regular expression is looked for as it stands."""
+    found = []
+    for p in patterns:
+        try:
+            re.compile(p)
+            holds = x.rlike(p)
+        except re.error:
+            holds = F.contains(x, F.lit(p))
+        found.append(F.when(holds, F.lit(p)))
+    return F.array_compact(F.array(*found))
+
+
 def sequence_ratio(a: Column, b: Column) -> Column:
     """difflib's ratio of two texts; null if either is null."""
 

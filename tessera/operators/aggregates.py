@@ -57,9 +57,9 @@ def dominant(df: DataFrame, keys: list[str], value: str, thresholds: dict[str, t
 
 
 def weighted_profile(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """keys, profile: mean by weight over the rows that have the value."""
+    """keys, profile: mean by weight over the rows that have the value; null where their weights are all 0."""
     there = F.col(value).isNotNull()
-    return df.groupBy(*keys).agg((F.sum(F.when(there, F.col(value) * F.col(weight))) / F.sum(F.when(there, F.col(weight)))).alias("profile"))
+    return df.groupBy(*keys).agg(F.try_divide(F.sum(F.when(there, F.col(value) * F.col(weight))), F.sum(F.when(there, F.col(weight)))).alias("profile"))
 
 
 def pearson(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
@@ -70,9 +70,9 @@ def pearson(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 
 
 def peak_bins(df: DataFrame, keys: list[str], at: Column, value: str, width: int) -> DataFrame:
-    """keys, bin, peak, share: the largest absolute value of each bin, and that over the key's largest."""
+    """keys, bin, peak, share: the largest absolute value of each bin, and that over the key's largest; null where that is 0."""
     bins = df.groupBy(*keys, F.floor(at / width).alias("bin")).agg(F.max(F.abs(value)).alias("peak"))
-    return bins.withColumn("share", F.col("peak") / F.max("peak").over(Window.partitionBy(*keys)))
+    return bins.withColumn("share", F.try_divide("peak", F.max("peak").over(Window.partitionBy(*keys))))
 
 
 def vector_parts(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -90,13 +90,34 @@ def median_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return vector_parts(df, keys, vector).groupBy(*keys, "i").agg(F.percentile(F.col("x").cast("double"), 0.5).alias("x"))
 
 
+#: Classes whose means fit a literal array; more go through a join on the component
+_FEW_CLASSES = 512
+
+
 def nearest_class(df: DataFrame, ident: str, vector: str, label: str) -> DataFrame:
     """ident, nearest, distance: the class whose mean vector is nearest by Euclid; ties to the smaller label.
 
-    One mean for each class goes to all tasks only if Spark finds the table small enough to broadcast.
+    The means of up to 512 classes are counted and then sent to all tasks, so that vectors stay where they are.
     """
+    means = mean_vectors(df, [label], vector)
+    arrays = means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("m"))
+    if df.select(label).distinct().limit(_FEW_CLASSES + 1).count() <= _FEW_CLASSES:
+        classes = arrays.agg(F.collect_list(F.struct(F.col(label).alias("label"), "m")).alias("classes"))
+        rows = df.select(ident, vector).crossJoin(F.broadcast(classes))  # one row
+        d = F.transform("classes", lambda c: F.struct(F.round(F.sqrt(F.aggregate(F.zip_with(vector, c["m"], lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda a, y: a + y)), 9).alias("d"), c["label"].alias("label")))
+        return rows.select(ident, F.array_min(d).alias("b")).select(ident, F.col("b.label").alias("nearest"), F.col("b.d").alias("distance"))
     parts = vector_parts(df, [ident], vector)
-    means = mean_vectors(df, [label], vector).select(label, "i", F.col("x").alias("m"))
-    far = parts.join(means, "i").groupBy(ident, label).agg(F.sqrt(F.sum((F.col("x") - F.col("m")) * (F.col("x") - F.col("m")))).alias("d"))
+    far = parts.join(means.select(label, "i", F.col("x").alias("m")), "i").groupBy(ident, label).agg(F.sqrt(F.sum((F.col("x") - F.col("m")) * (F.col("x") - F.col("m")))).alias("d"))
     best = far.groupBy(ident).agg(F.min(F.struct(F.round("d", 9).alias("d"), label)).alias("b"))
     return best.select(ident, F.col(f"b.{label}").alias("nearest"), F.col("b.d").alias("distance"))
+
+
+def raster_cover(df: DataFrame, keys: list[str], *, columns: int, rows: int) -> DataFrame:
+    """keys, covered: the share of a raster's cells that any box (x1, y1, x2, y2, in ratios) of the key meets."""
+
+    def cells(low: str, high: str, many: int) -> Column:
+        first, last = F.floor(F.col(low) * many).cast("int"), (F.ceil(F.col(high) * many) - 1).cast("int")
+        return F.explode(F.when(last >= first, F.sequence(first, last)))
+
+    spread = df.select(*keys, "y1", "y2", cells("x1", "x2", columns).alias("_i")).select(*keys, "_i", cells("y1", "y2", rows).alias("_j")).distinct()
+    return spread.groupBy(*keys).agg((F.count("*") / (columns * rows)).alias("covered"))

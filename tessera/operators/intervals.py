@@ -13,28 +13,39 @@ from pyspark.sql.window import Window
 HOUR = 3_600_000_000
 
 
-def interval_union(df: DataFrame, keys: list[str], start: str = "s", end: str = "e", *, gap: int = 0, pad: int = 0, clamp: tuple[int, int] | None = None, min_len: int = 0) -> DataFrame:
+def interval_union(df: DataFrame, keys: list[str], start: str = "s", end: str = "e", *, gap: int = 0, pad: int = 0, clamp: tuple[int, int] | None = None, min_len: int = 0, payload: str | None = None) -> DataFrame:
     """keys, island (from 1, in time order), start, end, n: intervals of a key merged where they touch within `gap`.
 
+    payload: a column whose values each island lists in time order, joined by commas.
+
     Each interval first grows by `pad` on both sides and is cut to `clamp`; what is then shorter than `min_len`, or
     has an end before its start, is left out.
     """
     s, e = F.col(start) - pad, F.col(end) + pad
     if clamp:
         s, e = F.greatest(s, F.lit(clamp[0])), F.least(e, F.lit(clamp[1]))
-    rows = df.select(*keys, s.alias("_s"), e.alias("_e")).where(F.col("_e") - F.col("_s") >= min_len)
+    more = [F.col(payload).cast("string").alias("_p")] if payload else []
+    rows = df.select(*keys, s.alias("_s"), e.alias("_e"), *more).where(F.col("_e") - F.col("_s") >= min_len)
     order = Window.partitionBy(*keys).orderBy("_s", "_e")
     reach = F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(reach.isNull() | (F.col("_s") > reach + gap), 1).otherwise(0)
     islands = rows.withColumn("_new", fresh).withColumn("island", F.sum("_new").over(order))
-    return islands.groupBy(*keys, "island").agg(F.min("_s").alias(start), F.max("_e").alias(end), F.count("*").alias("n"))
+    listed = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_s", "_e", "_p"))), lambda x: x["_p"]), ",").alias(payload)] if payload else []
+    return islands.groupBy(*keys, "island").agg(F.min("_s").alias(start), F.max("_e").alias(end), F.count("*").alias("n"), *listed)
+
 
+def interval_complement(df: DataFrame, keys: list[str], start: str = "s", end: str = "e", *, min_len: int = 1, within: tuple[int, int] | None = None) -> DataFrame:
+    """keys, start, end: the free ranges of at least `min_len` between a key's first start and last end, or in `within` from end to end.
 
-def interval_complement(df: DataFrame, keys: list[str], start: str = "s", end: str = "e", *, min_len: int = 1) -> DataFrame:
-    """keys, start, end: the free ranges between a key's first start and last end."""
-    merged = interval_union(df, keys, start, end)
-    order = Window.partitionBy(*keys).orderBy(start)
-    free = merged.withColumn("_from", F.lag(end).over(order)).where(F.col(start) - F.col("_from") >= min_len)
+    A key without rows has no row here either.
+    """
+    merged = interval_union(df, keys, start, end, clamp=within)
+    if within:
+        edges = df.select(*keys).distinct().select(*keys, F.explode(F.array(*(F.struct(F.lit(x).cast("long").alias(start), F.lit(x).cast("long").alias(end)) for x in within))).alias("_x"))
+        merged = merged.select(*keys, start, end).union(edges.select(*keys, f"_x.{start}", f"_x.{end}"))
+    order = Window.partitionBy(*keys).orderBy(start, end)
+    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    free = merged.withColumn("_from", reach).where(F.col(start) - F.col("_from") >= min_len)
     return free.select(*keys, F.col("_from").alias(start), F.col(start).alias(end))
 
 
@@ -162,12 +173,16 @@ def ripple(df: DataFrame, keys: list[str], order: list[str], length: str) -> Dat
 
 
 def weighted_split(df: DataFrame, keys: list[str], order: list[str], weight: str, total: int) -> DataFrame:
-    """df with `s` and `e`: [0, total) shared among a key's rows by weight (whole numbers), in order, gapless."""
+    """df with `s` and `e`: [0, total) shared among a key's rows by weight (whole numbers), in order, gapless.
+
+    Rows of a key whose weights are all 0 share evenly.
+    """
     upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    done, everything = F.sum(weight).over(upto), F.sum(weight).over(Window.partitionBy(*keys))
-    rows = df.withColumn("_done", done).withColumn("_all", everything)
-    at = [F.floor(x * total / F.col("_all")).cast("long") for x in (F.col("_done") - F.col(weight), F.col("_done"))]
-    return rows.withColumn("s", at[0]).withColumn("e", at[1]).drop("_done", "_all")
+    whole = Window.partitionBy(*keys)
+    own = F.when(F.sum(weight).over(whole) == 0, F.lit(1)).otherwise(F.col(weight))
+    rows = df.withColumn("_w", own).withColumn("_done", F.sum("_w").over(upto)).withColumn("_all", F.sum("_w").over(whole))
+    at = [F.floor(x * total / F.col("_all")).cast("long") for x in (F.col("_done") - F.col("_w"), F.col("_done"))]
+    return rows.withColumn("s", at[0]).withColumn("e", at[1]).drop("_w", "_done", "_all")
 
 
 def clamp_readable(df: DataFrame, keys: list[str], ident: str, *, shortest: int, space: int) -> DataFrame:
