@@ -65,8 +65,8 @@ def manifest_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.prioritised_lookup(mine, there, [["id", "role", "path"], ["id"], ["role", "path"]], ["p_size"]).select("p_partkey", "p_size", "rule")
 
 
-@query("""SELECT arg_min(l_linenumber * 1000000000 + l_partkey * 100 + l_suppkey % 100, o) AS kept, count(*) AS n, substr(string_agg((l_linenumber * 1000000000 + l_partkey * 100 + l_suppkey % 100)::VARCHAR, ',' ORDER BY o), length(arg_min(l_linenumber * 1000000000 + l_partkey * 100 + l_suppkey % 100, o)::VARCHAR) + 2) AS dropped
-FROM (SELECT *, struct_pack(q := l_quantity, d := l_discount, i := l_linenumber * 1000000000 + l_partkey * 100 + l_suppkey % 100) AS o FROM lineitem) GROUP BY l_orderkey, l_returnflag""")
+@query("""SELECT arg_min(l_linenumber::BIGINT * 1000000000 + l_partkey * 100 + l_suppkey % 100, o) AS kept, count(*) AS n, substr(string_agg((l_linenumber::BIGINT * 1000000000 + l_partkey * 100 + l_suppkey % 100)::VARCHAR, ',' ORDER BY o), length(arg_min(l_linenumber::BIGINT * 1000000000 + l_partkey * 100 + l_suppkey % 100, o)::VARCHAR) + 2) AS dropped
+FROM (SELECT *, struct_pack(q := l_quantity, d := l_discount, i := l_linenumber::BIGINT * 1000000000 + l_partkey * 100 + l_suppkey % 100) AS o FROM lineitem) GROUP BY l_orderkey, l_returnflag""")
 def best_of_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each order's lines with one flag the first by quantity and discount, and the others listed."""
     ident = F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 100 + F.col("l_suppkey") % 100
