@@ -145,3 +145,87 @@ def timecode(us: Column) -> Column:
     """HH:MM:SS,mmm of microseconds, rounded to the nearest millisecond, halves up."""
     ms = F.floor((us + 500) / 1000)
     return F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
+
+
+def without_phrases(x: Column, phrases: list[str]) -> Column:
+    """Normalised text without the given phrases, longer ones first."""
+    x = normalized(x)
+    for p in sorted(phrases, key=len, reverse=True):
+        x = F.replace(x, F.lit(p), F.lit(""))
+    return x
+
+
+def ellipsis(x: Column, limit: int) -> Column:
+    """At most `limit` characters, the last three of them dots if something is cut; pipes escaped for a Markdown table."""
+    flat = clean(x)
+    short = F.when(F.length(flat) > limit, F.concat(F.rtrim(F.substring(flat, 1, limit - 3)), F.lit("..."))).otherwise(flat)
+    return F.replace(short, F.lit("|"), F.lit("\\|"))
+
+
+def common_run(a: Column, b: Column, *, least: int, most: int) -> Column:
+    """Length of the longest piece of a, of `least` to `most` characters, that b holds; 0 if there is none."""
+    out = F.lit(0)
+    for n in range(least, most + 1):
+        out = F.when((F.length(a) >= n) & F.exists(ngrams(a, n), lambda p: F.contains(b, p)), F.lit(n)).otherwise(out)
+    return out
+
+
+def prefix_place(x: Column, stream: Column, *, longest: int = 16, shortest: int = 3) -> Column:
+    """(size, place): the longest prefix of x found in the stream, and where (from 1); null if not even the shortest is."""
+    out = F.lit(None).cast("struct<size: int, place: int>")
+    for n in range(shortest, longest + 1):
+        at = F.call_function("instr", stream, F.substring(x, 1, n))
+        out = F.when((F.length(x) >= n) & (at > 0), F.struct(F.lit(n).alias("size"), at.alias("place"))).otherwise(out)
+    return out
+
+
+def key_score(x: Column, keys: list[str], part: float = 0.4) -> Column:
+    """Share of the keys that a text holds; one of which it holds only the first half counts for `part`."""
+    total = F.lit(0.0)
+    for k in keys:
+        half = k[: (len(k) + 1) // 2]
+        total = total + F.when(F.contains(x, F.lit(k)), 1.0).when(F.contains(x, F.lit(half)), part).otherwise(0.0)
+    return total / len(keys)
+
+
+def rewrite_by_keywords(x: Column, rules: list[tuple[list[str], str]]) -> Column:
+    """The text of the first rule all of whose keywords x holds, else x."""
+    out = x
+    for words, new in reversed(rules):
+        holds = F.lit(True)
+        for w in words:
+            holds = holds & F.contains(x, F.lit(w))
+        out = F.when(holds, F.lit(new)).otherwise(out)
+    return out
+
+
+def slug(x: Column) -> Column:
+    """Lower-case letters and digits, runs of anything else as one underscore, none at the ends; `item` for what has none."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+    return F.when(s == "", "item").otherwise(s)
+
+
+def terms(x: Column) -> Column:
+    """The parts between commas, ideographic commas and line ends, trimmed, without empty ones, each once."""
+    return F.array_distinct(F.filter(F.transform(F.split(x, "[,、\n]"), lambda t: F.trim(t)), lambda t: t != ""))
+
+
+def script_of(c: Column) -> Column:
+    """The script class of a character."""
+    out = F.lit("other")
+    for name, pattern in [("digit", r"^\d"), ("latin", r"^\p{IsLatin}"), ("kanji", r"^\p{IsHan}"), ("katakana", r"^\p{IsKatakana}"), ("hiragana", r"^\p{IsHiragana}"), ("space", r"^\s")]:
+        out = F.when(c.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def bad_line_start(line: Column) -> Column:
+    """Whether a line begins with what belongs to the line before: closing marks, commas, stops, small kana."""
+    return line.rlike(r"^[、。，．,.!！?？」』）)・…:：;；ぁぃぅぇぉっゃゅょァィゥェォッャュョー]")
+
+
+def time_ranges(x: Column, seconds) -> Column:
+    """Array of (s, e, reason) of lines `a - b | reason`; comments after #, lines that aren't ranges are left out. seconds: a time parser."""
+    lines = F.transform(F.split(x, "\n"), lambda r: F.trim(F.regexp_replace(r, "#.*$", "")))
+    pattern = r"^([^|]*?)\s+-\s+([^|]*?)\s*(?:\|\s*(.*))?$"
+    rows = F.transform(lines, lambda r: F.struct(seconds(F.regexp_extract(r, pattern, 1)).alias("s"), seconds(F.regexp_extract(r, pattern, 2)).alias("e"), F.regexp_extract(r, pattern, 3).alias("reason")))
+    return F.filter(rows, lambda r: r["s"].isNotNull() & r["e"].isNotNull())
