@@ -121,3 +121,27 @@ def raster_cover(df: DataFrame, keys: list[str], *, columns: int, rows: int) ->
 
     spread = df.select(*keys, "y1", "y2", cells("x1", "x2", columns).alias("_i")).select(*keys, "_i", cells("y1", "y2", rows).alias("_j")).distinct()
     return spread.groupBy(*keys).agg((F.count("*") / (columns * rows)).alias("covered"))
+
+
+def attribute(df: DataFrame, ident: str, vector: str, label: str) -> DataFrame:
+    """ident, nearest, score, margin: the class whose mean is nearest after each component is brought to mean 0 and deviation 1.
+
+    score is 1 / (1 + distance); margin is what it is ahead of the second class, null where there is only one. At most 512 classes.
+    Components without spread count as 0; vectors hold no nulls and are of one length.
+    """
+    parts = vector_parts(df, [label], vector)
+    scale = parts.groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("mu"), F.stddev_pop(F.col("x").cast("double")).alias("sd"))
+    means = parts.groupBy(label, "i").agg(F.avg(F.col("x").cast("double")).alias("x")).join(scale, "i")
+    unit = F.when(F.col("sd") > 1e-12, 1 / F.col("sd")).otherwise(0.0)
+    arrays = means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.struct(F.col("x").alias("x"), unit.alias("u")).alias("c")))), lambda p: p["c"]).alias("m"))
+    if arrays.limit(_FEW_CLASSES + 1).count() > _FEW_CLASSES:
+        raise ValueError(f"more than {_FEW_CLASSES} classes")
+    classes = arrays.agg(F.collect_list(F.struct(F.col(label).alias("label"), "m")).alias("classes"))
+
+    def far(c: Column) -> Column:
+        squares = F.zip_with(vector, c["m"], lambda x, m: (x - m["x"]) * m["u"] * (x - m["x"]) * m["u"])
+        return F.struct(F.round(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, y: a + y)), 9).alias("d"), c["label"].alias("label"))
+
+    rows = df.select(ident, vector).crossJoin(F.broadcast(classes)).select(ident, F.array_sort(F.transform("classes", far)).alias("d"))  # classes: one row
+    score = [1 / (1 + F.try_element_at("d", F.lit(k))["d"]) for k in (1, 2)]
+    return rows.select(ident, F.try_element_at("d", F.lit(1))["label"].alias("nearest"), F.round(score[0], 6).alias("score"), F.round(score[0] - score[1], 6).alias("margin"))

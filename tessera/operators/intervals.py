@@ -13,10 +13,11 @@ from pyspark.sql.window import Window
 HOUR = 3_600_000_000
 
 
-def interval_union(df: DataFrame, keys: list[str], start: str = "s", end: str = "e", *, gap: int = 0, pad: int = 0, clamp: tuple[int, int] | None = None, min_len: int = 0, payload: str | None = None) -> DataFrame:
+def interval_union(df: DataFrame, keys: list[str], start: str = "s", end: str = "e", *, gap: int = 0, pad: int = 0, clamp: tuple[int, int] | None = None, min_len: int = 0, payload: str | None = None, span: int | None = None) -> DataFrame:
     """keys, island (from 1, in time order), start, end, n: intervals of a key merged where they touch within `gap`.
 
-    payload: a column whose values each island lists in time order, joined by commas.
+    payload: a column whose values each island lists in time order, joined by commas. span: a stretch of time that one task
+    may hold of a key; without it a key's rows meet in one task. keys may be empty with it.
 
     Each interval first grows by `pad` on both sides and is cut to `clamp`; what is then shorter than `min_len`, or
     has an end before its start, is left out.
@@ -26,10 +27,21 @@ def interval_union(df: DataFrame, keys: list[str], start: str = "s", end: str =
         s, e = F.greatest(s, F.lit(clamp[0])), F.least(e, F.lit(clamp[1]))
     more = [F.col(payload).cast("string").alias("_p")] if payload else []
     rows = df.select(*keys, s.alias("_s"), e.alias("_e"), *more).where(F.col("_e") - F.col("_s") >= min_len)
-    order = Window.partitionBy(*keys).orderBy("_s", "_e")
+    # within a key, or within a stretch of time of a key: what ended last before comes from the stretches ahead
+    own = [*keys, "_b"] if span else keys
+    if span:
+        rows = rows.withColumn("_b", F.floor(F.col("_s") / span))
+        ahead = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        ends = rows.groupBy(*own).agg(F.max("_e").alias("_m")).withColumn("_carry", F.max("_m").over(ahead)).drop("_m")
+        rows = rows.join(ends, own)
+    order = Window.partitionBy(*own).orderBy("_s", "_e")
     reach = F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.greatest(reach, F.col("_carry")) if span else reach
     fresh = F.when(reach.isNull() | (F.col("_s") > reach + gap), 1).otherwise(0)
     islands = rows.withColumn("_new", fresh).withColumn("island", F.sum("_new").over(order))
+    if span:
+        before = islands.groupBy(*own).agg(F.sum("_new").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+        islands = islands.join(before, own).withColumn("island", F.col("island") + F.col("_base"))
     listed = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_s", "_e", "_p"))), lambda x: x["_p"]), ",").alias(payload)] if payload else []
     return islands.groupBy(*keys, "island").agg(F.min("_s").alias(start), F.max("_e").alias(end), F.count("*").alias("n"), *listed)
 
@@ -127,6 +139,36 @@ def transitions(df: DataFrame, keys: list[str], role: str, ident: str) -> DataFr
     return pairs.groupBy(F.col(role).alias("from_role"), "to_role").agg(F.count("*").alias("n"))
 
 
+def adjacent_pairs(df: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """keys, place (from 1), from_id, to_id, at: each row of a key, but its last, with the one that follows it and where that begins."""
+    order = Window.partitionBy(*keys).orderBy("s", "e", ident)
+    rows = df.select(*keys, F.row_number().over(order).alias("place"), F.col(ident).alias("from_id"), F.lead(ident).over(order).alias("to_id"), F.lead("s").over(order).alias("at"))
+    return rows.where("to_id is not null")
+
+
+def with_gaps(df: DataFrame, keys: list[str], ident: str, *, slack: int = 0) -> DataFrame:
+    """keys, place (from 0), ident, s, length: rows in order, with a row without ident where more than `slack` is free ahead of one (from 0 on)."""
+    order = Window.partitionBy(*keys).orderBy("s", "e", ident)
+    reach = F.coalesce(F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = df.select(*keys, F.col(ident), "s", "e", reach.alias("_r"))
+    gap = F.when(F.col("s") > F.col("_r") + slack, F.struct(F.lit(None).cast("long").alias("ident"), F.col("_r").alias("s"), (F.col("s") - F.col("_r")).alias("length")))
+    clip = F.struct(F.col(ident).alias("ident"), F.col("s"), (F.col("e") - F.col("s")).alias("length"))
+    parts = rows.select(*keys, F.col("s").alias("_s"), F.col("e").alias("_e"), F.col(ident).alias("_i"), F.posexplode(F.array_compact(F.array(gap, clip))).alias("_k", "_x"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_s", "_e", "_i", "_k")) - 1
+    return parts.select(*keys, place.alias("place"), F.col("_x.ident").alias(ident), F.col("_x.s").alias("s"), F.col("_x.length").alias("length"))
+
+
+def continue_captions(captions: DataFrame, events: DataFrame, keys: list[str], *, space: int, shortest: int) -> DataFrame:
+    """keys, caption, event, s, e: captions shown until the next one of their key less `space` (but for `shortest` at least), one row for each event they meet.
+
+    captions: keys, caption, s, e; events: keys, event, s, e. The last caption of a key keeps its own end.
+    """
+    following = F.min(F.col("s")).over(Window.partitionBy(*keys).orderBy("s").rangeBetween(1, Window.unboundedFollowing))
+    shown = captions.select(*keys, "caption", F.col("s").alias("ls"), F.when(following.isNull(), F.col("e")).otherwise(F.greatest(F.col("s") + shortest, following - space)).alias("le"))
+    there = events.select(*keys, "event", F.col("s").alias("rs"), F.col("e").alias("re"))
+    return overlap_join(shown, there, keys).select(*keys, "caption", "event", F.greatest("ls", "rs").alias("s"), F.least("le", "re").alias("e"))
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], ident: str, at: str = "s") -> DataFrame:
     """keys, ident, near, distance: for each row of left the row of right nearest in time, either way; ties go to the earlier, then the smaller ident.
 

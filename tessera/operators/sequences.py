@@ -78,3 +78,24 @@ def number_or(x: Column, default: float) -> Column:
     """A finite double out of a text, or the default."""
     value = x.try_cast("double")
     return F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")), value).otherwise(default)
+
+
+#: Sampled keys that the driver holds to cut an order into stretches
+_SAMPLE = 10_000
+
+
+def global_rank(df: DataFrame, key: str, ties: list[str], into: str, *, stretches: int = 64) -> DataFrame:
+    """df with `into`: the place (from 1) of each row in the order of `key` (a text), then ties; no task holds more than a stretch of it.
+
+    The stretches are cut at keys of a bounded sample, fixed by hash; their sizes are counted, and each row is ranked in its own.
+    """
+    many = df.count()
+    every = max(1, many // _SAMPLE)
+    sample = sorted(r[0] for r in df.where(F.pmod(F.xxhash64(key, *ties), F.lit(every)) == 0).select(key).where(F.col(key).isNotNull()).limit(2 * _SAMPLE).collect())
+    cuts = sorted({sample[i * len(sample) // stretches] for i in range(1, stretches)}) if sample else []
+    at = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<string>"), lambda c: c <= F.col(key)))
+    rows = df.withColumn("_stretch", F.when(F.col(key).isNull(), -1).otherwise(at))
+    sizes = rows.groupBy("_stretch").agg(F.count("*").alias("_n"))
+    base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_stretch").orderBy(key, *ties))
+    return rows.withColumn("_k", place).join(F.broadcast(base), "_stretch").withColumn(into, F.col("_k") + F.col("_base")).drop("_stretch", "_k", "_base")

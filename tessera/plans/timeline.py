@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.intervals import interval_union, overlap_violations
+from tessera.operators.intervals import interval_union, overlap_join, overlap_violations
 
 
-def validate(clips: DataFrame, tracks: DataFrame, sources: DataFrame, duration: int) -> DataFrame:
+def validate(clips: DataFrame, tracks: DataFrame, sources: DataFrame, duration: int, *, kinds: dict[str, list[str]] | None = None) -> DataFrame:
     """clip_id, code: what is wrong. clips: clip_id, track_id, source_id, s, e, allow_overlap; tracks: track_id; sources: source_id.
 
-    Codes: duplicate_id, empty_range, before_start, after_end, unknown_track, unknown_source, overlap.
+    Codes: duplicate_id, empty_range, before_start, after_end, unknown_track, unknown_source, overlap; with `kinds` (a clip's
+    kind -> kinds of source that suit it; both frames have `kind`) also wrong_kind.
     Overlap is judged between neighbours of a track by (s, e, clip_id), after clips that allow it are left out.
     """
     twice = clips.groupBy("clip_id").agg(F.count("*").alias("n")).where("n > 1").select("clip_id", F.lit("duplicate_id").alias("code"))
@@ -20,16 +21,58 @@ def validate(clips: DataFrame, tracks: DataFrame, sources: DataFrame, duration:
     lost_track = clips.join(tracks, "track_id", "left_anti").select("clip_id", F.lit("unknown_track").alias("code"))
     lost_source = clips.where("source_id is not null").join(sources, "source_id", "left_anti").select("clip_id", F.lit("unknown_source").alias("code"))
     over = overlap_violations(clips.where("not coalesce(allow_overlap, false)"), ["track_id"], "clip_id").select("clip_id", F.lit("overlap").alias("code"))
-    return twice.union(own).union(lost_track).union(lost_source).union(over)
+    found = twice.union(own).union(lost_track).union(lost_source).union(over)
+    if kinds:
+        suits = F.lit(False)
+        for kind, good in kinds.items():
+            suits = suits | ((F.col("kind") == kind) & F.col("_kind").isin(*good))
+        known = F.col("kind").isin(*kinds)
+        pairs = clips.select("clip_id", "source_id", "kind").join(sources.select("source_id", F.col("kind").alias("_kind")).distinct(), "source_id")
+        found = found.union(pairs.where(known & ~suits).select("clip_id", F.lit("wrong_kind").alias("code")))
+    return found
 
 
-def changed_regions(before: DataFrame, after: DataFrame, key: str, *, pad: int, duration: int) -> DataFrame:
-    """region, s, e, n: merged ranges in which the two versions differ (rows: key, s, e, print); touching ranges merge."""
-    a, b = before.select(key, F.struct("s", "e", "print").alias("a")), after.select(key, F.struct("s", "e", "print").alias("b"))
-    moved = a.join(b, key, "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
-    ranges = moved.select(F.explode(F.array_compact(F.array("a", "b"))).alias("r")).select(F.lit(1).alias("_all"), "r.s", "r.e").where("e > s")
-    merged = interval_union(ranges, ["_all"], pad=pad, clamp=(0, duration), min_len=1)
-    return merged.select(F.col("island").alias("region"), "s", "e", "n")
+def changed_regions(before: DataFrame | None, after: DataFrame, key: str, *, pad: int, duration: int, source: str | None = None, changed_sources: DataFrame | None = None, span: int) -> DataFrame:
+    """region, s, e, n, reasons: merged ranges in which a version differs from the one before (rows: key, s, e, print); touching ranges merge.
+
+    A changed row counts from the earlier of its starts to the later of its ends. reasons: `clip_added:key` and so on, in
+    time order; of rows that are equal, those whose `source` is among changed_sources (a column of that name) count as
+    `clip_source_changed`. Without a version before, all of [0, duration) is one region, `missing_previous_timeline`.
+    span: the stretch of time that one task holds.
+    """
+    if before is None:
+        spark = after.sparkSession
+        return spark.sql(f"select 1L as region, 0L as s, cast({duration} as long) as e, 1L as n, 'missing_previous_timeline' as reasons")
+    fields = ["s", "e", "print"] + ([source] if source else [])
+    a, b = before.select(key, F.struct(*fields).alias("a")), after.select(key, F.struct(*fields).alias("b"))
+    both = a.join(b, key, "full_outer")
+    reason = F.when(F.col("a").isNull(), "clip_added").when(F.col("b").isNull(), "clip_removed").when(~F.col("a").eqNullSafe(F.col("b")), "clip_changed")
+    if source and changed_sources is not None:
+        both = both.withColumn("_source", F.col(f"b.{source}")).join(changed_sources.select(F.col(source).alias("_source"), F.lit(True).alias("_new")).distinct(), "_source", "left")
+        reason = F.coalesce(reason, F.when(F.col("_new"), "clip_source_changed"))
+    found = both.select(F.least("a.s", "b.s").alias("s"), F.greatest("a.e", "b.e").alias("e"), F.concat(reason, F.lit(":"), F.col(key).cast("string")).alias("reasons"))
+    merged = interval_union(found.where("reasons is not null and e > s"), [], pad=pad, clamp=(0, duration), min_len=1, payload="reasons", span=span)
+    return merged.select(F.col("island").alias("region"), "s", "e", "n", "reasons")
+
+
+def slice_timeline(clips: DataFrame, sources: DataFrame, transitions: DataFrame, start: int, end: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clips, sources, transitions) of [start, end): clips cut and moved to begin at 0, sources still in use, transitions both of whose ends are left.
+
+    transitions: from_id, to_id (null: no clip there), at. A transition outside the range goes too.
+    """
+    inside = slice_clips(clips, start, end)
+    ids = inside.select(F.col("clip_id").alias("_id")).distinct()
+    ended = transitions.where((F.col("at") >= start) & (F.col("at") < end))
+    for side in ("from_id", "to_id"):
+        ended = ended.join(ids.withColumnRenamed("_id", side).withColumn(f"_{side}", F.lit(True)), side, "left").where(F.col(side).isNull() | F.col(f"_{side}")).drop(f"_{side}")
+    return inside, sources.join(inside.select("source_id"), "source_id", "left_semi"), ended.withColumn("at", F.col("at") - start)
+
+
+def layout_audit(spoken: DataFrame, layouts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, utterance, layout: parts of utterances (keys, utterance, speaker, s, e) shown under a layout (keys, layout, visible, s, e) without their speaker."""
+    left = spoken.select(*keys, "utterance", "speaker", F.col("s").alias("ls"), F.col("e").alias("le"))
+    right = layouts.select(*keys, "layout", "visible", F.col("s").alias("rs"), F.col("e").alias("re"))
+    return overlap_join(left, right, keys).where(~F.array_contains("visible", F.col("speaker"))).select(*keys, "utterance", "layout")
 
 
 def slice_clips(clips: DataFrame, start: int, end: int) -> DataFrame:

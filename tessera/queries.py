@@ -239,10 +239,8 @@ def even_sample(spark, sf_dir):
 
 @query("SELECT s_suppkey, row_number() OVER (ORDER BY CAST(regexp_extract(s_name, '([0-9]+)$', 1) AS BIGINT), s_suppkey) AS place FROM supplier")
 def natural_order(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    # one ordered list of a small dimension table is the result asked for
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy(sequences.natural_key(F.col("s_name")), "s_suppkey")).cast("long").alias("place"))
+    named = table(spark, sf_dir, "supplier").select("s_suppkey", sequences.natural_key(F.col("s_name")).alias("k"))
+    return sequences.global_rank(named, "k", ["s_suppkey"], "place").select("s_suppkey", "place")
 
 
 @query("SELECT o_orderkey, CAST(('0x' || substring(sha256(CAST(o_orderkey AS VARCHAR)), 1, 12)) AS BIGINT) % 7 AS pick FROM orders")
@@ -558,25 +556,30 @@ def ncc_lag(spark, sf_dir):
 
 @query(
     f"""WITH {_IV}, b AS (SELECT event_id, s, e, event_type AS p FROM iv WHERE event_id % 9 <> 0), a AS (SELECT event_id, s, e, CASE WHEN event_id % 10 = 0 THEN '?' ELSE event_type END AS p FROM iv WHERE event_id % 8 <> 0),
-    d AS (SELECT b.s AS bs, b.e AS be, a.s AS as_, a.e AS ae FROM b FULL JOIN a USING (event_id) WHERE b.s IS NULL OR a.s IS NULL OR b.p <> a.p),
-    r AS (SELECT 1 AS k, bs AS s, be AS e FROM d WHERE be > bs UNION ALL SELECT 1, as_, ae FROM d WHERE ae > as_), u AS ({_islands('k', source='r')})
-    SELECT island AS region, s, e, n FROM u"""
+    d AS (SELECT event_id, b.s AS bs, b.e AS be, a.s AS as_, a.e AS ae, CASE WHEN b.s IS NULL THEN 'clip_added' WHEN a.s IS NULL THEN 'clip_removed' WHEN b.p <> a.p THEN 'clip_changed' WHEN a.p = 'error' THEN 'clip_source_changed' END AS why FROM b FULL JOIN a USING (event_id)),
+    r AS (SELECT 1 AS k, least(coalesce(bs, as_), coalesce(as_, bs)) AS s, greatest(coalesce(be, ae), coalesce(ae, be)) AS e, why || ':' || event_id AS why FROM d WHERE why IS NOT NULL),
+    f AS (SELECT *, CASE WHEN s > max(e) OVER (ORDER BY s, e, why ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM r WHERE e > s)
+    SELECT island + 1 AS region, min(s) AS s, max(e) AS e, count(*) AS n, string_agg(why, ',' ORDER BY s, e, why) AS reasons FROM (SELECT *, CAST(sum(fresh) OVER (ORDER BY s, e, why) AS BIGINT) AS island FROM f) GROUP BY island"""
 )
 def changed_regions(spark, sf_dir):
     iv = event_intervals(spark, sf_dir)
-    before = iv.where("event_id % 9 <> 0").select("event_id", "s", "e", F.col("event_type").alias("print"))
-    after = iv.where("event_id % 8 <> 0").select("event_id", "s", "e", F.when(F.col("event_id") % 10 == 0, "?").otherwise(F.col("event_type")).alias("print"))
-    return timeline.changed_regions(before, after, "event_id", pad=0, duration=1 << 60)
+    before = iv.where("event_id % 9 <> 0").select("event_id", "s", "e", F.col("event_type").alias("print"), F.col("event_type").alias("source"))
+    named = F.when(F.col("event_id") % 10 == 0, "?").otherwise(F.col("event_type"))
+    after = iv.where("event_id % 8 <> 0").select("event_id", "s", "e", named.alias("print"), named.alias("source"))
+    sources = iv.where("event_type = 'error'").select(F.col("event_type").alias("source"))
+    return timeline.changed_regions(before, after, "event_id", pad=0, duration=1 << 60, source="source", changed_sources=sources, span=24 * HOUR)
 
 
 @query(
     f"""WITH {_IV}, c AS (SELECT event_id AS clip_id, user_id AS track_id, event_type, s, e FROM iv)
     SELECT clip_id, 'empty_range' AS code FROM c WHERE e <= s UNION ALL SELECT clip_id, 'unknown_track' FROM c WHERE track_id % 10 = 0 UNION ALL SELECT clip_id, 'unknown_source' FROM c WHERE event_type = 'signup'
-    UNION ALL SELECT clip_id, 'overlap' FROM (SELECT *, lag(e) OVER (PARTITION BY track_id ORDER BY s, e, clip_id) AS pe FROM c WHERE event_type <> 'click') WHERE s < pe"""
+    UNION ALL SELECT clip_id, 'overlap' FROM (SELECT *, lag(e) OVER (PARTITION BY track_id ORDER BY s, e, clip_id) AS pe FROM c WHERE event_type <> 'click') WHERE s < pe
+    UNION ALL SELECT clip_id, 'wrong_kind' FROM c WHERE event_type IN ('error', 'view') AND clip_id % 3 = 1 AND NOT (event_type = 'view' AND clip_id % 3 = 0)"""
 )
 def timeline_validation(spark, sf_dir):
     iv = event_intervals(spark, sf_dir)
-    clips = iv.select(F.col("event_id").alias("clip_id"), F.col("user_id").alias("track_id"), F.col("event_type").alias("source_id"), "s", "e", (F.col("event_type") == "click").alias("allow_overlap"))
+    clips = iv.select(F.col("event_id").alias("clip_id"), F.col("user_id").alias("track_id"), F.col("event_type").alias("source_id"), "s", "e", (F.col("event_type") == "click").alias("allow_overlap"), F.when(F.col("event_id") % 3 == 1, "audio").when(F.col("event_id") % 3 == 2, "video").alias("kind"))
     tracks = iv.where("user_id % 10 <> 0").select(F.col("user_id").alias("track_id")).distinct()
-    sources = iv.where("event_type <> 'signup'").select(F.col("event_type").alias("source_id")).distinct()
-    return timeline.validate(clips, tracks, sources, 1 << 60)
+    shown = F.when(F.col("event_type").isin("error", "view"), "image").otherwise("audio")
+    sources = iv.where("event_type <> 'signup'").select(F.col("event_type").alias("source_id"), shown.alias("kind")).distinct()
+    return timeline.validate(clips, tracks, sources, 1 << 60, kinds={"audio": ["audio"], "video": ["image", "audio"]})
