@@ -11,12 +11,11 @@ lengths, a quarter, a half and the whole of `length`; a position leaves as soon
    pair leaves and takes the windows that designate it along.
 3. The windows that designate one position are a run. Runs that are equal as a whole (copies of documents, the inside
    of shared passages) are repeated as a whole, and one of them stands for all in what follows.
-4. The other windows are doubled one by one: pairs of quarter ranks are sorted and reranked to ranks of halves, unique
-   positions leave; pairs of half ranks (at a position and at length/2 behind it) are sorted; a pair met twice is a
-   repeated window.
+4. The other windows are doubled one by one: ranks of half windows are sorted and numbered anew, unique positions leave;
+   pairs of them (at a position and half a window behind it) are sorted; a pair met twice is a repeated window.
 
-Ranks beyond the quarter number the distinct pairs, so they can't collide. Quarter ranks are content hashes; two
-different windows pass as equal only if two different quarters share a hash while all other quarters agree.
+Ranks of prefixes and halves are content hashes of 64 bits, those of pairs of halves are numbers of distinct pairs. Two
+different windows pass as equal only if two different halves share a hash and the other halves are equal or do too.
 """
 
 from __future__ import annotations
@@ -107,24 +106,18 @@ def _symbols(column: pa.Array, unit: str) -> list[np.ndarray]:
     return out
 
 
-def _segments(docs: list[np.ndarray], length: int) -> Iterator[tuple[int, int, np.ndarray, bool]]:
-    """(text, start, symbols, whether it is the text's last) of pieces that have each window of a text once."""
+def _segments(docs: list[np.ndarray], length: int) -> Iterator[tuple[int, int, np.ndarray]]:
     for i, data in enumerate(docs):
         for start in range(0, len(data) - length + 1, _SEGMENT):
-            yield i, start, data[start : start + _SEGMENT + length - 1], start + _SEGMENT + length > len(data)
+            yield i, start, data[start : start + _SEGMENT + length - 1]
 
 
-_SPOTS = "doc_id long, k long, way int, lo int, span int, free int, step int, r long, r2 long, run long"
-_SPOT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), *((c, pa.int32()) for c in ("way", "lo", "span", "free", "step")), *((c, pa.int64()) for c in ("r", "r2", "run"))])
+_SPOTS = "doc_id long, k long, way int, lo int, span int, r long, r2 long, run long"
+_SPOT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("way", pa.int32()), ("lo", pa.int32()), ("span", pa.int32()), ("r", pa.int64()), ("r2", pa.int64()), ("run", pa.int64())])
 
 
 def _spots(searches: list[_Search]):
-    """Designated positions of each text, by search (way): their run of windows [lo, lo + span], pair of ranks, name of the run.
-
-    free: how many windows of the run don't hold the whole prefix of the next designated position, whose lo is `step` further, or
-    not all that designates it; the others are repeated only if that prefix is. span is -1 for positions near a text's
-    end that are designated by what is there, but by no whole window: they may be the repetition of such a prefix.
-    """
+    """Designated positions of each text, by search (way): their run of windows [lo, lo + span], pair of ranks, name of the run."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,29 +129,24 @@ def _spots(searches: list[_Search]):
     return find
 
 
-def _spots_of(z: _Search, way: int, batch: pa.RecordBatch, part: list[tuple[int, int, np.ndarray, bool]]) -> pa.RecordBatch:
+def _spots_of(z: _Search, way: int, batch: pa.RecordBatch, part: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
     data = np.concatenate([s[2] for s in part]) if len(part) > 1 else part[0][2]
     size = np.array([len(s[2]) for s in part])
     first = np.cumsum(size) - size
+    windows = len(data) - z.length + 1
     quarter = prefix_names(data, z.quarter)
-    count = len(quarter) - z.reach + 1
-    best = designated(quarter, count, z.reach)
-    owner = np.repeat(np.arange(len(part)), size)[:count]
-    end, here = (first + size)[owner], np.arange(count)
-    near_end = np.array([s[3] for s in part])[owner] & (here + z.reach - 1 + z.quarter <= end) & (best + z.prefix <= end)
-    w = np.flatnonzero((here + z.length <= end) | near_end)
-    chosen, own = best[w], owner[w]
-    new = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (own[1:] != own[:-1]))))
-    lo, a, own = w[new], chosen[new], own[new]
-    hi = np.maximum(np.minimum(w[np.append(new[1:], len(w)) - 1], (first + size)[own] - z.length), lo - 1)
-    step = np.where(np.append(own[1:] == own[:-1], False), np.append(lo[1:], 0) - lo, 0)
-    cut = np.maximum(lo + step - (z.prefix - z.quarter), np.append(a[1:], 0) + z.prefix - z.length)
-    free = np.where(step > 0, np.clip(cut, lo, hi + 1), hi + 1) - lo
-    run, whole = np.zeros(len(lo), np.uint64), hi >= lo
-    run[whole] = _pair(_pair(z.window_names(quarter, lo[whole]), z.window_names(quarter, hi[whole])), ((a - lo) * 4096 + (hi - lo))[whole].astype(np.uint64))
+    best = designated(quarter, windows, z.reach)
+    owner = np.repeat(np.arange(len(part)), size)[:windows]
+    w = np.flatnonzero(np.arange(windows) + z.length <= (first + size)[owner])
+    chosen = best[w]
+    new = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (owner[w][1:] != owner[w][:-1]))))
+    lo, a = w[new], chosen[new]
+    hi = w[np.append(new[1:], len(w)) - 1]
+    own = owner[lo]
+    run = _pair(_pair(z.window_names(quarter, lo), z.window_names(quarter, hi)), ((a - lo) * 4096 + (hi - lo)).astype(np.uint64))
     row = pa.array(np.array([s[0] for s in part])[own])
     start = np.array([s[1] for s in part])[own] + lo - first[own]
-    numbers = [np.full(len(own), way, np.int32), *(x.astype(np.int32) for x in (start, hi - lo, free, step)), *(x.view(np.int64) for x in (*z.prefix_pairs(quarter, a), run))]
+    numbers = [np.full(len(own), way, np.int32), start.astype(np.int32), (hi - lo).astype(np.int32), *(x.view(np.int64) for x in (*z.prefix_pairs(quarter, a), run))]
     return pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("k").take(row), *map(pa.array, numbers)], schema=_SPOT_SCHEMA)
 
 
@@ -174,11 +162,11 @@ def _places(runs: list[dict], size: int, behind: int) -> tuple[np.ndarray, np.nd
     return at, is_open[at]
 
 
-_PAIR_SCHEMA = pa.schema([("d", pa.int64()), ("at", pa.int32()), ("open", pa.bool_()), ("r", pa.int64()), ("r2", pa.int64())])
+_PLACE_SCHEMA = pa.schema([("d", pa.int64()), ("at", pa.int32()), ("open", pa.bool_()), ("r", pa.int64())])
 
 
-def _pairs(searches: list[_Search]):
-    """Pairs of quarter ranks at the windows of the given runs (arrays way, lo, span, open) and half a window behind them; d becomes 2 * d + way."""
+def _halves(searches: list[_Search]):
+    """Ranks by content of the half windows at the windows of the given runs (arrays way, lo, span, open) and half a window behind them; d becomes 2 * d + way."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, many = None, [], 0
@@ -190,18 +178,19 @@ def _pairs(searches: list[_Search]):
                 last = d
                 for way, z in enumerate(searches):
                     if own := [r for r in runs if r["way"] == way]:
-                        held += _pairs_of(z, 2 * d + way, symbols[way][i], own)
-                        many += sum(len(h[0]) for h in held[-1:])
+                        found = _halves_of(z, 2 * d + way, symbols[way][i], own)
+                        held += found
+                        many += sum(len(h[0]) for h in found)
                 if many >= 1 << 16 or len(held) >= 1 << 10:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=_PAIR_SCHEMA)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=_PLACE_SCHEMA)
                     held, many = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=_PAIR_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=_PLACE_SCHEMA)
 
     return find
 
 
-def _pairs_of(z: _Search, d: int, data: np.ndarray, runs: list[dict]) -> list[tuple[np.ndarray, ...]]:
+def _halves_of(z: _Search, d: int, data: np.ndarray, runs: list[dict]) -> list[tuple[np.ndarray, ...]]:
     out = []
     at, is_open = _places(runs, len(data), z.to_half)
     for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > z.length) + 1):
@@ -209,8 +198,8 @@ def _pairs_of(z: _Search, d: int, data: np.ndarray, runs: list[dict]) -> list[tu
             mine = part[cut : cut + (1 << 17)]
             low, x = int(at[mine[0]]), at[mine]
             quarter = prefix_names(data[low : int(x[-1]) + z.half], z.quarter)
-            ranks = quarter[x - low].view(np.int64), quarter[x - low + z.to_quarter].view(np.int64)
-            out.append((np.full(len(x), d), x.astype(np.int32), is_open[mine], *ranks))
+            half = _pair(quarter[x - low], quarter[x - low + z.to_quarter])
+            out.append((np.full(len(x), d), x.astype(np.int32), is_open[mine], half.view(np.int64)))
     return out
 
 
@@ -228,10 +217,10 @@ def _by_way(values: list[int], way: Column | None = None) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.col("way") if way is None else way.cast("int")) + 1)
 
 
-def _doubled(pairs: DataFrame, searches: list[_Search]) -> DataFrame:
-    """d, at of open windows that occur twice, from pairs of quarter ranks; pairs is a written table and is dropped."""
-    halves = _met_twice(pairs, ["r", "r2"])
-    ranked = materialize(pairs.join(halves, ["r", "r2"]).select("d", "at", "open", F.col("number").alias("rank")), pairs, halves)
+def _doubled(places: DataFrame, searches: list[_Search]) -> DataFrame:
+    """d, at of open windows that occur twice, from ranks of half windows; places is a written table and is dropped."""
+    halves = _met_twice(places, ["r"])
+    ranked = materialize(places.join(halves, "r").select("d", "at", "open", F.col("number").alias("rank")), places, halves)
     offset = _by_way([z.to_half for z in searches], F.col("d") % 2)
     behind = ranked.select("d", (F.col("at") - offset).alias("at"), F.col("rank").alias("rank2"))
     both = materialize(ranked.join(behind, ["d", "at"]).select("d", "at", "open", "rank", "rank2"), ranked)
@@ -245,37 +234,28 @@ def _repeated(docs: DataFrame, searches: list[_Search]) -> DataFrame:
     halves = _met_twice(spots, ["r", "r2"]).select("r", "r2")
     # written, so that both sides of the join are plain shuffles, whose large partitions Spark can split
     spots = materialize(spots.join(halves, ["r", "r2"], "left_semi"), spots)
-    one = F.min(F.struct("doc_id", "k", "way", "lo", "span", "free", "step")).alias("one")
-    following = spots.select("doc_id", "k", "way", F.col("lo").alias("next"), F.lit(True).alias("stays"))
-    held_spots, spots = spots, spots.where("span >= 0").drop("free", "step")
-    runs = materialize(held_spots.where("span >= 0").groupBy("r", "r2", "run").agg(F.count("*").alias("c"), one))
+    one = F.min(F.struct("doc_id", "k", "way", "lo", "span")).alias("one")
+    runs = materialize(spots.groupBy("r", "r2", "run").agg(F.count("*").alias("c"), one))
     # a run met twice is repeated as a whole; runs of very many members don't meet in one task
     by = ["r", "r2", "run"]
     many = (runs.agg(F.sum("c")).first()[0] or 0) // _HOT + 1
     hot, equal = runs.where(F.col("c") > many).select(*by), runs.where((F.col("c") > 1) & (F.col("c") <= many)).select(*by)
     settled = spots.join(F.broadcast(hot), by, "left_semi").union(spots.join(F.broadcast(hot), by, "left_anti").join(equal, by, "left_semi"))
     length = _by_way([z.length for z in searches])
-    settled = settled.select("doc_id", "k", "way", _range(F.col("lo"), F.col("span") + length))
+    settled = materialize(settled.select("doc_id", "k", "way", _range(F.col("lo"), F.col("span") + length)))
     # where different runs share a prefix, their windows are compared one by one
     several = runs.groupBy("r", "r2").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("r", "r2")
     listed = runs.join(several, ["r", "r2"], "left_semi").select("one.*", (F.col("c") == 1).alias("open"))
-    # a window that holds the next designated prefix too goes with it; most windows behind the end of what is shared do
-    same = F.lit(True)
-    for c in ("doc_id", "k", "way", "next"):
-        same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}"))
-    held = listed.where("open and free <= span").withColumn("next", F.col("lo") + F.col("step"))
-    held = held.alias("p").join(following.alias("q"), same, "left").select("p.doc_id", "p.k", "p.way", "lo", F.when(F.col("stays"), F.col("span")).otherwise(F.col("free") - 1).alias("span"), "open")
-    whole = listed.where("not open or free > span").select("doc_id", "k", "way", "lo", "span", "open")
-    listed = whole.union(held.where("span >= 0"))
-    by_doc = materialize(listed.groupBy("doc_id", "k").agg(F.collect_list(F.struct("way", "lo", "span", "open")).alias("runs")).withColumn("d", F.monotonically_increasing_id()))
+    by_doc = listed.groupBy("doc_id", "k").agg(F.collect_list(F.struct("way", "lo", "span", "open")).alias("runs"))
+    by_doc = materialize(by_doc.withColumn("d", F.monotonically_increasing_id()), spots, runs)
     same = docs["doc_id"].eqNullSafe(by_doc["doc_id"]) & (docs["k"] == by_doc["k"])
-    pairs = materialize(docs.join(by_doc, same).select("d", "text", "runs").mapInArrow(_pairs(searches), "d long, at int, open boolean, r long, r2 long"))
+    places = materialize(docs.join(by_doc, same).select("d", "text", "runs").mapInArrow(_halves(searches), "d long, at int, open boolean, r long"))
     way = (F.col("d") % 2).cast("int")
-    single = _doubled(pairs, searches).select(way.alias("way"), F.shiftright("d", 1).alias("d"), "at")
+    single = _doubled(places, searches).select(way.alias("way"), F.shiftright("d", 1).alias("d"), "at")
     single = single.join(by_doc.select("d", "doc_id", "k"), "d").select("doc_id", "k", "way", _range(F.col("at"), length))
     # a text's list is no longer than the text
     lists = [F.collect_list(F.when(F.col("way") == i, F.col("range"))).alias(f"found{i}") for i in range(2)]
-    return materialize(settled.union(single).groupBy("doc_id", "k").agg(*lists), held_spots, runs, by_doc)
+    return materialize(settled.union(single).groupBy("doc_id", "k").agg(*lists), settled, by_doc)
 
 
 def _range(start: Column, size: Column) -> Column:
