@@ -37,7 +37,8 @@ def merge_captions(df: DataFrame, keys: list[str], *, gap: int, chars: int, leng
         alone = F.struct(x["s"].alias("s"), x["e"].alias("e"), x["role"].alias("role"), x["text"].alias("text"), F.lit(1).alias("n"))
         return F.when(fits, _replace_last(done, longer)).otherwise(F.concat(done, F.array(alone)))
 
-    return _fold(df, keys, ["s", "e", "role", "text", "ident"], ["s", "e", "ident"], "struct<s: bigint, e: bigint, role: string, text: string, n: int>", step)
+    role = df.schema["role"].dataType.simpleString()
+    return _fold(df, keys, ["s", "e", "role", "text", "ident"], ["s", "e", "ident"], f"struct<s: bigint, e: bigint, role: {role}, text: string, n: int>", step)
 
 
 def normalize_plan(df: DataFrame, keys: list[str], *, least: int = 1) -> DataFrame:

@@ -517,13 +517,27 @@ def srt_round_trip(spark, sf_dir):
 # ---------------------------------------------------------------- folds, plans, signals (held against Python in the tests)
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT conv_id, turn // 3 % 2 AS role, text, turn * 1000000 AS s, turn * 1000000 + 900000 AS e, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+    w AS (SELECT conv_id, i, 0 AS place, s, e, role, text, 1 AS n FROM o WHERE i = 1
+      UNION ALL SELECT conv_id, i, CASE WHEN fits THEN place ELSE place + 1 END, CASE WHEN fits THEN s ELSE xs END, CASE WHEN fits THEN greatest(e, xe) ELSE xe END, xrole, CASE WHEN fits THEN concat_ws(' ', text, xtext) ELSE xtext END, CASE WHEN fits THEN n + 1 ELSE 1 END
+      FROM (SELECT w.conv_id, o.i, w.place, w.s, w.e, w.text, w.n, o.s AS xs, o.e AS xe, o.role AS xrole, o.text AS xtext, w.role IS NOT DISTINCT FROM o.role AND o.s - w.e <= 500000 AND length(concat_ws(' ', w.text, o.text)) <= 1500 AND greatest(w.e, o.e) - w.s <= 8000000 AS fits FROM w JOIN o ON o.conv_id = w.conv_id AND o.i = w.i + 1))
+    SELECT conv_id, place, s, arg_max(e, i) AS e, role, arg_max(text, i) AS text, max(n) AS n FROM w GROUP BY conv_id, place, s, role"""
+)
 def caption_merge(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ident"), "role", "text", (F.col("turn") * F.lit(1_000_000)).alias("s"), (F.col("turn") * F.lit(1_000_000) + 900_000).alias("e"))
-    return folds.merge_captions(turns, ["conv_id"], gap=500_000, chars=400, length=8_000_000)
+    speaker = F.floor(F.col("turn") / 3) % 2
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ident"), speaker.alias("role"), "text", (F.col("turn") * F.lit(1_000_000)).alias("s"), (F.col("turn") * F.lit(1_000_000) + 900_000).alias("e"))
+    return folds.merge_captions(turns, ["conv_id"], gap=500_000, chars=1500, length=8_000_000)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_IV}, o AS (SELECT user_id, event_type AS role, s, e, row_number() OVER (PARTITION BY user_id ORDER BY s, e, event_id) AS i FROM iv),
+    w AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, -1 AS place, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e, CAST(NULL AS VARCHAR) AS role FROM o
+      UNION ALL SELECT user_id, i, CASE WHEN out THEN place WHEN role = xrole THEN place ELSE place + 1 END, CASE WHEN out OR role = xrole THEN s ELSE begin END, CASE WHEN out THEN e ELSE xe END, CASE WHEN out THEN role ELSE xrole END
+      FROM (SELECT w.user_id, o.i, w.place, w.s, w.e, w.role, o.e AS xe, o.role AS xrole, greatest(o.s, coalesce(w.e, o.s)) AS begin, o.e - greatest(o.s, coalesce(w.e, o.s)) < {MINUTE} AS out FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1)),
+    g AS (SELECT user_id, place, s, arg_max(e, i) AS e, role FROM w WHERE place >= 0 GROUP BY user_id, place, s, role)
+    SELECT user_id, place, s, coalesce(lead(s) OVER (PARTITION BY user_id ORDER BY place), e) AS e, role FROM g"""
+)
 def plan_normalize(spark, sf_dir):
     iv = event_intervals(spark, sf_dir).select("user_id", "s", "e", F.col("event_type").alias("role"), F.col("event_id").alias("ident"))
     return folds.normalize_plan(iv, ["user_id"], least=MINUTE)
@@ -534,7 +548,13 @@ def plan_minimum_hold(spark, sf_dir):
     return folds.minimum_hold(plan_normalize(spark, sf_dir), ["user_id"], least=2 * HOUR)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_IV}, o AS (SELECT user_id, s, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, s) AS i FROM iv),
+    w AS (SELECT user_id, i, [struct_pack(s := s, value := value)] AS taken FROM o WHERE i = 1
+      UNION ALL SELECT w.user_id, o.i, CASE WHEN len(w.taken) < 5 AND len(list_filter(w.taken, lambda t: abs(t.s - o.s) < {24 * HOUR})) = 0 THEN list_append(w.taken, struct_pack(s := o.s, value := o.value)) ELSE w.taken END FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1),
+    f AS (SELECT user_id, arg_max(taken, i) AS taken FROM w GROUP BY user_id)
+    SELECT user_id, CAST(generate_subscripts(taken, 1) AS INT) AS place, unnest(taken).s AS s, unnest(taken).value AS value FROM f"""
+)
 def nms_peaks(spark, sf_dir):
     return folds.suppress_peaks(event_intervals(spark, sf_dir), ["user_id"], "s", "value", apart=24 * HOUR, many=5)
 
@@ -545,12 +565,21 @@ def allocate(spark, sf_dir):
     return folds.allocate(parts, ["p_brand"], "p_partkey", "w", "cap", total=500)
 
 
-@query()
+@query(
+    f"""WITH {_IV}, bins AS (SELECT user_id, s // {HOUR} AS h, sum(value) AS v FROM iv GROUP BY ALL), series AS (SELECT user_id, list(v ORDER BY h) AS v FROM bins GROUP BY user_id),
+    pairs AS (SELECT a.user_id, list_slice(a.v, greatest(len(a.v) // 3, 1), greatest(len(a.v) // 3, 1) + 11) AS p, b.v AS t FROM series a JOIN series b ON b.user_id = a.user_id + 1),
+    places AS (SELECT *, unnest(range(0, greatest(len(t) - len(p) + 1, 0))) AS k FROM pairs), x AS (SELECT user_id, k, unnest(p) AS x, unnest(list_slice(t, k + 1, k + len(p))) AS y FROM places),
+    c AS (SELECT user_id, k, CASE WHEN stddev_pop(x) > 1e-9 AND stddev_pop(y) > 1e-9 THEN corr(x, y) ELSE 0 END AS c FROM x GROUP BY user_id, k), b AS (SELECT user_id, arg_max(k, struct_pack(c := round(c, 12), k := -k)) AS k, max(c) AS c FROM c GROUP BY user_id)
+    SELECT pairs.user_id, CAST(coalesce(b.k, 0) AS INT) AS lag, round(coalesce(b.c, 0), 6) AS score FROM pairs LEFT JOIN b ON b.user_id = pairs.user_id"""
+)
 def ncc_lag(spark, sf_dir):
+    """Where the middle of one user's hourly sums lies best in the next user's."""
     hour = F.floor(F.col("s") / HOUR)
     bins = event_intervals(spark, sf_dir).groupBy("user_id", hour.alias("h")).agg(F.sum("value").alias("v"))
-    series = bins.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "v"))), lambda x: x["v"]).alias("target"))
-    pairs = series.withColumn("probe", F.slice("target", F.greatest(F.floor(F.size("target") / 3).cast("int"), F.lit(1)), F.lit(12)))
+    series = bins.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "v"))), lambda x: x["v"]).alias("v"))
+    probe = F.slice("v", F.greatest(F.floor(F.size("v") / 3).cast("int"), F.lit(1)), F.lit(12))
+    other = series.select((F.col("user_id") - 1).alias("user_id"), F.col("v").alias("target"))
+    pairs = series.select("user_id", probe.alias("probe")).join(other, "user_id")
     return signals.lags(pairs).select("user_id", "match.lag", F.round("match.score", 6).alias("score"))
 
 
