@@ -147,17 +147,26 @@ def allocate(df: DataFrame, keys: list[str], ident: str, weight: str, cap: str,
 
 
 def leaders(df: DataFrame, keys: list[str], ident: str, code: str, quality: str, *, within: int) -> DataFrame:
-    """keys, ident, leader: 64-bit codes by quality; each joins the first leader at Hamming distance `within` or less, or leads itself."""
+    """keys, ident, leader: 64-bit codes by quality; each joins the first leader at Hamming distance `within` or less, or leads itself.
+
+    Codes at such a distance agree on one of within + 1 bands of bits, so only leaders that share a band are compared.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    edges = [64 * i // (within + 1) for i in range(within + 2)]
 
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads, out = [], []
+        heads, by_band, out = [], {}, []
         for i, c in pdf.sort_values([quality, ident], ascending=[False, True])[[ident, code]].itertuples(index=False):
-            head = next((h for h, x in heads if ((c ^ x) & (2**64 - 1)).bit_count() <= within), None)
+            c = int(c) & (2**64 - 1)
+            bands = [(k, (c >> low) & ((1 << (high - low)) - 1)) for k, (low, high) in enumerate(zip(edges, edges[1:], strict=False))]
+            near = sorted({h for b in bands for h in by_band.get(b, ())})
+            head = next((h for h in near if (c ^ heads[h][1]).bit_count() <= within), None)
             if head is None:
+                head = len(heads)
                 heads.append((i, c))
-                head = i
-            out.append((i, head))
+                for b in bands:
+                    by_band.setdefault(b, []).append(head)
+            out.append((i, heads[head][0]))
         out = pd.DataFrame(out, columns=[ident, "leader"])
         for key in keys:
             out[key] = pdf[key].iloc[0]
@@ -165,3 +174,34 @@ def leaders(df: DataFrame, keys: list[str], ident: str, code: str, quality: str,
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{ident} {kinds[ident]}", f"leader {kinds[ident]}"])
     return df.groupBy(*keys).applyInPandas(lead, schema)
+
+
+def track(df: DataFrame, keys: list[str], *, far: float, memory: int) -> DataFrame:
+    """keys, frame, item, track: boxes of frames followed from one to the next; larger boxes choose first.
+
+    df: keys, frame (whole numbers), item, x, y, area. A box takes the nearest free track seen in the last `memory` frames
+    and no further than `far`; ties to the older track. Others begin a track. Tracks are numbered from 0 by key.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen, made, out = {}, 0, []
+        for frame, boxes in pdf.sort_values(["frame", "area", "item"], ascending=[True, False, True]).groupby("frame", sort=True):
+            seen = {t: v for t, v in seen.items() if frame - v[0] <= memory}
+            free = dict(seen)
+            for b in boxes.itertuples():
+                near = min(((((b.x - x) ** 2 + (b.y - y) ** 2) ** 0.5, t) for t, (_, x, y) in free.items()), default=None)
+                if near is not None and near[0] <= far:
+                    t = near[1]
+                    del free[t]
+                else:
+                    t, made = made, made + 1
+                seen[t] = (frame, b.x, b.y)
+                out.append((frame, b.item, t))
+        out = pd.DataFrame(out, columns=["frame", "item", "track"])
+        for key in keys:
+            out[key] = pdf[key].iloc[0]
+        return out[[*keys, "frame", "item", "track"]]
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"frame {kinds['frame']}", f"item {kinds['item']}", "track long"])
+    return df.groupBy(*keys).applyInPandas(follow, schema)

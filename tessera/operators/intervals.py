@@ -273,3 +273,30 @@ def overwrite(plan: DataFrame, windows: DataFrame, keys: list[str], ident: str,
 def cut_audit(cuts: DataFrame, marks: DataFrame, keys: list[str], ident: str, *, near: int) -> DataFrame:
     """keys, ident, distance: cuts that miss the nearest mark, but by no more than `near`."""
     return nearest(cuts, marks, keys, ident).where((F.col("distance") > 0) & (F.col("distance") <= near)).select(*keys, ident, "distance")
+
+
+def replace_ranges(df: DataFrame, cuts: DataFrame, keys: list[str], ident: str, at: str = "s") -> DataFrame:
+    """keys, ident, at, mapped: times after each cut (keys, s, e, card) gives way to a card of another length; a time inside a cut falls on its card's start.
+
+    Cuts don't overlap; one that begins before another has ended doesn't count.
+    """
+    before = Window.partitionBy(*keys).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    good = cuts.withColumn("_reach", F.max("e").over(before)).where("_reach is null or s >= _reach")
+    none = F.lit(None).cast("long")
+    points = df.select(*keys, ident, F.col(at).alias("_t"), F.lit(1).alias("_k"), F.lit(0).cast("long").alias("_shift"), none.alias("_s"), none.alias("_e"), F.lit(0).cast("long").alias("_own"))
+    own = (F.col("card") - (F.col("e") - F.col("s"))).cast("long")
+    begun = good.select(*keys, none.alias(ident), F.col("s").alias("_t"), F.lit(0).alias("_k"), own.alias("_shift"), F.col("s").alias("_s"), F.col("e").alias("_e"), own.alias("_own"))
+    order = Window.partitionBy(*keys).orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("_k") == 0, F.struct("_s", "_e", "_own")), True).over(order)
+    seen = points.union(begun).withColumn("_sum", F.sum("_shift").over(order)).withColumn("_last", last).where("_k = 1")
+    inside = F.coalesce(F.col("_t") < F.col("_last._e"), F.lit(False))
+    mapped = F.when(inside, F.col("_last._s") + F.col("_sum") - F.col("_last._own")).otherwise(F.col("_t") + F.col("_sum"))
+    return seen.select(*keys, ident, F.col("_t").alias(at), mapped.alias("mapped"))
+
+
+def push_forward(df: DataFrame, keys: list[str], ident: str, *, length: int) -> DataFrame:
+    """keys, ident, s, e: rows of one length in order of their planned start, each moved on to where the one ahead ends if that is later."""
+    order = Window.partitionBy(*keys).orderBy("s", ident)
+    rows = df.select(*keys, ident, "s", (F.row_number().over(order) * length).alias("_n"))
+    begin = F.max(F.col("s") - F.col("_n")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_n")
+    return rows.select(*keys, ident, begin.alias("s"), (begin + length).alias("e"))

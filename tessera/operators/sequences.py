@@ -99,3 +99,16 @@ def global_rank(df: DataFrame, key: str, ties: list[str], into: str, *, stretche
     base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     place = F.row_number().over(Window.partitionBy("_stretch").orderBy(key, *ties))
     return rows.withColumn("_k", place).join(F.broadcast(base), "_stretch").withColumn(into, F.col("_k") + F.col("_base")).drop("_stretch", "_k", "_base")
+
+
+def interleave(df: DataFrame, keys: list[str], kind: str, order: list[str]) -> DataFrame:
+    """df with `place` (from 1): items of several kinds in one sequence of a key, each kind spread evenly; ties to the larger kind, then by order."""
+    own = Window.partitionBy(*keys, kind)
+    share = (2 * F.row_number().over(own.orderBy(*order)) - 1) / (2 * F.count("*").over(own))
+    return df.withColumn("_at", share).withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("_at", F.desc(kind), *order))).drop("_at")
+
+
+def merge_maps(left: Column, right: Column) -> Column:
+    """Both maps' entries; where they share a key, the right one's."""
+    kept = F.map_filter(left, lambda k, v: ~F.coalesce(F.map_contains_key(right, k), F.lit(False)))
+    return F.map_concat(kept, right)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tessera.functions.clock import centisecond_clock
 from tessera.functions.text import timecode, timecode_us
 
 _TIMES = r"(?m)^\s*([\d:,.]+)\s*-->\s*([\d:,.]+).*$"
@@ -45,3 +47,29 @@ def srt_files(captions: DataFrame, keys: list[str]) -> DataFrame:
     """keys, value: the SRT text of each key's captions (number, s, e, text), in order of number."""
     block = F.struct("number", srt_block(F.col("number"), F.col("s"), F.col("e"), F.col("text")).alias("b"))
     return captions.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["b"]), "\n").alias("value"))
+
+
+def numbered(captions: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, number (from 1), s, e, text: captions in time order without the empty ones, numbered anew."""
+    rows = captions.where("trim(coalesce(text, '')) <> ''")
+    return rows.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("s", "e", "text")).alias("number"), "s", "e", "text")
+
+
+def concat_line(path: Column) -> Column:
+    """A line of a list of files to be joined; quotes in the path are escaped."""
+    return F.concat(F.lit("file '"), F.replace(path, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+
+
+def ass_line(s: Column, e: Column, style: Column, text: Column) -> Column:
+    """A Dialogue line; line ends become \\N."""
+    return F.concat(F.lit("Dialogue: 0,"), centisecond_clock(s), F.lit(","), centisecond_clock(e), F.lit(","), style, F.lit(",,0,0,0,,"), F.replace(text, F.lit("\n"), F.lit("\\N")))
+
+
+def parse_segments(files: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """keys, place, s, e, text of transcripts: JSON with segments (start, end in seconds, text) or, where that can't be read, SRT."""
+    shape = "struct<segments: array<struct<start: double, end: double, text: string>>>"
+    rows = files.withColumn("_j", F.from_json(value, shape)["segments"])
+    from_json = rows.where("_j is not null").select(*keys, F.posexplode("_j").alias("place", "_x"))
+    us = [(F.floor(F.col(f"_x.{c}") * 1_000_000 + 0.5)).alias(n) for c, n in (("start", "s"), ("end", "e"))]
+    from_srt = parse_srt(rows.where("_j is null"), keys, value).select(*keys, "place", "s", "e", "text")
+    return from_json.select(*keys, "place", *us, F.col("_x.text").alias("text")).union(from_srt)
