@@ -6,6 +6,8 @@ rows meet in one task, as the semantics demand: choose keys (a recording, a plan
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,35 +66,60 @@ def normalize_plan(df: DataFrame, keys: list[str], *, least: int = 1) -> DataFra
 def minimum_hold(df: DataFrame, keys: list[str], *, least: int) -> DataFrame:
     """keys, place, s, e, role: the shortest segment below `least` merges into its longer neighbour, until none is left.
 
-    df: s, e, role of a gapless plan. Ties: the earlier segment, the earlier neighbour.
+    df: s, e, role of a gapless plan. Ties: the earlier segment, the earlier neighbour. Neighbours of one role are one segment.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def hold(pdf: pd.DataFrame) -> pd.DataFrame:
-        plan = [[r.s, r.e, r.role] for r in pdf.sort_values(["s", "e"]).itertuples()]
-        while len(plan) > 1:
-            i = min(range(len(plan)), key=lambda j: (plan[j][1] - plan[j][0], j))
-            if plan[i][1] - plan[i][0] >= least:
-                break
-            near = [j for j in (i - 1, i + 1) if 0 <= j < len(plan)]
-            j = max(near, key=lambda k: (plan[k][1] - plan[k][0], -k))
-            plan[j] = [min(plan[i][0], plan[j][0]), max(plan[i][1], plan[j][1]), plan[j][2]]
-            del plan[i]
-            k = 1
-            while k < len(plan):
-                if plan[k][2] == plan[k - 1][2]:
-                    plan[k - 1][1] = plan[k][1]
-                    del plan[k]
-                else:
-                    k += 1
-        out = pd.DataFrame(plan, columns=["s", "e", "role"])
+        out = pd.DataFrame(_held([(r.s, r.e, r.role) for r in pdf.sort_values(["s", "e"]).itertuples()], least), columns=["s", "e", "role"])
         out["place"] = range(len(out))
         for key in keys:
             out[key] = pdf[key].iloc[0]
-        return out
+        return out[[*keys, "place", "s", "e", "role"]]
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "place int", "s long", "e long", f"role {kinds['role']}"])
-    return df.groupBy(*keys).applyInPandas(lambda pdf: hold(pdf)[[*keys, "place", "s", "e", "role"]], schema)
+    return df.groupBy(*keys).applyInPandas(hold, schema)
+
+
+def _held(plan: list[tuple], least: int) -> list[tuple]:
+    """The plan's segments after merging, by a heap of lengths over a linked list."""
+    begin, end, role = (list(x) for x in zip(*plan, strict=True))
+    ahead, behind = [i - 1 for i in range(len(plan))], [*range(1, len(plan)), -1]
+    there = [True] * len(plan)
+
+    def absorb(i: int, j: int) -> None:
+        """Segment i becomes part of its neighbour j."""
+        begin[j], end[j], there[i] = min(begin[i], begin[j]), max(end[i], end[j]), False
+        if ahead[i] >= 0:
+            behind[ahead[i]] = behind[i]
+        if behind[i] >= 0:
+            ahead[behind[i]] = ahead[i]
+
+    def join_alike(j: int) -> int:
+        while behind[j] >= 0 and role[behind[j]] == role[j]:
+            absorb(behind[j], j)
+        while ahead[j] >= 0 and role[ahead[j]] == role[j]:
+            j, old = ahead[j], j
+            absorb(old, j)
+        return j
+
+    for i in range(len(plan)):
+        if there[i]:
+            join_alike(i)
+    waiting = [(end[i] - begin[i], begin[i], i) for i in range(len(plan)) if there[i]]
+    heapq.heapify(waiting)
+    while waiting:
+        length, start, i = heapq.heappop(waiting)
+        if not there[i] or (length, start) != (end[i] - begin[i], begin[i]):
+            continue
+        near = [j for j in (ahead[i], behind[i]) if j >= 0]
+        if length >= least or not near:
+            break
+        j = max(near, key=lambda k: (end[k] - begin[k], -begin[k]))
+        absorb(i, j)
+        j = join_alike(j)
+        heapq.heappush(waiting, (end[j] - begin[j], begin[j], j))
+    return [(begin[i], end[i], role[i]) for i in range(len(plan)) if there[i]]
 
 
 def suppress_peaks(df: DataFrame, keys: list[str], at: str, score: str, *, apart: int, many: int) -> DataFrame:

@@ -201,3 +201,72 @@ def test_window_lags(spark):
     got = {r["i"]: r["match"] for r in signals.window_lags(pairs, window=20, hop=10).collect()}
     assert (got[1]["start"], got[1]["lag"]) == (30, 10) and got[1]["score"] > 0.999
     assert got[2]["lag"] is None and got[3]["lag"] is None
+
+
+def test_order_statistics_equal_sorted_lists(spark):
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, 1.0, 2.5, rng.random() * 50])) for _ in range(900)] + [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(data, "k string, x double")
+    by = {}
+    for k, x in data:
+        if x is not None:
+            by.setdefault(k, []).append(x)
+    got = {r["k"]: (r["n"], r["a"], r["b"]) for r in aggregates.nearest_rank(df, ["k"], "x", {"a": 0.5, "b": 0.93}).collect()}
+    assert got == {k: (len(v), sorted(v)[round((len(v) - 1) * 0.5)], sorted(v)[round((len(v) - 1) * 0.93)]) for k, v in by.items()}
+    got = {r["k"]: (r["a"], r["b"]) for r in aggregates.linear_percentiles(df, ["k"], "x", {"a": 0.5, "b": 0.93}).collect()}
+    assert got.keys() == by.keys() and all(np.allclose(got[k], np.quantile(by[k], [0.5, 0.93]), rtol=1e-12) for k in by)
+    assert aggregates.nearest_rank(df.limit(0), ["k"], "x", {"a": 0.5}).collect() == []
+    four = spark.createDataFrame([("k", float(i)) for i in (1, 2, 3, 4)], "k string, x double")
+    assert aggregates.nearest_rank(four, ["k"], "x", {"a": 0.5}).first()["a"] == 3.0
+
+
+def test_tracks_and_leaders(spark):
+    from tessera.operators import folds
+
+    boxes = [("v", 0, 1, 0.1, 0.1, 5.0), ("v", 0, 2, 0.9, 0.9, 4.0), ("v", 1, 1, 0.88, 0.9, 9.0), ("v", 1, 2, 0.12, 0.1, 1.0), ("v", 9, 1, 0.12, 0.1, 1.0)]
+    df = spark.createDataFrame(boxes, "k string, frame long, item long, x double, y double, area double")
+    assert rows(folds.track(df, ["k"], far=0.2, memory=3), "frame", "item", "track") == [(0, 1, 0), (0, 2, 1), (1, 1, 1), (1, 2, 0), (9, 1, 2)]
+    rng = random.Random(6)
+    codes = [(i, (0b1111 << rng.randrange(4)) ^ (1 << rng.randrange(12)) ^ -(rng.random() < 0.3), rng.random()) for i in range(120)]
+    got = dict(rows(folds.leaders(spark.createDataFrame([("k", *c) for c in codes], "k string, i long, code long, q double"), ["k"], "i", "code", "q", within=3), "i", "leader"))
+    heads, want = [], {}
+    for i, c, _ in sorted(codes, key=lambda c: (-c[2], c[0])):
+        want[i] = next((h for h, x in heads if ((c ^ x) & (2**64 - 1)).bit_count() <= 3), i)
+        if want[i] == i:
+            heads.append((i, c))
+    assert got == want
+
+
+def test_cards_and_inserts(spark):
+    cuts = spark.createDataFrame([("k", 10, 20, 3), ("k", 15, 30, 9), ("k", 40, 50, 0)], "k string, s long, e long, card long")
+    times = spark.createDataFrame([("k", i, s) for i, s in enumerate([0, 10, 15, 20, 25, 39, 45, 60])], "k string, i long, s long")
+    assert [r[1] for r in rows(intervals.replace_ranges(times, cuts, ["k"], "i"), "i", "mapped")] == [0, 10, 10, 13, 18, 32, 33, 43]
+    assert [r[1] for r in rows(intervals.push_forward(times, ["k"], "i", length=12), "i", "s")] == [0, 12, 24, 36, 48, 60, 72, 84]
+
+
+def naive_hold(plan, least):
+    plan = [list(x) for x in plan]
+    while len(plan) > 1:
+        i = min(range(len(plan)), key=lambda j: (plan[j][1] - plan[j][0], j))
+        if plan[i][1] - plan[i][0] >= least:
+            break
+        j = max((k for k in (i - 1, i + 1) if 0 <= k < len(plan)), key=lambda k: (plan[k][1] - plan[k][0], -k))
+        plan[j] = [min(plan[i][0], plan[j][0]), max(plan[i][1], plan[j][1]), plan[j][2]]
+        del plan[i]
+        for k in reversed(range(1, len(plan))):
+            if plan[k][2] == plan[k - 1][2]:
+                plan[k - 1][1] = plan[k][1]
+                del plan[k]
+    return [tuple(x) for x in plan]
+
+
+def test_minimum_hold_equals_the_loop():
+    from tessera.operators.folds import _held
+
+    rng = random.Random(11)
+    for _ in range(300):
+        at, plan = 0, []
+        for _ in range(rng.randrange(1, 25)):
+            role = rng.choice([r for r in "abc" if not plan or r != plan[-1][2]])
+            plan.append((at, at := at + rng.randrange(1, 12), role))
+        assert _held(plan, 8) == naive_hold(plan, 8)
