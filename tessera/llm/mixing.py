@@ -8,7 +8,6 @@ block, and starts over when the line is used up. The last block that a target ne
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

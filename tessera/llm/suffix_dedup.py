@@ -1,21 +1,23 @@
 """Removal of strings that occur more than once: distributed prefix doubling over bytes or words.
 
-Spark ranks positions by pairs (rank of a prefix, rank at the offset where that prefix's second half begins) at growing
-lengths, a quarter, a half and the whole of `length`; a position leaves as soon as its rank is unique.
+Spark ranks positions at growing lengths, three quarters, a half at single windows, the whole of `length`, where the rank of the
+whole is the pair (rank of the half, rank of the half that begins half a window behind); a position leaves as soon as
+its rank is unique.
 
-1. Prefixes of a quarter length are ranked inside the text, by content (64 bits), so that no sort is needed for them.
+1. Prefixes are ranked inside the text, by content (64 bits, doubled from single symbols on), so that no sort is needed for that.
 2. Which positions enter: every window of `length` symbols designates the position, among those whose prefix of three
    quarters (of words: two) lies in the window, whose quarter prefix ranks lowest (ties: leftmost). Equal windows
    designate the same place in themselves, so the designated position of a repeated window has a repeated prefix. Spark
-   sorts the pairs of ranks (of the quarter, of what follows) of designated positions, about one in length/8; a unique
-   pair leaves and takes the windows that designate it along.
+   sorts the ranks of designated positions' prefixes, about one position in length/8; a unique one leaves and takes the
+   windows that designate it along.
 3. The windows that designate one position are a run. Runs that are equal as a whole (copies of documents, the inside
    of shared passages) are repeated as a whole, and one of them stands for all in what follows.
 4. The other windows are doubled one by one: ranks of half windows are sorted and numbered anew, unique positions leave;
    pairs of them (at a position and half a window behind it) are sorted; a pair met twice is a repeated window.
 
 Ranks of prefixes and halves are content hashes of 64 bits, those of pairs of halves are numbers of distinct pairs. Two
-different windows pass as equal only if two different halves share a hash and the other halves are equal or do too.
+different runs pass as equal only if the names of both prefix and run collide, two different windows only if two different
+halves share a name and the other halves are equal or do too.
 """
 
 from __future__ import annotations
@@ -77,10 +79,12 @@ class _Search:
         behind = at + self.to_half
         return _pair(_pair(quarter[at], quarter[at + self.to_quarter]), _pair(quarter[behind], quarter[behind + self.to_quarter]))
 
-    def prefix_pairs(self, quarter: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks of the quarter at `at`, and of what follows it of the prefix."""
-        behind = quarter[at + self.rest[0]]
-        return quarter[at], behind if len(self.rest) == 1 else _pair(behind, quarter[at + self.rest[1]])
+    def prefix_names(self, quarter: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Names of the prefixes from `at`, from those of their quarters."""
+        names = quarter[at]
+        for step in self.rest:
+            names = _pair(names, quarter[at + step])
+        return names
 
 
 def designated(quarter: np.ndarray, windows: int, reach: int) -> np.ndarray:
@@ -112,12 +116,12 @@ def _segments(docs: list[np.ndarray], length: int) -> Iterator[tuple[int, int, n
             yield i, start, data[start : start + _SEGMENT + length - 1]
 
 
-_SPOTS = "doc_id long, k long, way int, lo int, span int, r long, r2 long, run long"
-_SPOT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("way", pa.int32()), ("lo", pa.int32()), ("span", pa.int32()), ("r", pa.int64()), ("r2", pa.int64()), ("run", pa.int64())])
+_SPOTS = "doc_id long, k long, way int, lo int, span int, r long, run long"
+_SPOT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("way", pa.int32()), ("lo", pa.int32()), ("span", pa.int32()), ("r", pa.int64()), ("run", pa.int64())])
 
 
 def _spots(searches: list[_Search]):
-    """Designated positions of each text, by search (way): their run of windows [lo, lo + span], pair of ranks, name of the run."""
+    """Designated positions of each text, by search (way): their run of windows [lo, lo + span], rank of the prefix, name of the run."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +150,7 @@ def _spots_of(z: _Search, way: int, batch: pa.RecordBatch, part: list[tuple[int,
     run = _pair(_pair(z.window_names(quarter, lo), z.window_names(quarter, hi)), ((a - lo) * 4096 + (hi - lo)).astype(np.uint64))
     row = pa.array(np.array([s[0] for s in part])[own])
     start = np.array([s[1] for s in part])[own] + lo - first[own]
-    numbers = [np.full(len(own), way, np.int32), start.astype(np.int32), (hi - lo).astype(np.int32), *(x.view(np.int64) for x in (*z.prefix_pairs(quarter, a), run))]
+    numbers = [np.full(len(own), way, np.int32), start.astype(np.int32), (hi - lo).astype(np.int32), *(x.view(np.int64) for x in (z.prefix_names(quarter, a), run))]
     return pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("k").take(row), *map(pa.array, numbers)], schema=_SPOT_SCHEMA)
 
 
@@ -231,21 +235,21 @@ def _doubled(places: DataFrame, searches: list[_Search]) -> DataFrame:
 def _repeated(docs: DataFrame, searches: list[_Search]) -> DataFrame:
     """doc_id, k, found0, found1 (by search): ranges of symbols that occur elsewhere too, as start << _SIZE_BITS | size; they may overlap."""
     spots = materialize(docs.mapInArrow(_spots(searches), _SPOTS))
-    halves = _met_twice(spots, ["r", "r2"]).select("r", "r2")
+    prefixes = _met_twice(spots, ["r"])
     # written, so that both sides of the join are plain shuffles, whose large partitions Spark can split
-    spots = materialize(spots.join(halves, ["r", "r2"], "left_semi"), spots)
+    spots = materialize(spots.join(prefixes.select("r"), "r", "left_semi"), spots, prefixes)
     one = F.min(F.struct("doc_id", "k", "way", "lo", "span")).alias("one")
-    runs = materialize(spots.groupBy("r", "r2", "run").agg(F.count("*").alias("c"), one))
+    runs = materialize(spots.groupBy("r", "run").agg(F.count("*").alias("c"), one))
     # a run met twice is repeated as a whole; runs of very many members don't meet in one task
-    by = ["r", "r2", "run"]
+    by = ["r", "run"]
     many = (runs.agg(F.sum("c")).first()[0] or 0) // _HOT + 1
     hot, equal = runs.where(F.col("c") > many).select(*by), runs.where((F.col("c") > 1) & (F.col("c") <= many)).select(*by)
     settled = spots.join(F.broadcast(hot), by, "left_semi").union(spots.join(F.broadcast(hot), by, "left_anti").join(equal, by, "left_semi"))
     length = _by_way([z.length for z in searches])
     settled = materialize(settled.select("doc_id", "k", "way", _range(F.col("lo"), F.col("span") + length)))
     # where different runs share a prefix, their windows are compared one by one
-    several = runs.groupBy("r", "r2").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("r", "r2")
-    listed = runs.join(several, ["r", "r2"], "left_semi").select("one.*", (F.col("c") == 1).alias("open"))
+    several = runs.groupBy("r").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("r")
+    listed = runs.join(several, "r", "left_semi").select("one.*", (F.col("c") == 1).alias("open"))
     by_doc = listed.groupBy("doc_id", "k").agg(F.collect_list(F.struct("way", "lo", "span", "open")).alias("runs"))
     by_doc = materialize(by_doc.withColumn("d", F.monotonically_increasing_id()), spots, runs)
     same = docs["doc_id"].eqNullSafe(by_doc["doc_id"]) & (docs["k"] == by_doc["k"])
