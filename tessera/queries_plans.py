@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import intervals
-from tessera.plans import cameras, timeline
+from tessera.plans import cameras
 from tessera.queries import HOUR, MINUTE, event_intervals, query
-from tessera.session import table
 
 BEGIN = 1_704_067_200_000_000  # the first microsecond of 2024, where the events begin
 DAYS = 40 * 24 * HOUR

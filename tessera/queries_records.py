@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tessera.functions import text
 from tessera.operators import intervals, matching, relations
 from tessera.queries import HOUR, MINUTE, query
-from tessera.queries_plans import BEGIN, DAYS, _LOCAL, _local
+from tessera.queries_plans import DAYS, _LOCAL, _local
 from tessera.session import table
 
 
