@@ -32,7 +32,7 @@ def validate(clips: DataFrame, tracks: DataFrame, sources: DataFrame, duration:
     return found
 
 
-def changed_regions(before: DataFrame | None, after: DataFrame, key: str, *, pad: int, duration: int, source: str | None = None, changed_sources: DataFrame | None = None, span: int) -> DataFrame:
+def changed_regions(before: DataFrame | None, after: DataFrame, key: str, *, pad: int, duration: int, source: str | None = None, changed_sources: DataFrame | None = None, span: int = 86_400_000_000) -> DataFrame:
     """region, s, e, n, reasons: merged ranges in which a version differs from the one before (rows: key, s, e, print); touching ranges merge.
 
     A changed row counts from the earlier of its starts to the later of its ends. reasons: `clip_added:key` and so on, in
