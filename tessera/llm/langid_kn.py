@@ -75,21 +75,24 @@ class KneserNey:
                 longer = np.flatnonzero(text.place > n)
                 _, once = np.unique(text.tails[n + 1][longer], return_index=True)
                 tails, kinds = np.unique(text.tails[n][longer[once]], return_counts=True)
-                at, hit = _find(tails, keys)
-                count = np.where(hit, kinds[at], count)
+                if len(tails):
+                    at, hit = _find(tails, keys)
+                    count = np.where(hit, kinds[at], count)
             context = text.tails[n - 1][last - 1] if n else np.zeros(len(keys), np.uint64)
             names, group = np.unique(context, return_inverse=True)
             off = np.minimum(discount, count)
             total = np.bincount(group, count)
             share = np.bincount(group, off) / total
             lower = np.exp(self._score(text, last))
-            self.grams.append((keys, np.log((count - off) / total[group] + share[group] * lower)))
+            self.grams.append((keys, np.log((count - off) / total[group] + share[group] * lower) if len(keys) else np.zeros(0)))
             self.contexts.append((names, np.log(share)))
 
     def _score(self, text: Marked, at: np.ndarray) -> np.ndarray:
         """Log-probability of the points at `at` by the orders there are."""
         out = np.full(len(at), self.floor)
         for n, ((keys, logs), (contexts, weights)) in enumerate(zip(self.grams, self.contexts, strict=True)):
+            if not len(keys):  # no learned word is long enough for this order
+                continue
             context = text.tails[n - 1][at - 1] if n else np.zeros(len(at), np.uint64)
             c, known = _find(contexts, context)
             known &= text.place[at] >= n

@@ -218,6 +218,16 @@ def test_kneser_ney_against_brute_force():
         assert np.allclose(got, [plain(w) for w in asked], rtol=0, atol=1e-9)
 
 
+def test_kneser_ney_of_words_shorter_than_the_order():
+    from collections import Counter
+
+    for counts in (Counter({"a": 2, "ba": 1}), Counter({"b": 1})):
+        model, plain = langid_kn.KneserNey(counts, 5), plain_kneser_ney(counts, 5)
+        got, _ = model.words(langid_kn.Marked(["a", "ab", "zzzzzz"], 5), 3)
+        assert np.allclose(got, [plain(w) for w in ("a", "ab", "zzzzzz")], rtol=0, atol=1e-9)
+    assert langid_kn.LanguageModel([("xx", "a b a"), ("yy", "c d")]).langs == ["xx", "yy"]
+
+
 def test_language_decision_against_brute_force():
     from collections import Counter
 
