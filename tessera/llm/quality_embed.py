@@ -66,8 +66,9 @@ def neighbours(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]
 class QualityModel:
     """Folded model: weights[b] is the log-odds that bucket b adds before averaging; bias stands alone."""
 
-    def __init__(self, texts: list[str | None], labels: list[int], buckets: int = 1 << 18, dim: int = 8, epochs: int = 6, rate: float = 0.6, seed: int = 7):
+    def __init__(self, texts: list[str | None], labels: list[int], buckets: int = 1 << 18, dim: int = 8, epochs: int | None = None, rate: float = 0.6, seed: int = 7):
         self.buckets = buckets
+        epochs = epochs or max(6, min(60, 12_000 // max(1, len(texts))))  # few rows are gone through more often
         bags = [self._bag((t or "").encode().split()) for t in texts]
         rng = np.random.default_rng(seed)
         vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
