@@ -145,7 +145,7 @@ FROM judged
 """
 
 SQL["op6_suffix_dedup"] = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 blocks AS (SELECT rid, k, n, substring(h, 1600 * k + 1, 2400) AS b FROM (SELECT rid, h, len(h) // 2 AS n, unnest(range(0, len(h) // 1600 + 1)) AS k FROM d)),
 windows AS (SELECT rid, 800 * k + j AS i, md5(substring(b, 2 * j + 1, 800)) AS m FROM (SELECT rid, k, b, unnest(range(0, least(800, n - 399 - 800 * k))) AS j FROM blocks)),
 twice AS (SELECT m FROM windows GROUP BY m HAVING count(*) > 1),
@@ -153,10 +153,15 @@ hit AS (SELECT rid, i FROM windows WHERE m IN (SELECT m FROM twice)),
 marked AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM hit),
 spans AS (SELECT rid, min(i) AS s, max(i) + 400 AS e FROM (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS k FROM marked) GROUP BY rid, k),
 ahead AS (SELECT rid, s, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS before FROM spans),
-cut AS (SELECT rid, count(*) AS n_spans, sum(e - s) AS n_removed, string_agg(substring(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS kept, max(e) AS last FROM ahead JOIN d USING (rid) GROUP BY rid)
+cut AS (SELECT rid, count(*) AS n_spans, sum(e - s) AS n_removed, string_agg(substring(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS kept, max(e) AS last FROM ahead JOIN d USING (rid) GROUP BY rid),
+phrases AS (SELECT rid, i, md5(array_to_string(ws[i:i + 50], chr(10))) AS m FROM (SELECT rid, ws, unnest(range(1, len(ws) - 49)) AS i FROM d)),
+known AS (SELECT m FROM phrases GROUP BY m HAVING count(*) > 1),
+said AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS p FROM phrases WHERE m IN (SELECT m FROM known)),
+shared AS (SELECT rid, sum(CASE WHEN p IS NULL OR i - p >= 51 THEN 51 ELSE i - p END) AS n FROM said GROUP BY rid)
 SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-  sha256(unhex(coalesce(kept || substring(h, 2 * last + 1), h))) AS kept_sha256
-FROM d LEFT JOIN cut USING (rid)
+  sha256(unhex(coalesce(kept || substring(h, 2 * last + 1), h))) AS kept_sha256,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_shared_words
+FROM d LEFT JOIN cut USING (rid) LEFT JOIN shared USING (rid)
 """
 
 SQL["op7_near_dedup"] = r"""
