@@ -31,9 +31,10 @@ def scratch_root(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, *done: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, *done: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, keeps column pruning.
 
+    by: columns that name folders; a filter on them reads only its own.
     Its shuffle files go once it is written. The table stays until the driver ends, as the frames that read it are
     lazy, unless it is named in a later call's `done`: tables that nothing will read any more, deleted after the write.
     """
@@ -42,7 +43,7 @@ def materialize(df: DataFrame, *done: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     atexit.register(_drop, spark, path)
@@ -61,6 +62,11 @@ def _drop(spark: SparkSession, path: str) -> None:
         return
 
 
+def drop_table(table: DataFrame, folder: str = "") -> None:
+    """Deletes a materialized table, or one folder of it, that nothing reads any more."""
+    _drop(table.sparkSession, f"{table._scratch}/{folder}".rstrip("/"))
+
+
 def fold(column: str | Column, modulus: int) -> Column:
     """crc32 of the value as text, modulo: the splits into learned and held-out rows; null stays null."""
     column = F.col(column) if isinstance(column, str) else column

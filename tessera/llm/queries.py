@@ -10,7 +10,10 @@ from tessera.llm import ann_ivfpq, host_rules, langid_kn, packing, quality_embed
 from tessera.llm.common import fold
 from tessera.llm.mixing import mix_sources
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.ngram_join import similar
+from tessera.llm.phrases import collocations
 from tessera.llm.suffix_dedup import remove_repeats
+from tessera.llm.whitening import whiten
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +83,18 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link_calls(calls, results, tool_calls.CONVERSATION_TOOLS)
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar(_read(spark, sf_dir, "documents"), width=5, percent=80).select("doc_id", "n_shingles", "component_id")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_read(spark, sf_dir, "documents"), least=30, longest=4, most=2000)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_read(spark, sf_dir, "embeddings"), most=16)
+
+
 QUERIES = {
     "op1_quality_embed": op1_quality_embed,
     "op2_packing": op2_packing,
@@ -91,6 +106,9 @@ QUERIES = {
     "op8_ann_ivfpq": op8_ann_ivfpq,
     "op9_mixing": op9_mixing,
     "op10_tool_calls": op10_tool_calls,
+    "op11_ngram_join": op11_ngram_join,
+    "op12_phrases": op12_phrases,
+    "op13_whitening": op13_whitening,
 }
 
 SQL: dict[str, str] = {}
@@ -176,3 +194,35 @@ classes AS (SELECT node, min(r) AS component_id FROM reach GROUP BY node)
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id, coalesce(component_id, w.doc_id) = w.doc_id AS kept
 FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN classes ON node = w.doc_id
 """
+
+SQL["op12_phrases"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM documents),
+totals AS (SELECT lang, sum(len(ws)) AS n FROM pieces GROUP BY lang),
+grams AS (SELECT lang, ws[i:i + k - 1] AS g FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k))),
+f AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g HAVING count(*) >= 30),
+inner_ AS (SELECT lang, f, g[i:i + k - 1] AS g FROM (SELECT lang, f, g, k, unnest(range(1, len(g) - k + 2)) AS i FROM f, (SELECT unnest([2, 3]) AS k) WHERE k < len(g))),
+longer AS (SELECT lang, g, max(f) AS f FROM inner_ GROUP BY lang, g),
+kept AS (SELECT f.lang, f.g, f.f AS a FROM f LEFT JOIN longer o ON o.lang = f.lang AND o.g = f.g WHERE len(f.g) > 1 AND (o.f IS NULL OR 100 * o.f < 80 * f.f)),
+cuts AS (
+  SELECT c.lang, c.g, c.a, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM kept) c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:c.k] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.k + 1:]),
+best AS (SELECT lang, g, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT r.lang, row_number() OVER (PARTITION BY r.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r.r, t.n::BIGINT AS n, score::BIGINT AS score FROM ranked r JOIN totals t ON t.lang = r.lang)
+WHERE rank <= 2000
+"""
+
+SQL["op11_ngram_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], chr(10))) WHEN len(ws) > 0 THEN [array_to_string(ws, chr(10))] ELSE [] END) AS g FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS node, a AS r FROM edges UNION SELECT e.b, reach.r FROM reach JOIN edges e ON e.a = reach.node),
+classes AS (SELECT node, min(r) AS component_id FROM reach GROUP BY node)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN classes ON node = w.doc_id
+"""
