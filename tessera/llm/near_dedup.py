@@ -40,7 +40,8 @@ def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
     words, first = word_hashes([(t or "").encode() for t in texts], lower=True)
     runs = np.full(len(words), width, np.uint64)
     for j in range(width):
-        runs[: len(words) - j] = mix(runs[: len(words) - j] * np.uint64(0x9E3779B97F4A7C15) + words[j:])
+        left = max(0, len(words) - j)
+        runs[:left] = mix(runs[:left] * np.uint64(0x9E3779B97F4A7C15) + words[j:])
     for start, end in zip(first[:-1], first[1:], strict=True):
         if end - start >= width:
             yield np.unique(runs[start : end - width + 1].view(np.int64))

@@ -104,7 +104,7 @@ def test_phrases_of_words_with_one_hash(spark, monkeypatch):
         return (hashes if seed else hashes % np.uint64(4), second, *rest)
 
     monkeypatch.setattr(phrases, "_words", clumsy)
-    import cloudpickle
+    from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(phrases)
     try:
