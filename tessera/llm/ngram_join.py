@@ -25,8 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import groups_of, materialize, mix
-from tessera.llm.near_dedup import _relisted, components, shingle_sets
+from tessera.llm.common import drop_table, groups_of, materialize, mix
+from tessera.llm.near_dedup import _relisted, _shingler, components, shingle_sets
 
 #: Points of a leaf, children of a box
 LEAF = 64
@@ -45,27 +45,18 @@ def folded(point: np.ndarray, groups: int) -> np.ndarray:
     return point.reshape(-1, groups).sum(axis=0, dtype=np.int32)
 
 
-def _prefixes(width: int, percent: int):
-    def prefixes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _points(width: int, percent: int):
+    def points(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for part in groups_of(texts, lambda t: len(t or "")):
                 for s in shingle_sets(part, width):
                     a, b = (mix(s.view(np.uint64) ^ np.uint64(c)).sum(dtype=np.uint64).view(np.int64) for c in (0x243F6A8885A308D3, 0x13198A2E03707344))
                     # a partner shares ceil(n * percent / 100) at least: one of the first n - that + 1 is shared
-                    rows.append((len(s), a, b, s[: len(s) - -(-len(s) * percent // 100) + 1]))
-            yield pd.DataFrame(rows, columns=["n", "set_a", "set_b", "prefix"])
-
-    return F.pandas_udf(prefixes, "n long, set_a long, set_b long, prefix array<long>")
-
-
-def _points(width: int):
-    def points(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = [(s, counts(s)) for part in groups_of(texts, lambda t: len(t or "")) for s in shingle_sets(part, width)]
-            yield pd.DataFrame(rows, columns=["s", "point"])
+                    rows.append((len(s), a, b, s[: len(s) - -(-len(s) * percent // 100) + 1], counts(s)))
+            yield pd.DataFrame(rows, columns=["n", "set_a", "set_b", "prefix", "point"])
 
-    return F.pandas_udf(points, "s array<long>, point array<int>")
+    return F.pandas_udf(points, "n long, set_a long, set_b long, prefix array<long>, point array<int>")
 
 
 def _bounded(percent: int):
@@ -91,11 +82,10 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     hash. Empty table: no rows.
     """
     docs = docs.select("doc_id", "text")
-    digest = materialize(docs.select("doc_id", _prefixes(width, percent)("text").alias("s")).select("doc_id", "s.*"))
-    sets = digest.where("n > 0 and doc_id is not null").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    sets = materialize(sets)
-    links = _links(docs, sets.select("rep", "n", "prefix"), width, percent)
-    classes = sets.select("set_a", "set_b", "n", "rep")
+    digest = materialize(docs.select("doc_id", _points(width, percent)("text").alias("s")).select("doc_id", "s.*"))
+    sets = digest.where("n > 0 and doc_id is not null").groupBy("set_a", "set_b", "n")
+    links = _links(docs, sets.agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("point").alias("point")), width, percent)
+    classes = sets.agg(F.min("doc_id").alias("rep"))
     if links is None:
         classes = classes.select("set_a", "set_b", "n", F.col("rep").alias("component"), F.lit(0).cast("long").alias("n_links"))
     else:
@@ -103,7 +93,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         degree = links.select("a", "b").union(links.select("b", "a")).distinct().groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
         classes = classes.join(found, "rep", "left").join(degree, "rep", "left")
         classes = classes.select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = digest.drop("prefix").join(classes, ["set_a", "set_b", "n"], "left")
+    out = digest.drop("prefix", "point").join(classes, ["set_a", "set_b", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.when(F.col("doc_id").isNull() | F.col("n_links").isNull(), F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
@@ -112,38 +102,48 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFr
     """Links a < b between representatives that connect all that the threshold connects; None if there are none."""
     most = F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent - F.col("n"))
     posted = reps.select("rep", "n", F.posexplode("prefix").alias("place", "v")).select("v", "rep", "n", "place", most.alias("most"))
-    lengths = materialize(posted.groupBy("v").agg(F.count("*").alias("length")).where("length > 1"))
-    listed = materialize(posted.join(lengths, "v"))
-    named = listed.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    made = texts.select(F.col("doc_id").alias("rep"), _points(width)("text").alias("p"))
-    sets = materialize(made.select("rep", F.size("p.s").cast("long").alias("n"), "p.s", "p.point"))
-    points = sets.select("rep", "point")
+    bounds = posted.groupBy("v").agg(F.min("n").alias("low"), F.max("most").alias("high"), F.count("*").alias("length")).where("length > 1")
+    bounds = materialize(bounds)
+    listed = materialize(posted.join(bounds, "v").where("most >= low and n <= high").drop("low", "high"), bounds)
+    lengths = listed.groupBy("v").agg(F.count("*").alias("length")).where("length > 1")
+    listed = materialize(listed.drop("length").join(lengths, "v"), listed)
+    points = materialize(reps.select("rep", "point").join(listed.select("rep").distinct(), "rep", "left_semi"))
+
+    def sets_of(chosen: DataFrame) -> DataFrame:
+        """rep, n, s: the whole sets of chosen representatives."""
+        texts = docs.join(chosen.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        return materialize(texts.select(F.col("doc_id").alias("rep"), _shingler(width)("text").alias("s")).withColumn("n", F.size("s").cast("long")))
+
+    checked: list[DataFrame] = []
 
     def verified(pairs: DataFrame, bound: bool) -> DataFrame:
-        """The links among pairs (x, y). bound: they haven't passed the bound yet."""
+        """The links among pairs (x, y) that weren't checked before. bound: they haven't passed the bound yet."""
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
         if bound:
             both = pairs.join(points.toDF("a", "p_a"), "a").join(points.toDF("b", "p_b"), "b")
             pairs = both.where(_bounded(percent)("p_a", "p_b")).select("a", "b")
+        for earlier in checked:
+            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
-        ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-        whole = materialize(sets.select("rep", "s").join(ends, "rep", "left_semi"))
+        checked.append(pairs)
+        whole = sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))).select("rep", "s")
         both = pairs.join(whole.toDF("a", "s_a"), "a").join(whole.toDF("b", "s_b"), "b")
         common = both.select("a", "b", (F.size("s_a") + F.size("s_b")).alias("sizes"), F.size(F.array_intersect("s_a", "s_b")).alias("common"))
-        return materialize(common.where(F.col("common") * 100 >= percent * (F.col("sizes") - F.col("common"))).select("a", "b"), whole)
+        return common.where(F.col("common") * 100 >= percent * (F.col("sizes") - F.col("common"))).select("a", "b")
 
     long = listed.where(F.col("length") > LEAF).select("rep").distinct()
-    again = _relisted(sets.select("rep", "n", "s").join(long, "rep", "left_semi"), percent)
+    whole = sets_of(long)
+    again = _relisted(whole, percent)
     columns = ["v", "rep", "n", "place", "most", "length"]
     lists = listed.where(F.col("length") <= LEAF).select(*columns, F.lit(0).alias("kind")).union(again.select(*columns, F.lit(1).alias("kind")))
     lists = _apart(lists)
+    drop_table(whole)
     if lists.isEmpty():
         return None
     # the most typical point has the fewest rare n-grams before this one
     typical = lists.groupBy("kind", "v").agg(F.min(F.struct("place", "rep", "n", "most")).alias("t")).select("kind", "v", "t.*")
     fits = F.expr("p.kind = q.kind and p.v = q.v and p.rep <> q.rep and p.n <= q.most and q.n <= p.most")
-    links = verified(lists.alias("p").join(typical.alias("q"), fits).select(F.col("q.rep").alias("x"), F.col("p.rep").alias("y")), bound=True)
+    links = materialize(verified(lists.alias("p").join(typical.alias("q"), fits).select(F.col("q.rep").alias("x"), F.col("p.rep").alias("y")), bound=True))
     lists = lists.where("length > 2")
     for every in (False, True):
         lists = _mixed(lists, links)
