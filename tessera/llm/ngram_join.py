@@ -5,9 +5,10 @@
    the boxes' upper corners. Equal sets (128-bit digest and size) are one point.
 2. Boxes of unrelated texts overlap in so many dimensions, so one tree over all points would prune nothing but sizes.
    The points go to a forest: a tree for each n-gram among those that two sets at the threshold can't both do without
-   (the lowest hashes of each, exact). An n-gram with one text falls away; of lists with the same members the first stays.
-   Members of lists beyond a leaf's size are listed anew with all n-grams, rarest first, so that an n-gram that many texts
-   hold has a tree only for those that consist of such n-grams.
+   (the first of each in one order of all n-grams, exact whatever the order). An n-gram with one text falls away; of lists with the same members the first stays.
+   The first order is that of the hashes. Members of lists beyond a leaf's size are listed anew, with the n-grams of such lists
+   behind all others, longer lists last (known to tasks by a table of fixed size, indexed by hash; n-grams that share a slot
+   count as frequent alike), again and again as long as fewer texts are in long lists: what is left consists of frequent n-grams.
 3. Every point meets the most typical one of its tree. Then the trees that still hold several components are packed by
    component and size (sorted in ranges, so that a large tree spreads over tasks) and crossed with themselves from the
    root down: pairs of boxes go if the bound, the sizes, or a component that both share whole say so. First each two leaves
@@ -26,10 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import drop_table, groups_of, materialize, mix
-from tessera.llm.near_dedup import _relisted, _shingler, components, shingle_sets
+from tessera.llm.near_dedup import _shingler, components, shingle_sets
 
 #: Points of a leaf, children of a box
 LEAF = 64
+#: Slots of the table of frequent n-grams: one byte each, in every Python worker and on the driver
+SLOTS = 1 << 24
+#: Texts in long lists are listed anew while each time this share of them or less is left
+SHRINK = 0.8
 #: Coordinates of a point: about a quarter of its n-grams, a power of two within these
 FEW_GROUPS, MANY_GROUPS = 16, 2048
 
@@ -59,6 +64,21 @@ def _points(width: int, percent: int):
     return F.pandas_udf(points, "n long, set_a long, set_b long, prefix array<long>, point array<int>")
 
 
+def _ordered(width: int, percent: int, classes):
+    """n, prefix: as in the first pass, in the order of (class, hash). classes: broadcast array of bytes by slot."""
+
+    def ordered(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for part in groups_of(texts, lambda t: len(t or "")):
+                for s in shingle_sets(part, width):
+                    order = np.argsort(classes.value[s & (len(classes.value) - 1)], kind="stable")
+                    rows.append((len(s), s[order[: len(s) - -(-len(s) * percent // 100) + 1]]))
+            yield pd.DataFrame(rows, columns=["n", "prefix"])
+
+    return F.pandas_udf(ordered, "n long, prefix array<long>")
+
+
 def _bounded(percent: int):
     def bounded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
@@ -100,19 +120,40 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame | None:
     """Links a < b between representatives that connect all that the threshold connects; None if there are none."""
-    most = F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent - F.col("n"))
-    posted = reps.select("rep", "n", F.posexplode("prefix").alias("place", "v")).select("v", "rep", "n", "place", most.alias("most"))
-    bounds = posted.groupBy("v").agg(F.min("n").alias("low"), F.max("most").alias("high"), F.count("*").alias("length")).where("length > 1")
-    bounds = materialize(bounds)
-    listed = materialize(posted.join(bounds, "v").where("most >= low and n <= high").drop("low", "high"), bounds)
-    lengths = listed.groupBy("v").agg(F.count("*").alias("length")).where("length > 1")
-    listed = materialize(listed.drop("length").join(lengths, "v"), listed)
-    points = materialize(reps.select("rep", "point").join(listed.select("rep").distinct(), "rep", "left_semi"))
-
-    def sets_of(chosen: DataFrame) -> DataFrame:
-        """rep, n, s: the whole sets of chosen representatives."""
-        texts = docs.join(chosen.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-        return materialize(texts.select(F.col("doc_id").alias("rep"), _shingler(width)("text").alias("s")).withColumn("n", F.size("s").cast("long")))
+    spark = docs.sparkSession
+
+    def texts_of(chosen: DataFrame) -> DataFrame:
+        """rep, text of chosen representatives."""
+        ids = chosen.select(F.col("rep").alias("doc_id")).distinct()
+        return docs.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+    def listed(rows: DataFrame) -> DataFrame:
+        """v, rep, n, place, most, length: the lists of two or more; most: the largest partner that this place still allows."""
+        most = F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent - F.col("n"))
+        posted = rows.select("rep", "n", F.posexplode("prefix").alias("place", "v")).select("v", "rep", "n", "place", most.alias("most"))
+        bounds = materialize(posted.groupBy("v").agg(F.min("n").alias("low"), F.max("most").alias("high"), F.count("*").alias("length")).where("length > 1").drop("length"))
+        some = materialize(posted.join(bounds, "v").where("most >= low and n <= high").drop("low", "high"), bounds)
+        lengths = some.groupBy("v").agg(F.count("*").alias("length")).where("length > 1")
+        return materialize(some.join(lengths, "v"), some)
+
+    classes, kind, before = np.zeros(SLOTS, np.uint8), 0, None
+    found = listed(reps)
+    points = materialize(reps.select("rep", "point").join(found.select("rep").distinct(), "rep", "left_semi"))
+    lists = found.where(F.col("length") <= LEAF).withColumn("kind", F.lit(kind))
+    while True:
+        long = found.where(F.col("length") > LEAF)
+        members = materialize(long.select("rep").distinct())
+        many = members.count()
+        if many == 0 or (before is not None and many > SHRINK * before):
+            lists = lists.union(long.withColumn("kind", F.lit(kind)))
+            break
+        frequent = long.groupBy((F.col("v").bitwiseAND(F.lit(SLOTS - 1))).alias("slot")).agg(F.max("length").alias("length")).toPandas()
+        np.maximum.at(classes, frequent["slot"].to_numpy(), (1 + np.log2(frequent["length"].to_numpy() / LEAF)).astype(np.uint8))
+        known = spark.sparkContext.broadcast(classes.copy())
+        again = materialize(texts_of(members).select("rep", _ordered(width, percent, known)("text").alias("p")).select("rep", "p.*"))
+        found, kind, before = listed(again), kind + 1, many
+        drop_table(again)
+        lists = lists.union(found.where(F.col("length") <= LEAF).withColumn("kind", F.lit(kind)))
 
     checked: list[DataFrame] = []
 
@@ -126,18 +167,13 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFr
             pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
         checked.append(pairs)
-        whole = sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))).select("rep", "s")
+        ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
+        whole = materialize(texts_of(ends).select("rep", _shingler(width)("text").alias("s")))
         both = pairs.join(whole.toDF("a", "s_a"), "a").join(whole.toDF("b", "s_b"), "b")
         common = both.select("a", "b", (F.size("s_a") + F.size("s_b")).alias("sizes"), F.size(F.array_intersect("s_a", "s_b")).alias("common"))
         return common.where(F.col("common") * 100 >= percent * (F.col("sizes") - F.col("common"))).select("a", "b")
 
-    long = listed.where(F.col("length") > LEAF).select("rep").distinct()
-    whole = sets_of(long)
-    again = _relisted(whole, percent)
-    columns = ["v", "rep", "n", "place", "most", "length"]
-    lists = listed.where(F.col("length") <= LEAF).select(*columns, F.lit(0).alias("kind")).union(again.select(*columns, F.lit(1).alias("kind")))
     lists = _apart(lists)
-    drop_table(whole)
     if lists.isEmpty():
         return None
     # the most typical point has the fewest rare n-grams before this one
@@ -155,8 +191,10 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFr
 
 def _apart(lists: DataFrame) -> DataFrame:
     """Without lists whose members are those of an earlier one: what two points of both share first is in the earlier."""
-    members = lists.groupBy("kind", "v").agg(F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("m2"), F.count("*").alias("length"))
-    first = materialize(members.where("length > 1").groupBy("kind", "m1", "m2", "length").agg(F.min("v").alias("v")).select("kind", "v", "length"))
+    members = lists.groupBy("kind", "v").agg(F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("m2"), F.count("*").alias("length"), F.sum("place").alias("places"))
+    # of lists with the same members the earlier one has the lower place in each of them
+    first = members.where("length > 1").groupBy("kind", "m1", "m2", "length").agg(F.min_by("v", F.struct("places", "v")).alias("v"))
+    first = materialize(first.select("kind", "v", "length"))
     return materialize(lists.drop("length").join(first, ["kind", "v"]))
 
 
@@ -211,34 +249,40 @@ def _packed(children: DataFrame) -> DataFrame:
 def _descend(percent: int, leaves: bool, every: bool):
     """Pairs of boxes to those pairs of their children that the bound, the sizes and the components allow."""
 
-    def survivors(a, b, same: bool) -> pd.DataFrame:
+    def survivors(a, b, same: bool) -> tuple:
         groups = min(a.groups, b.groups)
         left, right = (np.frombuffer(n.boxes, np.int32).reshape(len(n.ids), -1, groups).sum(axis=1) for n in (a, b))
-        ok = np.minimum(left[:, None, :], right[None, :, :]).sum(axis=2) if len(left) * len(right) * groups < 1 << 21 else np.stack([np.minimum(row, right).sum(axis=1) for row in left])
-        (la, ma, ca, pa), (lb, mb, cb, pb) = ((np.asarray(n.lows), np.asarray(n.mosts), np.asarray(n.cs), np.asarray(n.pures, bool)) for n in (a, b))
+        if len(left) * len(right) * groups < 1 << 20:
+            most = np.minimum(left[:, None, :], right[None, :, :]).sum(axis=2)
+        else:
+            most = np.stack([np.minimum(row, right).sum(axis=1) for row in left])
+        (la, ma, ca, pa), (lb, mb, cb, pb) = ((n.lows, n.mosts, n.cs, n.pures) for n in (a, b))
         sizes = la[:, None] + lb[None, :]
-        keep = (ok * (100 + percent) >= percent * sizes) & (la[:, None] <= mb[None, :]) & (lb[None, :] <= ma[:, None])
-        keep &= ~((ca[:, None] == cb[None, :]) & pa[:, None] & pb[None, :])
+        keep = (most * (100 + percent) >= percent * sizes) & (la[:, None] <= mb[None, :]) & (lb[None, :] <= ma[:, None])
+        keep &= (ca[:, None] != cb[None, :]) | ~pa[:, None] | ~pb[None, :]
         if same:
             keep &= np.tri(len(left), len(right), -1 if leaves else 0, dtype=bool).T
         i, j = np.nonzero(keep)
-        out = pd.DataFrame({"kind": a.kind, "v": a.v, "x": np.asarray(a.ids)[i], "y": np.asarray(b.ids)[j]})
-        if leaves and not every and len(out):
-            ends = np.sort(np.stack((ca[i], cb[j])), axis=0)
-            best = out.assign(lo=ends[0], hi=ends[1], s=-ok[i, j] / sizes[i, j]).sort_values(["s", "x", "y"]).drop_duplicates(["lo", "hi"])
-            out = best[["kind", "v", "x", "y"]]
-        return out
+        if leaves and not every and len(i) > 1:
+            low, high = np.minimum(ca[i], cb[j]), np.maximum(ca[i], cb[j])
+            order = np.lexsort((b.ids[j], a.ids[i], -most[i, j] / sizes[i, j], high, low))
+            first = np.ones(len(order), bool)
+            first[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+            i, j = i[order[first]], j[order[first]]
+        return np.full(len(i), a.kind), np.full(len(i), a.v), a.ids[i], b.ids[j]
+
+    def gathered(found: list[tuple]) -> pd.DataFrame:
+        columns = zip(*found, strict=True) if found else [[]] * 4
+        return pd.DataFrame({n: np.concatenate([np.zeros(0, np.int64), *c]) for n, c in zip(("kind", "v", "x", "y"), columns, strict=True)})
 
     def alone(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for r in f.itertuples(index=False):
-                yield survivors(r, r, True)
+            yield gathered([survivors(r, r, True) for r in f.itertuples(index=False)])
 
     def apart(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             left, right = (f[[c for c in f if c.startswith(p)]].rename(columns=lambda c: c[2:]) for p in ("a_", "b_"))
-            for a, b in zip(left.itertuples(index=False), right.itertuples(index=False), strict=True):
-                yield survivors(a, b, False)
+            yield gathered([survivors(a, b, False) for a, b in zip(left.itertuples(index=False), right.itertuples(index=False), strict=True)])
 
     return alone, apart
 
