@@ -53,9 +53,13 @@ def schema_errors(x: Column, schema: dict, path: str = "$") -> Column:
     Understood: type, required, properties, additionalProperties (false), enum, minimum, minItems. Unreadable text
     gives `$: not JSON`. What lies inside a value of the wrong type isn't judged.
     """
-    value = F.try_parse_json(x)
-    found = F.array_compact(F.array(*_checks(value, schema, path)).cast("array<string>"))
-    return F.when(value.isNull(), F.array(F.lit("$: not JSON"))).otherwise(found)
+
+    def judged(value: Column) -> Column:
+        found = F.array_compact(F.array(*_checks(value, schema, path)).cast("array<string>"))
+        return F.when(value.isNull(), F.array(F.lit("$: not JSON"))).otherwise(found)
+
+    # a lambda's variable, so that each text is parsed once however many checks there are
+    return F.element_at(F.transform(F.array(F.try_parse_json(x)), judged), 1)
 
 
 def _at(value: Column, path: str, kind: str) -> Column:
@@ -90,10 +94,15 @@ def _checks(value: Column, schema: dict, path: str) -> list[Column]:
 
 
 def apply_patch(document: str, operations: str) -> str | None:
-    """The document after JSON-pointer operations (add, replace, remove; `-` appends), as canonical text; null if one can't be done."""
+    """The document after JSON-pointer operations (add, replace, remove; `-` appends), as canonical text.
+
+    Null if one can't be done, is another operation, or leaves neither an object nor a list.
+    """
     try:
         root = {"": json.loads(document)}
         for op in json.loads(operations):
+            if op["op"] not in ("add", "replace", "remove"):
+                return None
             parts = ["", *(p.replace("~1", "/").replace("~0", "~") for p in op["path"].split("/")[1:])]
             node = root
             for p in parts[:-1]:
@@ -115,6 +124,8 @@ def apply_patch(document: str, operations: str) -> str | None:
                 node[last] = op["value"]
             else:
                 return None
+        if not isinstance(root.get(""), (dict, list)):
+            return None
         return json.dumps(root[""], sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     except (KeyError, ValueError, TypeError, IndexError):
         return None
@@ -132,12 +143,13 @@ def patched(document: Column, operations: Column) -> Column:
 def write_if_current(stored: DataFrame, writes: DataFrame, key: str) -> DataFrame:
     """key, revision, document, accepted: what is stored after writes (key, base, document), each taken only if its base is the stored revision.
 
-    Of several writes to one key with the right base the smallest document is taken, the others aren't. accepted: how many were.
+    Of several writes to one key with the right base the smallest document is taken (null is the smallest), the others aren't. accepted: how many were.
     """
-    fits = writes.join(stored.select(key, "revision"), key).where("base = revision").groupBy(key).agg(F.min("document").alias("_new"))
+    fits = writes.join(stored.select(key, "revision"), key).where("base = revision").groupBy(key).agg(F.min(F.struct("document")).alias("_new"))
     rows = stored.join(fits, key, "left")
     took = F.col("_new").isNotNull()
-    return rows.select(key, (F.col("revision") + took.cast("int")).alias("revision"), F.coalesce("_new", "document").alias("document"), took.cast("int").alias("accepted"))
+    document = F.when(took, F.col("_new.document")).otherwise(F.col("document"))
+    return rows.select(key, (F.col("revision") + took.cast("int")).alias("revision"), document.alias("document"), took.cast("int").alias("accepted"))
 
 
 def markdown_table(df: DataFrame, columns: list[str]) -> Column:

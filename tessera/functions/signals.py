@@ -17,6 +17,11 @@ def envelope(df: DataFrame, keys: list[str], index: str, value: str, frame: int)
     return rms.withColumn("z", F.when(sd > 1e-12, (F.col("_v") - F.avg("_v").over(own)) / sd).otherwise(0.0)).drop("_v")
 
 
+def _samples(x) -> np.ndarray:
+    """An array of doubles; none for null."""
+    return np.zeros(0) if x is None else np.asarray(x, float)
+
+
 def best_lag(probe: np.ndarray, target: np.ndarray) -> tuple[int, float]:
     """(lag, score): where the probe lies best in the target, by normalised cross-correlation; the first of equal ones."""
     n = len(probe)
@@ -32,10 +37,10 @@ def best_lag(probe: np.ndarray, target: np.ndarray) -> tuple[int, float]:
 
 
 def lags(pairs: DataFrame) -> DataFrame:
-    """pairs (probe, target: arrays of doubles, and other columns) with struct `match` (lag, score)."""
+    """pairs (probe, target: arrays of doubles, and other columns) with struct `match` (lag, score); null arrays are empty ones: lag 0, score 0."""
 
     def match(probe: pd.Series, target: pd.Series) -> pd.DataFrame:
-        found = [best_lag(np.asarray(p, float), np.asarray(t, float)) for p, t in zip(probe, target, strict=True)]
+        found = [best_lag(_samples(p), _samples(t)) for p, t in zip(probe, target, strict=True)]
         return pd.DataFrame(found, columns=["lag", "score"])
 
     return pairs.withColumn("match", F.pandas_udf(match, "lag int, score double")("probe", "target"))
@@ -81,7 +86,7 @@ def window_lags(pairs: DataFrame, *, window: int, hop: int, flat: float = 0.05)
     def match(probe: pd.Series, target: pd.Series) -> pd.DataFrame:
         rows = []
         for p, t in zip(probe, target, strict=True):
-            p, t, best = np.asarray(p, float), np.asarray(t, float), (None, None, None)
+            p, t, best = _samples(p), _samples(t), (None, None, None)
             for start in range(0, len(p) - window + 1, hop):
                 part = p[start : start + window]
                 if part.std() < flat or len(t) < window:

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters that comparison of captions ignores.
-PUNCTUATION = r"[\s、。，．,.!！?？「」『』（）()・…:：;；\-—~〜]"
+#: What comparison of captions ignores: white space, punctuation and symbols of any script
+PUNCTUATION = r"[\s\p{P}\p{S}\p{Z}]"
 
 
 def clean(x: Column) -> Column:
@@ -166,7 +166,7 @@ def common_run(a: Column, b: Column, *, least: int, most: int) -> Column:
     """Length of the longest piece of a, of `least` to `most` characters, that b holds; 0 if there is none."""
     out = F.lit(0)
     for n in range(least, most + 1):
-        out = F.when((F.length(a) >= n) & F.exists(ngrams(a, n), lambda p: F.contains(b, p)), F.lit(n)).otherwise(out)
+        out = F.when((F.length(a) >= n) & (F.length(b) >= n) & F.arrays_overlap(ngrams(a, n), ngrams(b, n)), F.lit(n)).otherwise(out)
     return out
 
 

@@ -9,32 +9,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.session import checkpointed
 
 #: Stretches of values that a key's rows are dealt into
 _STRETCHES = 64
 
 
+def _tally(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """_key, the value and how often it is there, cut from the input: what follows reads it several times."""
+    # a struct of keys, so that null keys meet in joins too
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("_key"), F.col(value).alias("_v"))
+    return checkpointed(rows.groupBy("_key", "_v").agg(F.count("*").alias("_c")))
+
+
+def _picked(counts: DataFrame, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """_key, n and a column for each place, of tallied values."""
+    bounds = counts.agg(F.percentile_approx(F.col("_v").cast("double"), [i / _STRETCHES for i in range(1, _STRETCHES)], 1000)).first()[0] or []
+    bounds = F.array(*(F.lit(float(x)) for x in sorted(set(bounds)))).cast("array<double>")
+    stretch = F.size(F.filter(bounds, lambda x: F.col("_v").cast("double") >= x))
+    rows = counts.withColumn("_b", stretch)
+    own = Window.partitionBy("_key")
+    ahead = own.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_key", "_b").agg(F.sum("_c").alias("_s")).select("_key", "_b", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_base"), F.sum("_s").over(own).alias("_n"))
+    upto = F.sum("_c").over(Window.partitionBy("_key", "_b").orderBy("_v")) + F.col("_base")
+    placed = rows.join(sums, ["_key", "_b"]).withColumn("_to", upto)
+    picks = [F.max(F.when((place(F.col("_n")) < F.col("_to")) & (place(F.col("_n")) >= F.col("_to") - F.col("_c")), F.col("_v"))).alias(name) for name, place in places.items()]
+    return placed.groupBy("_key").agg(F.max("_n").alias("n"), *picks)
+
+
 def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """keys, n and a column for each place: the value that stands there (from 0) among the key's sorted values; places: functions of n.
 
     Equal values are counted first, and dealt by key and stretch of values, so that a key that holds most rows spreads over
     tasks; only counts by stretch meet. The stretches' bounds are approximate percentiles of all values: 63 numbers at most.
-    Nulls don't count; a key without values has no row.
+    Nulls don't count; a key without values has no row; a null key is a key.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    bounds = counts.agg(F.percentile_approx(F.col(value).cast("double"), [i / _STRETCHES for i in range(1, _STRETCHES)], 1000)).first()[0] or []
-    stretch = F.lit(0)
-    for x in sorted(set(bounds)):
-        stretch = stretch + (F.col(value) >= x).cast("int")
-    # a struct of keys, so that null keys meet in the join too
-    rows = counts.withColumn("_b", stretch).withColumn("_key", F.struct(*keys))
-    own = Window.partitionBy("_key")
-    ahead = own.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("_key", "_b").agg(F.sum("_c").alias("_s")).select("_key", "_b", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_base"), F.sum("_s").over(own).alias("_n"))
-    upto = F.sum("_c").over(Window.partitionBy("_key", "_b").orderBy(value)) + F.col("_base")
-    placed = rows.join(sums, ["_key", "_b"]).withColumn("_to", upto)
-    picks = [F.max(F.when((place(F.col("_n")) < F.col("_to")) & (place(F.col("_n")) >= F.col("_to") - F.col("_c")), F.col(value))).alias(name) for name, place in places.items()]
-    return placed.groupBy(*keys).agg(F.max("_n").alias("n"), *picks)
+    found = _picked(_tally(df, keys, value), places)
+    return found.select(*(F.col(f"_key.{k}").alias(k) for k in keys), "n", *places)
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -42,38 +53,50 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, f
     return order_statistics(df, keys, value, {name: partial(lambda p, n: F.bround((n - 1) * F.lit(p)), p) for name, p in shares.items()})
 
 
-def linear_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation."""
+def _linear(counts: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """_key, n and the percentiles of tallied values, with linear interpolation."""
     places = {}
     for name, p in shares.items():
         places[f"_low_{name}"] = partial(lambda p, n: F.floor((n - 1) * F.lit(p)), p)
         places[f"_high_{name}"] = partial(lambda p, n: F.ceil((n - 1) * F.lit(p)), p)
-    found = order_statistics(df, keys, value, places)
 
     def between(name: str, p: float) -> Column:
         at = (F.col("n") - 1) * F.lit(p)
         low, high = F.col(f"_low_{name}").cast("double"), F.col(f"_high_{name}").cast("double")
         return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(name)
 
-    return found.select(*keys, *(between(name, p) for name, p in shares.items()))
+    return _picked(counts, places).select("_key", "n", *(between(name, p) for name, p in shares.items()))
+
+
+def linear_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact percentiles with linear interpolation."""
+    return _linear(_tally(df, keys, value), shares).select(*(F.col(f"_key.{k}").alias(k) for k in keys), *shares)
 
 
 def trimmed_mean(df: DataFrame, keys: list[str], value: str, *, low: float = 0.08, high: float = 0.92, least: int = 64) -> DataFrame:
-    """keys, n, kept, mean: of at least `least` values only those within the two percentiles (inclusive) count."""
-    bounds = linear_percentiles(df, keys, value, {"_low": low, "_high": high}).join(df.groupBy(*keys).agg(F.count(value).alias("n")), keys)
-    near = df.join(bounds, keys).where((F.col("n") < least) | F.col(value).between(F.col("_low"), F.col("_high")))
-    return near.groupBy(*keys).agg(F.max("n").alias("n"), F.count(value).alias("kept"), F.avg(value).alias("mean"))
+    """keys, n, kept, mean: of at least `least` values only those within the two percentiles (inclusive) count. A null key is a key."""
+    counts = _tally(df, keys, value)
+    near = counts.join(_linear(counts, {"_low": low, "_high": high}), "_key").where((F.col("n") < least) | F.col("_v").between(F.col("_low"), F.col("_high")))
+    kept = near.groupBy("_key").agg(F.max("n").alias("n"), F.sum("_c").alias("kept"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"))
+    return kept.select(*(F.col(f"_key.{k}").alias(k) for k in keys), "n", "kept", "mean")
 
 
 def robust_z(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """df with `z`: distance from the key's median in units of 1.4826 times the median absolute deviation.
 
-    Where that is 0, the population deviation serves; where that is 0 too, 1e-6. Rows of keys without values are left out.
+    Where that is 0, the population deviation serves; where that is 0 too, 1e-6. Rows of keys without values are left out;
+    a null key is a key. Median and deviation come from counted values; the rows are read for the counts and once more for z.
     """
-    spread = df.groupBy(*keys).agg(F.stddev_pop(value).alias("_sd"))
-    near = df.join(linear_percentiles(df, keys, value, {"_m": 0.5}).join(spread, keys), keys).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
+    counts = _tally(df, keys, value)
+    weight, v = F.sum("_c"), F.col("_v").cast("double")
+    middle = counts.groupBy("_key").agg((F.sum(v * F.col("_c")) / weight).alias("_mu"))
+    centred = counts.join(_linear(counts, {"_m": 0.5}).select("_key", "_m"), "_key").join(middle, "_key")
+    apart = checkpointed(centred.select("_key", "_m", "_c", (v - F.col("_mu")).alias("_o"), F.abs(v - F.col("_m")).alias("_v")))
+    spread = apart.groupBy("_key").agg(F.max("_m").alias("_m"), F.sqrt(F.sum(F.col("_o") * F.col("_o") * F.col("_c")) / weight).alias("_sd"))
+    units = spread.join(_linear(apart.groupBy("_key", "_v").agg(F.sum("_c").alias("_c")), {"_mad": 0.5}).select("_key", "_mad"), "_key")
     unit = F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).when(F.col("_sd") > 0, F.col("_sd")).otherwise(F.lit(1e-6))
-    return near.join(linear_percentiles(near, keys, "_d", {"_mad": 0.5}), keys).withColumn("z", (F.col(value) - F.col("_m")) / unit).drop("_m", "_sd", "_mad", "_d")
+    near = df.withColumn("_key", F.struct(*keys)).join(units, "_key")
+    return near.withColumn("z", (F.col(value) - F.col("_m")) / unit).drop("_key", "_m", "_sd", "_mad")
 
 
 def mode_first_seen(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:

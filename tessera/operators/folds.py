@@ -146,12 +146,13 @@ def suppress_peaks(df: DataFrame, keys: list[str], at: str, score: str, *, apart
 def allocate(df: DataFrame, keys: list[str], ident: str, weight: str, cap: str, *, total: int) -> DataFrame:
     """keys, ident, share: `total` units of a key by weight, none above its cap, by largest remainder; ties to the smaller ident.
 
-    What capped rows can't take goes to the others by weight; less than `total` is dealt only if all are full.
+    Null weights and caps are 0. What capped rows can't take goes to the others by weight; less than `total` is dealt only if all are full.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [[r[0], float(r[1]), int(r[2]), 0] for r in pdf.sort_values(ident)[[ident, weight, cap]].itertuples(index=False)]
+        known = pdf.fillna({weight: 0, cap: 0})
+        rows = [[r[0], float(r[1]), int(r[2]), 0] for r in known.sort_values(ident)[[ident, weight, cap]].itertuples(index=False)]
         left = min(total, sum(r[2] for r in rows))
         while left > 0:
             free = [r for r in rows if r[3] < r[2]]
@@ -177,6 +178,7 @@ def leaders(df: DataFrame, keys: list[str], ident: str, code: str, quality: str,
     """keys, ident, leader: 64-bit codes by quality; each joins the first leader at Hamming distance `within` or less, or leads itself.
 
     Codes at such a distance agree on one of within + 1 bands of bits, so only leaders that share a band are compared.
+    A row without a code leads itself alone.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     edges = [64 * i // (within + 1) for i in range(within + 2)]
@@ -184,6 +186,9 @@ def leaders(df: DataFrame, keys: list[str], ident: str, code: str, quality: str,
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
         heads, by_band, out = [], {}, []
         for i, c in pdf.sort_values([quality, ident], ascending=[False, True])[[ident, code]].itertuples(index=False):
+            if pd.isna(c):
+                out.append((i, i))
+                continue
             c = int(c) & (2**64 - 1)
             bands = [(k, (c >> low) & ((1 << (high - low)) - 1)) for k, (low, high) in enumerate(zip(edges, edges[1:], strict=False))]
             near = sorted({h for b in bands for h in by_band.get(b, ())})
@@ -203,6 +208,24 @@ def leaders(df: DataFrame, keys: list[str], ident: str, code: str, quality: str,
     return df.groupBy(*keys).applyInPandas(lead, schema)
 
 
+def follow_frames(rows: pd.DataFrame, made: int, seen: dict, *, far: float, memory: int) -> tuple[list[tuple], int, dict]:
+    """(frame, item, track) of boxes (frame, item, x, y, area), the number of tracks made, and the tracks last seen: track -> (frame, x, y)."""
+    out = []
+    for frame, boxes in rows.sort_values(["frame", "area", "item"], ascending=[True, False, True]).groupby("frame", sort=True):
+        seen = {t: v for t, v in seen.items() if frame - v[0] <= memory}
+        free = dict(seen)
+        for b in boxes.itertuples():
+            near = min(((((b.x - x) ** 2 + (b.y - y) ** 2) ** 0.5, t) for t, (_, x, y) in free.items()), default=None)
+            if near is not None and near[0] <= far:
+                t = near[1]
+                del free[t]
+            else:
+                t, made = made, made + 1
+            seen[t] = (frame, b.x, b.y)
+            out.append((frame, b.item, t))
+    return out, made, seen
+
+
 def track(df: DataFrame, keys: list[str], *, far: float, memory: int) -> DataFrame:
     """keys, frame, item, track: boxes of frames followed from one to the next; larger boxes choose first.
 
@@ -212,19 +235,7 @@ def track(df: DataFrame, keys: list[str], *, far: float, memory: int) -> DataFra
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, made, out = {}, 0, []
-        for frame, boxes in pdf.sort_values(["frame", "area", "item"], ascending=[True, False, True]).groupby("frame", sort=True):
-            seen = {t: v for t, v in seen.items() if frame - v[0] <= memory}
-            free = dict(seen)
-            for b in boxes.itertuples():
-                near = min(((((b.x - x) ** 2 + (b.y - y) ** 2) ** 0.5, t) for t, (_, x, y) in free.items()), default=None)
-                if near is not None and near[0] <= far:
-                    t = near[1]
-                    del free[t]
-                else:
-                    t, made = made, made + 1
-                seen[t] = (frame, b.x, b.y)
-                out.append((frame, b.item, t))
+        out, *_ = follow_frames(pdf, 0, {}, far=far, memory=memory)
         out = pd.DataFrame(out, columns=["frame", "item", "track"])
         for key in keys:
             out[key] = pdf[key].iloc[0]

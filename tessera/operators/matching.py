@@ -24,27 +24,52 @@ def scored_anchor(planned: DataFrame, anchors: DataFrame, keys: list[str], ident
     return best.select(*keys, ident, "b.anchor", "b.score")
 
 
-def best_match(left: DataFrame, right: DataFrame, ident: str, other: str, tokens: str, score: Column, *, most_common: int = 200) -> DataFrame:
-    """ident, other, score: for each left row the right row with the highest score among those that share a token with it; ties to the smaller `other`.
+def best_match(left: DataFrame, right: DataFrame, ident: str, other: str, tokens: str, *, often: int = 64) -> DataFrame:
+    """ident, other, score: for each left row the right row of the largest Jaccard similarity of tokens above 0; ties to the smaller `other`.
 
-    tokens: a column of arrays on both sides (l_, r_ prefixes tell columns apart in `score`). Tokens that more than
-    `most_common` right rows hold bring no pair: choose tokens (word runs, n-grams) of which a good match shares a rarer one too.
+    tokens: a column of arrays on both sides; a null one is empty, null tokens don't count. Exact, whatever tokens are common: pairs that share a token which
+    at most `often` right rows hold are counted one by one. Right rows that share frequent tokens only are told apart by which
+    of those they hold, how many tokens they have and their ident; of each set of frequent tokens only the first row can win.
     """
-    a = left.select(F.col(ident), *(F.col(c).alias(f"l_{c}") for c in left.columns if c != ident))
-    b = right.select(F.col(ident).alias(other), *(F.col(c).alias(f"r_{c}") for c in right.columns if c != ident))
-    listed = b.select(other, F.explode(F.array_distinct(f"r_{tokens}")).alias("_t"))
-    rare = listed.groupBy("_t").agg(F.count("*").alias("_n")).where(F.col("_n") <= most_common).select("_t")
-    near = a.select(ident, F.explode(F.array_distinct(f"l_{tokens}")).alias("_t")).join(listed.join(rare, "_t"), "_t").select(ident, other).distinct()
-    scored = near.join(a, ident).join(b, other).select(ident, other, score.alias("score"))
-    best = scored.groupBy(ident).agg(F.max(F.struct("score", (-F.col(other)).alias("o"))).alias("b"))
-    return best.select(ident, (-F.col("b.o")).alias(other), "b.score")
+    held = F.coalesce(F.array_compact(F.array_distinct(tokens)), F.array().cast(left.schema[tokens].dataType))
+    a = left.select(ident, held.alias("_t")).withColumn("_na", F.size("_t"))
+    b = right.select(F.col(ident).alias(other), held.alias("_t")).withColumn("_nb", F.size("_t"))
+    listed = b.select(other, "_nb", F.explode("_t").alias("_x"))
+    wanted = a.select(ident, "_na", F.explode("_t").alias("_x"))
+    counts = listed.groupBy("_x").agg(F.count("*").alias("_n"))
+    frequent = counts.where(F.col("_n") > often).select("_x")
+
+    def common_ones(rows: DataFrame, key: str) -> DataFrame:
+        """key, _f: the frequent tokens of each row that has any, in order."""
+        return rows.join(frequent, "_x").groupBy(key).agg(F.array_sort(F.collect_list("_x")).alias("_f"))
+
+    fa, fb = common_ones(wanted, ident), common_ones(listed, other)
+    rare = listed.join(counts.where(F.col("_n") <= often).select("_x"), "_x")
+    pairs = wanted.join(rare, "_x").groupBy(ident, other, "_na", "_nb").agg(F.count("*").alias("_c"))
+    pairs = pairs.join(fa, ident, "left").join(fb.withColumnRenamed("_f", "_g"), other, "left")
+    both = F.col("_c") + F.coalesce(F.size(F.array_intersect("_f", "_g")), F.lit(0))
+    found = pairs.select(ident, other, "_na", "_nb", both.alias("_c"))
+    # right rows by their set of frequent tokens, left ones too: what a left set shares most cheaply, by number of shared tokens
+    heads = fb.join(b.select(other, "_nb"), other).groupBy("_f").agg(F.min(F.struct("_nb", other)).alias("_r")).withColumnRenamed("_f", "_g")
+    kinds = fa.select("_f").distinct()
+    met = kinds.select("_f", F.explode("_f").alias("_x")).join(heads.select("_g", "_r", F.explode("_g").alias("_x")), "_x").groupBy("_f", "_g", "_r").agg(F.count("*").alias("_c"))
+    cheap = met.groupBy("_f", "_c").agg(F.min("_r").alias("_r"))
+    more = fa.join(cheap, "_f").join(a.select(ident, "_na"), ident).select(ident, F.col(f"_r.{other}").alias(other), "_na", F.col("_r._nb").alias("_nb"), "_c")
+    score = F.col("_c") / (F.col("_na") + F.col("_nb") - F.col("_c"))
+    best = found.unionByName(more).groupBy(ident).agg(F.min(F.struct((-score).alias("s"), other)).alias("_b"))
+    return best.select(ident, f"_b.{other}", (-F.col("_b.s")).alias("score"))
 
 
 def key_set_match(left: DataFrame, right: DataFrame, ident: str, other: str, keys: str) -> DataFrame:
-    """ident, other, shared: for each left row the first right row (by `other`) whose array of keys meets its own, and how many they share."""
-    a, b = left.select(ident, F.explode(F.array_distinct(keys)).alias("_k")), right.select(other, F.explode(F.array_distinct(keys)).alias("_k"))
-    shared = a.join(b, "_k").groupBy(ident, other).agg(F.count("*").alias("shared"))
-    return shared.groupBy(ident).agg(F.min(F.struct(other, "shared")).alias("b")).select(ident, f"b.{other}", "b.shared")
+    """ident, other, shared: for each left row the first right row (by `other`) whose array of keys meets its own, and how many they share.
+
+    Only the first right row of each key meets the left rows of that key, so that a key that many rows share costs no pairs.
+    """
+    own = F.array_compact(F.array_distinct(keys))
+    first = right.select(other, F.explode(own).alias("_k")).groupBy("_k").agg(F.min(other).alias(other))
+    chosen = left.select(ident, F.explode(own).alias("_k")).join(first, "_k").groupBy(ident).agg(F.min(other).alias(other))
+    pairs = chosen.join(left.select(ident, own.alias("_a")), ident).join(right.select(other, own.alias("_b")), other)
+    return pairs.select(ident, other, F.size(F.array_intersect("_a", "_b")).cast("long").alias("shared"))
 
 
 def prioritised_lookup(df: DataFrame, there: DataFrame, rules: list[list[str]], values: list[str]) -> DataFrame:

@@ -125,7 +125,7 @@ def leader_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH p AS (SELECT a.conv_id, a.turn, regexp_replace(lower(a.text), '[\s.,!?]', '', 'g') AS x, regexp_replace(lower(b.text), '[\s.,!?]', '', 'g') AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL),
 x AS (SELECT conv_id, turn, c, count(*) AS n FROM (SELECT conv_id, turn, unnest(string_split(x, '')) AS c FROM p) GROUP BY ALL), y AS (SELECT conv_id, turn, c, count(*) AS n FROM (SELECT conv_id, turn, unnest(string_split(y, '')) AS c FROM p) GROUP BY ALL),
 o AS (SELECT conv_id, turn, sum(least(x.n, y.n)) AS common FROM x JOIN y USING (conv_id, turn, c) GROUP BY ALL)
-SELECT p.conv_id, p.turn, CASE WHEN length(x) > 0 THEN round(coalesce(common, 0) / length(x), 9) ELSE 0.0 END AS overlap FROM p LEFT JOIN o USING (conv_id, turn)""".replace("[\\s.,!?]", r"[\s、。，．,.!！?？「」『』（）()・…:：;；\-—~〜]"))
+SELECT p.conv_id, p.turn, CASE WHEN length(x) > 0 THEN round(coalesce(common, 0) / length(x), 9) ELSE 0.0 END AS overlap FROM p LEFT JOIN o USING (conv_id, turn)""".replace("[\\s.,!?]", text.PUNCTUATION))
 def char_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of a turn's characters the next turn holds, without space and punctuation, order aside."""
     rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", text.normalized(F.col("text")).alias("x"))

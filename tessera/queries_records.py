@@ -26,20 +26,18 @@ _GRAMS = "CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(
 
 
 @query(rf"""WITH t AS (SELECT conv_id * 1000 + turn AS id, role, regexp_split_to_array(lower(text), '\s+') AS ws FROM conversations WHERE text IS NOT NULL), g AS (SELECT id, role, {_GRAMS} AS tokens FROM t),
-r AS (SELECT id, unnest(tokens) AS t FROM g WHERE role = 'assistant'), rare AS (SELECT t FROM r GROUP BY t HAVING count(*) <= 200), l AS (SELECT id, unnest(tokens) AS t FROM g WHERE role = 'user'),
-near AS (SELECT DISTINCT l.id AS id, r.id AS other FROM l JOIN r USING (t) JOIN rare USING (t)),
-s AS (SELECT n.id, n.other, round(len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))), 9) AS score FROM near n JOIN g a ON a.id = n.id JOIN g b ON b.id = n.other)
-SELECT id, arg_max(other, struct_pack(s := score, o := -other)) AS other, max(score) AS score, CASE WHEN max(score) >= 0.05 THEN 'strong' WHEN max(score) >= 0.01 THEN 'usable' ELSE 'weak' END AS class FROM s GROUP BY id""")
+r AS (SELECT id, unnest(tokens) AS t FROM g WHERE role = 'assistant'), l AS (SELECT id, unnest(tokens) AS t FROM g WHERE role = 'user'),
+near AS (SELECT DISTINCT l.id AS id, r.id AS other FROM l JOIN r USING (t)),
+s AS (SELECT n.id, n.other, len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) AS score FROM near n JOIN g a ON a.id = n.id JOIN g b ON b.id = n.other)
+SELECT id, arg_max(other, struct_pack(s := score, o := -other)) AS other, round(max(score), 9) AS score, CASE WHEN max(score) >= 0.05 THEN 'strong' WHEN max(score) >= 0.01 THEN 'usable' ELSE 'weak' END AS class FROM s GROUP BY id""")
 def transcript_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each question the answer that shares the most word runs with it, and how strong that is."""
     words = F.split(F.lower("text"), r"\s+")
     rows = table(spark, sf_dir, "conversations").where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", words.alias("ws"))
     grams = F.when(F.size("ws") >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ws") - 2), lambda i: F.array_join(F.slice("ws", i, 3), " ")))).otherwise(F.array().cast("array<string>"))
     rows = rows.select("id", "role", grams.alias("tokens"))
-    common = F.size(F.array_intersect("l_tokens", "r_tokens"))
-    score = F.round(common / (F.size("l_tokens") + F.size("r_tokens") - common), 9)
-    best = matching.best_match(rows.where("role = 'user'").select("id", "tokens"), rows.where("role = 'assistant'").select("id", "tokens"), "id", "other", "tokens", score)
-    return best.withColumn("class", F.when(F.col("score") >= 0.05, "strong").when(F.col("score") >= 0.01, "usable").otherwise("weak"))
+    best = matching.best_match(rows.where("role = 'user'").select("id", "tokens"), rows.where("role = 'assistant'").select("id", "tokens"), "id", "other", "tokens")
+    return best.withColumn("score", F.round("score", 9)).withColumn("class", F.when(F.col("score") >= 0.05, "strong").when(F.col("score") >= 0.01, "usable").otherwise("weak"))
 
 
 _URL_KEYS = r"list_distinct([regexp_replace(url, '[?#].*$', ''), regexp_extract(url, '^https?://([^/]+)', 1), regexp_extract(url, '/([0-9]+)', 1)])"
@@ -127,13 +125,13 @@ def remapped_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.remap_ranges(rows, keep, ["user_id"], "event_id")
 
 
-@query("""WITH a AS (SELECT o_orderpriority AS k, o_orderstatus AS v, 1 AS source FROM orders WHERE o_orderkey < 40), b AS (SELECT c_mktsegment, c_name, 2 FROM customer), c AS (SELECT p_type, p_brand, 3 FROM part),
+@query("""WITH a AS (SELECT o_orderpriority AS k, o_orderstatus AS v, 1 AS source FROM orders), b AS (SELECT c_mktsegment, c_name, 2 FROM customer), c AS (SELECT p_type, p_brand, 3 FROM part),
 d AS (SELECT upper(o_orderpriority), o_orderstatus, 4 FROM orders) SELECT k, arg_min(v, struct_pack(s := source, v := v)) AS v, min(source) AS source FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d) GROUP BY k""")
 def union_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of four sources; the first that has a key decides."""
     orders = table(spark, sf_dir, "orders")
     sources = [
-        orders.where("o_orderkey < 40").select(F.col("o_orderpriority").alias("k"), F.col("o_orderstatus").alias("v")),
+        orders.select(F.col("o_orderpriority").alias("k"), F.col("o_orderstatus").alias("v")),
         table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("k"), F.col("c_name").alias("v")),
         table(spark, sf_dir, "part").select(F.col("p_type").alias("k"), F.col("p_brand").alias("v")),
         orders.select(F.upper("o_orderpriority").alias("k"), F.col("o_orderstatus").alias("v")),
@@ -208,7 +206,7 @@ def carried_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _local(spark, sf_dir).select("event_id", "user_id", role.alias("role"), number.alias("number"))
 
 
-@query("""WITH e AS (SELECT user_id, max(CASE WHEN event_type = 'view' THEN value END) AS wave, max(CASE WHEN event_type = 'click' THEN value END) AS words, max(CASE WHEN event_type = 'error' THEN value END) AS mouth, min(CASE WHEN event_type = 'signup' THEN value END) AS clap, min(CASE WHEN event_type = 'purchase' THEN value END) AS tone FROM events WHERE event_id % 9 = 0 GROUP BY user_id)
+@query("""WITH e AS (SELECT user_id, max(CASE WHEN event_type = 'view' THEN value END) AS wave, max(CASE WHEN event_type = 'click' THEN value END) AS words, max(CASE WHEN event_type = 'error' THEN value END) AS mouth, min(CASE WHEN event_type = 'signup' THEN value END) AS clap, min(CASE WHEN event_type = 'purchase' THEN value END) AS tone FROM events GROUP BY user_id)
 SELECT user_id, CASE WHEN wave >= 65 THEN 'waveform' WHEN words >= 40 THEN 'transcript' WHEN mouth >= 35 THEN 'mouth' WHEN wave IS NOT NULL THEN 'waveform' WHEN words IS NOT NULL THEN 'transcript' WHEN mouth IS NOT NULL THEN 'mouth' ELSE 'default' END AS evidence,
 coalesce(CASE WHEN wave >= 65 THEN wave WHEN words >= 40 THEN words WHEN mouth >= 35 THEN mouth ELSE coalesce(wave, words, mouth) END, 0) AS score,
 CASE WHEN clap IS NOT NULL AND tone IS NOT NULL THEN CASE WHEN abs(clap - tone) <= 5 THEN 'confirmed' ELSE 'conflict' END WHEN clap IS NOT NULL THEN 'clap_only' WHEN tone IS NOT NULL THEN 'waveform_only' ELSE 'unconfirmed' END AS status FROM e""")
@@ -218,7 +216,7 @@ def sync_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     def of(kind: str, f=F.max):
         return f(F.when(F.col("event_type") == kind, F.col("value")))
 
-    found = table(spark, sf_dir, "events").where("event_id % 9 = 0").groupBy("user_id").agg(of("view").alias("wave"), of("click").alias("words"), of("error").alias("mouth"), of("signup", F.min).alias("clap"), of("purchase", F.min).alias("tone"))
+    found = table(spark, sf_dir, "events").groupBy("user_id").agg(of("view").alias("wave"), of("click").alias("words"), of("error").alias("mouth"), of("signup", F.min).alias("clap"), of("purchase", F.min).alias("tone"))
     kinds = [("waveform", "wave", 65), ("transcript", "words", 40), ("mouth", "mouth", 35)]
     sure = [(F.col(c) >= least, name, c) for name, c, least in kinds]
     there = [(F.col(c).isNotNull(), name, c) for name, c, _ in kinds]

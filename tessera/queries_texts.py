@@ -10,7 +10,7 @@ from tessera.functions import clock, documents, text
 from tessera.queries import query
 from tessera.session import table
 
-_PUNCTUATION = r"[\s、。，．,.!！?？「」『』（）()・…:：;；\-—~〜]"
+_PUNCTUATION = text.PUNCTUATION
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,20 +25,20 @@ def brief_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("conv_id", "turn", text.without_phrases(t, ["la", "tion"]).alias("plain"), text.ellipsis(t, 40).alias("brief"))
 
 
-_PAIR = "p AS (SELECT a.conv_id, a.turn, lower(substr(a.text, 1, 40)) AS x, lower(b.text) AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL)"
+_PAIR = "p AS (SELECT a.conv_id, a.turn, lower(a.text) AS x, lower(b.text) AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL)"
 
 
 def _next_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _turns(spark, sf_dir)
     behind = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.lower("text").alias("y"))
-    return rows.select("conv_id", "turn", F.lower(F.substring("text", 1, 40)).alias("x")).join(behind, ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", F.lower("text").alias("x")).join(behind, ["conv_id", "turn"])
 
 
 @query(f"""WITH {_PAIR}, n AS (SELECT *, coalesce(list_max(list_filter(range(3, 15), lambda n: length(x) >= n AND len(list_filter(range(1, length(x) - n + 2), lambda i: contains(y, substr(x, i, n)))) > 0)), 0) AS run,
 list_max(list_filter(range(3, 17), lambda n: length(x) >= n AND contains(y, substr(x, 1, n)))) AS size FROM p)
 SELECT conv_id, turn, CAST(run AS INT) AS run, least(0.28::DOUBLE, run / 50) AS bonus, CAST(size AS INT) AS size, CASE WHEN size IS NOT NULL THEN CAST(instr(y, substr(x, 1, CAST(size AS INT))) AS INT) END AS place FROM n""")
 def anchored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest piece and the longest prefix of a turn's beginning that the next turn holds."""
+    """The longest piece of a turn, and its longest prefix, that the next turn holds."""
     rows = _next_turns(spark, sf_dir).withColumn("run", text.common_run(F.col("x"), F.col("y"), least=3, most=14)).withColumn("p", text.prefix_place(F.col("x"), F.col("y")))
     return rows.select("conv_id", "turn", "run", F.least(F.lit(0.28), F.col("run") / 50).alias("bonus"), "p.size", "p.place")
 
@@ -70,12 +70,12 @@ def line_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("conv_id", "turn", "line", text.script_of(t).alias("script"), text.bad_line_start(t).alias("bad_start"), F.array_join(F.array_sort(text.terms(t)), "/").alias("terms"))
 
 
-@query("SELECT event_id, unnest([0, 1]) AS place, unnest([event_id % 3600, 90.5 + event_id % 50]) AS s, unnest([event_id % 3600 + 20, 3600 + event_id % 60 + 100.25]) AS e, unnest([event_type, '']) AS reason FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, unnest([0, 1]) AS place, unnest([event_id % 3600, 90.5 + event_id % 50]) AS s, unnest([event_id % 3600 + 20, 3600 + event_id % 60 + 100.25]) AS e, unnest([event_type, '']) AS reason FROM events")
 def config_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges out of free text with comments and lines that aren't ranges."""
     i = F.col("event_id")
     minute = F.concat((F.floor(i % 3600 / 60)).cast("string"), F.lit(":"), F.lpad((i % 3600 % 60).cast("string"), 2, "0"))
-    rows = table(spark, sf_dir, "events").where("event_id % 10 = 0")
+    rows = table(spark, sf_dir, "events")
     text_of = F.concat(
         F.lit("# ranges\n"), minute, F.lit(" - "), (i % 3600 + 20).cast("string"), F.lit(" | "), F.col("event_type"), F.lit(" # note\nnothing here\n"),
         (i % 50 + 90).cast("string"), F.lit(".5 - 1:0"), F.lpad((i % 60 / 60).cast("int").cast("string"), 1, "0"), F.lit(":"), (i % 60 + 100).cast("string"), F.lit(".25\nx - y | z"),

@@ -192,10 +192,9 @@ def quiet_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def window_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where any stretch of one recording's levels lies best in another's (no SQL: a correlation at every place)."""
-    rows = table(spark, sf_dir, "events").where("user_id < 100")
-    series = rows.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
+    series = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
     other = series.select((F.col("user_id") - 1).alias("user_id"), F.col("v").alias("target"))
-    pairs = series.where("user_id % 2 = 0").withColumnRenamed("v", "probe").join(other, "user_id")
+    pairs = series.withColumnRenamed("v", "probe").join(other, "user_id")
     found = signals.window_lags(pairs, window=12, hop=6)
     return found.select("user_id", "match.start", "match.lag", F.round("match.score", 6).alias("score"))
 

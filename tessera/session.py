@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "tessera", **extra: str) -> SparkSession:
@@ -25,3 +27,17 @@ def local_session(cores: int | str = "*", app: str = "tessera", **extra: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the cluster's shared folder (spark.checkpoint.dir); a local one only where that is unset on one machine."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if context.master.split("[")[0] != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
+        context.setCheckpointDir(root)
+    return df.checkpoint()
