@@ -45,6 +45,16 @@ def counts(values: np.ndarray) -> np.ndarray:
     return np.bincount(mix(values.view(np.uint64)).view(np.int64) & (groups - 1), minlength=groups).astype(np.int32)
 
 
+def packed(point: np.ndarray) -> bytes:
+    """The point in as few bytes a coordinate as its largest needs, behind a byte that says how many."""
+    size = 1 if point.max(initial=0) < 1 << 8 else 2 if point.max() < 1 << 16 else 4
+    return bytes([size]) + point.astype(f"<u{size}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int32)
+
+
 def folded(point: np.ndarray, groups: int) -> np.ndarray:
     """The same point, or upper corner, in fewer coordinates."""
     return point.reshape(-1, groups).sum(axis=0, dtype=np.int32)
@@ -58,10 +68,10 @@ def _points(width: int, percent: int):
                 for s in shingle_sets(part, width):
                     a, b = (mix(s.view(np.uint64) ^ np.uint64(c)).sum(dtype=np.uint64).view(np.int64) for c in (0x243F6A8885A308D3, 0x13198A2E03707344))
                     # a partner shares ceil(n * percent / 100) at least: one of the first n - that + 1 is shared
-                    rows.append((len(s), a, b, s[: len(s) - -(-len(s) * percent // 100) + 1], counts(s)))
+                    rows.append((len(s), a, b, s[: len(s) - -(-len(s) * percent // 100) + 1], packed(counts(s))))
             yield pd.DataFrame(rows, columns=["n", "set_a", "set_b", "prefix", "point"])
 
-    return F.pandas_udf(points, "n long, set_a long, set_b long, prefix array<long>, point array<int>")
+    return F.pandas_udf(points, "n long, set_a long, set_b long, prefix array<long>, point binary")
 
 
 def _ordered(width: int, percent: int, classes):
@@ -83,7 +93,7 @@ def _bounded(percent: int):
     def bounded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
             keep = []
-            for p, q in zip(left, right, strict=True):
+            for p, q in ((unpacked(p), unpacked(q)) for p, q in zip(left, right, strict=True)):
                 groups = min(len(p), len(q))
                 most = np.minimum(folded(p, groups), folded(q, groups)).sum()
                 keep.append(bool(most * (100 + percent) >= percent * (p.sum() + q.sum())))
@@ -131,14 +141,13 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFr
         """v, rep, n, place, most, length: the lists of two or more; most: the largest partner that this place still allows."""
         most = F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent - F.col("n"))
         posted = rows.select("rep", "n", F.posexplode("prefix").alias("place", "v")).select("v", "rep", "n", "place", most.alias("most"))
-        bounds = materialize(posted.groupBy("v").agg(F.min("n").alias("low"), F.max("most").alias("high"), F.count("*").alias("length")).where("length > 1").drop("length"))
-        some = materialize(posted.join(bounds, "v").where("most >= low and n <= high").drop("low", "high"), bounds)
-        lengths = some.groupBy("v").agg(F.count("*").alias("length")).where("length > 1")
-        return materialize(some.join(lengths, "v"), some)
+        bounds = materialize(posted.groupBy("v").agg(F.min("n").alias("low"), F.max("most").alias("high"), F.count("*").alias("length")).where("length > 1"))
+        return materialize(posted.join(bounds, "v").where("most >= low and n <= high").drop("low", "high"), bounds)
 
     classes, kind, before = np.zeros(SLOTS, np.uint8), 0, None
+    reps = materialize(reps)
     found = listed(reps)
-    points = materialize(reps.select("rep", "point").join(found.select("rep").distinct(), "rep", "left_semi"))
+    points = materialize(reps.select("rep", "point").join(found.select("rep").distinct(), "rep", "left_semi"), reps)
     lists = found.where(F.col("length") <= LEAF).withColumn("kind", F.lit(kind))
     while True:
         long = found.where(F.col("length") > LEAF)
@@ -211,7 +220,7 @@ def _mixed(lists: DataFrame, links: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- the trees
 
-_CHILD = "kind int, v long, id long, low long, most long, c long, pure boolean, first long, box array<int>"
+_CHILD = "kind int, v long, id long, low long, most long, c long, pure boolean, first long, box binary"
 _NODE = _CHILD + ", ids array<long>, lows array<long>, mosts array<long>, cs array<long>, pures array<boolean>, boxes binary, groups int"
 
 
@@ -219,12 +228,13 @@ def _packed(children: DataFrame) -> DataFrame:
     """Boxes of up to LEAF children of one tree, in the order of component and size. Large trees are cut into ranges."""
 
     def node(key: tuple, rows: list) -> tuple:
-        groups = min(len(r.box) for r in rows)
-        boxes = np.stack([folded(np.asarray(r.box, np.int32), groups) for r in rows])
+        corners = [unpacked(r.box) for r in rows]
+        groups = min(map(len, corners))
+        boxes = np.stack([folded(c, groups) for c in corners])
         whole = all(r.pure for r in rows) and len({r.c for r in rows}) == 1
-        own = (min(r.low for r in rows), max(r.most for r in rows), rows[0].c, whole, rows[0].first, boxes.max(axis=0))
+        own = (min(r.low for r in rows), max(r.most for r in rows), rows[0].c, whole, rows[0].first, packed(boxes.max(axis=0)))
         lists = ([r.id for r in rows], [r.low for r in rows], [r.most for r in rows], [r.c for r in rows], [bool(r.pure) for r in rows])
-        return (*key, rows[0].id, *own, *lists, boxes.tobytes(), groups)
+        return (*key, rows[0].id, *own, *lists, packed(boxes.ravel()), groups)
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in _NODE.split(", ")]
@@ -251,7 +261,7 @@ def _descend(percent: int, leaves: bool, every: bool):
 
     def survivors(a, b, same: bool) -> tuple:
         groups = min(a.groups, b.groups)
-        left, right = (np.frombuffer(n.boxes, np.int32).reshape(len(n.ids), -1, groups).sum(axis=1) for n in (a, b))
+        left, right = (unpacked(n.boxes).reshape(len(n.ids), -1, groups).sum(axis=1) for n in (a, b))
         if len(left) * len(right) * groups < 1 << 20:
             most = np.minimum(left[:, None, :], right[None, :, :]).sum(axis=2)
         else:
@@ -292,14 +302,16 @@ def _crossed(lists: DataFrame, points: DataFrame, percent: int, every: bool) ->
 
     every: all of them; otherwise the best of each two components that meet in two leaves.
     """
-    spark = lists.sparkSession
     made = lists.join(points, "rep").select("kind", "v", F.col("rep").alias("id"), F.col("n").alias("low"), "most", "c", F.lit(True).alias("pure"), F.col("n").alias("first"), F.col("point").alias("box"))
-    names, levels = [c.split()[0] for c in _CHILD.split(", ")], []
+    names, levels, spent = [c.split()[0] for c in _CHILD.split(", ")], [], []
     while True:
         nodes = _packed(made)
         levels.append(nodes)
+        for table in spent:
+            drop_table(table)
         several = nodes.groupBy("kind", "v").agg(F.count("*").alias("boxes")).where("boxes > 1").select("kind", "v")
         made = materialize(nodes.select(names).join(several, ["kind", "v"], "left_semi").select(names))
+        spent = [made]
         if made.isEmpty():
             break
     pairs = None
@@ -319,5 +331,6 @@ def _crossed(lists: DataFrame, points: DataFrame, percent: int, every: bool) ->
             side = lambda p, d=all_: d.select("kind", "v", F.col("id").alias("x" if p == "a_" else "y"), *(F.col(c).alias(p + c) for c in ("kind", "v", "ids", "lows", "mosts", "cs", "pures", "boxes", "groups")))
             met = pairs.where("x <> y").join(side("a_"), ["kind", "v", "x"]).join(side("b_"), ["kind", "v", "y"])
             found = found.union(met.select([c for c in met.columns if c[:2] in ("a_", "b_")]).mapInPandas(apart, schema))
-        pairs = materialize(found)
-    return pairs.select("x", "y") if pairs is not None else spark.createDataFrame([], "x long, y long")
+        pairs = materialize(found, *levels[depth + 1 : depth + 2])
+    drop_table(levels[0])
+    return pairs.select("x", "y")

@@ -94,13 +94,16 @@ class ToxicityModel:
         rng, n = np.random.default_rng(seed), len(value)
         w, v, b = np.zeros(n), rng.normal(0, 0.01, (n, dim)), self.bias
         gw, gv, gb = np.full(n, 1e-3), np.full((n, dim), 1e-3), 1e-3
+        # rows are dealt to batches once, so that what a batch holds is found once: its inputs, and its rows' places among them
+        order, batches = rng.permutation(len(bags)), []
+        for start in range(0, len(order), 64):
+            chosen = order[start : start + 64]
+            at, slot = np.unique(np.concatenate([bags[i] for i in chosen]), return_inverse=True)
+            row = np.repeat(np.arange(len(chosen), dtype=np.int32), [len(bags[i]) for i in chosen])
+            batches.append((chosen, at, slot.astype(np.int32), row))
         for _ in range(epochs):
-            order = rng.permutation(len(bags))
-            for start in range(0, len(order), 64):
-                chosen = order[start : start + 64]
-                # only the inputs that the batch holds are read and changed
-                at, slot = np.unique(np.concatenate([bags[i] for i in chosen]), return_inverse=True)
-                row = np.repeat(np.arange(len(chosen)), [len(bags[i]) for i in chosen])
+            for k in rng.permutation(len(batches)):
+                chosen, at, slot, row = batches[k]
                 x = value[at]
                 own = v[at] * x[:, None]
                 sums = np.column_stack([np.bincount(row, own[slot, d], len(chosen)) for d in range(dim)])
@@ -139,7 +142,10 @@ class ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int = 8000, most_chars: int = 30_000_000) -> ToxicityModel:
-    """Learns from a bounded sample of labelled rows (see labelled_sample)."""
+    """Learns from a bounded sample of labelled rows (see labelled_sample).
+
+    The driver holds the sample's terms: about 30 bytes for each of a row's distinct terms, of which `most_chars` characters have at most some 20 million.
+    """
     return ToxicityModel(*labelled_sample(docs, labels, label, learn, most, most_chars))
 
 
