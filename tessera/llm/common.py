@@ -16,14 +16,19 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: The folder of this driver where the cluster names none
+_OWN_ROOT: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir); a local one only where that is unset on one machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _OWN_ROOT:
+            _OWN_ROOT.append(f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}")
+        root = _OWN_ROOT[0]
     return root
 
 
