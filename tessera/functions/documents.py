@@ -50,46 +50,98 @@ _KINDS = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|FLO
 def schema_errors(x: Column, schema: dict, path: str = "$") -> Column:
     """Array of errors `path: what` of a JSON text against a schema of nested dicts, compiled into one expression.
 
-    Understood: type, required, properties, additionalProperties (false), enum, minimum, minItems. Unreadable text
+    Understood: type, required, properties, additionalProperties (false), items, enum, const, minimum, maximum, pattern, format (date-time, date, uri),
+    minItems, maxItems, and $ref to a place in the same schema (`#/...`) that doesn't lead back to itself. Unreadable text
     gives `$: not JSON`. What lies inside a value of the wrong type isn't judged.
     """
 
     def judged(value: Column) -> Column:
-        found = F.array_compact(F.array(*_checks(value, schema, path)).cast("array<string>"))
-        return F.when(value.isNull(), F.array(F.lit("$: not JSON"))).otherwise(found)
+        return F.when(value.isNull(), F.array(F.lit("$: not JSON"))).otherwise(_joined(_checks(value, schema, path, schema, ())))
 
     # a lambda's variable, so that each text is parsed once however many checks there are
     return F.element_at(F.transform(F.array(F.try_parse_json(x)), judged), 1)
 
 
+_FORMATS = {"date-time": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$", "date": r"^\d{4}-\d{2}-\d{2}$", "uri": r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$"}
+
+
+def _joined(checks: list[tuple[bool, Column]]) -> Column:
+    """One array of errors; checks: (whether it is an array of errors, a text or such an array), null where nothing is wrong."""
+    none, parts, run = F.array().cast("array<string>"), [], []
+    for many, check in [*checks, (True, none)]:
+        if not many:
+            run.append(check)
+            continue
+        if run:
+            parts.append(F.array_compact(F.array(*run).cast("array<string>")))
+            run = []
+        parts.append(F.coalesce(check, none))
+    return F.concat(*parts)
+
+
 def _at(value: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(value, path, kind)
 
 
-def _checks(value: Column, schema: dict, path: str) -> list[Column]:
+def _resolved(schema: dict, whole: dict, seen: tuple) -> tuple[dict, tuple]:
+    """The schema that $ref leads to, and all references followed."""
+    while "$ref" in schema:
+        ref = schema["$ref"]
+        if ref in seen or not ref.startswith("#"):
+            raise ValueError(f"reference that leads back to itself or out of the schema: {ref}")
+        seen, schema = (*seen, ref), whole
+        for part in ref.split("/")[1:]:
+            schema = schema[part]
+    return schema, seen
+
+
+def _checks(value: Column, schema: dict, path: str, whole: dict, seen: tuple) -> list[tuple[bool, Column]]:
+    schema, seen = _resolved(schema, whole, seen)
     own = _at(value, path, "variant")
     there = own.isNotNull() & ~F.is_variant_null(own)
     kind = F.schema_of_variant(own)
     right = there & kind.rlike(f"^{_KINDS[schema['type']]}$") if "type" in schema else there
-    out = []
+    text, number = _at(value, path, "string"), _at(value, path, "double")
+    out: list[tuple[bool, Column]] = []
+
+    def wrong(when: Column, what: str) -> None:
+        out.append((False, F.when(when, F.lit(f"{path}: {what}"))))
+
     if "type" in schema:
-        out.append(F.when(there & ~right, F.lit(f"{path}: not {schema['type']}")))
+        wrong(there & ~right, f"not {schema['type']}")
     if "enum" in schema:
-        out.append(F.when(right & ~_at(value, path, "string").isin(*schema["enum"]), F.lit(f"{path}: not allowed")))
+        wrong(right & ~text.isin(*schema["enum"]), "not allowed")
+    if "const" in schema:
+        wrong(right & (text != str(schema["const"])), f"not {schema['const']}")
     if "minimum" in schema:
-        out.append(F.when(right & (_at(value, path, "double") < schema["minimum"]), F.lit(f"{path}: below {schema['minimum']}")))
+        wrong(right & (number < schema["minimum"]), f"below {schema['minimum']}")
+    if "maximum" in schema:
+        wrong(right & (number > schema["maximum"]), f"above {schema['maximum']}")
+    if "pattern" in schema:
+        wrong(right & ~text.rlike(schema["pattern"]), "does not match")
+    if schema.get("format") in _FORMATS:
+        wrong(right & ~text.rlike(_FORMATS[schema["format"]]), f"not a {schema['format']}")
     if "minItems" in schema:
-        out.append(F.when(right & (F.size(_at(value, path, "array<variant>")) < schema["minItems"]), F.lit(f"{path}: fewer than {schema['minItems']} items")))
+        wrong(right & (F.size(_at(value, path, "array<variant>")) < schema["minItems"]), f"fewer than {schema['minItems']} items")
+    if "maxItems" in schema:
+        wrong(right & (F.size(_at(value, path, "array<variant>")) > schema["maxItems"]), f"more than {schema['maxItems']} items")
+    if "items" in schema:
+
+        def item(element: Column, i: Column) -> Column:
+            found = _joined(_checks(element, schema["items"], "$", whole, seen))
+            return F.transform(found, lambda e: F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]"), F.substring(e, 2, 1 << 20)))
+
+        out.append((True, F.when(right, F.flatten(F.transform(_at(value, path, "array<variant>"), item)))))
     for name, inner in schema.get("properties", {}).items():
         child = f"{path}.{name}"
         if name in schema.get("required", []):
             inside = _at(value, child, "variant")
-            out.append(F.when(right & (inside.isNull() | F.is_variant_null(inside)), F.lit(f"{child}: missing")))
-        out += [F.when(right, check) for check in _checks(value, inner, child)]
+            out.append((False, F.when(right & (inside.isNull() | F.is_variant_null(inside)), F.lit(f"{child}: missing"))))
+        out += [(many, F.when(right, check)) for many, check in _checks(value, inner, child, whole, seen)]
     if schema.get("additionalProperties") is False:
         known = F.array(*(F.lit(n) for n in schema.get("properties", {}))).cast("array<string>")
         extra = F.array_sort(F.array_except(F.map_keys(_at(value, path, "map<string,variant>")), known))
-        out.append(F.when(right & (F.size(extra) > 0), F.concat(F.lit(f"{path}: unexpected "), F.array_join(extra, ","))))
+        out.append((False, F.when(right & (F.size(extra) > 0), F.concat(F.lit(f"{path}: unexpected "), F.array_join(extra, ",")))))
     return out
 
 

@@ -84,7 +84,7 @@ def local_lags(left: DataFrame, right: DataFrame, keys: list[str], *, window: in
 def drift(probes: DataFrame, keys: list[str], *, window: int) -> DataFrame:
     """keys, slope, start, n, off: a robust line through local lags (keys, part, lag).
 
-    slope: samples of lag a sample, the median over all pairs of neighbouring and of half-way distant parts; start: the median of what is left at sample 0;
+    slope: samples of lag a sample, the median over the pairs of parts that are half of all parts apart; start: the median of what is left at sample 0;
     off: the median distance from the line. Null slope where there is one part only.
     """
     at = F.col("part") * window
@@ -154,7 +154,7 @@ def stereo_levels(samples: DataFrame, keys: list[str], spans: DataFrame, ident:
 
     level = inside.groupBy(*keys, ident).agg(
         F.count("*").alias("n"), rms(F.col("left")).alias("rms_left"), rms(F.col("right")).alias("rms_right"), rms(mono).alias("_mono"), F.max(F.abs(mono)).alias("_peak"),
-        F.when((F.stddev_pop("left") > 1e-12) & (F.stddev_pop("right") > 1e-12), F.corr("left", "right")).alias("agreement"),
+        F.when((F.stddev_pop("left") > 1e-12) & (F.stddev_pop("right") > 1e-12), F.try_divide(F.covar_pop("left", "right"), F.stddev_pop("left") * F.stddev_pop("right"))).alias("agreement"),
     )
     lr = db(F.col("rms_left")) - db(F.col("rms_right"))
     return level.select(*keys, ident, "n", "rms_left", "rms_right", lr.alias("lr_db"), db(F.col("_mono")).alias("mono_db"), F.try_divide("_peak", "_mono").alias("crest"), "agreement")

@@ -125,7 +125,8 @@ def weighted_profile(df: DataFrame, keys: list[str], value: str, weight: str) ->
 def pearson(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """keys, n, r: correlation over complete pairs; null below two pairs or without variance."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    r = F.when((F.count("*") >= 2) & (F.stddev_pop(a) > 1e-12) & (F.stddev_pop(b) > 1e-12), F.corr(a, b))
+    # corr itself fails where there is no variance
+    r = F.when((F.count("*") >= 2) & (F.stddev_pop(a) > 1e-12) & (F.stddev_pop(b) > 1e-12), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
     return both.groupBy(*keys).agg(F.count("*").alias("n"), r.alias("r"))
 
 

@@ -102,7 +102,8 @@ def apply_edits(rows: DataFrame, edits: DataFrame, keys: list[str], ident: str,
         for e in steps.sort_values(["step", "op"]).itertuples():
             name, anchor = (None if pd.isna(v) else v for v in (getattr(e, ident), e.anchor))
             refused += not line.apply(e.op or "", name, anchor)
-        out = pd.DataFrame({ident: [line.ident[k] for k in line.keys], "place": range(1, len(line.keys) + 1), "order_key": line.keys, "refused": refused})
+        out = pd.DataFrame({ident: [line.ident[k] for k in line.keys], "place": range(1, len(line.keys) + 1), "order_key": line.keys, "refused": refused}).astype({"order_key": object})
+        out[ident] = out[ident].astype(object if kinds[ident] == "string" else out[ident].dtype)
         for key in keys:
             out[key] = (own if len(own) else steps)[key].iloc[0]
         return out[[*keys, ident, "place", "order_key", "refused"]]

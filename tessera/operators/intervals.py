@@ -13,10 +13,11 @@ from pyspark.sql.window import Window
 HOUR = 3_600_000_000
 
 
-def interval_union(df: DataFrame, keys: list[str], start: str = "s", end: str = "e", *, gap: int = 0, pad: int = 0, clamp: tuple[int, int] | None = None, min_len: int = 0, payload: str | None = None, span: int | None = None) -> DataFrame:
+def interval_union(df: DataFrame, keys: list[str], start: str = "s", end: str = "e", *, gap: int = 0, pad: int = 0, clamp: tuple[int, int] | None = None, min_len: int = 0, payload: str | None = None, members: str | None = None, span: int | None = None) -> DataFrame:
     """keys, island (from 1, in time order), start, end, n: intervals of a key merged where they touch within `gap`.
 
-    payload: a column whose values each island lists in time order, joined by commas. span: a stretch of time that one task
+    payload: a column whose values each island lists in time order, joined by commas: for islands of few intervals. members: a column; then each
+    interval has a row, with its island's start, end and n and its own value, so that no island's values meet in one task. span: a stretch of time that one task
     may hold of a key; without it a key's rows meet in one task. keys may be empty with it.
 
     Each interval first grows by `pad` on both sides and is cut to `clamp`; what is then shorter than `min_len`, or
@@ -25,7 +26,7 @@ def interval_union(df: DataFrame, keys: list[str], start: str = "s", end: str =
     s, e = F.col(start) - pad, F.col(end) + pad
     if clamp:
         s, e = F.greatest(s, F.lit(clamp[0])), F.least(e, F.lit(clamp[1]))
-    more = [F.col(payload).cast("string").alias("_p")] if payload else []
+    more = [F.col(payload or members).cast("string").alias("_p")] if payload or members else []
     rows = df.select(*keys, s.alias("_s"), e.alias("_e"), *more).where(F.col("_e") - F.col("_s") >= min_len)
     # within a key, or within a stretch of time of a key: what ended last before comes from the stretches ahead
     own = [*keys, "_b"] if span else keys
@@ -42,6 +43,9 @@ def interval_union(df: DataFrame, keys: list[str], start: str = "s", end: str =
     if span:
         before = islands.groupBy(*own).agg(F.sum("_new").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
         islands = islands.join(before, own).withColumn("island", F.col("island") + F.col("_base"))
+    if members:
+        bounds = islands.groupBy(*keys, "island").agg(F.min("_s").alias(start), F.max("_e").alias(end), F.count("*").alias("n"))
+        return islands.select(*keys, "island", F.col("_p").alias(members)).join(bounds, [*keys, "island"]).select(*keys, "island", start, end, "n", members)
     listed = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_s", "_e", "_p"))), lambda x: x["_p"]), ",").alias(payload)] if payload else []
     return islands.groupBy(*keys, "island").agg(F.min("_s").alias(start), F.max("_e").alias(end), F.count("*").alias("n"), *listed)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,16 +86,21 @@ _SAMPLE = 10_000
 
 
 def global_rank(df: DataFrame, key: str, ties: list[str], into: str, *, stretches: int = 64) -> DataFrame:
-    """df with `into`: the place (from 1) of each row in the order of `key` (a text), then ties; no task holds more than a stretch of it.
+    """df with `into`: the place (from 1) of each row in the order of `key`, then ties, nulls first; no task holds more than a stretch of it.
 
-    The stretches are cut at keys of a bounded sample, fixed by hash; their sizes are counted, and each row is ranked in its own.
+    The stretches are cut at rows (key and ties) of a bounded sample, fixed by hash, so that a key that most rows share is cut
+    by its ties; their sizes are counted, and each row is ranked in its own.
     """
     many = df.count()
     every = max(1, many // _SAMPLE)
-    sample = sorted(r[0] for r in df.where(F.pmod(F.xxhash64(key, *ties), F.lit(every)) == 0).select(key).where(F.col(key).isNotNull()).limit(2 * _SAMPLE).collect())
-    cuts = sorted({sample[i * len(sample) // stretches] for i in range(1, stretches)}) if sample else []
-    at = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<string>"), lambda c: c <= F.col(key)))
-    rows = df.withColumn("_stretch", F.when(F.col(key).isNull(), -1).otherwise(at))
+    whole = [key, *ties]
+    sample = sorted((tuple(r) for r in df.where(F.pmod(F.xxhash64(*whole), F.lit(every)) == 0).select(*whole).limit(2 * _SAMPLE).collect()), key=lambda t: [(v is not None, v) for v in t])
+    cuts = list(dict.fromkeys(sample[i * len(sample) // stretches] for i in range(1, stretches))) if sample else []
+    kinds = [df.schema[c].dataType for c in whole]
+    own = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(whole)))
+    edges = [F.struct(*(F.lit(v).cast(kind).alias(f"c{i}") for i, (v, kind) in enumerate(zip(c, kinds, strict=True)))) for c in cuts]
+    at = F.size(F.filter(F.array(*edges), lambda c: c <= own)) if edges else F.lit(0)
+    rows = df.withColumn("_stretch", at)
     sizes = rows.groupBy("_stretch").agg(F.count("*").alias("_n"))
     base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     place = F.row_number().over(Window.partitionBy("_stretch").orderBy(key, *ties))
@@ -112,3 +118,26 @@ def merge_maps(left: Column, right: Column) -> Column:
     """Both maps' entries; where they share a key, the right one's."""
     kept = F.map_filter(left, lambda k, v: ~F.coalesce(F.map_contains_key(right, k), F.lit(False)))
     return F.map_concat(kept, right)
+
+
+def unique_names(df: DataFrame, name: str, order: str, into: str = "unique") -> DataFrame:
+    """df with `into`: the name, or with the first of _2, _3 and so on that no row before it, by `order`, has taken.
+
+    Names that could take one another's numbers (equal but for numbers at their ends) meet in one task; all others don't. A null name is `item`.
+    """
+    kinds, columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema), df.columns
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, following, out = set(), {}, []
+        for base in (rows := pdf.sort_values(order))["_name"]:
+            n, chosen = following.get(base, 2), base
+            while chosen in taken:
+                chosen, n = f"{base}_{n}", n + 1
+            following[base] = n
+            taken.add(chosen)
+            out.append(chosen)
+        rows[into] = out
+        return rows[[*columns, into]]
+
+    rows = df.withColumn("_name", F.coalesce(name, F.lit("item")))
+    return rows.groupBy(F.regexp_replace("_name", r"(_\d+)+$", "").alias("_root")).applyInPandas(number, f"{kinds}, {into} string")

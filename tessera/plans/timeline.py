@@ -33,16 +33,16 @@ def validate(clips: DataFrame, tracks: DataFrame, sources: DataFrame, duration:
 
 
 def changed_regions(before: DataFrame | None, after: DataFrame, key: str, *, pad: int, duration: int, source: str | None = None, changed_sources: DataFrame | None = None, span: int = 86_400_000_000) -> DataFrame:
-    """region, s, e, n, reasons: merged ranges in which a version differs from the one before (rows: key, s, e, print); touching ranges merge.
+    """region, s, e, n, reason: merged ranges in which a version differs from the one before (rows: key, s, e, print); touching ranges merge.
 
-    A changed row counts from the earlier of its starts to the later of its ends. reasons: `clip_added:key` and so on, in
-    time order; of rows that are equal, those whose `source` is among changed_sources (a column of that name) count as
+    A changed row counts from the earlier of its starts to the later of its ends. A region has a row for each of its n reasons:
+    `clip_added:key` and so on; of rows that are equal, those whose `source` is among changed_sources (a column of that name) count as
     `clip_source_changed`. Without a version before, all of [0, duration) is one region, `missing_previous_timeline`.
     span: the stretch of time that one task holds.
     """
     if before is None:
         spark = after.sparkSession
-        return spark.sql(f"select 1L as region, 0L as s, cast({duration} as long) as e, 1L as n, 'missing_previous_timeline' as reasons")
+        return spark.sql(f"select 1L as region, 0L as s, cast({duration} as long) as e, 1L as n, 'missing_previous_timeline' as reason")
     fields = ["s", "e", "print"] + ([source] if source else [])
     a, b = before.select(key, F.struct(*fields).alias("a")), after.select(key, F.struct(*fields).alias("b"))
     both = a.join(b, key, "full_outer")
@@ -50,9 +50,9 @@ def changed_regions(before: DataFrame | None, after: DataFrame, key: str, *, pad
     if source and changed_sources is not None:
         both = both.withColumn("_source", F.col(f"b.{source}")).join(changed_sources.select(F.col(source).alias("_source"), F.lit(True).alias("_new")).distinct(), "_source", "left")
         reason = F.coalesce(reason, F.when(F.col("_new"), "clip_source_changed"))
-    found = both.select(F.least("a.s", "b.s").alias("s"), F.greatest("a.e", "b.e").alias("e"), F.concat(reason, F.lit(":"), F.col(key).cast("string")).alias("reasons"))
-    merged = interval_union(found.where("reasons is not null and e > s"), [], pad=pad, clamp=(0, duration), min_len=1, payload="reasons", span=span)
-    return merged.select(F.col("island").alias("region"), "s", "e", "n", "reasons")
+    found = both.select(F.least("a.s", "b.s").alias("s"), F.greatest("a.e", "b.e").alias("e"), F.concat(reason, F.lit(":"), F.col(key).cast("string")).alias("reason"))
+    merged = interval_union(found.where("reason is not null and e > s"), [], pad=pad, clamp=(0, duration), min_len=1, members="reason", span=span)
+    return merged.select(F.col("island").alias("region"), "s", "e", "n", "reason")
 
 
 def slice_timeline(clips: DataFrame, sources: DataFrame, transitions: DataFrame, start: int, end: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -543,7 +543,19 @@ def plan_normalize(spark, sf_dir):
     return folds.normalize_plan(iv, ["user_id"], least=MINUTE)
 
 
-@query()
+def hold_sql(source: str, name: str, least: int) -> str:
+    """Recursive CTEs that end in `name` (user_id, place, s, e, role): source (user_id, s, e, role), its shortest segments merged into longer neighbours."""
+    return f"""{name}_w AS (SELECT user_id, 0 AS step, list(struct_pack(s := s, e := e, role := role) ORDER BY s, e) AS l FROM {source} GROUP BY user_id
+      UNION ALL SELECT user_id, step + 1, m[1:a - 1] || [struct_pack(s := m[a].s, e := m[z].e, role := m[a].role)] || m[z + 1:] FROM (
+        SELECT *, p - CASE WHEN p > 1 AND m[p - 1].role = m[p].role THEN 1 ELSE 0 END AS a, p + CASE WHEN p < len(m) AND m[p + 1].role = m[p].role THEN 1 ELSE 0 END AS z FROM (
+          SELECT user_id, step, least(i, j) AS p, l[1:least(i, j) - 1] || [struct_pack(s := l[least(i, j)].s, e := l[greatest(i, j)].e, role := l[j].role)] || l[greatest(i, j) + 1:] AS m FROM (
+            SELECT *, CASE WHEN i = 1 THEN 2 WHEN i = len(l) THEN i - 1 WHEN l[i + 1].e - l[i + 1].s > l[i - 1].e - l[i - 1].s THEN i + 1 ELSE i - 1 END AS j FROM (
+              SELECT *, list_position(n, list_min(n)) AS i FROM (SELECT *, list_transform(l, lambda x: struct_pack(n := x.e - x.s, s := x.s)) AS n FROM {name}_w WHERE len(l) > 1) WHERE list_min(n).n < {least}))))),
+    {name}_l AS (SELECT user_id, arg_max(l, step) AS l FROM {name}_w GROUP BY user_id),
+    {name} AS (SELECT user_id, place::INT - 1 AS place, x.s AS s, x.e AS e, x.role AS role FROM (SELECT user_id, generate_subscripts(l, 1) AS place, unnest(l) AS x FROM {name}_l))"""
+
+
+@query(f"WITH RECURSIVE given AS ({SQL['plan_normalize']}), {hold_sql('given', 'held', 2 * HOUR)} SELECT * FROM held")
 def plan_minimum_hold(spark, sf_dir):
     return folds.minimum_hold(plan_normalize(spark, sf_dir), ["user_id"], least=2 * HOUR)
 
@@ -584,18 +596,21 @@ def ncc_lag(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_IV}, b AS (SELECT event_id, s, e, event_type AS p FROM iv WHERE event_id % 9 <> 0), a AS (SELECT event_id, s, e, CASE WHEN event_id % 10 = 0 THEN '?' ELSE event_type END AS p FROM iv WHERE event_id % 8 <> 0),
-    d AS (SELECT event_id, b.s AS bs, b.e AS be, a.s AS as_, a.e AS ae, CASE WHEN b.s IS NULL THEN 'clip_added' WHEN a.s IS NULL THEN 'clip_removed' WHEN b.p <> a.p THEN 'clip_changed' WHEN a.p = 'error' THEN 'clip_source_changed' END AS why FROM b FULL JOIN a USING (event_id)),
+    f"""WITH {_IV}, b AS (SELECT event_id, s, e, event_type AS p FROM iv WHERE event_id % 997 <> 0), a AS (SELECT event_id, s, e, CASE WHEN event_id % 991 = 0 THEN '?' ELSE event_type END AS p FROM iv WHERE event_id % 983 <> 0),
+    d AS (SELECT event_id, b.s AS bs, b.e AS be, a.s AS as_, a.e AS ae, CASE WHEN b.s IS NULL THEN 'clip_added' WHEN a.s IS NULL THEN 'clip_removed' WHEN b.p <> a.p THEN 'clip_changed' WHEN a.p = 'error' AND event_id % 977 = 0 THEN 'clip_source_changed' END AS why FROM b FULL JOIN a USING (event_id)),
     r AS (SELECT 1 AS k, least(coalesce(bs, as_), coalesce(as_, bs)) AS s, greatest(coalesce(be, ae), coalesce(ae, be)) AS e, why || ':' || event_id AS why FROM d WHERE why IS NOT NULL),
-    f AS (SELECT *, CASE WHEN s > max(e) OVER (ORDER BY s, e, why ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM r WHERE e > s)
-    SELECT island + 1 AS region, min(s) AS s, max(e) AS e, count(*) AS n, string_agg(why, ',' ORDER BY s, e, why) AS reasons FROM (SELECT *, CAST(sum(fresh) OVER (ORDER BY s, e, why) AS BIGINT) AS island FROM f) GROUP BY island"""
+    f AS (SELECT *, CASE WHEN s > max(e) OVER (ORDER BY s, e, why ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM r WHERE e > s),
+    g AS (SELECT *, 1 + CAST(sum(fresh) OVER (ORDER BY s, e, why) AS BIGINT) AS region FROM f)
+    SELECT region, min(s) OVER w AS s, max(e) OVER w AS e, count(*) OVER w AS n, why AS reason FROM g WINDOW w AS (PARTITION BY region)"""
 )
 def changed_regions(spark, sf_dir):
     iv = event_intervals(spark, sf_dir)
-    before = iv.where("event_id % 9 <> 0").select("event_id", "s", "e", F.col("event_type").alias("print"), F.col("event_type").alias("source"))
-    named = F.when(F.col("event_id") % 10 == 0, "?").otherwise(F.col("event_type"))
-    after = iv.where("event_id % 8 <> 0").select("event_id", "s", "e", named.alias("print"), named.alias("source"))
-    sources = iv.where("event_type = 'error'").select(F.col("event_type").alias("source"))
+    # few changes, so that they don't all merge into one region
+    source = F.when((F.col("event_id") % 977 == 0) & (F.col("event_type") == "error"), "new").otherwise(F.col("event_type")).alias("source")
+    before = iv.where("event_id % 997 <> 0").select("event_id", "s", "e", F.col("event_type").alias("print"), source)
+    named = F.when(F.col("event_id") % 991 == 0, "?").otherwise(F.col("event_type"))
+    after = iv.where("event_id % 983 <> 0").select("event_id", "s", "e", named.alias("print"), source)
+    sources = spark.createDataFrame([("new",)], "source string")
     return timeline.changed_regions(before, after, "event_id", pad=0, duration=1 << 60, source="source", changed_sources=sources, span=24 * HOUR)
 
 

@@ -26,9 +26,12 @@ def media_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part, points in (("//m.", 3), ("page=", 2), ("#", 1)):
         score = score + F.when(F.contains(url, F.lit(part)), points).otherwise(0)
     rows = table(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), score.alias("score"))
-    n = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "page_id"))
+    # places in one order of all files, by stretches; the places of a kind follow one another
+    ranked = sequences.global_rank(rows.withColumn("less", -F.col("score")), "kind", ["less", "page_id"], "place")
+    first = ranked.groupBy("kind").agg(F.min("place").alias("first"))
+    rows = ranked.join(first, "kind").withColumn("n", F.col("place") - F.col("first") + 1)
     role = F.when(F.col("kind") == "other", "unassigned").when((F.col("kind") == "video") & (F.col("n") == 1), "master").when(F.col("kind") == "video", F.concat(F.lit("camera"), "n")).otherwise(F.concat(F.lit("external"), "n"))
-    return rows.withColumn("n", n).select("page_id", "kind", role.alias("role"))
+    return rows.select("page_id", "kind", role.alias("role"))
 
 
 @query("""WITH p AS (SELECT l_orderkey AS k, min(l_suppkey) AS sig, min(l_partkey) AS path FROM lineitem GROUP BY 1) SELECT o_orderkey, CASE WHEN p.sig = o_custkey % 100 THEN p.path ELSE -o_orderkey END AS path, CASE WHEN p.k IS NULL THEN 'no_proxy' WHEN p.sig = o_custkey % 100 THEN 'proxy' ELSE 'stale' END AS reason,
@@ -147,5 +150,5 @@ def seq_ratio_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tracked_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes followed from frame to frame (no SQL: greedy choice among what is free)."""
     c = F.struct(((F.col("box.x1") + F.col("box.x2")) / 2).alias("x"), ((F.col("box.y1") + F.col("box.y2")) / 2).alias("y"))
-    rows = _boxes(spark, sf_dir).select((F.col("frame") % 200).alias("video"), F.floor(F.col("frame") / 200).alias("frame"), "item", "area", c.alias("c"))
+    rows = _boxes(spark, sf_dir).select(F.floor(F.col("frame") / 200).alias("video"), (F.col("frame") % 200).alias("frame"), "item", "area", c.alias("c"))
     return folds.track(rows.select("video", "frame", "item", "area", "c.x", "c.y"), ["video"], far=0.2, memory=3)

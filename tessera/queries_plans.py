@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import intervals
+from tessera.operators import folds, intervals
 from tessera.plans import cameras
-from tessera.queries import HOUR, MINUTE, event_intervals, query
+from tessera.queries import HOUR, MINUTE, event_intervals, hold_sql, query
+from tessera.session import checkpointed
 
 BEGIN = 1_704_067_200_000_000  # the first microsecond of 2024, where the events begin
 DAYS = 40 * 24 * HOUR
@@ -89,9 +90,20 @@ def snapped_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_COVER}, fixed AS (SELECT user_id, s, e, role, s AS ident FROM covered), {_normal('fixed', 'base')}, {_SNAP} SELECT * FROM snap")
 def camera_plan_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build, coverage with fallback, boundaries to captions' ends."""
-    covered = cameras.cover(_plan(spark, sf_dir), _windows(spark, sf_dir), ["user_id"], duration=DAYS, cameras=CAMERAS)
+    return _snapped(spark, sf_dir)
+
+
+def _snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # each step reads the plan several times, so that it is computed once
+    covered = cameras.cover(checkpointed(_plan(spark, sf_dir)), _windows(spark, sf_dir), ["user_id"], duration=DAYS, cameras=CAMERAS)
     plan = cameras.normalize(covered.select("user_id", "s", "e", "role", F.col("s").alias("ident")), ["user_id"], duration=DAYS, fallback="view")
-    return cameras.snap(plan, _points(spark, sf_dir), ["user_id"], duration=DAYS, fallback="view", most=2 * HOUR)
+    return cameras.snap(checkpointed(plan), _points(spark, sf_dir), ["user_id"], duration=DAYS, fallback="view", most=2 * HOUR)
+
+
+@query(f"{_COVER.replace('WITH ', 'WITH RECURSIVE ', 1)}, fixed AS (SELECT user_id, s, e, role, s AS ident FROM covered), {_normal('fixed', 'base')}, {_SNAP}, {hold_sql('snap', 'kept', 2 * HOUR)} SELECT * FROM kept")
+def held_plan_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain, and no segment shorter than two hours at its end."""
+    return folds.minimum_hold(_snapped(spark, sf_dir), ["user_id"], least=2 * HOUR)
 
 
 _BLOCKS = f"""cap AS (SELECT user_id, s - {MINUTE} AS s, e FROM iv WHERE event_type <> 'error'),
@@ -114,7 +126,7 @@ SELECT h.user_id, h.s, h.e, CASE WHEN c.ref IS NOT NULL THEN 'card' WHEN t.ref I
 FROM held h LEFT JOIN c USING (user_id, s) LEFT JOIN t USING (user_id, s)""")
 def layered_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _local(spark, sf_dir).select("user_id", "s", "e", F.col("event_id").alias("ref"))
-    return cameras.layered(_plan(spark, sf_dir), [("card", rows.where("ref % 11 = 0")), ("still", rows.where("ref % 5 = 0"))], ["user_id"], duration=DAYS)
+    return cameras.layered(checkpointed(_plan(spark, sf_dir)), [("card", rows.where("ref % 11 = 0")), ("still", rows.where("ref % 5 = 0"))], ["user_id"], duration=DAYS)
 
 
 @query(f"""{_PLAN}, said AS (SELECT user_id, s, e FROM iv WHERE event_id % 4 = 1),

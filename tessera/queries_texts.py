@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import clock, documents, text
+from tessera.operators import sequences
 from tessera.queries import query
 from tessera.session import table
 
@@ -56,8 +56,7 @@ SELECT p_partkey, CASE WHEN n = 1 THEN s ELSE s || '_' || n END AS slug FROM n""
 def unique_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names fit for files, numbered where several are alike."""
     rows = table(spark, sf_dir, "part").select("p_partkey", text.slug(F.concat("p_name", F.when(F.col("p_partkey") % 5 == 0, " !!").otherwise(""))).alias("s"))
-    n = F.row_number().over(Window.partitionBy("s").orderBy("p_partkey"))
-    return rows.withColumn("n", n).select("p_partkey", F.when(F.col("n") == 1, F.col("s")).otherwise(F.concat_ws("_", "s", "n")).alias("slug"))
+    return sequences.unique_names(rows, "s", "p_partkey", "slug").select("p_partkey", "slug")
 
 
 @query(r"""WITH l AS (SELECT conv_id, turn, generate_subscripts(q, 1) - 1 AS line, unnest(q) AS t FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS q FROM conversations WHERE text IS NOT NULL))

@@ -189,9 +189,13 @@ def quiet_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.quietest(points, frames, ["user_id"], "event_id", before=8 * HOUR, behind=4 * HOUR)
 
 
-@query()
+@query("""WITH series AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY user_id), pairs AS (SELECT a.user_id, a.v AS p, b.v AS t FROM series a JOIN series b ON b.user_id = a.user_id + 1),
+st AS (SELECT user_id, p, t, unnest(range(0, len(p) - 11, 6)) AS start FROM pairs WHERE len(t) >= 12), k AS (SELECT *, unnest(range(0, len(t) - 11)) AS k FROM st), x AS (SELECT user_id, start, k, unnest(p[start + 1:start + 12]) AS x, unnest(t[k + 1:k + 12]) AS y FROM k),
+c AS (SELECT user_id, start, k, CASE WHEN stddev_pop(y) > 1e-9 THEN corr(x, y) ELSE 0 END AS c FROM x GROUP BY ALL HAVING stddev_pop(x) >= 0.05), w AS (SELECT user_id, start, arg_max(k, struct_pack(c := round(c, 12), k := -k)) AS k, arg_max(c, struct_pack(c := round(c, 12), k := -k)) AS c FROM c GROUP BY user_id, start),
+b AS (SELECT user_id, arg_max(struct_pack(start := start, lag := k - start, c := c), struct_pack(c := round(c, 12), s := -start)) AS b FROM w GROUP BY user_id)
+SELECT pairs.user_id, CAST(b.start AS INT) AS start, CAST(b.lag AS INT) AS lag, round(b.c, 6) AS score FROM pairs LEFT JOIN b ON b.user_id = pairs.user_id""")
 def window_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where any stretch of one recording's levels lies best in another's (no SQL: a correlation at every place)."""
+    """Where any stretch of one recording's levels lies best in another's."""
     series = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
     other = series.select((F.col("user_id") - 1).alias("user_id"), F.col("v").alias("target"))
     pairs = series.withColumnRenamed("v", "probe").join(other, "user_id")

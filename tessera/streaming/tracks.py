@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,15 +11,16 @@ from pyspark.sql import functions as F
 
 from tessera.operators.folds import follow_frames
 
-_STATE = "made long, seen array<struct<track: long, frame: long, x: double, y: double>>, upto long"
+#: seen: JSON of [track, frame, x, y] of the tracks last seen
+_STATE = "made long, seen string, upto long"
 
 
-def stream_tracks(boxes: DataFrame, key: str, at: str, *, far: float, memory: int, late: str, idle: str = "1 minute") -> DataFrame:
+def stream_tracks(boxes: DataFrame, key: str, at: str, *, far: float, memory: int, late: str, idle: int = 60) -> DataFrame:
     """key, frame, item, track: what folds.track gives for the same frames in order, a micro-batch at a time. Output mode append.
 
     boxes: key (long), frame, item (long), x, y, area, and the event time `at`. State by key: the tracks of the last `memory` frames, the number of
     tracks made, the last frame done. Frames of one batch are done in order. A frame that isn't behind the last one done is late: its boxes come out with track -1 and
-    change nothing; boxes of a frame must arrive in one batch. Boxes older than the watermark (`late`) are dropped by Spark. A key that has been silent for `idle` of
+    change nothing; boxes of a frame must arrive in one batch. Boxes older than the watermark (`late`) are dropped by Spark. A key that has been silent for `idle` seconds of
     event time, beyond the watermark, is forgotten: its state goes, and later boxes begin at track 0.
     """
 
@@ -29,7 +31,7 @@ def stream_tracks(boxes: DataFrame, key: str, at: str, *, far: float, memory: in
         made, seen, upto = 0, {}, -1
         if state.exists:
             made, kept, upto = state.get
-            seen = {t["track"]: (t["frame"], t["x"], t["y"]) for t in kept}
+            seen = {t: (f, x, y) for t, f, x, y in json.loads(kept)}
         rows = pd.concat(list(batches))
         fresh = rows[rows["frame"] > upto]
         out = [(f, i, -1) for f, i in rows.loc[rows["frame"] <= upto, ["frame", "item"]].itertuples(index=False)]
@@ -37,9 +39,9 @@ def stream_tracks(boxes: DataFrame, key: str, at: str, *, far: float, memory: in
             done, made, seen = follow_frames(fresh, made, seen, far=far, memory=memory)
             out += done
             upto = int(fresh["frame"].max())
-        state.update((made, [{"track": t, "frame": int(f), "x": float(x), "y": float(y)} for t, (f, x, y) in seen.items()], upto))
+        state.update((made, json.dumps([(t, int(f), float(x), float(y)) for t, (f, x, y) in seen.items()]), upto))
         newest = int(rows[at].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1), idle)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1000 * idle)
         made_rows = pd.DataFrame(out, columns=["frame", "item", "track"])
         made_rows[key] = k[0]
         yield made_rows[[key, "frame", "item", "track"]]

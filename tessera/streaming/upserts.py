@@ -56,18 +56,24 @@ def upsert(batch: DataFrame, batch_id: int, path: str, key: str, order: str, *,
     don't count; ties of `order` go to the largest row. A removed key keeps a row (removed = true), so that an older row that arrives later doesn't bring it back;
     readers leave those out.
     """
-    spark = batch.sparkSession
     columns = [c for c in batch.columns if c != "removed"]
     kept = [*columns, "removed"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batch.select(kept).schema)
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
     rows = batch.where(F.col(key).isNotNull()).select(*columns, F.coalesce("removed", F.lit(False)).alias("removed"))
     whole = F.struct(order, *[c for c in kept if c not in (order, key)])
-    newest = rows.groupBy(key).agg(F.max(whole).alias("_new")).withColumn("bucket", bucket)
-    touched = [r["bucket"] for r in newest.select("bucket").distinct().collect()]  # at most `buckets` numbers
-    if not touched:
-        return
-    stored = stored_rows(spark, path, schema, buckets=touched, before=batch_id).select(key, whole.alias("_old"))
+    # the batch is read once: it comes from the stream's sources
+    newest = rows.groupBy(key).agg(F.max(whole).alias("_new")).withColumn("bucket", bucket).persist()
+    try:
+        touched = [r["bucket"] for r in newest.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        if touched:
+            _put(newest, batch_id, path, key, order, schema, touched, changes, kept, whole, bucket)
+    finally:
+        newest.unpersist()
+
+
+def _put(newest: DataFrame, batch_id: int, path: str, key: str, order: str, schema: str, touched: list[int], changes: str | None, kept: list[str], whole, bucket) -> None:
+    stored = stored_rows(newest.sparkSession, path, schema, buckets=touched, before=batch_id).select(key, whole.alias("_old"))
     both = stored.join(newest.drop("bucket"), key, "full_outer")
     newer = F.col("_new").isNotNull() & (F.col("_old").isNull() | (F.col(f"_new.{order}") > F.col(f"_old.{order}")))
     row = F.when(newer, F.col("_new")).otherwise(F.col("_old"))

@@ -167,10 +167,10 @@ def test_timeline(spark):
     assert timeline.changed_regions(same, same, "id", pad=0, duration=9).collect() == []
     moved = spark.createDataFrame([(1, 1, 2, "p"), (2, 8, 12, "q")], "id long, s long, e long, print string")
     # a changed clip is one range, from the earlier of its starts to the later of its ends
-    assert rows_of(timeline.changed_regions(same, moved, "id", pad=0, duration=9), "s", "e", "n", "reasons") == [(0, 5, 1, "clip_changed:1"), (8, 9, 1, "clip_added:2")]
+    assert rows_of(timeline.changed_regions(same, moved, "id", pad=0, duration=9), "s", "e", "n", "reason") == [(0, 5, 1, "clip_changed:1"), (8, 9, 1, "clip_added:2")]
     apart = spark.createDataFrame([(1, 7, 8, "p")], "id long, s long, e long, print string")
-    assert rows_of(timeline.changed_regions(same, apart, "id", pad=0, duration=9), "s", "e", "reasons") == [(0, 8, "clip_changed:1")]
-    assert rows_of(timeline.changed_regions(same, same.limit(0), "id", pad=0, duration=9), "s", "e", "reasons") == [(0, 5, "clip_removed:1")]
+    assert rows_of(timeline.changed_regions(same, apart, "id", pad=0, duration=9), "s", "e", "reason") == [(0, 8, "clip_changed:1")]
+    assert rows_of(timeline.changed_regions(same, same.limit(0), "id", pad=0, duration=9), "s", "e", "reason") == [(0, 5, "clip_removed:1")]
     cut = timeline.slice_clips(spark.createDataFrame([(1, 0, 10, 100), (2, 20, 30, 0)], "id long, s long, e long, source_in long"), 4, 8)
     assert rows_of(cut, "id", "s", "e", "source_in") == [(1, 0, 4, 104)]
     clips = spark.createDataFrame([(1, "t", "a", 0, 10, False), (2, "t", "a", 2, 3, True), (3, "t", None, 5, 5, None), (3, "u", "b", -1, 99, None)], "clip_id long, track_id string, source_id string, s long, e long, allow_overlap boolean")

@@ -126,7 +126,7 @@ def test_zero_weights(spark):
 def test_changed_regions_without_a_version_before(spark):
     after = spark.createDataFrame([(1, 0, 5, "x")], "id long, s long, e long, print string")
     got = timeline.changed_regions(None, after, "id", pad=0, duration=2_968_465_500, span=10)
-    assert rows(got, "region", "s", "e", "reasons") == [(1, 0, 2_968_465_500, "missing_previous_timeline")]
+    assert rows(got, "region", "s", "e", "reason") == [(1, 0, 2_968_465_500, "missing_previous_timeline")]
     assert timeline.changed_regions(after, after, "id", pad=0, duration=100, span=10).collect() == []
 
 
