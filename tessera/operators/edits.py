@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,19 +96,39 @@ def apply_edits(rows: DataFrame, edits: DataFrame, keys: list[str], ident: str,
     which nothing is left has no row. Repeated idents count once, the first by order; null idents don't count.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-
-    def run(own: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
-        first = own.dropna(subset=[ident]).sort_values([order, ident]).drop_duplicates(ident)
-        line, refused = _Order(first[ident].tolist()), 0
-        for e in steps.sort_values(["step", "op"]).itertuples():
-            name, anchor = (None if pd.isna(v) else v for v in (getattr(e, ident), e.anchor))
-            refused += not line.apply(e.op or "", name, anchor)
-        out = pd.DataFrame({ident: [line.ident[k] for k in line.keys], "place": range(1, len(line.keys) + 1), "order_key": line.keys, "refused": refused}).astype({"order_key": object})
-        out[ident] = out[ident].astype(object if kinds[ident] == "string" else out[ident].dtype)
-        for key in keys:
-            out[key] = (own if len(own) else steps)[key].iloc[0]
-        return out[[*keys, ident, "place", "order_key", "refused"]]
-
+    none = {c: F.lit(None).cast(kinds[c]).alias(c) for c in (ident, order)}
+    lines = rows.where(F.col(ident).isNotNull()).select(*keys, F.lit(0).alias("_kind"), F.col(order).alias("_o"), F.lit(None).cast("long").alias("_step"), F.lit(None).cast("string").alias("_op"), ident, none[ident].alias("_anchor"))
+    steps = edits.select(*keys, F.lit(1).alias("_kind"), none[order].alias("_o"), F.col("step").cast("long").alias("_step"), F.col("op").alias("_op"), F.col(ident).cast(kinds[ident]).alias(ident), F.col("anchor").cast(kinds[ident]).alias("_anchor"))
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{ident} {kinds[ident]}", "place long", "order_key string", "refused long"])
-    steps = edits.select(*keys, "step", "op", F.col(ident).cast(kinds[ident]).alias(ident), F.col("anchor").cast(kinds[ident]).alias("anchor"))
-    return rows.select(*keys, ident, order).groupBy(*keys).cogroup(steps.groupBy(*keys)).applyInPandas(run, schema)
+    many = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition's sequences one after the other: the rows of each in order, then its edits."""
+        key, idents, line, refused, out, made = None, {}, None, 0, [], None
+
+        def close() -> None:
+            done = line or _Order(list(idents))
+            out.extend((*key, done.ident[k], place, k, refused) for place, k in enumerate(done.keys, 1))
+
+        for batch in batches:
+            made = made or pa.schema([*(batch.schema.field(i) for i in range(many)), pa.field(ident, batch.schema.field(ident).type), ("place", pa.int64()), ("order_key", pa.string()), ("refused", pa.int64())])
+            for *own, kind, _, _, op, name, anchor in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key:
+                    if key is not None:
+                        close()
+                    key, idents, line, refused = own, {}, None, 0
+                if kind == 0:
+                    idents.setdefault(name)
+                    continue
+                line = line or _Order(list(idents))
+                refused += not line.apply(op or "", name, anchor)
+            if len(out) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), made, strict=True)], schema=made)
+                out.clear()
+        if key is not None:
+            close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), made, strict=True)], schema=made)
+
+    both = lines.union(steps).repartition(*keys).sortWithinPartitions(*keys, "_kind", "_o", "_step", "_op", ident)
+    return both.mapInArrow(run, schema)

@@ -14,8 +14,8 @@ from tessera.session import table
 
 
 @query("""WITH RECURSIVE own AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS n FROM lineitem GROUP BY ALL), line AS (SELECT l_orderkey, list(l_partkey ORDER BY n, l_partkey) AS l FROM own GROUP BY 1),
-step AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, op, l_partkey) AS k, op, CASE WHEN op[1:6] = 'insert' THEN l_suppkey + 1000000 ELSE l_partkey END AS ident, CASE WHEN op[1:6] = 'insert' THEN CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_partkey END WHEN op = 'swap' THEN before WHEN l_suppkey % 2 = 0 THEN before END AS anchor
-  FROM (SELECT *, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS before, ['insert_before', 'insert_after', 'move_before', 'move_after', 'swap', 'remove', 'rename'][l_partkey % 7 + 1] AS op FROM lineitem)),
+step AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, op, l_partkey, l_suppkey) AS k, op, CASE WHEN op[1:6] = 'insert' THEN l_suppkey + 1000000 ELSE l_partkey END AS ident, CASE WHEN op[1:6] = 'insert' THEN CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_partkey END WHEN op = 'swap' THEN before WHEN l_suppkey % 2 = 0 THEN before END AS anchor
+  FROM (SELECT *, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS before, ['insert_before', 'insert_after', 'move_before', 'move_after', 'swap', 'remove', 'rename'][l_partkey % 7 + 1] AS op FROM lineitem)),
 w AS (SELECT l_orderkey, 0::BIGINT AS k, l, 0::BIGINT AS refused FROM line
   UNION ALL SELECT l_orderkey, k, CASE WHEN NOT fine THEN l WHEN op = 'swap' THEN list_transform(l, lambda x: CASE WHEN x = ident THEN anchor WHEN x = anchor THEN ident ELSE x END) WHEN op = 'remove' THEN m WHEN op[-6:] = 'before' THEN CASE WHEN anchor IS NULL THEN list_prepend(ident, m) ELSE list_append(m[1:pos - 1], ident) || m[pos:] END
     ELSE CASE WHEN anchor IS NULL THEN list_append(m, ident) ELSE list_append(m[1:pos], ident) || m[pos + 1:] END END, refused + CASE WHEN fine THEN 0 ELSE 1 END FROM (
@@ -26,12 +26,12 @@ SELECT l_orderkey, unnest(l) AS part, generate_subscripts(l, 1)::BIGINT AS place
 def edited_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's parts after insertions, moves, swaps and removals in order."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    before = F.lag("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    before = F.lag("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     names = F.array(*(F.lit(n) for n in ("insert_before", "insert_after", "move_before", "move_after", "swap", "remove", "rename")))
     rows = lines.withColumn("before", before).withColumn("op", F.element_at(names, (F.col("l_partkey") % 7 + 1).cast("int")))
     new = F.startswith("op", F.lit("insert"))
     anchor = F.when(new, F.when(F.col("l_suppkey") % 4 != 0, F.col("l_partkey"))).when((F.col("op") == "swap") | (F.col("l_suppkey") % 2 == 0), F.col("before"))
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "op", "l_partkey")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "op", "l_partkey", "l_suppkey")
     steps = rows.select("l_orderkey", F.row_number().over(order).alias("step"), "op", F.when(new, F.col("l_suppkey") + 1_000_000).otherwise(F.col("l_partkey")).alias("part"), anchor.alias("anchor"))
     done = edits.apply_edits(lines.withColumnRenamed("l_partkey", "part"), steps, ["l_orderkey"], "part", "l_linenumber")
     return done.select("l_orderkey", "part", "place", "refused")
