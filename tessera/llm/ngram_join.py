@@ -133,9 +133,19 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFr
     spark = docs.sparkSession
 
     def texts_of(chosen: DataFrame) -> DataFrame:
-        """rep, text of chosen representatives."""
+        """rep, text of chosen representatives. A filter of fixed size keeps most other texts out of the shuffle; the join decides."""
+        slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
         ids = chosen.select(F.col("rep").alias("doc_id")).distinct()
-        return docs.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        bits = np.zeros(SLOTS, bool)
+        bits[ids.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)] = True
+        known = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+
+        def held(slots: pd.Series) -> pd.Series:
+            at = slots.to_numpy(np.int64)
+            return pd.Series((known.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+        near = docs.where("doc_id is not null").where(F.pandas_udf(held, "boolean")(slot))
+        return near.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def listed(rows: DataFrame) -> DataFrame:
         """v, rep, n, place, most, length: the lists of two or more; most: the largest partner that this place still allows."""
