@@ -165,3 +165,30 @@ def test_factor():
     assert factor.shape == (30, 9) and np.allclose(factor @ factor.T, a)
     values, parts = whitening.jacobi(factor)
     assert np.allclose(values, np.linalg.eigvalsh(a)[::-1][:9]) and np.allclose(parts.T @ parts, np.eye(9)) and np.allclose(a @ parts, parts * values)
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_queries_against_brute_force(spark):
+    """The three queries over small tables: columns, order of columns and rows as the plain versions have them."""
+    from tessera.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    got = QUERIES["op11_ngram_join"](spark, SMALL)
+    assert got.columns[:3] == ["doc_id", "n_shingles", "component_id"]
+    want = brute_near([(r["doc_id"], r["text"], None) for r in docs], 5, 80)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == {i: w[:2] for i, w in want.items()}
+    got = QUERIES["op12_phrases"](spark, SMALL)
+    assert got.columns[:8] == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert sorted(map(tuple, got.collect())) == brute_phrases([(r["text"], r["lang"]) for r in docs], 30)
+    got = QUERIES["op13_whitening"](spark, SMALL)
+    assert got.columns[:7] == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()
+    n, deviation, whitened, explained = brute_whitening([r["embedding"] for r in vectors])
+    at = {r["vec_id"]: i for i, r in enumerate(vectors)}
+    rows = got.collect()
+    assert len(rows) == len(vectors) * len(explained)
+    for r in rows:
+        i, c = at[r["vec_id"]], r["component"] - 1
+        assert r["n"] == n and r["deviation"] == deviation[i] and abs(abs(r["whitened"]) - abs(whitened[i, c])) < 1e-6 and abs(r["explained"] / explained[c] - 1) < 1e-9 and r["identity_error"] < 1e-4
