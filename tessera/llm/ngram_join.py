@@ -9,7 +9,7 @@
    The first order is that of the hashes. Members of lists beyond a leaf's size are listed anew, with the n-grams of such lists
    behind all others, longer lists last (known to tasks by a table of fixed size, indexed by hash; n-grams that share a slot
    count as frequent alike), again and again as long as fewer texts are in long lists: what is left consists of frequent n-grams.
-3. Every point meets the most typical one of its tree. Then the trees that still hold several components are packed by
+3. Every point meets the one that is most typical of most of its trees. Then the trees that still hold several components are packed by
    component and size (sorted in ranges, so that a large tree spreads over tasks) and crossed with themselves from the
    root down: pairs of boxes go if the bound, the sizes, or a component that both share whole say so. First each two leaves
    return their best pair for each two components, then, with what that has linked, all pairs left. No list is capped; the
@@ -198,7 +198,11 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFr
     # the most typical point has the fewest rare n-grams before this one
     typical = lists.groupBy("kind", "v").agg(F.min(F.struct("place", "rep", "n", "most")).alias("t")).select("kind", "v", "t.*")
     fits = F.expr("p.kind = q.kind and p.v = q.v and p.rep <> q.rep and p.n <= q.most and q.n <= p.most")
-    links = materialize(verified(lists.alias("p").join(typical.alias("q"), fits).select(F.col("q.rep").alias("x"), F.col("p.rep").alias("y")), bound=True))
+    met = lists.alias("p").join(typical.alias("q"), fits).select(F.col("q.rep").alias("x"), F.col("p.rep").alias("y"), F.col("p.length").alias("length"))
+    # in longer lists a point meets the one that is typical of most of its lists; the trees have what is left
+    often = met.where("length > 2").groupBy("y", "x").agg(F.count("*").alias("n")).groupBy("y").agg(F.min(F.struct((-F.col("n")).alias("n"), "x")).alias("t"))
+    pairs = met.where("length = 2").select("x", "y").union(often.select("t.x", "y"))
+    links = materialize(verified(pairs, bound=True))
     lists = lists.where("length > 2")
     for every in (False, True):
         lists = _mixed(lists, links)
