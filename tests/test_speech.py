@@ -5,6 +5,7 @@ import json
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,3 +258,17 @@ def test_best_match_without_a_cap(spark, often):
     want = brute_best(left, right)
     assert got.keys() == want.keys() and "only" in got
     assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-12 for i in want)
+
+
+def test_best_match_meets_in_blocks(spark):
+    """Many small blocks give what brute force gives; a row with more pairs than may be held is counted token by token, and no rows of pairs are shuffled."""
+    rng = random.Random(8)
+    right = [(i, [f"t{rng.randrange(40)}" for _ in range(rng.randrange(9))]) for i in range(150)]
+    left = [(i, [f"t{rng.randrange(50)}" for _ in range(rng.randrange(12))]) for i in range(90)] + [(None, ["t1"])]
+    schema = "id long, tokens array<string>"
+    found = matching.best_match(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "id", "other", "tokens", block=100)
+    got = {r["id"]: (r["other"], -r["score"]) for r in found.collect()}
+    assert got == brute_best(left[:-1], right)
+    rows = [pd.DataFrame([(i, len(set(ts)), int(t[1:])) for i, ts in side for t in sorted(set(ts))], columns=["_id", "_n", "_k"]) for side in (left[:-1], right)]
+    for most in (1, 50, 10_000):
+        assert {r[0]: (r[1], -r[2]) for r in matching._best_of_block(*rows, 1, most).itertuples(index=False)} == got
