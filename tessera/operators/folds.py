@@ -6,8 +6,11 @@ rows meet in one task, as the semantics demand: choose keys (a recording, a plan
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -208,24 +211,85 @@ def leaders(df: DataFrame, keys: list[str], ident: str, code: str, quality: str,
     return df.groupBy(*keys).applyInPandas(lead, schema)
 
 
-def follow_frames(rows: pd.DataFrame, made: int, seen: dict, *, far: float, memory: int) -> tuple[list[tuple], int, dict]:
-    """(frame, item, track) of boxes (frame, item, x, y, area), the number of tracks made, and the tracks last seen: track -> (frame, x, y)."""
+def follow_frames(rows: pd.DataFrame, made: int, seen: dict, *, far: float, memory: int, dense: int = 4000) -> tuple[list[tuple], int, dict]:
+    """(frame, item, track) of boxes (frame, item, x, y, area), the number of tracks made, and the tracks last seen: track -> (frame, x, y).
+
+    In frames of more than `dense` pairs of boxes and tracks the nearest track is looked for among those ordered by x, from the box outwards.
+    """
     out = []
-    for frame, boxes in rows.sort_values(["frame", "area", "item"], ascending=[True, False, True]).groupby("frame", sort=True):
+    rows = rows.dropna(subset=["frame"]).sort_values(["frame", "area", "item"], ascending=[True, False, True])
+    frames, items, xs, ys = (rows[c].tolist() for c in ("frame", "item", "x", "y"))
+    start = 0
+    while start < len(frames):
+        frame, end = frames[start], start
+        while end < len(frames) and frames[end] == frame:
+            end += 1
         seen = {t: v for t, v in seen.items() if frame - v[0] <= memory}
-        free = dict(seen)
-        for b in boxes.itertuples():
-            near = min(((((b.x - x) ** 2 + (b.y - y) ** 2) ** 0.5, t) for t, (_, x, y) in free.items()), default=None)
-            if near is not None and near[0] <= far:
-                t = near[1]
-                del free[t]
-            else:
+        pick = (_nearest_of_many if (end - start) * len(seen) > dense else _nearest_of_few)(seen, far)
+        for i in range(start, end):
+            t = pick(xs[i], ys[i])
+            if t is None:
                 t, made = made, made + 1
-            seen[t] = (frame, b.x, b.y)
-            out.append((frame, b.item, t))
+            seen[t] = (frame, xs[i], ys[i])
+            out.append((frame, items[i], t))
+        start = end
     return out, made, seen
 
 
+def _nearest_of_few(seen: dict, far: float):
+    """A function that takes the nearest track no further than `far` from (x, y), the older of equals, each track once."""
+    free = {t: (x, y) for t, (_, x, y) in seen.items()}
+
+    def pick(x: float, y: float) -> int | None:
+        near, best = None, far
+        for t, (u, v) in free.items():
+            d = math.sqrt((x - u) * (x - u) + (y - v) * (y - v))
+            if d < best or (d == best and (near is None or t < near)):
+                near, best = t, d
+        if near is not None:
+            del free[near]
+        return near
+
+    return pick
+
+
+def _nearest_of_many(seen: dict, far: float, least: int = 32):
+    """The same for many tracks: a stretch around x in the order of x grows until none outside it can be nearer."""
+    t = np.array(list(seen))
+    x, y = (np.array([v[k] for v in seen.values()], float) for k in (1, 2))
+    good = np.isfinite(x) & np.isfinite(y)
+    t, x, y = t[good], x[good], y[good]
+    by = np.lexsort((t, x))
+    t, x, y = t[by], x[by], y[by]
+    edges = x.tolist()
+
+    def pick(a: float, b: float) -> int | None:
+        nonlocal t, x, y, edges, taken
+        if not (math.isfinite(a) and math.isfinite(b)):
+            return None
+        if taken > len(edges) // 2:  # those taken are left out now and then, so that no stretch is full of them
+            kept = np.isfinite(y)
+            t, x, y, taken = t[kept], x[kept], y[kept], 0
+            edges = x.tolist()
+        place, width = bisect.bisect_left(edges, a), least
+        while True:
+            low, high = max(0, place - width), min(len(edges), place + width)
+            d = np.sqrt((a - x[low:high]) * (a - x[low:high]) + (b - y[low:high]) * (b - y[low:high]))
+            best = min(d.min(initial=np.inf), far)
+            if (low == 0 or a - edges[low - 1] > best) and (high == len(edges) or edges[high] - a > best):
+                break
+            width *= 2
+        near = np.flatnonzero((d == best) & np.isfinite(d))
+        if not len(near):
+            return None
+        i = low + int(near[t[low + near].argmin()])
+        y[i], taken = np.inf, taken + 1
+        return int(t[i])
+
+    taken = 0
+    return pick
+
+
 def track(df: DataFrame, keys: list[str], *, far: float, memory: int) -> DataFrame:
     """keys, frame, item, track: boxes of frames followed from one to the next; larger boxes choose first.
 

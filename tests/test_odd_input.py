@@ -1,5 +1,10 @@
 """General operators on null keys and values, empty tables, repeated rows and columns of clashing names."""
 
+import math
+import time
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +130,34 @@ def test_word_boundaries_are_those_of_ascii_words(spark):
     got = [r[0] for r in rows.select(text.pattern_hits(F.col("t"), [r"tion\b", r"\Btion", r"a\\b"])).collect()]
     assert got == [[r"tion\b", r"\Btion"], [r"tion\b", r"\Btion"], [r"\Btion"], [r"tion\b"], [r"a\\b"]]
     assert text.ascii_bounds(r"[\b]\\b") == r"[\b]\\b"
+
+
+@pytest.mark.parametrize("dense", [0, 1 << 40])
+def test_tracks_of_many_boxes_equal_the_plain_choice(dense):
+    """Full frames, boxes at one place, boxes without a place: the search from the box outwards takes what a look at every free track does."""
+    rng = np.random.default_rng(4)
+    n = 3000
+    boxes = pd.DataFrame({"frame": rng.integers(0, 12, n), "item": np.arange(n), "x": rng.integers(0, 40, n) / 40, "y": rng.integers(0, 40, n) / 40, "area": rng.integers(0, 5, n) / 7})
+    boxes.loc[rng.integers(0, n, 20), "x"] = np.nan
+    want, seen, made = [], {}, 0
+    for frame, rows in boxes.sort_values(["frame", "area", "item"], ascending=[True, False, True]).groupby("frame"):
+        free = {t: v for t, v in seen.items() if frame - v[0] <= 1}
+        seen = dict(free)
+        for b in rows.itertuples():
+            near = min(((d, t) for t, (_, x, y) in free.items() if (d := math.sqrt((b.x - x) * (b.x - x) + (b.y - y) * (b.y - y))) <= 0.06), default=None)
+            t, made = (made, made + 1) if near is None else (near[1], made)
+            free.pop(t, None)
+            seen[t] = (frame, b.x, b.y)
+            want.append((frame, b.item, t))
+    got, count, _ = folds.follow_frames(boxes, 0, {}, far=0.06, memory=1, dense=dense)
+    assert got == want and count == made
+
+
+def test_a_full_frame_takes_no_square_of_time():
+    """Two frames of 30,000 boxes: some nine hundred million pairs."""
+    rng = np.random.default_rng(5)
+    n = 30_000
+    boxes = pd.DataFrame({"frame": np.repeat([0, 1], n), "item": np.arange(2 * n), "x": rng.random(2 * n), "y": rng.random(2 * n), "area": rng.random(2 * n)})
+    began = time.perf_counter()
+    out, *_ = folds.follow_frames(boxes, 0, {}, far=0.2, memory=3)
+    assert len(out) == 2 * n and time.perf_counter() - began < 60
