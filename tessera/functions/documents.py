@@ -99,8 +99,13 @@ def _checks(value: Column, schema: dict, path: str, whole: dict, seen: tuple) ->
     schema, seen = _resolved(schema, whole, seen)
     own = _at(value, path, "variant")
     there = own.isNotNull() & ~F.is_variant_null(own)
-    kind = F.schema_of_variant(own)
-    right = there & kind.rlike(f"^{_KINDS[schema['type']]}$") if "type" in schema else there
+    right = there & F.schema_of_variant(own).rlike(f"^{_KINDS[schema['type']]}$") if "type" in schema else there
+    # a lambda's variable, so that a value's kind is found once however many checks ask for it
+    facts = F.array(F.struct(there.alias("there"), right.alias("right")))
+    return [(True, F.element_at(F.transform(facts, lambda f: _joined(_own_checks(value, f["there"], f["right"], schema, path, whole, seen))), 1))]
+
+
+def _own_checks(value: Column, there: Column, right: Column, schema: dict, path: str, whole: dict, seen: tuple) -> list[tuple[bool, Column]]:
     text, number = _at(value, path, "string"), _at(value, path, "double")
     out: list[tuple[bool, Column]] = []
 

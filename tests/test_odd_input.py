@@ -174,3 +174,11 @@ def test_common_runs_of_long_texts(spark):
     began = time.perf_counter()
     got = pairs.select(text.common_run(F.col("a"), F.col("b"), least=3, most=14).alias("n")).collect()
     assert all(3 <= r["n"] < 14 for r in got) and time.perf_counter() - began < 12
+
+
+def test_a_kind_is_found_once_a_value(spark):
+    """The plan asks for a value's kind once, however many checks hang on it."""
+    schema = {"type": "object", "required": ["a", "b"], "properties": {"a": {"type": "integer", "minimum": 1, "maximum": 3}, "b": {"type": "string", "pattern": "x", "enum": ["x"]}}}
+    df = spark.createDataFrame([('{"a": 4, "b": "y"}',)], "d string").select(documents.schema_errors(F.col("d"), schema).alias("e"))
+    assert df._jdf.queryExecution().analyzed().toString().count("schema_of_variant(") == 3
+    assert df.first()["e"] == ["$.a: above 3", "$.b: not allowed", "$.b: does not match"]
