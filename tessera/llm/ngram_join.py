@@ -239,7 +239,11 @@ _NODE = _CHILD + ", ids array<long>, lows array<long>, mosts array<long>, cs arr
 
 
 def _packed(children: DataFrame) -> DataFrame:
-    """Boxes of up to LEAF children of one tree, in the order of component and size. Large trees are cut into ranges."""
+    """Boxes of up to LEAF children of one tree, in the order of component and size.
+
+    length: the children of the tree. Only trees of four times as many as there can be ranges are cut into ranges, as
+    each range begins a box of its own: so every level is shorter than the one below, however finely Spark deals.
+    """
 
     def node(key: tuple, rows: list) -> tuple:
         corners = [unpacked(r.box) for r in rows]
@@ -266,8 +270,11 @@ def _packed(children: DataFrame) -> DataFrame:
         if rows:
             yield pd.DataFrame([node(key, rows)], columns=names)
 
-    order = ["kind", "v", "c", "first", "id"]
-    return materialize(children.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(pack, _NODE))
+    ranges = int(children.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = F.col("length") > 4 * max(LEAF, ranges)
+    within = ["c", "first", "id"]
+    dealt = children.repartitionByRange("kind", "v", *(F.when(large, F.col(c)) for c in within))
+    return materialize(dealt.sortWithinPartitions("kind", "v", *within).drop("length").mapInPandas(pack, _NODE))
 
 
 def _descend(percent: int, leaves: bool, every: bool):
@@ -316,15 +323,15 @@ def _crossed(lists: DataFrame, points: DataFrame, percent: int, every: bool) ->
 
     every: all of them; otherwise the best of each two components that meet in two leaves.
     """
-    made = lists.join(points, "rep").select("kind", "v", F.col("rep").alias("id"), F.col("n").alias("low"), "most", "c", F.lit(True).alias("pure"), F.col("n").alias("first"), F.col("point").alias("box"))
+    made = lists.join(points, "rep").select("kind", "v", F.col("rep").alias("id"), F.col("n").alias("low"), "most", "c", F.lit(True).alias("pure"), F.col("n").alias("first"), F.col("point").alias("box"), "length")
     names, levels, spent = [c.split()[0] for c in _CHILD.split(", ")], [], []
     while True:
         nodes = _packed(made)
         levels.append(nodes)
         for table in spent:
             drop_table(table)
-        several = nodes.groupBy("kind", "v").agg(F.count("*").alias("boxes")).where("boxes > 1").select("kind", "v")
-        made = materialize(nodes.select(names).join(several, ["kind", "v"], "left_semi").select(names))
+        several = nodes.groupBy("kind", "v").agg(F.count("*").alias("length")).where("length > 1")
+        made = materialize(nodes.select(names).join(several, ["kind", "v"]).select(*names, "length"))
         spent = [made]
         if made.isEmpty():
             break

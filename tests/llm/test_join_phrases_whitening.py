@@ -43,6 +43,24 @@ def test_ngram_join_of_nothing(spark):
     assert sorted(tuple(r) for r in got if r["doc_id"]) == [(1, 0, 1, 0), (2, 0, 2, 0), (3, 1, 3, 0), (4, 1, 3, 0)]
 
 
+@pytest.mark.parametrize(("children", "ranges", "boxes"), [(40, 64, range(20, 21)), (600, 8, range(300, 309))])
+def test_trees_shrink_however_finely_spark_deals(spark, monkeypatch, children, ranges, boxes):
+    monkeypatch.setattr(ngram_join, "LEAF", 2)
+    box = bytearray(ngram_join.packed(np.ones(16, np.int32)))
+    rows = [(0, 7, i, 10, 12, i, True, 10, box, children) for i in range(children)]
+    settings = {"spark.sql.shuffle.partitions": str(ranges), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        nodes = ngram_join._packed(spark.createDataFrame(rows, ngram_join._CHILD + ", length long"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert nodes.count() in boxes
+    assert sorted(i for r in nodes.select("ids").collect() for i in r[0]) == list(range(children))
+
+
 def test_bound_is_never_below_the_overlap():
     rng = np.random.default_rng(1)
     for _ in range(50):
