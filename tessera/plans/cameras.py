@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.intervals import containing, interval_difference, interval_union, nearest, overlap_join
+from tessera.operators.intervals import containing, interval_union, nearest
 
 
 def _merged_roles(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,14 +29,16 @@ def normalize(df: DataFrame, keys: list[str], *, duration: int, fallback: str, l
     begins where all before it have ended, and goes if it ends before that; a gap belongs to the row ahead of it, a gap at the
     beginning to `fallback`; neighbours of one role merge. A key without rows that stay gets `fallback` throughout.
     """
-    cut = df.withColumn("_s", F.greatest(F.lit(0), F.least("s", F.lit(duration)))).withColumn("_e", F.greatest(F.lit(0), F.least("e", F.lit(duration))))
-    good = cut.where(F.col("_e") - F.col("_s") >= least)
-    before = Window.partitionBy(*keys).orderBy("_s", "_e", "ident").rowsBetween(Window.unboundedPreceding, -1)
-    seen = good.withColumn("_reach", F.coalesce(F.max("_e").over(before), F.lit(0))).where("_e > _reach")
-    begun = seen.select(*keys, F.greatest("_s", "_reach").alias("s"), "role")
+    # one pass over df, dealt by keys once: each key's first row brings the fallback along
+    cut = df.select(*keys, F.greatest(F.lit(0), F.least("s", F.lit(duration))).alias("_s"), F.greatest(F.lit(0), F.least("e", F.lit(duration))).alias("_e"), "role", "ident")
+    good = cut.withColumn("_good", F.coalesce(F.col("_e") - F.col("_s") >= least, F.lit(False)))
+    order = Window.partitionBy(*keys).orderBy("_s", "_e", "ident")
+    reach = F.coalesce(F.max(F.when(F.col("_good"), F.col("_e"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seen = good.withColumn("_reach", reach).withColumn("_first", F.row_number().over(order) == 1)
     # the fallback holds from 0 unless a row begins there
-    heads = df.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("s"), F.lit(fallback).alias("role"))
-    starts = begun.withColumn("_own", F.lit(1)).union(heads.withColumn("_own", F.lit(0))).groupBy(*keys, "s").agg(F.max_by("role", "_own").alias("role"))
+    begun = F.when(F.col("_good") & (F.col("_e") > F.col("_reach")), F.struct(F.greatest("_s", "_reach").cast("long").alias("s"), F.lit(1).alias("_own"), F.col("role").alias("role")))
+    head = F.when(F.col("_first"), F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).alias("_own"), F.lit(fallback).alias("role")))
+    starts = seen.select(*keys, F.explode(F.filter(F.array(begun, head), lambda x: x.isNotNull())).alias("_x")).groupBy(*keys, F.col("_x.s").alias("s")).agg(F.max_by("_x.role", "_x._own").alias("role"))
     order = Window.partitionBy(*keys).orderBy("s")
     return _merged_roles(starts.withColumn("e", F.coalesce(F.lead("s").over(order), F.lit(duration))), keys)
 
@@ -125,13 +127,19 @@ def layered(plan: DataFrame, layers: list[tuple[str, DataFrame]], keys: list[str
 
 def closeups_in_speech(plan: DataFrame, speech: DataFrame, keys: list[str], *, duration: int, master: str, least: int = 1) -> DataFrame:
     """keys, place, s, e, role: the plan with every other camera held to the speech ranges (keys, s, e); the rest is the master's."""
-    near = plan.where(F.col("role") != master).select(*keys, F.col("place").alias("ident"), "s", "e", "role")
-    ranges = interval_union(speech, keys).select(*keys, F.col("s").alias("rs"), F.col("e").alias("re"))
-    kept = overlap_join(near.select(*keys, "ident", "role", F.col("s").alias("ls"), F.col("e").alias("le")), ranges, keys)
-    kept = kept.select(*keys, F.greatest("ls", "rs").alias("s"), F.least("le", "re").alias("e"), "role", "ident")
-    rest = interval_difference(near, speech, keys, "ident").select(*keys, "s", "e", F.lit(master).alias("role"), "ident")
-    own = plan.where(F.col("role") == master).select(*keys, "s", "e", "role", F.col("place").alias("ident"))
-    return normalize(own.union(kept).union(rest), keys, duration=duration, fallback=master, least=least)
+    ranges = interval_union(speech.dropna(subset=keys), keys).where("e > s")
+    edges = ranges.select(*keys, F.explode(F.array(F.struct(F.col("s"), F.lit(True).alias("_in")), F.struct(F.col("e").alias("s"), F.lit(False).alias("_in")))).alias("_x")).select(*keys, "_x.s", "_x._in")
+    begun = plan.select(*keys, "s", F.struct("e", "role", F.col("place").alias("ident")).alias("_row"))
+    points = begun.withColumn("_in", F.lit(None).cast("boolean")).unionByName(edges, allowMissingColumns=True)
+    # of several rows at one time the longest holds; a key's points are read once in time order, carrying row and speech
+    points = points.groupBy(*keys, "s").agg(F.max("_row").alias("_own"), F.max("_in").alias("_in"))
+    order = Window.partitionBy(*keys).orderBy("s")
+    held = points.select(*keys, "s", F.last("_own", True).over(order).alias("_row"), F.col("_own").isNotNull().alias("_begins"), F.coalesce(F.last("_in", True).over(order), F.lit(False)).alias("_in"), F.lead("s").over(order).alias("_next"))
+    whole = F.coalesce(F.col("_row.role") == master, F.lit(False))
+    pieces = held.where((whole & F.col("_begins")) | (~whole & (F.col("s") < F.col("_row.e"))))
+    end = F.when(whole, F.col("_row.e")).otherwise(F.least("_row.e", "_next"))
+    rows = pieces.select(*keys, "s", end.alias("e"), F.when(whole | F.col("_in"), F.col("_row.role")).otherwise(F.lit(master)).alias("role"), F.col("_row.ident").alias("ident"))
+    return normalize(rows, keys, duration=duration, fallback=master, least=least)
 
 
 def delay_windows(runs: DataFrame, keys: list[str], *, before: str, after: str, delay: int) -> DataFrame:

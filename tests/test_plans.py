@@ -270,3 +270,19 @@ def test_minimum_hold_equals_the_loop():
             role = rng.choice([r for r in "abc" if not plan or r != plan[-1][2]])
             plan.append((at, at := at + rng.randrange(1, 12), role))
         assert _held(plan, 8) == naive_hold(plan, 8)
+
+
+def test_plans_are_read_once(spark):
+    p = spark.range(200).selectExpr("id % 3 AS k", "id * 10 AS s", "id * 10 + 15 AS e", "if(id % 2 = 0, 'm', 'c') AS role", "id AS ident")
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Range (")
+    normal = cameras.normalize(p, ["k"], duration=3000, fallback="m")
+    assert reads(normal) == 1
+    assert reads(cameras.closeups_in_speech(normal, p.where("ident % 4 = 1"), ["k"], duration=3000, master="m")) == 2
+
+
+def test_close_ups_of_keys_without_speech_or_key(spark):
+    p = spark.createDataFrame([("a", 0, 0, 50, "c"), ("a", 1, 50, 90, "m"), ("b", 0, 0, 90, "c"), (None, 0, 0, 90, "c")], "k string, place long, s long, e long, role string")
+    speech = spark.createDataFrame([("a", -5, 10), ("a", 10, 20), ("a", 30, 30), ("a", 40, 60), ("a", 80, 99), (None, 0, 90), ("z", 0, 90)], "k string, s long, e long")
+    got = cameras.closeups_in_speech(p, speech, ["k"], duration=90, master="m")
+    want = [(None, 0, 90, "m"), ("a", 0, 20, "c"), ("a", 20, 40, "m"), ("a", 40, 50, "c"), ("a", 50, 90, "m"), ("b", 0, 90, "m")]
+    assert sorted(((r.k, r.s, r.e, r.role) for r in got.collect()), key=lambda r: (r[0] or "", r[1])) == want
