@@ -9,9 +9,11 @@ from __future__ import annotations
 import bisect
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,15 +75,33 @@ def minimum_hold(df: DataFrame, keys: list[str], *, least: int) -> DataFrame:
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
-    def hold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(_held([(r.s, r.e, r.role) for r in pdf.sort_values(["s", "e"]).itertuples()], least), columns=["s", "e", "role"])
-        out["place"] = range(len(out))
-        for key in keys:
-            out[key] = pdf[key].iloc[0]
-        return out[[*keys, "place", "s", "e", "role"]]
-
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "place int", "s long", "e long", f"role {kinds['role']}"])
-    return df.groupBy(*keys).applyInPandas(hold, schema)
+    many = len(keys)
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition's plans one after the other."""
+        key, plan, out, made = None, [], [], None
+
+        def close() -> None:
+            out.extend((*key, place, *segment) for place, segment in enumerate(_held(plan, least)))
+
+        for batch in batches:
+            made = made or pa.schema([*(batch.schema.field(i) for i in range(many)), ("place", pa.int32()), ("s", pa.int64()), ("e", pa.int64()), pa.field("role", batch.schema.field("role").type)])
+            for *own, s, e, role in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key:
+                    if key is not None:
+                        close()
+                    key, plan = own, []
+                plan.append((s, e, role))
+            if len(out) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), made, strict=True)], schema=made)
+                out.clear()
+        if key is not None:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), made, strict=True)], schema=made)
+
+    rows = df.select(*keys, F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), "role")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "s", "e").mapInArrow(hold, schema)
 
 
 def _held(plan: list[tuple], least: int) -> list[tuple]:
