@@ -6,9 +6,11 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and edits that a task sorts at a time
+SHARE = 500_000
 _DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
 
 
@@ -86,7 +88,12 @@ class _Order:
         return True
 
 
-def apply_edits(rows: DataFrame, edits: DataFrame, keys: list[str], ident: str, order: str) -> DataFrame:
+def tasks_for(many: int, spark: SparkSession) -> int:
+    """Tasks for so many rows: as many as Spark deals by itself, more where a task would get more than its share."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-many // SHARE))
+
+
+def apply_edits(rows: DataFrame, edits: DataFrame, keys: list[str], ident: str, order: str, *, tasks: int | None = None) -> DataFrame:
     """keys, ident, place (from 1), order_key, refused: each sequence after its edits; refused: how many of them couldn't be done.
 
     rows: keys, ident, order; edits: keys, step, op, ident, anchor, done by step. Operations: insert_before, insert_after (a new ident next to the anchor),
@@ -94,7 +101,9 @@ def apply_edits(rows: DataFrame, edits: DataFrame, keys: list[str], ident: str,
     ident or anchor that isn't there, an insertion of one that is, and unknown operations are refused and change nothing. An edit gives a new order key
     to the row it places and to no other, so that a stored table has only such rows to update. A sequence that only edits name begins empty; one of
     which nothing is left has no row. Repeated idents count once, the first by order; null idents don't count.
+    tasks: how many the sequences are dealt to; by default rows and edits are counted first, so that a task's memory doesn't grow with the input.
     """
+    tasks = tasks or tasks_for(rows.count() + edits.count(), rows.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     none = {c: F.lit(None).cast(kinds[c]).alias(c) for c in (ident, order)}
     lines = rows.where(F.col(ident).isNotNull()).select(*keys, F.lit(0).alias("_kind"), F.col(order).alias("_o"), F.lit(None).cast("long").alias("_step"), F.lit(None).cast("string").alias("_op"), ident, none[ident].alias("_anchor"))
@@ -130,5 +139,5 @@ def apply_edits(rows: DataFrame, edits: DataFrame, keys: list[str], ident: str,
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), made, strict=True)], schema=made)
 
-    both = lines.union(steps).repartition(*keys).sortWithinPartitions(*keys, "_kind", "_o", "_step", "_op", ident)
+    both = lines.union(steps).repartition(tasks, *keys).sortWithinPartitions(*keys, "_kind", "_o", "_step", "_op", ident)
     return both.mapInArrow(run, schema)

@@ -28,12 +28,13 @@ def edited_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     before = F.lag("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     names = F.array(*(F.lit(n) for n in ("insert_before", "insert_after", "move_before", "move_after", "swap", "remove", "rename")))
-    rows = lines.withColumn("before", before).withColumn("op", F.element_at(names, (F.col("l_partkey") % 7 + 1).cast("int")))
+    tasks = edits.tasks_for(2 * lines.count(), spark)
+    rows = lines.repartition(tasks, "l_orderkey").withColumn("before", before).withColumn("op", F.element_at(names, (F.col("l_partkey") % 7 + 1).cast("int")))
     new = F.startswith("op", F.lit("insert"))
     anchor = F.when(new, F.when(F.col("l_suppkey") % 4 != 0, F.col("l_partkey"))).when((F.col("op") == "swap") | (F.col("l_suppkey") % 2 == 0), F.col("before"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "op", "l_partkey", "l_suppkey")
     steps = rows.select("l_orderkey", F.row_number().over(order).alias("step"), "op", F.when(new, F.col("l_suppkey") + 1_000_000).otherwise(F.col("l_partkey")).alias("part"), anchor.alias("anchor"))
-    done = edits.apply_edits(lines.withColumnRenamed("l_partkey", "part"), steps, ["l_orderkey"], "part", "l_linenumber")
+    done = edits.apply_edits(lines.withColumnRenamed("l_partkey", "part"), steps, ["l_orderkey"], "part", "l_linenumber", tasks=tasks)
     return done.select("l_orderkey", "part", "place", "refused")
 
 

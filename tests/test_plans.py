@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import clock, documents, geometry, signals, text
-from tessera.operators import aggregates, intervals, matching, sequences
+from tessera.operators import aggregates, edits, intervals, matching, sequences
 from tessera.plans import cameras, timeline
 
 
@@ -286,3 +286,12 @@ def test_close_ups_of_keys_without_speech_or_key(spark):
     got = cameras.closeups_in_speech(p, speech, ["k"], duration=90, master="m")
     want = [(None, 0, 90, "m"), ("a", 0, 20, "c"), ("a", 20, 40, "m"), ("a", 40, 50, "c"), ("a", 50, 90, "m"), ("b", 0, 90, "m")]
     assert sorted(((r.k, r.s, r.e, r.role) for r in got.collect()), key=lambda r: (r[0] or "", r[1])) == want
+
+
+def test_tasks_of_edits_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(edits, "SHARE", 10)
+    lines = spark.range(100).selectExpr("id % 20 AS k", "id AS x", "id AS o")
+    steps = lines.where("o < 20").selectExpr("k", "1 AS step", "'remove' AS op", "x", "cast(null AS long) AS anchor")
+    got = edits.apply_edits(lines, steps, ["k"], "x", "o")
+    assert got.rdd.getNumPartitions() == 12
+    assert got.count() == 80
