@@ -12,8 +12,9 @@
 3. Every point meets the one that is most typical of most of its trees. Then the trees that still hold several components are packed by
    component and size (sorted in ranges, so that a large tree spreads over tasks) and crossed with themselves from the
    root down: pairs of boxes go if the bound, the sizes, or a component that both share whole say so. First each two leaves
-   return their best pair for each two components, then, with what that has linked, all pairs left. No list is capped; the
-   pairs of one component are never expanded.
+   return their best pair for each two components, then, with what that has linked, all pairs left. Two points that share
+   several trees come from the first of them only: two sets at the threshold pass every filter there. No list is capped;
+   the pairs of one component are never expanded.
 4. Surviving pairs are verified on the whole sets. Components come from star contractions.
 """
 
@@ -37,6 +38,8 @@ SLOTS = 1 << 24
 SHRINK = 0.8
 #: Coordinates of a point: about a quarter of its n-grams, a power of two within these
 FEW_GROUPS, MANY_GROUPS = 16, 2048
+#: Earlier trees that a point knows of in each of its trees; two points that share only trees beyond these come from several, once each
+EARLIER = 64
 
 
 def counts(values: np.ndarray) -> np.ndarray:
@@ -235,7 +238,15 @@ def _mixed(lists: DataFrame, links: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the trees
 
 _CHILD = "kind int, v long, id long, low long, most long, c long, pure boolean, first long, box binary"
-_NODE = _CHILD + ", ids array<long>, lows array<long>, mosts array<long>, cs array<long>, pures array<boolean>, boxes binary, groups int"
+_NODE = _CHILD + ", ids array<long>, lows array<long>, mosts array<long>, cs array<long>, pures array<boolean>, earliers array<array<long>>, boxes binary, groups int"
+
+
+def _with_earlier(lists: DataFrame) -> DataFrame:
+    """lists with `earlier`: the first EARLIER of the lists that hold this point at a lower place, in the order that all points of a kind share."""
+    own = F.array_sort(F.collect_list(F.struct("place", "v")))
+    known = lists.groupBy("kind", "rep").agg(F.slice(own, 1, EARLIER).alias("known"))
+    before = F.transform(F.filter("known", lambda t: t["place"] < F.col("place")), lambda t: t["v"])
+    return lists.join(known, ["kind", "rep"]).withColumn("earlier", before).drop("known")
 
 
 def _packed(children: DataFrame) -> DataFrame:
@@ -243,7 +254,10 @@ def _packed(children: DataFrame) -> DataFrame:
 
     length: the children of the tree. Only trees of four times as many as there can be ranges are cut into ranges, as
     each range begins a box of its own: so every level is shorter than the one below, however finely Spark deals.
+    earlier: of points only, see _with_earlier.
     """
+    if "earlier" not in children.columns:
+        children = children.withColumn("earlier", F.array().cast("array<long>"))
 
     def node(key: tuple, rows: list) -> tuple:
         corners = [unpacked(r.box) for r in rows]
@@ -251,7 +265,7 @@ def _packed(children: DataFrame) -> DataFrame:
         boxes = np.stack([folded(c, groups) for c in corners])
         whole = all(r.pure for r in rows) and len({r.c for r in rows}) == 1
         own = (min(r.low for r in rows), max(r.most for r in rows), rows[0].c, whole, rows[0].first, packed(boxes.max(axis=0)))
-        lists = ([r.id for r in rows], [r.low for r in rows], [r.most for r in rows], [r.c for r in rows], [bool(r.pure) for r in rows])
+        lists = ([r.id for r in rows], [r.low for r in rows], [r.most for r in rows], [r.c for r in rows], [bool(r.pure) for r in rows], [r.earlier for r in rows])
         return (*key, rows[0].id, *own, *lists, packed(boxes.ravel()), groups)
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,6 +308,10 @@ def _descend(percent: int, leaves: bool, every: bool):
         if same:
             keep &= np.tri(len(left), len(right), -1 if leaves else 0, dtype=bool).T
         i, j = np.nonzero(keep)
+        if leaves and len(i):
+            known, there = ([frozenset(e.tolist()) for e in n.earliers] for n in (a, b))
+            here = np.fromiter((known[x].isdisjoint(there[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+            i, j = i[here], j[here]
         if leaves and not every and len(i) > 1:
             low, high = np.minimum(ca[i], cb[j]), np.maximum(ca[i], cb[j])
             order = np.lexsort((b.ids[j], a.ids[i], -most[i, j] / sizes[i, j], high, low))
@@ -319,11 +337,11 @@ def _descend(percent: int, leaves: bool, every: bool):
 
 
 def _crossed(lists: DataFrame, points: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs (x, y) of points of different components that the trees of `lists` can't refuse.
+    """Pairs (x, y) of points of different components that the trees of `lists` can't refuse, each from the first tree that holds both.
 
     every: all of them; otherwise the best of each two components that meet in two leaves.
     """
-    made = lists.join(points, "rep").select("kind", "v", F.col("rep").alias("id"), F.col("n").alias("low"), "most", "c", F.lit(True).alias("pure"), F.col("n").alias("first"), F.col("point").alias("box"), "length")
+    made = _with_earlier(lists).join(points, "rep").select("kind", "v", F.col("rep").alias("id"), F.col("n").alias("low"), "most", "c", F.lit(True).alias("pure"), F.col("n").alias("first"), F.col("point").alias("box"), "length", "earlier")
     names, levels, spent = [c.split()[0] for c in _CHILD.split(", ")], [], []
     while True:
         nodes = _packed(made)
@@ -349,7 +367,7 @@ def _crossed(lists: DataFrame, points: DataFrame, percent: int, every: bool) ->
         found = roots.mapInPandas(alone, schema)
         if pairs is not None:
             all_ = levels[depth]
-            side = lambda p, d=all_: d.select("kind", "v", F.col("id").alias("x" if p == "a_" else "y"), *(F.col(c).alias(p + c) for c in ("kind", "v", "ids", "lows", "mosts", "cs", "pures", "boxes", "groups")))
+            side = lambda p, d=all_: d.select("kind", "v", F.col("id").alias("x" if p == "a_" else "y"), *(F.col(c).alias(p + c) for c in ("kind", "v", "ids", "lows", "mosts", "cs", "pures", "earliers", "boxes", "groups")))
             met = pairs.where("x <> y").join(side("a_"), ["kind", "v", "x"]).join(side("b_"), ["kind", "v", "y"])
             found = found.union(met.select([c for c in met.columns if c[:2] in ("a_", "b_")]).mapInPandas(apart, schema))
         pairs = materialize(found, *levels[depth + 1 : depth + 2])

@@ -61,6 +61,22 @@ def test_trees_shrink_however_finely_spark_deals(spark, monkeypatch, children, r
     assert sorted(i for r in nodes.select("ids").collect() for i in r[0]) == list(range(children))
 
 
+@pytest.mark.parametrize(("leaf", "earlier"), [(2, 64), (64, 64), (2, 1)])
+def test_points_of_several_trees_meet_in_the_first_that_holds_both(spark, monkeypatch, leaf, earlier):
+    monkeypatch.setattr(ngram_join, "LEAF", leaf)
+    monkeypatch.setattr(ngram_join, "EARLIER", earlier, raising=False)
+    trees = {31: [1, 2, 3, 4], 12: [1, 2, 3, 5], 23: [1, 2, 3, 4, 5, 6]}  # in this order, which is not that of the names
+    rows = [(kind, v, rep, 16, place, 20, rep, len(own)) for kind in (0, 3) for place, (v, own) in enumerate(trees.items()) for rep in own]
+    lists = spark.createDataFrame(rows, "kind int, v long, rep long, n long, place int, most long, c long, length long")
+    box = bytearray(ngram_join.packed(np.ones(16, np.int32)))
+    points = spark.createDataFrame([(i, box) for i in range(1, 7)], "rep long, point binary")
+    got = sorted(tuple(sorted(r)) for r in ngram_join._crossed(lists, points, 80, True).collect())
+    pairs = [(i, j) for i in range(1, 7) for j in range(i + 1, 7)]
+    assert sorted(set(got)) == pairs
+    if earlier > 1:
+        assert got == sorted(2 * pairs)  # once a kind
+
+
 def test_bound_is_never_below_the_overlap():
     rng = np.random.default_rng(1)
     for _ in range(50):
