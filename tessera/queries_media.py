@@ -139,8 +139,11 @@ def char_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def seq_ratio_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three pairs of neighbouring turns of each conversation whose texts are most alike (no SQL: matching blocks of two texts)."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.nfkc(F.col("text")).alias("x"))
-    pairs = rows.join(rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y")), ["conv_id", "turn"])
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    # a pair costs about a millisecond: tasks follow the rows, not their bytes or the files' number
+    tasks = 1 + turns.count() // 2000
+    dealt = lambda df, into: df.repartition(tasks, "conv_id", "turn").select("conv_id", "turn", text.nfkc(F.col("text")).alias(into))
+    pairs = dealt(turns, "x").join(dealt(turns.withColumn("turn", F.col("turn") - 1), "y"), ["conv_id", "turn"])
     scored = pairs.select("conv_id", "turn", F.round(text.sequence_ratio(F.col("x"), F.col("y")), 6).alias("ratio")).where("ratio is not null")
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("ratio"), "turn"))
     return scored.withColumn("place", place).where("place <= 3")

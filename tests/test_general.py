@@ -2,11 +2,13 @@
 
 import difflib
 import random
+import re
 from datetime import datetime
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera import queries_media
 from tessera.functions import signals, text
 from tessera.operators import folds, intervals, relations
 from tessera.plans import timeline
@@ -203,3 +205,24 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert [(r["s"].minute, r["n"]) for r in spark.table("isles").orderBy("s").collect()] == [(0, 3), (30, 1)]
     assert [(r["from_role"], r["to_role"]) for r in spark.table("turns").orderBy("at").collect()] == [("a", "b"), ("b", "a"), ("a", "b")]
+
+
+def test_ratio_is_that_of_difflib():
+    rng = random.Random(3)
+    texts = ["", "a", "ab" * 60, "日本😀" * 9, "a" * 199, "a" * 200, "ab" * 130]
+    texts += ["".join(rng.choices(letters, k=rng.randrange(1, 230))) for letters in ("ab", "abcdeé😀", "abcdefghijklmnopqrst") for _ in range(12)]
+    for a in texts:
+        for b in texts:
+            assert text._ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def test_seq_ratio_top_deals_turns_by_rows(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i // 5, i % 5, "".join(rng.choices("abcd ,É", k=rng.randrange(30)))) for i in range(4001)] + [(900, 0, None), (900, 1, "x"), (901, 0, "Ab!"), (901, 1, "ab"), (901, 1, "b"), (None, 0, "x"), (None, 1, "x")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").repartition(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries_media.seq_ratio_top(spark, str(tmp_path))
+    # three tasks a side whatever the file's bytes: the pairs of one small file don't all go to one
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(conv_id#\d+L?, turn#\d+L?, 3\), REPARTITION_BY_NUM", plan)) == 2
+    found = [(r["conv_id"], r["turn"], r["ratio"], r["place"]) for r in got.collect() if r["conv_id"] is None or r["conv_id"] >= 900]
+    assert sorted(found) == [(901, 0, round(2 / 3, 6), 2), (901, 0, 1.0, 1)]
