@@ -21,6 +21,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -116,9 +117,11 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     digest = materialize(docs.select("doc_id", _points(width, percent)("text").alias("s")).select("doc_id", "s.*"))
-    sets = digest.where("n > 0 and doc_id is not null").groupBy("set_a", "set_b", "n")
-    links = _links(docs, sets.agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("point").alias("point")), width, percent)
-    classes = sets.agg(F.min("doc_id").alias("rep"))
+    named = materialize(digest.drop("prefix", "point"))
+    sets = lambda d: d.where("n > 0 and doc_id is not null").groupBy("set_a", "set_b", "n")
+    reps = materialize(sets(digest).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("point").alias("point")), digest)
+    links = _links(docs, reps, width, percent)
+    classes = sets(named).agg(F.min("doc_id").alias("rep"))
     if links is None:
         classes = classes.select("set_a", "set_b", "n", F.col("rep").alias("component"), F.lit(0).cast("long").alias("n_links"))
     else:
@@ -126,17 +129,17 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         degree = links.select("a", "b").union(links.select("b", "a")).distinct().groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
         classes = classes.join(found, "rep", "left").join(degree, "rep", "left")
         classes = classes.select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = digest.drop("prefix", "point").join(classes, ["set_a", "set_b", "n"], "left")
+    out = named.join(classes, ["set_a", "set_b", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.when(F.col("doc_id").isNull() | F.col("n_links").isNull(), F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
 
 def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """Links a < b between representatives that connect all that the threshold connects; None if there are none."""
+    """Links a < b between representatives (a materialized table, deleted once read) that connect all that the threshold connects; None if there are none."""
     spark = docs.sparkSession
 
-    def texts_of(chosen: DataFrame) -> DataFrame:
-        """rep, text of chosen representatives. A filter of fixed size keeps most other texts out of the shuffle; the join decides."""
+    def texts_of(chosen: DataFrame, made=None) -> DataFrame:
+        """rep, text of chosen representatives, or what a function made of their texts (shuffled in their place if it is smaller). A filter of fixed size keeps most other texts out of the shuffle; the join decides."""
         slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
         ids = chosen.select(F.col("rep").alias("doc_id")).distinct()
         bits = np.zeros(SLOTS, bool)
@@ -148,17 +151,19 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFr
             return pd.Series((known.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
 
         near = docs.where("doc_id is not null").where(F.pandas_udf(held, "boolean")(slot))
-        return near.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        # not deterministic: else Spark makes it after the join
+        what = F.col("text") if made is None else made.asNondeterministic()("text")
+        near = near.select("doc_id", what.alias("text"), F.xxhash64("text").alias("_h"))
+        return near.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min_by("text", "_h").alias("text"))
 
     def listed(rows: DataFrame) -> DataFrame:
         """v, rep, n, place, most, length: the lists of two or more; most: the largest partner that this place still allows."""
         most = F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent - F.col("n"))
         posted = rows.select("rep", "n", F.posexplode("prefix").alias("place", "v")).select("v", "rep", "n", "place", most.alias("most"))
         bounds = materialize(posted.groupBy("v").agg(F.min("n").alias("low"), F.max("most").alias("high"), F.count("*").alias("length")).where("length > 1"))
-        return materialize(posted.join(bounds, "v").where("most >= low and n <= high").drop("low", "high"), bounds)
+        return materialize(posted.join(bounds.hint("shuffle_hash"), "v").where("most >= low and n <= high").drop("low", "high"), bounds)
 
     classes, kind, before = np.zeros(SLOTS, np.uint8), 0, None
-    reps = materialize(reps)
     found = listed(reps)
     points = materialize(reps.select("rep", "point").join(found.select("rep").distinct(), "rep", "left_semi"), reps)
     lists = found.where(F.col("length") <= LEAF).withColumn("kind", F.lit(kind))
@@ -172,7 +177,7 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFr
         frequent = long.groupBy((F.col("v").bitwiseAND(F.lit(SLOTS - 1))).alias("slot")).agg(F.max("length").alias("length")).toPandas()
         np.maximum.at(classes, frequent["slot"].to_numpy(), (1 + np.log2(frequent["length"].to_numpy() / LEAF)).astype(np.uint8))
         known = spark.sparkContext.broadcast(classes.copy())
-        again = materialize(texts_of(members).select("rep", _ordered(width, percent, known)("text").alias("p")).select("rep", "p.*"))
+        again = materialize(texts_of(members, _ordered(width, percent, known)).select("rep", "text.*"))
         found, kind, before = listed(again), kind + 1, many
         drop_table(again)
         lists = lists.union(found.where(F.col("length") <= LEAF).withColumn("kind", F.lit(kind)))
@@ -241,12 +246,18 @@ _CHILD = "kind int, v long, id long, low long, most long, c long, pure boolean,
 _NODE = _CHILD + ", ids array<long>, lows array<long>, mosts array<long>, cs array<long>, pures array<boolean>, earliers array<array<long>>, boxes binary, groups int"
 
 
-def _with_earlier(lists: DataFrame) -> DataFrame:
-    """lists with `earlier`: the first EARLIER of the lists that hold this point at a lower place, in the order that all points of a kind share."""
-    own = F.array_sort(F.collect_list(F.struct("place", "v")))
-    known = lists.groupBy("kind", "rep").agg(F.slice(own, 1, EARLIER).alias("known"))
-    before = F.transform(F.filter("known", lambda t: t["place"] < F.col("place")), lambda t: t["v"])
-    return lists.join(known, ["kind", "rep"]).withColumn("earlier", before).drop("known")
+def _placed(lists: DataFrame, points: DataFrame, long: bool) -> DataFrame:
+    """The points of the trees of more than LEAF points, or of the others, a row a tree.
+
+    earlier: the first EARLIER of all lists that hold this point at a lower place, in the order that all points of a kind share.
+    """
+    own = F.array_sort(F.collect_list(F.struct("place", "v", "n", "most", "c", "length")))
+    # dealt by rep alone, so that the lists meet the points where they are gathered
+    held = lists.repartition("rep").groupBy("kind", "rep").agg(own.alias("own"))
+    held = held.where(F.exists("own", lambda t: (t["length"] > LEAF) == F.lit(long))).join(points.hint("shuffle_hash"), "rep")
+    rows = held.select("kind", "rep", "point", F.slice("own.v", 1, EARLIER).alias("known"), F.posexplode("own").alias("at", "t")).where((F.col("t.length") > LEAF) == F.lit(long))
+    size = F.col("t.n")
+    return rows.select("kind", "t.v", F.col("rep").alias("id"), size.alias("low"), "t.most", "t.c", F.lit(True).alias("pure"), size.alias("first"), F.col("point").alias("box"), "t.length", F.slice("known", F.lit(1), F.col("at")).alias("earlier"))
 
 
 def _packed(children: DataFrame) -> DataFrame:
@@ -254,7 +265,7 @@ def _packed(children: DataFrame) -> DataFrame:
 
     length: the children of the tree. Only trees of four times as many as there can be ranges are cut into ranges, as
     each range begins a box of its own: so every level is shorter than the one below, however finely Spark deals.
-    earlier: of points only, see _with_earlier.
+    earlier: of points only, see _placed.
     """
     if "earlier" not in children.columns:
         children = children.withColumn("earlier", F.array().cast("array<long>"))
@@ -291,30 +302,63 @@ def _packed(children: DataFrame) -> DataFrame:
     return materialize(dealt.sortWithinPartitions("kind", "v", *within).drop("length").mapInPandas(pack, _NODE))
 
 
+class _Leaf(NamedTuple):
+    """The points of a tree that are its only leaf. boxes: one of each point."""
+
+    kind: int
+    v: int
+    ids: np.ndarray
+    lows: np.ndarray
+    mosts: np.ndarray
+    cs: np.ndarray
+    pures: np.ndarray
+    earliers: np.ndarray
+    boxes: np.ndarray
+
+    @property
+    def groups(self) -> int:
+        return min((len(b) - 1) // b[0] for b in self.boxes)
+
+
+def _overlaps(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Summed minima of the rows i of left and j of right."""
+    if 3 * len(i) > len(left) * len(right):
+        if left.size * len(right) < 1 << 20:
+            return np.minimum(left[:, None, :], right[None, :, :]).sum(axis=2)[i, j]
+        return np.stack([np.minimum(row, right).sum(axis=1) for row in left])[i, j]
+    step = max(1, (1 << 20) // left.shape[1])
+    return np.concatenate([np.minimum(left[i[k : k + step]], right[j[k : k + step]]).sum(axis=1) for k in range(0, len(i), step)] or [np.zeros(0, np.int64)])
+
+
 def _descend(percent: int, leaves: bool, every: bool):
-    """Pairs of boxes to those pairs of their children that the bound, the sizes and the components allow."""
+    """Pairs of boxes to those pairs of their children that the bound, the sizes and the components allow; the same for the points of trees of one leaf."""
+
+    def corners(n, groups: int) -> np.ndarray:
+        if isinstance(n.boxes, np.ndarray):
+            return np.stack([folded(p, groups) for p in map(unpacked, n.boxes)])
+        return unpacked(n.boxes).reshape(len(n.ids), -1, groups).sum(axis=1)
 
     def survivors(a, b, same: bool) -> tuple:
-        groups = min(a.groups, b.groups)
-        left, right = (unpacked(n.boxes).reshape(len(n.ids), -1, groups).sum(axis=1) for n in (a, b))
-        if len(left) * len(right) * groups < 1 << 20:
-            most = np.minimum(left[:, None, :], right[None, :, :]).sum(axis=2)
-        else:
-            most = np.stack([np.minimum(row, right).sum(axis=1) for row in left])
         (la, ma, ca, pa), (lb, mb, cb, pb) = ((n.lows, n.mosts, n.cs, n.pures) for n in (a, b))
-        sizes = la[:, None] + lb[None, :]
-        keep = (most * (100 + percent) >= percent * sizes) & (la[:, None] <= mb[None, :]) & (lb[None, :] <= ma[:, None])
+        keep = (la[:, None] <= mb[None, :]) & (lb[None, :] <= ma[:, None])
         keep &= (ca[:, None] != cb[None, :]) | ~pa[:, None] | ~pb[None, :]
         if same:
-            keep &= np.tri(len(left), len(right), -1 if leaves else 0, dtype=bool).T
+            keep &= np.tri(len(la), len(lb), -1 if leaves else 0, dtype=bool).T
         i, j = np.nonzero(keep)
         if leaves and len(i):
-            known, there = ([frozenset(e.tolist()) for e in n.earliers] for n in (a, b))
+            known = {x: frozenset(a.earliers[x].tolist()) for x in np.unique(i).tolist()}
+            there = {y: frozenset(b.earliers[y].tolist()) for y in np.unique(j).tolist()}
             here = np.fromiter((known[x].isdisjoint(there[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
             i, j = i[here], j[here]
+        if len(i):
+            groups = min(a.groups, b.groups)
+            left = corners(a, groups)
+            most, sizes = _overlaps(left, left if same else corners(b, groups), i, j), la[i] + lb[j]
+            fits = most * (100 + percent) >= percent * sizes
+            i, j, most, sizes = i[fits], j[fits], most[fits], sizes[fits]
         if leaves and not every and len(i) > 1:
             low, high = np.minimum(ca[i], cb[j]), np.maximum(ca[i], cb[j])
-            order = np.lexsort((b.ids[j], a.ids[i], -most[i, j] / sizes[i, j], high, low))
+            order = np.lexsort((b.ids[j], a.ids[i], -most / sizes, high, low))
             first = np.ones(len(order), bool)
             first[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
             i, j = i[order[first]], j[order[first]]
@@ -333,7 +377,30 @@ def _descend(percent: int, leaves: bool, every: bool):
             left, right = (f[[c for c in f if c.startswith(p)]].rename(columns=lambda c: c[2:]) for p in ("a_", "b_"))
             yield gathered([survivors(a, b, False) for a, b in zip(left.itertuples(index=False), right.itertuples(index=False), strict=True)])
 
-    return alone, apart
+    def single(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Points in the order of trees to the pairs of each tree."""
+
+        def trees(f: pd.DataFrame, bounds: list[int]) -> pd.DataFrame:
+            kind, v, ids, lows, mosts, cs, pures = (f[c].to_numpy() for c in ("kind", "v", "id", "low", "most", "c", "pure"))
+            boxes, earliers, found = f["box"].to_numpy(), f["earlier"].to_numpy(), []
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                node = _Leaf(kind[s], v[s], ids[s:e], lows[s:e], mosts[s:e], cs[s:e], pures[s:e].astype(bool), earliers[s:e], boxes[s:e])
+                found.append(survivors(node, node, True))
+            return gathered(found)
+
+        rest = None
+        for f in frames:
+            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+            if f.empty:
+                continue
+            kind, v = f["kind"].to_numpy(), f["v"].to_numpy()
+            starts = [0, *(np.flatnonzero((np.diff(kind) != 0) | (np.diff(v) != 0)) + 1).tolist()]
+            rest = f.iloc[starts[-1] :]
+            yield trees(f, starts)
+        if rest is not None:
+            yield trees(rest, [0, len(rest)])
+
+    return alone, apart, single
 
 
 def _crossed(lists: DataFrame, points: DataFrame, percent: int, every: bool) -> DataFrame:
@@ -341,7 +408,13 @@ def _crossed(lists: DataFrame, points: DataFrame, percent: int, every: bool) ->
 
     every: all of them; otherwise the best of each two components that meet in two leaves.
     """
-    made = _with_earlier(lists).join(points, "rep").select("kind", "v", F.col("rep").alias("id"), F.col("n").alias("low"), "most", "c", F.lit(True).alias("pure"), F.col("n").alias("first"), F.col("point").alias("box"), "length", "earlier")
+    schema = "kind int, v long, x long, y long"
+    # most trees are one leaf: its points are crossed where they meet, and no box is written
+    dealt = _placed(lists, points, long=False).drop("first", "length").repartition("kind", "v").sortWithinPartitions("kind", "v")
+    short = materialize(dealt.mapInPandas(_descend(percent, True, every)[2], schema))
+    if lists.where(F.col("length") > LEAF).isEmpty():
+        return short.select("x", "y")
+    made = _placed(lists, points, long=True)
     names, levels, spent = [c.split()[0] for c in _CHILD.split(", ")], [], []
     while True:
         nodes = _packed(made)
@@ -357,8 +430,7 @@ def _crossed(lists: DataFrame, points: DataFrame, percent: int, every: bool) ->
     for depth in range(len(levels) - 1, -1, -1):
         nodes, leaves = levels[depth].where("not pure"), depth == 0
         above = levels[depth + 1].select("kind", "v").distinct() if depth + 1 < len(levels) else None
-        alone, apart = _descend(percent, leaves, every)
-        schema = "kind int, v long, x long, y long"
+        alone, apart, _ = _descend(percent, leaves, every)
         # roots are crossed with themselves; other boxes as far as a pair from above asks for it
         roots = nodes if above is None else nodes.join(above, ["kind", "v"], "left_anti")
         if pairs is not None:
@@ -372,4 +444,4 @@ def _crossed(lists: DataFrame, points: DataFrame, percent: int, every: bool) ->
             found = found.union(met.select([c for c in met.columns if c[:2] in ("a_", "b_")]).mapInPandas(apart, schema))
         pairs = materialize(found, *levels[depth + 1 : depth + 2])
     drop_table(levels[0])
-    return pairs.select("x", "y")
+    return pairs.select("x", "y").union(short.select("x", "y"))
