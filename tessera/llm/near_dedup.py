@@ -44,7 +44,8 @@ def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
         runs[:left] = mix(runs[:left] * np.uint64(0x9E3779B97F4A7C15) + words[j:])
     for start, end in zip(first[:-1], first[1:], strict=True):
         if end - start >= width:
-            yield np.unique(runs[start : end - width + 1].view(np.int64))
+            own = np.sort(runs[start : end - width + 1].view(np.int64))
+            yield own[np.concatenate(([True], own[1:] != own[:-1]))]
         else:
             whole = np.full(min(1, end - start), end - start, np.uint64)
             for j in range(start, end):

@@ -41,12 +41,15 @@ SHRINK = 0.8
 FEW_GROUPS, MANY_GROUPS = 16, 2048
 #: Earlier trees that a point knows of in each of its trees; two points that share only trees beyond these come from several, once each
 EARLIER = 64
+#: Characters of the texts whose words are hashed at once: their letters stay in a core's cache
+PART = 1 << 16
 
 
-def counts(values: np.ndarray) -> np.ndarray:
-    """The point of a set of hashes: how many fall in each group."""
+def counts(values: np.ndarray, mixed: np.ndarray | None = None) -> np.ndarray:
+    """The point of a set of hashes: how many fall in each group. mixed: of the values, if known."""
     groups = min(MANY_GROUPS, max(FEW_GROUPS, 1 << max(0, (len(values) // 4 - 1)).bit_length()))
-    return np.bincount(mix(values.view(np.uint64)).view(np.int64) & (groups - 1), minlength=groups).astype(np.int32)
+    mixed = mix(values.view(np.uint64)) if mixed is None else mixed
+    return np.bincount(mixed.view(np.int64) & (groups - 1), minlength=groups).astype(np.int32)
 
 
 def packed(point: np.ndarray) -> bytes:
@@ -68,11 +71,12 @@ def _points(width: int, percent: int):
     def points(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
-            for part in groups_of(texts, lambda t: len(t or "")):
+            for part in groups_of(texts, lambda t: len(t or ""), PART):
                 for s in shingle_sets(part, width):
-                    a, b = (mix(s.view(np.uint64) ^ np.uint64(c)).sum(dtype=np.uint64).view(np.int64) for c in (0x243F6A8885A308D3, 0x13198A2E03707344))
+                    mixed = mix(s.view(np.uint64))
+                    a, b = (x.sum(dtype=np.uint64).view(np.int64) for x in (s.view(np.uint64), mixed))
                     # a partner shares ceil(n * percent / 100) at least: one of the first n - that + 1 is shared
-                    rows.append((len(s), a, b, s[: len(s) - -(-len(s) * percent // 100) + 1], packed(counts(s))))
+                    rows.append((len(s), a, b, s[: len(s) - -(-len(s) * percent // 100) + 1], packed(counts(s, mixed))))
             yield pd.DataFrame(rows, columns=["n", "set_a", "set_b", "prefix", "point"])
 
     return F.pandas_udf(points, "n long, set_a long, set_b long, prefix array<long>, point binary")
@@ -84,7 +88,7 @@ def _ordered(width: int, percent: int, classes):
     def ordered(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
-            for part in groups_of(texts, lambda t: len(t or "")):
+            for part in groups_of(texts, lambda t: len(t or ""), PART):
                 for s in shingle_sets(part, width):
                     order = np.argsort(classes.value[s & (len(classes.value) - 1)], kind="stable")
                     rows.append((len(s), s[order[: len(s) - -(-len(s) * percent // 100) + 1]]))
@@ -93,6 +97,43 @@ def _ordered(width: int, percent: int, classes):
     return F.pandas_udf(ordered, "n long, prefix array<long>")
 
 
+def _lengths(rows: DataFrame, percent: int) -> DataFrame:
+    """v, low, high, length of the n-grams of two or more prefixes. low: the smallest n, high: the largest partner a place allows.
+
+    Most n-grams have one text: each batch sums up its own and deals them out as arrays by hash range, so that a frequent one comes once from a batch.
+    """
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def summed(v: np.ndarray, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> tuple:
+        order = np.argsort(v)
+        v = v[order]
+        at = np.flatnonzero(np.concatenate((np.ones(min(1, len(v)), bool), v[1:] != v[:-1])))
+        return v[at], np.minimum.reduceat(low[order], at), np.maximum.reduceat(high[order], at), np.add.reduceat(length[order], at)
+
+    def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            own = f["prefix"].to_numpy()
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            if not sizes.sum():
+                continue
+            n = np.repeat(f["n"].to_numpy(np.int64), sizes)
+            place = np.arange(len(n)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            found = summed(np.concatenate(own).astype(np.int64), n, (n - place) * (100 + percent) // percent - n, np.ones(len(n), np.int64))
+            bucket = (mix(found[0].view(np.uint64)) >> np.uint64(32)).astype(np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            columns = [[p.tobytes() for p in np.split(c[order], starts[1:])] for c in found]
+            yield pd.DataFrame({"bucket": bucket[order][starts], **dict(zip(("v", "low", "high", "length"), columns, strict=True))})
+
+    def met(f: pd.DataFrame) -> pd.DataFrame:
+        v, low, high, length = summed(*(np.frombuffer(b"".join(f[c]), np.int64) for c in ("v", "low", "high", "length")))
+        several = length > 1
+        return pd.DataFrame({"v": v[several], "low": low[several], "high": high[several], "length": length[several]})
+
+    arrays = rows.select("n", "prefix").mapInPandas(dealt, "bucket long, v binary, low binary, high binary, length binary")
+    return arrays.groupBy("bucket").applyInPandas(met, "v long, low long, high long, length long")
+
+
 def _bounded(percent: int):
     def bounded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
@@ -160,7 +201,7 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFr
         """v, rep, n, place, most, length: the lists of two or more; most: the largest partner that this place still allows."""
         most = F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent - F.col("n"))
         posted = rows.select("rep", "n", F.posexplode("prefix").alias("place", "v")).select("v", "rep", "n", "place", most.alias("most"))
-        bounds = materialize(posted.groupBy("v").agg(F.min("n").alias("low"), F.max("most").alias("high"), F.count("*").alias("length")).where("length > 1"))
+        bounds = materialize(_lengths(rows, percent))
         return materialize(posted.join(bounds.hint("shuffle_hash"), "v").where("most >= low and n <= high").drop("low", "high"), bounds)
 
     classes, kind, before = np.zeros(SLOTS, np.uint8), 0, None

@@ -77,6 +77,36 @@ def test_points_of_several_trees_meet_in_the_first_that_holds_both(spark, monkey
         assert got == sorted(2 * pairs)  # once a kind
 
 
+def test_trees_of_one_leaf_write_no_boxes(spark, monkeypatch):
+    """Points of short trees are crossed where they meet; only longer trees are packed."""
+    monkeypatch.setattr(ngram_join, "LEAF", 4)
+    packed, plain = [], ngram_join._packed
+    monkeypatch.setattr(ngram_join, "_packed", lambda made: packed.append(sorted({r[0] for r in made.select("v").collect()})) or plain(made))
+    trees = {5: [1, 2, 3], 6: [4, 5, 6, 7], 8: [1, 4, 8, 9, 10]}
+    rows = [(0, v, rep, 16, place, 20, rep // 2, len(own)) for place, (v, own) in enumerate(trees.items()) for rep in own]
+    columns = "kind int, v long, rep long, n long, place int, most long, c long, length long"
+    box = bytearray(ngram_join.packed(np.ones(16, np.int32)))
+    points = spark.createDataFrame([(i, box) for i in range(1, 11)], "rep long, point binary")
+    wanted = {v: [(i, j) for i in own for j in own if i < j and i // 2 != j // 2] for v, own in trees.items()}
+    crossed = lambda r: sorted(tuple(sorted(x)) for x in ngram_join._crossed(spark.createDataFrame(r, columns), points, 80, True).collect())
+    assert crossed([r for r in rows if r[1] != 8]) == sorted(wanted[5] + wanted[6]) and not packed
+    assert crossed(rows) == sorted(sum(wanted.values(), [])) and packed and all(vs == [8] for vs in packed[:1])
+
+
+def test_lengths_are_those_of_rows(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(5, 90), sorted(rng.sample(range(-40, 40), rng.randrange(6)))) for _ in range(200)] + [(7, []), (9, [2**63 - 1, -(2**63)]), (4, [2**63 - 1])]
+    want = {}
+    for n, prefix in rows:
+        for place, v in enumerate(prefix):
+            low, high, length = want.get(v, (n, -1, 0))
+            want[v] = (min(low, n), max(high, (n - place) * 180 // 80 - n), length + 1)
+    frame_ = spark.createDataFrame(rows, "n long, prefix array<long>").repartition(5)
+    got = {r["v"]: (r["low"], r["high"], r["length"]) for r in ngram_join._lengths(frame_, 80).collect()}
+    assert got == {v: w for v, w in want.items() if w[2] > 1}
+    assert ngram_join._lengths(frame_.limit(0), 80).collect() == []
+
+
 def test_bound_is_never_below_the_overlap():
     rng = np.random.default_rng(1)
     for _ in range(50):
