@@ -43,6 +43,8 @@ FEW_GROUPS, MANY_GROUPS = 16, 2048
 EARLIER = 64
 #: Characters of the texts whose words are hashed at once: their letters stay in a core's cache
 PART = 1 << 16
+#: Rows of a batch of texts or boxes: Spark, Arrow and Python each hold one whole
+BATCH = 1000
 
 
 def counts(values: np.ndarray, mixed: np.ndarray | None = None) -> np.ndarray:
@@ -67,6 +69,17 @@ def folded(point: np.ndarray, groups: int) -> np.ndarray:
     return point.reshape(-1, groups).sum(axis=0, dtype=np.int32)
 
 
+def _in_batches(df: DataFrame) -> DataFrame:
+    """materialize, with BATCH rows between Spark and Python at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(BATCH))
+    try:
+        return materialize(df)
+    finally:
+        conf.set(key, before)
+
+
 def _points(width: int, percent: int):
     def points(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -157,7 +170,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     hash. Empty table: no rows.
     """
     docs = docs.select("doc_id", "text")
-    digest = materialize(docs.select("doc_id", _points(width, percent)("text").alias("s")).select("doc_id", "s.*"))
+    digest = _in_batches(docs.select("doc_id", _points(width, percent)("text").alias("s")).select("doc_id", "s.*"))
     named = materialize(digest.drop("prefix", "point"))
     sets = lambda d: d.where("n > 0 and doc_id is not null").groupBy("set_a", "set_b", "n")
     reps = materialize(sets(digest).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("point").alias("point")), digest)
@@ -179,8 +192,8 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFr
     """Links a < b between representatives (a materialized table, deleted once read) that connect all that the threshold connects; None if there are none."""
     spark = docs.sparkSession
 
-    def texts_of(chosen: DataFrame, made=None) -> DataFrame:
-        """rep, text of chosen representatives, or what a function made of their texts (shuffled in their place if it is smaller). A filter of fixed size keeps most other texts out of the shuffle; the join decides."""
+    def texts_of(chosen: DataFrame) -> DataFrame:
+        """rep, text of chosen representatives. A filter of fixed size keeps most other texts out of the shuffle; the join decides."""
         slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
         ids = chosen.select(F.col("rep").alias("doc_id")).distinct()
         bits = np.zeros(SLOTS, bool)
@@ -192,10 +205,7 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFr
             return pd.Series((known.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
 
         near = docs.where("doc_id is not null").where(F.pandas_udf(held, "boolean")(slot))
-        # not deterministic: else Spark makes it after the join
-        what = F.col("text") if made is None else made.asNondeterministic()("text")
-        near = near.select("doc_id", what.alias("text"), F.xxhash64("text").alias("_h"))
-        return near.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min_by("text", "_h").alias("text"))
+        return near.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def listed(rows: DataFrame) -> DataFrame:
         """v, rep, n, place, most, length: the lists of two or more; most: the largest partner that this place still allows."""
@@ -218,7 +228,7 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFr
         frequent = long.groupBy((F.col("v").bitwiseAND(F.lit(SLOTS - 1))).alias("slot")).agg(F.max("length").alias("length")).toPandas()
         np.maximum.at(classes, frequent["slot"].to_numpy(), (1 + np.log2(frequent["length"].to_numpy() / LEAF)).astype(np.uint8))
         known = spark.sparkContext.broadcast(classes.copy())
-        again = materialize(texts_of(members, _ordered(width, percent, known)).select("rep", "text.*"))
+        again = _in_batches(texts_of(members).select("rep", _ordered(width, percent, known)("text").alias("p")).select("rep", "p.*"))
         found, kind, before = listed(again), kind + 1, many
         drop_table(again)
         lists = lists.union(found.where(F.col("length") <= LEAF).withColumn("kind", F.lit(kind)))
@@ -236,7 +246,7 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFr
         pairs = materialize(pairs)
         checked.append(pairs)
         ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
-        whole = materialize(texts_of(ends).select("rep", _shingler(width)("text").alias("s")))
+        whole = _in_batches(texts_of(ends).select("rep", _shingler(width)("text").alias("s")))
         both = pairs.join(whole.toDF("a", "s_a"), "a").join(whole.toDF("b", "s_b"), "b")
         common = both.select("a", "b", (F.size("s_a") + F.size("s_b")).alias("sizes"), F.size(F.array_intersect("s_a", "s_b")).alias("common"))
         return common.where(F.col("common") * 100 >= percent * (F.col("sizes") - F.col("common"))).select("a", "b")
@@ -452,7 +462,7 @@ def _crossed(lists: DataFrame, points: DataFrame, percent: int, every: bool) ->
     schema = "kind int, v long, x long, y long"
     # most trees are one leaf: its points are crossed where they meet, and no box is written
     dealt = _placed(lists, points, long=False).drop("first", "length").repartition("kind", "v").sortWithinPartitions("kind", "v")
-    short = materialize(dealt.mapInPandas(_descend(percent, True, every)[2], schema))
+    short = _in_batches(dealt.mapInPandas(_descend(percent, True, every)[2], schema))
     if lists.where(F.col("length") > LEAF).isEmpty():
         return short.select("x", "y")
     made = _placed(lists, points, long=True)
